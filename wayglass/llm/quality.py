@@ -21,7 +21,7 @@ BUCKETS, ALPHA = 1 << 15, 1.0
 #: At most so many trusted ids (in order of a digest) estimate the trusted multinomial; they are broadcast, 8 bytes each.
 MAX_TRUSTED = 50_000
 #: Mean log ratio from which a document is kept.
-THRESHOLD = -0.35
+THRESHOLD = -0.25
 WINDOW = 8
 
 
