@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayglass.llm import bpe, chat, exact_dedup, html_text, line_dedup, mixing, quality, sharding, simhash, toxicity
+from wayglass.llm import bpe, chat, exact_dedup, html_text, line_dedup, mixing, oracles, quality, sharding, simhash, toxicity
 from wayglass.llm.shared import table
 
 LEVELS = ["domain", "lang", "source"]
@@ -96,4 +96,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_bpe, op3_simhash, op4_exact_dedup, op5_chat, op6_shards, op7_html_text, op8_toxicity, op9_quality, op10_line_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": oracles.mixing_sql(LEVELS, WEIGHTS, **MIX),
+    "op4_exact_dedup": oracles.EXACT,
+    "op5_chat": oracles.CHAT,
+    "op10_line_dedup": oracles.LINES,
+}
