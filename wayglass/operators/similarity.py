@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayglass.functions import arrays as A
 from wayglass.functions.keys import circular, squash
@@ -133,7 +134,7 @@ def retrieval_score(parts: dict[str, Column]) -> Column:
 
 
 # Python where SQL has no equal ---------------------------------------------------------------------------------------
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of squashed texts; both empty 1, one empty 0."""
     tidy = lambda s: " ".join((s or "").upper().split())
@@ -143,7 +144,7 @@ def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def scattering(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Two orders of band-pass filters (Morlet, three octaves) with moduli and time means, log1p, of 12 normalised values.
 
