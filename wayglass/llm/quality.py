@@ -73,7 +73,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     marked = hashed(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
     marked = marked.join(F.broadcast(few), F.col("__id") == F.col("__trusted"), "left")  # MAX_TRUSTED rows at most
     grams = marked.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(_buckets()).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
+    counts = written(grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r")), "counts")  # read twice below
     kind = F.floor(F.col("bucket") / BUCKETS)
     full = spark.range(2 * BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["t", "r"]).withColumn("kind", kind)
     sums = counts.withColumn("kind", kind).groupBy("kind").agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
