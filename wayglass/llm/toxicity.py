@@ -36,6 +36,8 @@ MAX_FIT = 20_000
 MAX_STEMS = 4_000
 G_LEAST, PRECISION_LEAST = 27.0, 0.9
 SHORTEST, LONGEST = 4, 8
+#: Words whose precision a task remembers; then the store starts anew.
+KNOWN_WORDS = 100_000
 
 #: Words of general use.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers clown clowns trash scum pathetic worthless disgusting imbecile cretin vermin filth bastard scumbag lowlife dimwit halfwit".split()
@@ -132,7 +134,7 @@ class Grammar:
         if not self.harm.isdisjoint(words):
             return True
         seen = self.seen
-        if len(seen) > 500_000:
+        if len(seen) > KNOWN_WORDS:
             seen.clear()
         for w in words:
             if w not in seen:
