@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 #: Words kept while a task runs; then the store starts anew. Workers outlive tasks, so a task leaves none behind.
 KNOWN_WORDS = 120_000
 #: Fixed value: the white space of the public regular-expression dialect of the vocabulary file.
-SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_alphabet() -> list[str]:
@@ -52,8 +53,11 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # White space is folded before, so the possessive class is the same set.
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        # White space is in no word, so folding it beforehand would change nothing; its set is written out.
+        own = split["pattern"]["Regex"]
+        self.pattern = regex.compile(own.replace(r"\s", SPACE))
+        # For ASCII text in lower case the standard library's engine reads the same pattern, with its classes spelled out.
+        self.ascii_pattern = re.compile(own.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.alphabet = byte_alphabet()
         n = max(self.token_of) + 1
@@ -69,42 +73,48 @@ class WordBpe:
         keys = np.array([a * n + b for a, b in self.merges], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks, self.n = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order], n
-        self.longest = max(len(t) for t in self.vocab)
+        cut = len(self.suffix)
+        self.final = {t[:-cut]: i for t, i in self.vocab.items() if t.endswith(self.suffix) and len(t) > cut}
+        self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(self.suffix) or len(t) == cut}
+        self.prefixes = {t[:k] for t in self.inner for k in range(1, len(t) + 1)}
         self.whole: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
     # exact merging ---------------------------------------------------------------------------------------------
     def merge(self, word: str) -> list[int]:
         """Lowest rank first, leftmost first."""
-        ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
-        get = self.merges.get
-        while len(ids) > 1:
-            best = min(((m[0], i) for i, p in enumerate(zip(ids, ids[1:])) if (m := get(p))), default=None)
-            if best is None:
+        return self._merge([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]])
+
+    def _merge(self, ids: list[int]) -> list[int]:
+        get, none = self.merges.get, (1 << 40, -1)
+        found = [get(p, none) for p in zip(ids, ids[1:])]  # (rank, token made) of each neighbour pair
+        while found:
+            best = min(found)
+            if best is none:
                 break
-            pair, out, i = (ids[best[1]], ids[best[1] + 1]), [], 0
-            made = get(pair)[1]
-            while i < len(ids):  # all places of this pair, from the left
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = found.index(best)
+            ids[i] = best[1]
+            del ids[i + 1], found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     # speculation -----------------------------------------------------------------------------------------------
     def propose(self, word: str) -> list[int]:
-        """Greedy longest match from the left; the last token carries the suffix."""
-        out, at, n, vocab = [], 0, len(word), self.vocab
-        while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                t = vocab.get(word[at:end] + self.suffix if end == n else word[at:end])
-                if t is not None:
-                    out.append(t)
-                    break
-            at = end
+        """Greedy longest match from the left; the last token carries the suffix. A walk stops where no token goes on."""
+        out, at, n = [], 0, len(word)
+        final, inner, prefixes = self.final.get, self.inner.get, self.prefixes
+        while (t := final(word[at:])) is None:
+            end, stop = at + 1, at
+            while end < n and (s := word[at:end]) in prefixes:
+                if (x := inner(s)) is not None:
+                    t, stop = x, end
+                end += 1
+            out.append(t)
+            at = stop
+        out.append(t)
         return out
 
     # verification ----------------------------------------------------------------------------------------------
@@ -147,18 +157,9 @@ class WordBpe:
             if s.endswith(self.suffix) and s != self.suffix:
                 self.whole[t] = self.merge(s[: -len(self.suffix)]) == [t]
             else:  # inside a word: merged without a word end
-                self.whole[t] = self._merge_inner(s) == [t]
+                self.whole[t] = self._merge([self.vocab[c] for c in s]) == [t]
         return self.whole[t]
 
-    def _merge_inner(self, s: str) -> list[int]:
-        ids = [self.vocab[c] for c in s]
-        while len(ids) > 1:
-            best = min(((m[0], i) for i, p in enumerate(zip(ids, ids[1:])) if (m := self.merges.get(p))), default=None)
-            if best is None:
-                break
-            ids[best[1] : best[1] + 2] = [self.merges[ids[best[1]], ids[best[1] + 1]][1]]
-        return ids
-
     def learn(self, words: list[str]) -> int:
         """Encode words that are not known; the number that needed exact merging."""
         forms = ["".join(self.alphabet[b] for b in w.encode()) for w in words]
@@ -184,8 +185,9 @@ class WordBpe:
         return failed
 
     def words(self, text: str) -> list[str]:
-        text = SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()  # a capital sigma has one lower case here
-        return self.pattern.findall(text)
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # a capital sigma has one lower case here
 
     def pieces(self, text: str) -> list[list[str] | str]:
         """Words of the stretches between special tokens, and the special tokens."""
@@ -210,7 +212,8 @@ class WordBpe:
                     got += map(known.__getitem__, p)
                 else:
                     got.append((1, str(self.special[p]), p))
-            out.append((sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
+            n, ids, tokens = zip(*got, strict=True) if got else ((), (), ())
+            out.append((sum(n), " ".join(ids), " ".join(tokens)))
         return out
 
     def encode(self, text: str) -> list[int]:
