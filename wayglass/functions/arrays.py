@@ -26,6 +26,11 @@ def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def each_with(a: Column, value: Column, f) -> Column:
+    """f(x, value) for each x. value is worked out once a row; captured by a lambda it would be worked out for each element."""
+    return F.zip_with(a, F.array_repeat(value, F.size(a)), f)
+
+
 def rmse(a: Column, b: Column) -> Column:
     return F.sqrt(mean(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
@@ -58,7 +63,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def robust_normalise(a: Column, n: int = 12) -> Column:
     """(x - median) / max(1.4826 MAD, 1), clipped at +-8."""
-    m = median(a, n)
-    mad = median(F.transform(a, lambda x: F.abs(x - m)), n)
-    scale = F.greatest(mad * 1.4826, F.lit(1.0))
-    return F.transform(a, lambda x: F.greatest(F.least((x - m) / scale, F.lit(8.0)), F.lit(-8.0)))
+    centred = each_with(a, median(a, n), lambda x, m: x - m)
+    mad = median(F.transform(centred, lambda x: F.abs(x)), n)
+    return each_with(centred, F.greatest(mad * 1.4826, F.lit(1.0)), lambda x, s: F.greatest(F.least(x / s, F.lit(8.0)), F.lit(-8.0)))

@@ -14,13 +14,13 @@ def descriptor(hist: Column, base: Column, normal: Column | None) -> dict[str, C
     """scale, state (16), decision (24) and gap (12) of a window; all-zero histories have none."""
     scale = F.greatest(A.std_pop(hist), F.abs(A.mean(hist)) * 0.1, F.lit(1.0))
     last = F.element_at(hist, 12)
-    rel = lambda a: F.transform(a, lambda x: (x - last) / scale)
+    rel = lambda a: A.each_with(A.each_with(a, last, lambda x, y: x - y), scale, lambda x, y: x / y)
     jumps = A.steps(F.slice(hist, -5, 5), 5)
     zeros = F.array_repeat(F.lit(0.0), 12)
     return {
-        "scale": scale, "state": F.concat(rel(hist), F.transform(jumps, lambda x: x / scale)),
+        "scale": scale, "state": F.concat(rel(hist), A.each_with(jumps, scale, lambda x, y: x / y)),
         "decision": F.concat(rel(base), rel(normal) if normal is not None else zeros),
-        "gap": F.transform(A.minus(base, normal), lambda x: x / scale) if normal is not None else zeros,
+        "gap": A.each_with(A.minus(base, normal), scale, lambda x, y: x / y) if normal is not None else zeros,
         "signature": F.sha2(F.array_join(F.transform(hist, lambda x: F.round(x, 4).cast("string")), ","), 256),
     }
 

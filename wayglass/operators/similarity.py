@@ -62,7 +62,7 @@ def sparse_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def unit(v: Column) -> Column:
     norm = F.sqrt(A.dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    return F.when(norm > 0, A.each_with(v, norm, lambda x, n: x / n)).otherwise(v)
 
 
 def time_block(period: Column, weekday: Column, weekend: Column, holiday: Column, hour: Column) -> Column:
@@ -90,9 +90,14 @@ def cosine_recall(queries: DataFrame, items: DataFrame, k: int, digits: int = 4)
 def haar(a: Column) -> Column:
     """A Haar pyramid of 12 normalised values (6 + 3 details, 3 means), the SQL stand-in for a scattering transform."""
     x = A.robust_normalise(a)
-    half = lambda v, n, sign: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.element_at(v, 2 * i - 1) + F.element_at(v, 2 * i) * sign) / 2)
-    low = half(x, 6, 1)
-    return F.concat(half(x, 6, -1), half(low, 3, -1), half(low, 3, 1))
+    high, low = _halves(x)
+    return F.concat(high, *_halves(low))
+
+
+def _halves(v: Column) -> tuple[Column, Column]:
+    """Half differences and half sums of neighbours."""
+    first, second = F.filter(v, lambda x, i: i % 2 == 0), F.filter(v, lambda x, i: i % 2 == 1)
+    return F.zip_with(first, second, lambda x, y: (x - y) / 2), F.zip_with(first, second, lambda x, y: (x + y) / 2)
 
 
 def level_similarity(a: Column, b: Column, n: int = 12) -> Column:
