@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept while a task runs; then the store starts anew. Workers outlive tasks, so a task leaves none behind.
-KNOWN_WORDS = 120_000
+KNOWN_WORDS = 100_000
 #: Fixed value: the white space of the public regular-expression dialect of the vocabulary file.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -76,7 +76,7 @@ class WordBpe:
         cut = len(self.suffix)
         self.final = {t[:-cut]: i for t, i in self.vocab.items() if t.endswith(self.suffix) and len(t) > cut}
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(self.suffix) or len(t) == cut}
-        self.prefixes = {t[:k] for t in self.inner for k in range(1, len(t) + 1)}
+        self.prefixes = {t[:k] for t in self.inner for k in range(1, len(t))} - self.inner.keys()
         self.whole: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
@@ -108,9 +108,11 @@ class WordBpe:
         final, inner, prefixes = self.final.get, self.inner.get, self.prefixes
         while (t := final(word[at:])) is None:
             end, stop = at + 1, at
-            while end < n and (s := word[at:end]) in prefixes:
-                if (x := inner(s)) is not None:
+            while end < n:
+                if (x := inner(s := word[at:end])) is not None:
                     t, stop = x, end
+                elif s not in prefixes:
+                    break
                 end += 1
             out.append(t)
             at = stop
@@ -255,6 +257,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             if ids:
                 columns, names = [*columns, pa.array([g[3] for g in got], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
-        bpe.known.clear()
+        load.cache_clear()  # workers outlive tasks; reading the file again takes a fraction of a second
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
