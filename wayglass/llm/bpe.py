@@ -231,7 +231,7 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _batches(texts: pa.Array, chars: int = 4_000_000) -> Iterator[list[str]]:
+def _batches(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
     batch, size = [], 0
     for t in texts:
         batch.append(t.as_py() or "")
