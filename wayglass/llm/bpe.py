@@ -9,7 +9,8 @@ The vocabulary file is a parameter; its format is that of the public tokenizers
 alphabet, NFC, white space folded, lower case). The library itself is not used here.
 
 Defined cases: null and empty texts have no tokens; the strings of special tokens become their ids, as in the library;
-any length of text is handled whole; other columns pass through.
+any length of text is handled whole; other columns pass through. Characters that entered Unicode after version 15 may count as letters
+or change case here and not in the library, or the other way round; texts without them get the same ids.
 """
 
 from __future__ import annotations
