@@ -18,8 +18,8 @@ from wayglass.llm.shared import ship, table, written
 ORACLE_SQL: str | None = None
 #: Tokens to take, as a share of what is left, and epochs of a source at most.
 MIX = {"share": 0.8, "max_epochs": 1, "seed": 29}
-#: Near copies: shingles of five words; fingerprints that differ in three bits or fewer.
-NEAR = {"limit": 3, "shingle": 5}
+#: Near copies: shingles of five words; fingerprints that differ in three bits or fewer, or sets of shingles with a Jaccard similarity of 0.8 or more.
+NEAR = {"limit": 3, "shingle": 5, "jaccard": 0.8}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

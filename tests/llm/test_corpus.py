@@ -133,6 +133,51 @@ def test_simhash_equals_brute_force(spark, odd):
     assert simhash.near_dedup(odd).columns == odd.columns
 
 
+def test_jaccard_links_equal_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+
+    def changed(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = word()
+        return out
+
+    texts: list[str | None] = [None, "", "a b", "A  b", "a b c d e " * 30, "a b c d e " * 31]
+    for k in range(60):  # pairs from similarity 0.5 to 1
+        base = [word() for _ in range(300)]
+        texts += [" ".join(base), " ".join(changed(base, k // 3))]
+    base = [word() for _ in range(300)]  # a large group, whose members partly link only through others
+    texts += [" ".join(changed(base, rng.randrange(8))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df, 3, 5, jaccard=0.8).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := lower(t or "").split()) else set() for t in texts]
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    similar = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            alike = bool(both) and 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both)
+            similar += alike
+            if (alike or (fps[a] ^ fps[b]).bit_count() <= 3) and (x := root[a]) != (y := root[b]):
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert similar > 500 and got == dict(enumerate(root))
+    kept = {r.doc_id for r in simhash.near_dedup(df, jaccard=0.8).collect()}
+    assert kept == set(root)
+    assert simhash.near_groups(empty(spark), jaccard=0.8).count() == 0
+
+
+def test_pipeline_drops_copies_of_similarity_08(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    other = [("x" if i % 60 == 30 else w) for i, w in enumerate(base)]  # 10 words, 50 of 596 shingles: similarity 0.85
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(reversed(base)))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()} == {1, 3}
+
+
 @pytest.mark.parametrize("limit", [3, 4, 6])
 def test_links_of_clustered_fingerprints(spark, limit):
     rnd = random.Random(limit)

@@ -10,6 +10,11 @@ Copies are folded to one fingerprint first. Of a bucket only a spanning forest o
 a bucket of thousands of near copies yields no more rows than it has members; a very large bucket is split by the pigeonhole
 principle on its other bits. The components of all forests are the classes: no link between different texts is lost.
 
+Few bits catch few texts below a similarity of about 0.95. Where `jaccard` is given, texts whose sets of shingles have at least that Jaccard
+similarity link too. Candidates share one of BANDS buckets of ROWS minima of hashes (MinHash): at similarity 0.8 a pair shares none with probability
+(1 - 0.8^5)^20 = 0.0004. Every candidate is verified on the sets themselves. Equal sets fold first. Of a large bucket, pairs with a few
+members are verified before all others, and pairs that are in one class by then are left out, as they can't change the classes.
+
 Defined cases: null text counts as empty; texts without a word have fingerprint 0 and link like any other; fewer words than
 a shingle has make one shingle; an empty table gives an empty result; rows with one id are rows of their own, and a null id is never the smallest of its
 class unless there is no other; other columns pass through where documents are returned.
@@ -37,28 +42,48 @@ SMALL, LARGE = 48, 30_000
 #: Filing one probe costs about as much as verifying so many pairs.
 PROBE_COST = 60
 SHINGLES_AT_ONCE = 500_000
+#: MinHash: buckets of a text, and minima that must agree in one.
+BANDS, ROWS = 20, 5
+MINIMA_AT_ONCE = 2_000
+#: Members of a bucket that all others are paired with, round by round; in the last round all pairs of different classes.
+ROUNDS = (1, 16, None)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned fingerprint of a whole text."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in their order, up to SHINGLES_AT_ONCE at a time."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and white space is [\x20\x09-\x0D]
     if not words:
-        return 0
+        return
     if len(words) <= shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    total = max(1, len(words) - shingle + 1)
-    ones, done = np.zeros(BITS, np.int64), 0
+    total, done = max(1, len(words) - shingle + 1), 0
     hashes = map(xxhash.xxh64_intdigest, parts, repeat(42))
     while done < total:
         n = min(SHINGLES_AT_ONCE, total - done)
-        h = np.fromiter(hashes, np.uint64, n)
-        ones += np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.fromiter(hashes, np.uint64, n)
         done += n
+
+
+def _majority(chunks: Iterator[np.ndarray] | list[np.ndarray]) -> int:
+    ones, total = np.zeros(BITS, np.int64), 0
+    for h in chunks:
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(h)
     return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned fingerprint of a whole text."""
+    return _majority(shingle_hashes(text, shingle))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of a text's different shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of each row."""
 
@@ -70,6 +95,43 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+@lru_cache(1)
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+    return a | np.uint64(1), b
+
+
+def buckets(different: np.ndarray) -> list[int]:
+    """Keys (signed longs) of the BANDS buckets of a set of shingle hashes; a set without members has none."""
+    if not len(different):
+        return []
+    a, b = _mixers()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(different), MINIMA_AT_ONCE):
+        least = np.minimum(least, (different[i : i + MINIMA_AT_ONCE, None] * a + b).min(0))
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp of each row; set (a hash of its shingle set) and n (members of the set); buckets; text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sets, sizes, keys = [], [], [], []
+            for t in b["text"]:
+                chunks = list(shingle_hashes(t.as_py(), shingle))
+                different = np.unique(np.concatenate([np.zeros(0, np.uint64), *chunks]))
+                fps.append(_majority(chunks))
+                sets.append(xxhash.xxh64_intdigest(different.tobytes()))
+                sizes.append(len(different))
+                keys.append(buckets(different))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sets)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *longs, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), b["text"]], ["doc_id", "fp", "set", "n", "buckets", "text"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, set long, n long, buckets array<long>, text string")
+
+
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and, for each pair of bits, how many have both set: 64 x 64 numbers whatever the input."""
 
@@ -269,18 +331,69 @@ def links(fps: DataFrame, limit: int = 3) -> DataFrame:
     return filed.repartition("part", "key").sortWithinPartitions("part", "key", "fp").mapInPandas(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, jaccard: float, shingle: int) -> DataFrame:
+    """Those pairs (a, b) of sets that have at least that Jaccard similarity; texts: one text of each set."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            hit, last, own = np.zeros(len(f), bool), None, None
+            for i, (b, x, y) in enumerate(zip(f["b"], f["text_a"], f["text_b"], strict=True)):
+                if b != last:
+                    last, own = b, shingle_set(y, shingle)
+                other = shingle_set(x, shingle)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                hit[i] = both >= jaccard * (len(own) + len(other) - both) - 1e-9
+            yield f.loc[hit, ["a", "b"]]
+
+    held = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
+    return held.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+
+
+def similar_links(rows: DataFrame, known: DataFrame, jaccard: float, shingle: int) -> DataFrame:
+    """(a, b) of fingerprints: links known, those of equal sets, and enough of those of similar sets for the same classes; rows: written sketches."""
+    sets = written(rows.where("n > 0").groupBy("set").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "sets")
+    equal = rows.join(sets.select("set", F.col("fp").alias("b")), "set").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    found = written(known.select("a", "b").unionByName(equal), "links")
+    filed = sets.select("set", "fp", "n", F.explode("buckets").alias("key"))
+    shared = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    filed = written(filed.join(shared, "key"), "buckets")
+    tested, least_members = None, 1
+    for many in ROUNDS:
+        labels = components(found).withColumnRenamed("node", "fp")
+        own = filed.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+        own = written(own.join(mixed, "key", "left_semi").where(F.col("members") > least_members), "mixed")
+        if own.isEmpty():
+            break
+        each = F.struct("set", "n", "root")
+        few = own.withColumn("slot", F.pmod(F.xxhash64("set"), F.lit(many or 1))).groupBy("key", "slot").agg(F.min(each).alias("other")) if many else own.select("key", each.alias("other"))
+        apart = (F.col("root") != F.col("other.root")) & (F.least("n", "other.n") >= jaccard * F.greatest("n", "other.n") - 1e-9)
+        pairs = own.join(few, "key").where(apart).select(F.greatest("set", "other.set").alias("a"), F.least("set", "other.set").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+        texts = written(rows.select("set", "text").join(needed, "set", "left_semi").dropDuplicates(["set"]), "texts")
+        links_ = _verified(pairs, texts, jaccard, shingle)
+        ends = sets.select("set", "fp")
+        links_ = links_.join(ends.withColumnsRenamed({"set": "a", "fp": "fa"}), "a").join(ends.withColumnsRenamed({"set": "b", "fp": "fb"}), "b")
+        found = written(found.unionByName(links_.select(F.col("fa").alias("a"), F.col("fb").alias("b"))), "links")
+        least_members = 2  # the one pair of a bucket of two has been tested
+    return found
+
+
+def near_groups(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links) of each row."""
-    rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    rows = written(fingerprints(docs, shingle, id_col, text_col) if jaccard is None else sketches(docs, shingle, id_col, text_col), "fingerprints")
     different = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
-    roots = components(links(different, limit)).withColumnRenamed("node", "fp")
+    near = links(different, limit)
+    roots = components(near if jaccard is None else similar_links(rows, near, jaccard, shingle)).withColumnRenamed("node", "fp")
     placed = different.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, limit: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, limit: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns: the smallest id of each class."""
-    stay = near_groups(docs, limit, shingle, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    stay = near_groups(docs, limit, shingle, id_col, text_col, jaccard).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
     return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
