@@ -163,3 +163,31 @@ def test_radius_net_equals_all_pairs(spark):
     p = df.alias("a").join(df.alias("b"), F.col("a.sensor") != F.col("b.sensor"))
     km = K.haversine_km(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
     assert got == {(r[0], r[1]) for r in p.where(F.round(km, 6) <= 4).select("a.sensor", "b.sensor").collect()}
+
+
+def test_hashed_text_recall_has_all_texts(spark, tmp_path):
+    import re
+
+    import xxhash
+
+    from wayglass.plans import catalog
+
+    texts = ["Straße gesperrt", "strasse  gesperrt", "Café fermé à midi", "CAFÉ fermé à minuit", "lane closed", "the lane is closed", "東京 高速道路", "東京 道路"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.a_id, r.b_id): r.score for r in catalog.hashed_text_vector_recall(spark, str(tmp_path)).collect()}
+    dim, vectors = V.FIELD_DIMS["description"], []
+    for t in texts:
+        value = " ".join(t.lower().split())
+        words = re.findall(r"[^\W_]+", value)
+        joined = "".join(words)
+        x = {}
+        for token in {value, *words, *(joined[i : i + n] for n in (3, 4) for i in range(len(joined) - n + 1))}:
+            bucket = (xxhash.xxh64_intdigest(token.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+            x[bucket % dim] = x.get(bucket % dim, 0) + 1
+        vectors.append(x)
+    dot = lambda x, y: sum(v * y.get(k, 0) for k, v in x.items())
+    want = {}
+    for a, x in enumerate(vectors):
+        scored = [(-round(dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)), 4), b) for b, y in enumerate(vectors) if b != a and dot(x, y)]
+        want |= {(a, b): -s for s, b in sorted(scored)[:3]}
+    assert {a for a, _ in got} == set(range(len(texts))) and got == pytest.approx(want, abs=1e-4)

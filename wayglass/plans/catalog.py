@@ -329,19 +329,19 @@ TOK = """b AS (SELECT item_id AS id, regexp_replace(trim(lower(text)), '\\s+', '
  j AS (SELECT *, array_to_string(ws, '') AS s FROM w), tk AS (SELECT id, list_sort(list_distinct(list_filter(list_concat([v], ws, [s[i:i + 2] for i in range(1, greatest(len(s) - 1, 1))], [s[i:i + 3] for i in range(1, greatest(len(s) - 2, 1))]), lambda t: t <> ''))) AS tokens FROM j)"""
 
 
-def _tokens(spark, d):
-    return S.read(spark, d, "benchmark").where(F.col("text").rlike(ASCII)).select(F.col("item_id").alias("id"), V.token_set(F.col("text")).alias("tokens"))
+def _tokens(spark, d, kept="true"):
+    return S.read(spark, d, "benchmark").where(kept).select(F.col("item_id").alias("id"), V.token_set(F.col("text")).alias("tokens"))
 
 
 @query(f"WITH {TOK} SELECT id, CAST(len(tokens) AS INT) AS n, md5(array_to_string(tokens, '|')) AS digest FROM tk")
 def token_ngram_sets(spark, d):
-    return _tokens(spark, d).select("id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", "|").cast("binary")).alias("digest"))
+    return _tokens(spark, d, F.col("text").rlike(ASCII)).select("id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", "|").cast("binary")).alias("digest"))
 
 
 @query(f"""WITH {TOK}, x AS (SELECT id, len(tokens) AS n, unnest(tokens) AS t FROM tk), p AS (SELECT a.id AS a_id, b.id AS b_id, round(count(*) / sqrt(a.n::DOUBLE * b.n), 4) AS score FROM x a JOIN x b USING (t) WHERE a.id <> b.id GROUP BY a.id, b.id, a.n, b.n)
  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS INT) AS rank FROM p) WHERE rank <= 3""")
 def token_cosine_recall(spark, d):
-    t = _tokens(spark, d)
+    t = _tokens(spark, d, F.col("text").rlike(ASCII))
     scored = V.token_cosine(t, t).where("a_id <> b_id").withColumn("score", F.round("score", 4))
     return V.top_k(scored, ["a_id"], [F.desc("score"), F.col("b_id")], 3)
 
