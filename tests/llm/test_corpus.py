@@ -365,6 +365,15 @@ def test_quality_base_counts(spark, odd):
     assert quality.rate(empty(spark), quality.fit(empty(spark), empty(spark))).count() == 0
 
 
+def test_quality_counts_all_trusted(spark, monkeypatch):
+    rnd = random.Random(2)
+    docs = spark.createDataFrame([(i % 19 or None, " ".join(rnd.choice("abcdefgh") * 3 for _ in range(30))) for i in range(20)], "doc_id long, text string")
+    trusted = docs.select("doc_id").where("doc_id % 2 = 0")
+    whole = quality.fit(docs, trusted).first().w
+    monkeypatch.setattr(quality, "MAX_TRUSTED", 3, raising=False)  # an earlier cap
+    assert quality.fit(docs, trusted.union(trusted)).first().w == pytest.approx(whole) and len(set(whole)) > 4
+
+
 def test_quality_prefers_text_like_the_trusted(spark):
     rnd = random.Random(6)
     good, bad = [f"good{i}" for i in range(50)], [f"junk{i}%%" for i in range(50)]

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from wayglass.llm.shared import BLANK, written
 
 BUCKETS, ALPHA = 1 << 15, 1.0
-#: At most so many trusted ids (in order of a digest) estimate the trusted multinomial; they are broadcast, 8 bytes each.
-MAX_TRUSTED = 50_000
 #: Mean log ratio from which a document is kept.
 THRESHOLD = -0.25
 WINDOW = 8
@@ -69,9 +67,10 @@ def _buckets() -> Column:
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: the array w of the 2 * BUCKETS log ratios. trusted: the ids (doc_id) of trusted documents."""
     spark = docs.sparkSession
-    few = trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted is not null").distinct().orderBy(F.md5(F.col("__trusted").cast("string")), "__trusted").limit(MAX_TRUSTED)
-    marked = hashed(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
-    marked = marked.join(F.broadcast(few), F.col("__id") == F.col("__trusted"), "left")  # MAX_TRUSTED rows at most
+    ids = trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted is not null").distinct()
+    known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    known = known.join(ids.hint("merge"), F.col("__id") == F.col("__trusted"), "left")  # by a shuffle at every size; moves texts, not hashes
+    marked = hashed(known, "__text")
     grams = marked.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(_buckets()).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r")), "counts")  # read twice below
     kind = F.floor(F.col("bucket") / BUCKETS)
