@@ -2,8 +2,8 @@
 
 The key of a text is its 64-bit hash. The directory maps the first `depth` bits of a key to a bucket;
 it starts at one entry and doubles while a bucket holds more than `capacity` distinct keys, and only the
-buckets over that limit are split. Each bucket is a range of keys with one owner task. Rows that share a key form
-a chain; the owner compares the bytes of the chain's texts, so two texts with one hash stay apart.
+buckets over that limit are split. Each bucket is a range of keys that rows are labelled with, and tasks are dealt by hashes of bucket and key. Rows that share a key form
+a chain; the bytes of its texts are compared, so two texts with one hash stay apart.
 
 Copies are folded before every exchange (map-side aggregation on the key), so a text that makes up a third
 of the corpus costs a bucket as much as any other. Only texts whose key occurs twice travel at all.
