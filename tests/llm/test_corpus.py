@@ -383,6 +383,42 @@ def test_quality_prefers_text_like_the_trusted(spark):
     assert min(r.log_ratio for r in out if r.doc_id % 2) > 0 > max(r.log_ratio for r in out if r.doc_id % 2 == 0)
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    import math
+
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(12)]
+    texts = {i: " ".join(rnd.choice(vocab[: 12 if i % 3 else 5]) + ("" if i % 4 else "!") for _ in range(rnd.choice([0, 1, 25, 60, 90]))) or None for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trusted = {i for i in texts if i % 3 == 0}
+    rows = quality.rate(df, quality.fit(df, df.where("doc_id % 3 = 0").select("doc_id"), buckets=1 << 20)).collect()
+    raw, good = [Counter(), Counter()], [Counter(), Counter()]
+    grams = {i: (w := WORD.findall(t or ""), list(zip(w, w[1:], strict=False))) for i, t in texts.items()}
+    for i, kinds in grams.items():
+        for k in (0, 1):
+            raw[k].update(kinds[k])
+            good[k].update(kinds[k] if i in trusted else ())
+    n, t = [sum(c.values()) for c in raw], [sum(c.values()) for c in good]
+
+    def ratio(k, g):
+        share = raw[k][g] / n[k]
+        return math.log((good[k][g] + 1000 * share) / (t[k] + 1000)) - math.log(share)
+
+    verdicts = set()
+    for r in rows:
+        all_ = [ratio(k, g) for k in (0, 1) for g in grams[r.doc_id][k]]
+        want = sum(all_) / len(all_) if all_ else 0.0
+        assert r.log_ratio == pytest.approx(want, abs=1e-9)
+        assert r.kept == (not r.base_failed and want >= -0.15)
+        verdicts.add((r.base_failed, r.kept))
+    assert len(verdicts) == 3  # failed, kept, and turned down by the ratio
+
+
+def test_quality_buckets_grow_with_the_corpus(spark):
+    sizes = [quality.bucket_count(spark.createDataFrame([("x" * 1000,)] * 10, "text string").selectExpr(f"repeat(text, {k}) as text")) for k in (0, 1, 20_000)]
+    assert sizes == [1 << 15, 1 << 15, 1 << 16]
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 def brute_lines(texts):
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))

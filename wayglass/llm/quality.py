@@ -1,13 +1,17 @@
 """Quality rules, in DataFrame operations only: base counts, and a hashed n-gram log-likelihood ratio.
 
-Words and word pairs are hashed into BUCKETS each. Two multinomials are estimated with add-ALPHA smoothing: one from trusted documents, one from
-the whole raw corpus, over all its documents. A document's verdict is the mean over its n-grams of log(trusted / raw); it is kept if the
-base rules pass and the mean is at least the threshold. All steps are sums, so the verdict is the same however rows are dealt out (to rounding in the last bits).
-
-Counting folds on the bucket before any exchange, so no document or word can make a task large; the model has 2 * BUCKETS numbers whatever the corpus.
-
-Defined cases: null text has no words and fails the base rules, as do empty ones; a corpus without trusted documents gives every document the ratio 0; texts of any length are
-read whole; repeated rows are rows of their own; other columns are ignored.
+Words and word pairs are hashed into equally many buckets each. Two multinomials are counted: one from all trusted documents, one from the whole
+raw corpus, over all its documents. The trusted one is smoothed towards the raw one (a Dirichlet prior of PRIOR observations in the raw proportions), so a
+bucket that trusted documents say little about weighs near 0 whatever the sizes of the two samples. A document's verdict is the mean over its n-grams of
+log(trusted / raw); it is kept if the base rules pass and the mean is at least the threshold. At 0 the text is as likely among trusted texts as in
+the raw corpus. The threshold is one fixed number at every size: a text stays if its n-grams are, in the geometric mean, at least exp(-0.15) = 0.86 times as likely there.
+All steps are sums, so the verdict is the same however rows are dealt out (to rounding in the last bits).
+
+The number of buckets grows with the square root of the corpus, as the number of different words does, from 2^15 up to 2^20 a kind; the
+largest model, which every task reads, is 16 MB. Counting folds on the bucket before any exchange, so no document or word can make a task large.
+
+Defined cases: null text has no words and fails the base rules, as do empty ones; a corpus without trusted documents gives every document the ratio 0, as does an
+n-gram whose bucket is empty in the corpus; texts of any length are read whole; repeated rows are rows of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,9 +21,12 @@ from pyspark.sql import functions as F
 
 from wayglass.llm.shared import BLANK, written
 
-BUCKETS, ALPHA = 1 << 15, 1.0
+#: Buckets a kind: the power of two next above sqrt(bytes of text) * BUCKETS_EACH, within these bounds.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKETS_EACH = 1 << 15, 1 << 20, 4
+#: Observations of the raw distribution that are added to the trusted counts.
+PRIOR = 1000.0
 #: Mean log ratio from which a document is kept.
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 WINDOW = 8
 
 
@@ -60,25 +67,37 @@ def hashed(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def _buckets() -> Column:
-    return F.concat(F.transform("__h1", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")), F.transform("__h2", lambda h: (F.pmod(h, F.lit(BUCKETS)) + BUCKETS).cast("int")))
+def _buckets(n: Column) -> Column:
+    """Buckets of a document's words (0 to n - 1) and word pairs (n to 2n - 1)."""
+    return F.concat(F.transform("__h1", lambda h: F.pmod(h, n).cast("int")), F.transform("__h2", lambda h: (F.pmod(h, n) + n).cast("int")))
+
+
+def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    n = LEAST_BUCKETS
+    while n < MOST_BUCKETS and n < BUCKETS_EACH * size**0.5:
+        n *= 2
+    return n
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row: the array w of the 2 * BUCKETS log ratios. trusted: the ids (doc_id) of trusted documents."""
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """One row: the array w of the log ratios of all buckets, words first. trusted: the ids (doc_id) of trusted documents."""
     spark = docs.sparkSession
+    n = buckets or bucket_count(docs, text_col)
     ids = trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted is not null").distinct()
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     known = known.join(ids.hint("merge"), F.col("__id") == F.col("__trusted"), "left")  # by a shuffle at every size; moves texts, not hashes
     marked = hashed(known, "__text")
-    grams = marked.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(_buckets()).alias("bucket"))
+    grams = marked.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(_buckets(F.lit(n))).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r")), "counts")  # read twice below
-    kind = F.floor(F.col("bucket") / BUCKETS)
-    full = spark.range(2 * BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["t", "r"]).withColumn("kind", kind)
-    sums = counts.withColumn("kind", kind).groupBy("kind").agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
-    ratio = F.log((F.col("t") + ALPHA) / (F.col("all_t") + ALPHA * BUCKETS)) - F.log((F.col("r") + ALPHA) / (F.col("all_r") + ALPHA * BUCKETS))
-    weights = full.join(F.broadcast(sums), "kind", "left").select("bucket", F.when(F.col("all_t") > 0, ratio).otherwise(F.lit(0.0)).alias("w"))
-    # 2 * BUCKETS rows, whatever the corpus.
+    kind = (F.col("bucket") >= n).cast("int")
+    sums = counts.groupBy(kind.alias("kind")).agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
+    raw = F.col("r") / F.col("all_r")
+    ratio = F.when(F.col("all_t") == 0, 0.0).otherwise(F.log((F.col("t") + raw * PRIOR) / (F.col("all_t") + PRIOR)) - F.log(raw))
+    seen = counts.withColumn("kind", kind).join(F.broadcast(sums), "kind").select("bucket", ratio.alias("w"))  # two rows
+    full = spark.range(2 * n).select(F.col("id").cast("int").alias("bucket")).join(seen, "bucket", "left")
+    weights = full.select("bucket", F.coalesce("w", F.lit(0.0)).alias("w"))
+    # 2 * MOST_BUCKETS rows at most.
     return written(weights.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "w"))), lambda x: x["w"]).alias("w")), "model")
 
 
@@ -94,7 +113,8 @@ def rate(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: st
     base = base.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     base = base.withColumn("__h4", _joined(F.col("__h2"), 2)).withColumn("__h8", _joined(F.col("__h4"), 4)).drop("__h4")
     base = with_repeated_words(base, "__h8", "n_repeat_words")
-    scored = base.withColumn("__b", _buckets()).drop("__h1", "__h2").withColumn("w", model.scalar())
+    n = model.select((F.size("w") / 2).cast("long").alias("n")).first()["n"]
+    scored = base.withColumn("__b", _buckets(F.lit(n))).drop("__h1", "__h2").withColumn("w", model.scalar())
     total = F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.get(F.col("w"), b))
     scored = scored.withColumn("log_ratio", F.when(F.size("__b") > 0, total / F.size("__b")).otherwise(F.lit(0.0))).drop("__b", "w")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
