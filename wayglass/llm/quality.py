@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from wayglass.llm.shared import BLANK, written
 
 #: Buckets a kind: the power of two next above sqrt(bytes of text) * BUCKETS_EACH, within these bounds.
-LEAST_BUCKETS, MOST_BUCKETS, BUCKETS_EACH = 1 << 15, 1 << 20, 4
+LEAST_BUCKETS, MOST_BUCKETS, BUCKETS_EACH = 1 << 15, 1 << 20, 2
 #: Observations of the raw distribution that are added to the trusted counts.
 PRIOR = 1000.0
 #: Mean log ratio from which a document is kept.
