@@ -1,19 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are mapped to classes by an insult lexicon, and by closed lists for threats, targets, negation and reported speech. Five small
-transducers read the class string of a clause and are composed into one machine (their product, built once):
+transducers read the class string of a clause. The first two mark matches, the others read the string with its marks and weigh them; all five are
+composed into one machine (their product, built once):
 
-    insult    adds the weight of each insulting word
-    threat    "will / going to" + harm verb + target within a few words adds the weight of a threat
-    target    an insult or threat next to a target ("you", "they", ...) is weighted up
-    negation  "not", "never" + up to two words before an insult weights the clause's match down
-    reported  a verb of saying or an opening quotation mark before the match weights it down
+    insult    marks each insulting word
+    threat    "will / going to" + harm verb + target, each within four words of the one before, is marked at the target
+    target    an insult with a target ("you", "they", ...) within four words before or after it is weighted up
+    negation  "not", "never" up to three words before an insult or six before the target of a threat, or after a match and a form of "be", weights it down
+    reported  a verb of saying or a quotation mark up to eight words before a match, or a verb of saying up to four words after it, weights it down
 
-A clause's weight is the product of what the transducers emit; a document's score is the noisy or over its clauses, so one clear clause is enough and
-words outside a matched clause count for nothing. The lexicon holds stems with the precision learned for them: prefixes of words (4 letters or more) and
-whole words whose document counts in toxic and clean labelled documents differ beyond chance (G-test), next to a short built-in list.
+A negated or reported match is first cut to odds of CEILING, so that no lexicon entry is strong enough to outweigh either. A clause's weight is the noisy or
+over its matches, a document's score that over its clauses, so one clear clause is enough and words outside a matched clause count for nothing.
 
-Labels are read only to fit, and only those of rows the caller passes in; at most `MAX_FIT` labelled rows (in order of a digest of their id) are used.
+The lexicon holds prefixes of words (4 letters or more) and whole words whose document counts in toxic and clean labelled documents differ beyond chance
+(G-test at a level divided by the number of features tested), next to a short built-in list. A stem that clean documents hold now and then, but not twice, is kept as a
+weak one: one match stays below any usual threshold, two reach the precision learned for documents that hold it twice.
+
+Labels are read only to fit, and only those of rows the caller passes in; at most `MAX_FIT` ids of labelled rows (in order of their digest) are used.
 Defined cases: null and empty texts score 0; whole texts are read, whatever their length; repeated rows score alike; with no labels the built-in list is all; other columns pass through.
 """
 
@@ -21,11 +25,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayglass.llm.shared import written
@@ -34,7 +41,8 @@ from wayglass.llm.shared import written
 MAX_FIT = 20_000
 #: Stems kept at most, the strongest first; it bounds what is sent to every task.
 MAX_STEMS = 4_000
-G_LEAST, PRECISION_LEAST = 27.0, 0.9
+#: False features to expect over all that are tested; precision of strong features, and of weak ones where they occur twice; weight of one weak match at most.
+FALSE_FEATURES, PRECISION_LEAST, TWICE_LEAST, WEAK = 0.1, 0.9, 0.8, 0.65
 SHORTEST, LONGEST = 4, 8
 #: Words whose precision a task remembers; then the store starts anew.
 KNOWN_WORDS = 100_000
@@ -47,70 +55,98 @@ TARGETS = "you your youre u he him his she her they them their these those peopl
 NEGATIONS = "not never no isn aren wasn don doesn didn nobody nicht kein keine nie pas jamais ne nunca".split()
 REPORTS = "said says say wrote writes claims claimed called calls quoted reported alleges sagte dit dijo".split()
 
+BE = "is are am was were be been ist sind war est sont es son".split()
+
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 _WORD = re.compile(r"[^\W_]+|[\"“„«]")
-OTHER, INSULT, HURT, MODAL, TARGET, NOT, SAID, QUOTE = range(8)
-_CLOSED = {w: c for c, words in ((HURT, HARM), (MODAL, WILL), (TARGET, TARGETS), (NOT, NEGATIONS), (SAID, REPORTS), (QUOTE, '"“„«')) for w in words}
+OTHER, INSULT, HURT, MODAL, TARGET, NOT, SAID, QUOTE, COPULA = range(9)
+_CLOSED = {w: c for c, words in ((COPULA, BE), (HURT, HARM), (MODAL, WILL), (TARGET, TARGETS), (NOT, NEGATIONS), (SAID, REPORTS), (QUOTE, '"“„«')) for w in words}
+
+#: Odds of a threat, factor on the odds of a targeted insult, and for negated and reported matches the odds they are cut to and the factors on them.
+THREAT_ODDS, TARGETED, CEILING, NEGATED, REPORTED = 0.85 / 0.15, 2.0, 12.0, 0.08, 0.15
+#: Words within which the parts of a pattern must follow each other.
+REACH, NOT_INSULT, NOT_THREAT, SAID_BEFORE, SAID_AFTER = 4, 3, 6, 8, 4
 
-#: What the transducers emit: factors on the odds that a match is meant.
-THREAT_WEIGHT, TARGETED, NEGATED, REPORTED = 0.85, 2.0, 0.12, 0.35
 
+# Each transducer: (state, class, mark) -> (state, what it emits). Marks are "", "insult" or "threat".
+def _step_insult(state: int, c: int, mark: str) -> tuple[int, str]:
+    return 0, "insult" if c == INSULT else ""
 
-def _step_threat(state: int, c: int) -> tuple[int, str]:
-    """0 idle, 1-4 words left after a modal, 5-8 after modal and harm verb."""
+
+def _step_threat(state: int, c: int, mark: str) -> tuple[int, str]:
+    """0 idle; 1 to REACH words left after a modal; REACH more after modal and harm verb."""
     if c == MODAL:
-        return 4, ""
-    if 1 <= state <= 4 and c == HURT:
-        return 8, ""
-    if state >= 5 and c == TARGET:
+        return REACH, ""
+    if 1 <= state <= REACH and c == HURT:
+        return 2 * REACH, ""
+    if state > REACH and c == TARGET:
         return 0, "threat"
-    return (state - 1 if state not in (0, 5) else 0), ""
+    return (state - 1 if state not in (0, REACH + 1) else 0), ""
+
+
+def _step_target(state: tuple[int, int], c: int, mark: str) -> tuple[tuple[int, int], str]:
+    """Words left after the last target, and after the last insult that has none yet."""
+    target, insult = (max(0, x - 1) for x in state)
+    if mark == "insult":
+        return ((target, 0), "targeted") if state[0] else ((target, REACH), "")
+    if c == TARGET:  # that of a threat is not an insult's as well
+        return (REACH, 0), "targeted" if state[1] and not mark else ""
+    return (target, insult), ""
+
+
+def _step_negation(state: tuple[int, int], c: int, mark: str) -> tuple[tuple[int, int], str]:
+    """Words left after a negation; and after a match (REACH + 1 to 2 * REACH), or after a match and a form of "be" (1 to REACH)."""
+    before, after = max(0, state[0] - 1), state[1]
+    after = after - 1 if after not in (0, REACH + 1) else 0
+    if mark:
+        held = state[0] > (NOT_THREAT - NOT_INSULT if mark == "insult" else 0)
+        return (before, 2 * REACH), "negated" if held else ""
+    if c == NOT:
+        return (NOT_THREAT, 0), "negated" if 1 <= state[1] <= REACH else ""
+    if c == COPULA and state[1] > REACH:
+        after = REACH
+    return (before, after), ""
 
 
-def _step_target(state: int, c: int) -> tuple[int, str]:
-    """Counts down from a target or an insult; each soon after the other is a targeted match. 1-4 after a target, 5-8 after an insult."""
-    if c == TARGET:
-        return (0, "targeted") if state >= 5 else (4, "")
-    if c == INSULT:
-        return (0, "targeted") if 1 <= state <= 4 else (8, "")
-    return (state - 1 if state not in (0, 5) else 0), ""
+def _step_reported(state: tuple[int, int], c: int, mark: str) -> tuple[tuple[int, int], str]:
+    """Words left after a verb of saying or a quotation mark, and after a match."""
+    before, after = (max(0, x - 1) for x in state)
+    if mark:
+        return (before, SAID_AFTER), "reported" if state[0] else ""
+    if c in (SAID, QUOTE):
+        return (SAID_BEFORE, 0), "reported" if c == SAID and state[1] else ""
+    return (before, after), ""
 
 
-def _step_negation(state: int, c: int) -> tuple[int, str]:
-    """A negation holds for the two words after it."""
-    if c == NOT:
-        return 3, ""
-    if c == INSULT and state:
-        return 0, "negated"
-    return max(0, state - 1), ""
+MARKING, WEIGHING = (_step_insult, _step_threat), (_step_target, _step_negation, _step_reported)
+START = (0, 0, (0, 0), (0, 0), (0, 0))
 
 
-def _step_reported(state: int, c: int) -> tuple[int, str]:
-    """A verb of saying or a quotation mark holds for eight words."""
-    if c in (SAID, QUOTE):
-        return 8, ""
-    if c == INSULT and state:
-        return state - 1, "reported"
-    return max(0, state - 1), ""
+def compose(state: tuple, c: int) -> tuple[tuple, str, tuple[str, ...]]:
+    """One step of the composed transducers: the state, the mark, and what is said about it or, without a mark, about the last match."""
+    marked = [f(s, c, "") for f, s in zip(MARKING, state, strict=False)]
+    mark = next((m for _, m in marked if m), "")
+    weighed = [f(s, c, mark) for f, s in zip(WEIGHING, state[len(MARKING) :], strict=True)]
+    return tuple(s for s, _ in [*marked, *weighed]), mark, tuple(e for _, e in weighed if e)
 
 
 @lru_cache(1)
-def machine() -> dict[tuple, dict[int, tuple[tuple, tuple[str, ...]]]]:
-    """The product of the transducers: state -> class -> (state, what they emit), for all states that can be reached."""
-    steps = (_step_threat, _step_target, _step_negation, _step_reported)
-    start = (0,) * len(steps)
-    table, todo = {}, [start]
-    while todo:
-        state = todo.pop()
-        if state in table:
-            continue
-        table[state] = {}
-        for c in range(8):
-            moved = [f(s, c) for f, s in zip(steps, state, strict=True)]
-            after = tuple(s for s, _ in moved)
-            table[state][c] = after, tuple(e for _, e in moved if e)
-            todo.append(after)
-    return table
+def machine() -> tuple[list[list[int]], list[list[tuple[str, tuple[str, ...]]]]]:
+    """The product, built once over all states that can be reached: by state and class, the next state, and mark and emissions."""
+    number, order = {START: 0}, [START]
+    moves, emits = [], []
+    for state in order:  # grows while it is read
+        row, out = [], []
+        for c in range(9):
+            after, mark, emitted = compose(state, c)
+            if after not in number:
+                number[after] = len(order)
+                order.append(after)
+            row.append(number[after])
+            out.append((mark, emitted))
+        moves.append(row)
+        emits.append(out)
+    return moves, emits
 
 
 class Grammar:
@@ -145,25 +181,24 @@ class Grammar:
 
     def clause(self, words: list[str]) -> float:
         """Probability that the clause is toxic."""
-        table = machine()
-        state, odds, match = (0,) * 4, 1.0, 1.0  # match: probability that no match is meant
-        pending: list[list[float]] = []
+        moves, emits = machine()
+        state, matches = 0, []  # of each match its odds and what was said about it
         for w in words:
             p = self.precision(w)
             c = INSULT if p is not None else _CLOSED.get(w, OTHER)
-            state, emitted = table[state][c]
-            if p is not None:
-                odds = p / (1 - p)
-                for e in emitted:
-                    odds *= {"targeted": TARGETED, "negated": NEGATED, "reported": REPORTED}.get(e, 1.0)
-                pending.append([odds])
-            elif "targeted" in emitted and pending:
-                pending[-1][0] *= TARGETED
-            if "threat" in emitted:
-                pending.append([THREAT_WEIGHT / (1 - THREAT_WEIGHT)])
-        for (o,) in pending:
-            match *= 1 / (1 + o)
-        return 1 - match
+            mark, emitted = emits[state][c]
+            state = moves[state][c]
+            if mark:
+                matches.append([p / (1 - p) if mark == "insult" else THREAT_ODDS, set(emitted)])
+            elif emitted and matches:
+                matches[-1][1].update(emitted)
+        clean = 1.0
+        for odds, said in matches:
+            odds *= TARGETED if "targeted" in said else 1.0
+            if "negated" in said or "reported" in said:
+                odds = min(odds, CEILING) * (NEGATED if "negated" in said else 1.0) * (REPORTED if "reported" in said else 1.0)
+            clean /= 1 + odds
+        return 1 - clean
 
     def score(self, text: str | None) -> float:
         low = (text or "").lower()
@@ -177,10 +212,6 @@ class Grammar:
         return 1 - clean
 
 
-def prefixes_of(words: Column, n: int) -> Column:
-    return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
-
-
 def one_of_copies(rows: DataFrame) -> DataFrame:
     """One row of each set with the same least word triple: copies and near copies of one text are one piece of evidence."""
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{N}]+")
@@ -191,12 +222,29 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("__least").agg(F.min_by(F.struct("text", "toxic"), F.struct(F.length("text"), "digest")).alias("row")).select("row.text", "row.toxic")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(id, toxic, feature) with each word and word prefix of a document once; prefixes end in '*'."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{N}]+"))
-    long = F.filter(words, lambda w: F.length(w) >= SHORTEST)
-    prefixes = F.flatten(F.array(*[prefixes_of(words, n) for n in range(SHORTEST, LONGEST + 1)]))
-    return docs.select("toxic", F.explode(F.array_distinct(F.concat(long, prefixes))).alias("feature"))
+def features(rows: DataFrame) -> DataFrame:
+    """(feature, t, n, t2, n2): toxic and all documents that hold a word or a prefix of words (ending in '*'), and that hold it twice or more."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sums: dict[str, list[int]] = {}
+            for text, toxic in zip(f["text"], f["toxic"], strict=True):
+                found: Counter[str] = Counter()
+                for w, k in Counter(re.findall(r"[^\W_]+", (text or "").lower())).items():
+                    if len(w) >= SHORTEST:
+                        found[w] += k
+                        for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
+                            found[w[:n] + "*"] += k
+                for feature, k in found.items():
+                    row = sums.setdefault(feature, [0, 0, 0, 0])
+                    row[0] += toxic
+                    row[1] += 1
+                    row[2] += toxic * (k > 1)
+                    row[3] += k > 1
+            yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["feature", "t", "n", "t2", "n2"])
+
+    counted = rows.mapInPandas(run, "feature string, t long, n long, t2 long, n2 long")
+    return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("t", "n", "t2", "n2")])
 
 
 def g_statistic(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
@@ -205,47 +253,54 @@ def g_statistic(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float
     return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
 
 
-def longest_form(stem: str, found: dict[str, tuple[int, float]]) -> tuple[str, float]:
-    """The longest prefix that goes on from a prefix and loses no more than a fiftieth of its toxic documents, with its precision."""
-    while stem.endswith("*"):
-        longer = max((f for f in found if f.endswith("*") and len(f) == len(stem) + 1 and f.startswith(stem[:-1])), key=lambda f: found[f][0], default=None)
-        if longer is None or found[longer][0] < 0.98 * found[stem][0]:
+def longest_form(stem: str, toxic: dict[str, int], longer: dict[str, list[str]]) -> str:
+    """The longest prefix that goes on from a prefix and loses no more than a fiftieth of its toxic documents. longer: prefixes by the one a letter shorter."""
+    while next_ := max(longer.get(stem, ()), key=lambda f: (toxic[f], f), default=None):
+        if toxic[next_] < 0.98 * toxic[stem]:
+            break
+        stem = next_
+    return stem
+
+
+def lexicon(counts: dict[str, tuple[int, int, int, int]], all_toxic: int, all_clean: int, tested: int) -> dict[str, float]:
+    """Stems and their weights from the counts (t, n, t2, n2) of the features."""
+    least = NormalDist().inv_cdf(1 - FALSE_FEATURES / max(1, tested) / 2) ** 2  # chi-square with one degree of freedom
+    toxic = {f: v[0] for f, v in counts.items()}
+    longer: dict[str, list[str]] = {}
+    for f in counts:
+        if f.endswith("*"):
+            longer.setdefault(f[:-2] + "*", []).append(f)
+    kept: dict[str, float] = {}
+    for f in sorted(counts, key=lambda f: (len(f.rstrip("*")), not f.endswith("*"), f)):
+        f = longest_form(f, toxic, longer)
+        stem = f.rstrip("*")
+        if f in kept or any(stem[:n] + "*" in kept for n in range(SHORTEST, len(stem) + (not f.endswith("*")))):
+            continue  # a shorter prefix covers it
+        t, n, t2, n2 = counts[f]
+        if t >= PRECISION_LEAST * n and g_statistic(t, n - t, all_toxic, all_clean) >= least:
+            kept[f] = (t + 0.5) / (n + 1)
+        elif t2 >= TWICE_LEAST * n2 and g_statistic(t2, n2 - t2, all_toxic, all_clean) >= least:
+            kept[f] = min(WEAK, 1 - math.sqrt(1 - (t2 + 0.5) / (n2 + 1)))
+        if len(kept) >= MAX_STEMS:
             break
-        stem = longer
-    return stem, found[stem][1]
+    return kept
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Grammar:
     """Learn the lexicon from labelled rows (those with a null label are left out)."""
-    rows = (
-        labelled.where(F.col(label_col).isNotNull())
-        .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), F.md5(F.col(id_col).cast("string")).alias("digest"), F.xxhash64(text_col).alias("tie"))
-        .orderBy("digest", "tie").limit(MAX_FIT)
-    ).repartition(16)
-
-
-    rows = written(one_of_copies(rows), "fit")
+    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), F.md5(F.col(id_col).cast("string")).alias("digest"))
+    ids = rows.select("digest").distinct().orderBy("digest").limit(MAX_FIT)  # orders digests, not texts
+    chosen = rows.join(F.broadcast(ids), rows["digest"].eqNullSafe(ids["digest"]), "left_semi").repartition(16)  # MAX_FIT rows at most are broadcast
+    rows = written(one_of_copies(chosen), "fit")
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     all_toxic, all_clean = int(totals["t"]), int(totals["n"] - totals["t"])
     stems = dict.fromkeys(INSULTS, 0.93)
     if all_toxic and all_clean:
-        counted = features(rows).groupBy("feature").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-        # Strong and pure features only: their number is bounded by the fit's rows, and by MAX_STEMS.
-        strong = counted.where((F.col("t") >= 4) & (F.col("t") >= PRECISION_LEAST * F.col("n"))).orderBy(F.desc("t"), "n", F.length("feature"), "feature").limit(20 * MAX_STEMS).collect()
-        found = {}
-        for r in strong:
-            t, c = int(r["t"]), int(r["n"] - r["t"])
-            if g_statistic(t, c, all_toxic, all_clean) >= G_LEAST:
-                found[r["feature"]] = (t, (t + 0.5) / (t + c + 1.0))
-        kept: dict[str, float] = {}
-        for f in sorted(found, key=lambda f: (len(f.rstrip("*")), not f.endswith("*"), f)):
-            stem = f.rstrip("*")
-            above = [found[stem[:n] + "*"] for n in range(SHORTEST, len(stem) + (not f.endswith("*"))) if stem[:n] + "*" in kept]
-            if not above:  # else a shorter prefix that is as pure covers it
-                kept[f] = found[f][1]
-            if len(kept) >= MAX_STEMS:
-                break
-        kept = dict(longest_form(f, found) for f in kept)
+        counted = written(features(rows).where("n >= 4"), "features")
+        telling = counted.where((F.col("t") >= 4) & ((F.col("t") >= PRECISION_LEAST * F.col("n")) | (F.col("t2") >= F.greatest(F.lit(4.0), TWICE_LEAST * F.col("n2")))))
+        # Their number is bounded by the fit's rows, and by MAX_STEMS.
+        strong = telling.orderBy(F.desc("t"), "n", F.length("feature"), "feature").limit(20 * MAX_STEMS).collect()
+        kept = lexicon({r["feature"]: (r["t"], r["n"], r["t2"], r["n2"]) for r in strong}, all_toxic, all_clean, counted.count())
         stems |= {f: max(p, stems.get(f, 0)) for f, p in kept.items()}
     return Grammar({f: min(p, 0.995) for f, p in stems.items()})
 
