@@ -1,20 +1,22 @@
 """Reversible line deduplication: sharded cuckoo filters in front of exact reference-count tables.
 
 State of an index (all tables in the shared folder):
-  ledger   (doc_id, key)                the different keys of each document: what a deletion has to take back
-  refs     (shard, key, n_docs, owner)  exact counts: documents that hold the key, and the smallest of them
-  filters  (shard, slots)               a cuckoo filter over the keys of the shard
+  ledger   (doc_id, body, pos, key)               the place of every key in every document: what a deletion has to take back
+  refs     (key, word, n_lines, owner, last)      exact counts: lines that hold the key, the smallest and the largest document among them
+  filters  (shard, slots)                         a cuckoo filter over the words (64-bit hashes of keys) of the shard
 
-A batch is folded to one row per key first, so a line that half of the documents share is one row per map task.
-Each shard is then handled by one task, which probes and updates its filter; shards double in number until none has more
-than SHARD_KEYS keys, so the task's memory is bounded. Keys that the filter has not seen are certainly new and skip the exact
-table; all others are looked up there. Deletion subtracts the ledger rows of the documents, takes the
-keys whose count falls to zero out of the filters, and finds a new owner for keys that lost theirs.
+A batch is folded to one row per key first, so a line that half of the documents share is one row per map task. Then the filters are asked: a key that its
+shard's filter has not seen is certainly new and goes to the exact table without a look at it; only the others are looked up there, and merged if they are
+found. New keys enter the filters, each once. A corpus indexed at once is inserted in batches (by a hash of the document's id), so that from the second on the filters
+spare most keys the exact table. Each shard is one task; shards double in number until none has more than SHARD_KEYS keys, which bounds a task's memory. A filter in which a
+key finds no place is rebuilt, with twice the shards, from the exact table, which holds all keys.
+
+Deletion subtracts the ledger rows of the documents, takes the keys whose count falls to zero out of the filters, and finds a new owner for keys that lost theirs.
 
 A key is the SHA-256 of the line with white space [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased; lines whose
-stripped form has fewer than `min_chars` code points have none and always stay.
-Defined cases: null text is one empty line; an empty table gives an empty result; rows that repeat a doc_id are counted
-row by row but own a line together, and each is filtered on its own; a null doc_id holds lines as the largest id; other columns pass through.
+stripped form has fewer than `min_chars` code points have none and always stay. Lines are dropped by their places, so the work on a text is linear in its lines.
+Defined cases: null text is one empty line; an empty table gives an empty result; rows that repeat a doc_id are one document, each row
+filtered on its own; a null doc_id holds lines as the largest id; other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from wayglass.llm.shared import LOWER, UPPER, written
 
-SHARD_KEYS = 250_000
+SHARD_KEYS = 131_072
 SLOTS, KICKS = 4, 500
 NULL_ID = (1 << 63) - 1
+#: Batches in which dedup_lines inserts a corpus.
+BATCHES = 2
 
 
 class CuckooFilter:
@@ -94,38 +98,27 @@ class CuckooFilter:
                     break
 
 
-def _words(keys: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(k[:8]) for k in keys), dtype="<u8") if len(keys) else np.zeros(0, np.uint64)
-
-
-def _insert_shard(shard_key, batch: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    words = _words(batch["key"])
-    known = CuckooFilter(slots=np.frombuffer(old["slots"].iloc[0], np.uint16).reshape(-1, SLOTS).copy()) if len(old) else None
-    seen = known.contains(words) if known is not None else np.zeros(len(words), bool)
-    held = [bytes(x) for x in old["all_words"]] if len(old) else []
-    before = np.frombuffer(b"".join(held), "<u8")
-    all_words = np.union1d(before, words)
-    filter_ = known
-    # New keys go in even where another key has their fingerprint already, else a later removal would take out both.
-    # When the filter is full, one of twice the places is filled from the words.
-    if filter_ is None or not filter_.add(np.setdiff1d(words, before)):
-        size = len(all_words)
-        while not (filter_ := CuckooFilter(size)).add(all_words):
-            size = max(16, size * 2)
-    out = batch.assign(seen=seen, slots=None, all_words=None)
-    blob = pd.DataFrame({"shard": [shard_key[0]], "key": [None], "n_docs": [None], "owner": [None], "seen": [None], "slots": [filter_.slots.tobytes()], "all_words": [all_words.tobytes()]})
-    out = pd.concat([out[list(blob.columns)].astype(object), blob.astype(object)], ignore_index=True)
-    return out
-
-
-def _remove_shard(shard_key, gone: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    filter_ = CuckooFilter(slots=np.frombuffer(old["slots"].iloc[0], np.uint16).reshape(-1, SLOTS).copy())
-    words = np.frombuffer(bytes(old["all_words"].iloc[0]), "<u8")
-    if len(gone):
-        out = np.unique(_words(gone["key"]))
-        filter_.remove(out)
-        words = np.setdiff1d(words, out)
-    return pd.DataFrame({"shard": [shard_key[0]], "slots": [filter_.slots.tobytes()], "all_words": [words.tobytes()]})
+def _filter_of(old: pd.DataFrame) -> CuckooFilter | None:
+    return CuckooFilter(slots=np.frombuffer(old["slots"].iloc[0], np.uint16).reshape(-1, SLOTS).copy()) if len(old) else None
+
+
+def _seen(_, batch: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    """The words that the filter of the shard may hold."""
+    words, known = batch["word"].to_numpy(np.int64), _filter_of(old)
+    return pd.DataFrame({"word": words[known.contains(words.view(np.uint64))] if known is not None else words[:0]})
+
+
+def _add(shard, fresh: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    """The filter with new words; null slots where one finds no place."""
+    filter_ = _filter_of(old) or CuckooFilter(SHARD_KEYS)
+    fits = filter_.add(np.unique(fresh["word"].to_numpy(np.int64)).view(np.uint64))
+    return pd.DataFrame({"shard": [shard[0]], "slots": [filter_.slots.tobytes() if fits else None]})
+
+
+def _remove(shard, gone: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    filter_ = _filter_of(old)
+    filter_.remove(np.unique(gone["word"].to_numpy(np.int64)).view(np.uint64))
+    return pd.DataFrame({"shard": [shard[0]], "slots": [filter_.slots.tobytes()]})
 
 
 def line_key(line: Column, min_chars: int) -> Column:
@@ -137,6 +130,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _id(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(NULL_ID)).cast("long")
+
+
+FILTERS, REFS = "shard int, slots binary", ["key", "word", "n_lines", "owner", "last"]
+
+
 @dataclass
 class LineIndex:
     """An index after some batches. `insert` and `delete` return a new index; `drop_lines` cleans documents by it."""
@@ -147,77 +147,92 @@ class LineIndex:
     shards: int = 0
     min_chars: int = 10
 
+    def places(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc_id, body, pos, key) of each line with a key; body: a hash of the text, as rows with one id may differ."""
+        whole = docs.select(_id(id_col).alias("doc_id"), F.xxhash64(text_col).alias("body"), _lines(F.col(text_col)).alias("lines"))
+        lines = whole.select("doc_id", "body", F.posexplode("lines").alias("pos", "line"))  # a step of its own: the body is hashed once, not for each line
+        return lines.select("doc_id", "body", "pos", line_key(F.col("line"), self.min_chars).alias("key")).where("key is not null")
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Add documents whose ids the index does not hold."""
-        keyed = docs.select(
-            F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("doc_id"),
-            F.array_distinct(F.array_compact(F.transform(_lines(F.col(text_col)), lambda x: line_key(x, self.min_chars)))).alias("keys"),
-        )
-        fresh = written(keyed.select("doc_id", F.explode("keys").alias("key")), "ledger")
-        delta = written(fresh.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner")), "delta")
-        total = delta.count() + (self.refs.count() if self.refs is not None else 0)
-        shards = max(1, self.shards)
+        return self.insert_places(written(self.places(docs, id_col, text_col), "ledger"))
+
+    def insert_places(self, fresh: DataFrame) -> LineIndex:
+        """Add the lines of a written ledger."""
+        folded = fresh.groupBy("key").agg(F.count("*").alias("n_lines"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+        delta = written(folded.withColumn("word", F.xxhash64("key")).select(REFS), "delta")
+        ledger = fresh if self.ledger is None else self.ledger.unionByName(fresh)
+        n = delta.count()
+        if self.refs is None:
+            refs, unseen, total = delta, delta, n
+        else:
+            words = delta.select("word", self._shard())
+            seen = written(words.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_seen, "word long"), "seen")
+            asked = delta.join(seen.distinct(), "word", "left_semi")
+            found = written(asked.join(self.refs.select("key"), "key", "left_semi"), "found")  # keys that the exact table has
+            merged = found.unionByName(self.refs.join(found.select("key"), "key", "left_semi").select(found.columns)).groupBy("key", "word").agg(
+                F.sum("n_lines").alias("n_lines"), F.min("owner").alias("owner"), F.max("last").alias("last"))
+            unseen = written(delta.join(found.select("key"), "key", "left_anti").select(REFS), "unseen")
+            old = self.refs.join(found.select("key"), "key", "left_anti").select(REFS)
+            refs = written(old.unionByName(merged.select(REFS)).unionByName(unseen), "refs")
+            total = refs.count()
+        out = LineIndex(ledger, refs, self.filters, max(1, self.shards), self.min_chars)
+        if total > out.shards * SHARD_KEYS // 2 or self.filters is None:
+            return out._refilled(total)
+        added = written(unseen.select("word", out._shard()).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_add, FILTERS), "filters")
+        out.filters = added
+        return out if added.where("slots is null").isEmpty() else out._refilled(total)
+
+    def _shard(self) -> Column:
+        return F.pmod("word", F.lit(self.shards)).cast("int").alias("shard")
+
+    def _refilled(self, total: int) -> LineIndex:
+        """All filters anew from the exact table, in as many shards as its keys need."""
+        shards = self.shards
         while total > shards * SHARD_KEYS // 2:
             shards *= 2
-        if self.shards and shards != self.shards:  # doubling: filters are filled again from the exact table
-            base = LineIndex(self.ledger, None, None, 0, self.min_chars)
-            both = delta.unionByName(self.refs.select("key", "n_docs", "owner")).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner"))
-            return base._merge(fresh, written(both, "delta"), shards)
-        return self._merge(fresh, delta, shards)
-
-    def _merge(self, fresh: DataFrame, delta: DataFrame, shards: int) -> LineIndex:
-        spark = fresh.sparkSession
-        sharded = delta.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-        old = self.filters if self.filters is not None else spark.createDataFrame([], "shard int, slots binary, all_words binary")
-        done = written(
-            sharded.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(
-                _insert_shard, "shard int, key binary, n_docs long, owner long, seen boolean, slots binary, all_words binary"),
-            "probed",
-        )
-        rows, filters = done.where("key is not null"), done.where("key is null").select("shard", "slots", "all_words")
-        if self.refs is None:
-            refs = rows.select("shard", "key", "n_docs", "owner")
-        else:  # only keys that the filters know are looked up in the exact table
-            maybe = rows.where("seen").select("shard", "key", "n_docs", "owner")
-            met = self.refs.join(maybe.select("key"), "key", "left_anti")
-            joined = maybe.unionByName(self.refs.join(maybe.select("key"), "key", "left_semi").select("shard", "key", "n_docs", "owner"))
-            joined = joined.groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner"))
-            refs = written(rows.where("not seen").select("shard", "key", "n_docs", "owner").unionByName(met.select("shard", "key", "n_docs", "owner")).unionByName(joined), "refs")
-            filters = written(filters.unionByName(self.filters.join(filters.select("shard"), "shard", "left_anti")), "filters")
-        ledger = fresh if self.ledger is None else self.ledger.unionByName(fresh)
-        return LineIndex(ledger, refs, filters, shards, self.min_chars)
+        while True:
+            out = LineIndex(self.ledger, self.refs, None, shards, self.min_chars)
+            none = self.refs.sparkSession.createDataFrame([], FILTERS)
+            out.filters = written(self.refs.select("word", out._shard()).groupBy("shard").cogroup(none.groupBy("shard")).applyInPandas(_add, FILTERS), "filters")
+            if out.filters.where("slots is null").isEmpty():
+                return out
+            shards *= 2
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Take documents out again, as if they had never been inserted."""
-        ids = ids.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("doc_id")).distinct()
+        ids = ids.select(_id(id_col).alias("doc_id")).distinct()
         gone = self.ledger.join(ids, "doc_id", "left_semi")
         ledger = written(self.ledger.join(ids, "doc_id", "left_anti"), "ledger")
         delta = written(gone.groupBy("key").agg(F.count("*").alias("less")), "delta")
-        hit = self.refs.join(delta, "key").withColumn("n_docs", F.col("n_docs") - F.col("less")).drop("less")
-        owners = ledger.join(hit.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("owner"))
-        alive = hit.where("n_docs > 0").drop("owner").join(owners, "key").select("shard", "key", "n_docs", "owner")
-        refs = written(self.refs.join(delta, "key", "left_anti").select("shard", "key", "n_docs", "owner").unionByName(alive), "refs")
-        zero = hit.where("n_docs = 0").select("shard", "key")
-        filters = written(zero.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_remove_shard, "shard int, slots binary, all_words binary"), "filters")
+        hit = written(self.refs.join(delta, "key").withColumn("n_lines", F.col("n_lines") - F.col("less")).select("key", "word", "n_lines"), "hit")
+        owners = ledger.join(hit.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+        alive = hit.where("n_lines > 0").join(owners, "key").select(REFS)
+        refs = written(self.refs.join(delta, "key", "left_anti").select(REFS).unionByName(alive), "refs")
+        zero = hit.where("n_lines = 0").join(refs.select("word"), "word", "left_anti").select("word", self._shard())  # two keys may share a word
+        filters = written(zero.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_remove, FILTERS), "filters")
         return LineIndex(ledger, refs, filters, self.shards, self.min_chars)
 
     def drop_lines(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs with columns __n_lines, __n_dropped and __kept (the text without lines that an earlier document owns)."""
-        shared = self.refs.where("n_docs > 1").select("key", "owner")
+        shared = self.refs.where("owner <> last").select("key", "owner")  # in two documents or more
         lost = (
-            self.ledger.join(shared, "key").where("doc_id <> owner").groupBy("doc_id")
-            .agg(F.collect_set("key").alias("__lost")).withColumnRenamed("doc_id", "__id")
-        )
-        joined = docs.join(lost, F.coalesce(docs[id_col], F.lit(NULL_ID)) == lost["__id"], "left").drop("__id")
-        lines = _lines(F.col(text_col))
-        kept = F.when(F.col("__lost").isNull(), lines).otherwise(
-            F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__lost"), line_key(x, self.min_chars)), F.lit(True))))
-        return (
-            joined.withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__kept", kept)
-            .withColumn("__n_dropped", F.col("__n_lines") - F.size("__kept")).withColumn("__kept", F.array_join("__kept", "\n")).drop("__lost")
+            self.ledger.join(shared, "key").where("doc_id <> owner").groupBy(F.col("doc_id").alias("__id"), F.col("body").alias("__body"))
+            .agg(F.collect_set("pos").alias("__lost"))
         )
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """Index all documents in one batch and clean them by the index."""
-    return LineIndex(min_chars=min_chars).insert(docs, id_col, text_col).drop_lines(docs, id_col, text_col)
+        keyed = docs.withColumn("__own", _id(id_col)).withColumn("__own_body", F.xxhash64(text_col)).withColumn("__lines", _lines(F.col(text_col)))
+        joined = keyed.join(lost, (F.col("__own") == F.col("__id")) & (F.col("__own_body") == F.col("__body")), "left")
+        joined = joined.withColumn("__n_lines", F.size("__lines").cast("long")).withColumn("__n_dropped", F.coalesce(F.size("__lost"), F.lit(0)).cast("long"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))  # by hashing, so linear in the lines
+        kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("__lines"), i)))
+        return joined.withColumn("__kept", F.array_join(kept, "\n")).drop("__id", "__body", "__own", "__own_body", "__lines", "__lost")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = BATCHES) -> DataFrame:
+    """Index all documents, batch by batch, and clean them by the index."""
+    index = LineIndex(min_chars=min_chars)
+    ledger = written(index.places(docs, id_col, text_col), "ledger")
+    for b in range(batches):
+        index = index.insert_places(ledger.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+    index.ledger = ledger
+    return index.drop_lines(docs, id_col, text_col)
