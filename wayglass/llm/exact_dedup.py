@@ -1,12 +1,12 @@
 """Exact deduplication over an extendible-hash index kept in shared files.
 
-The key of a text is its 64-bit hash. The directory maps the first `depth` bits of a key to a bucket;
-it starts at one entry and doubles while a bucket holds more than `capacity` distinct keys, and only the
-buckets over that limit are split. Each bucket is a range of keys that rows are labelled with, and tasks are dealt by hashes of bucket and key. Rows that share a key form
-a chain; the bytes of its texts are compared, so two texts with one hash stay apart.
+The key of a text is its 64-bit hash. A bucket holds the keys that start with some bits; the index starts as one bucket, and while buckets hold more than `capacity`
+distinct keys the directory doubles and just these split on their next bit. The doublings of a round are counted together, each round's splits are a table of the
+shared folder, and rounds go on, however deep, until no bucket is overfull. Every bucket is thus a range of keys.
 
-Copies are folded before every exchange (map-side aggregation on the key), so a text that makes up a third
-of the corpus costs a bucket as much as any other. Only texts whose key occurs twice travel at all.
+Copies are then filed by bucket, and each bucket has one owner task: it chains the texts that share a key and compares their bytes, so two texts with one hash stay
+apart, and writes the chains as the bucket's part of the index. Before they go to their owner, copies are folded (map-side, and in SALTS parts a
+bucket), so a text that makes up a third of the corpus costs its owner SALTS rows. Only texts whose key occurs twice travel at all.
 
 Defined cases: null text counts as empty; an empty table gives an empty result; repeated rows and equal
 ids stay separate rows of the result; other columns are ignored, whatever their names.
@@ -14,68 +14,79 @@ ids stay separate rows of the result; other columns are ignored, whatever their
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayglass.llm.shared import ascii_lower, fitting, written
 
-#: Bits of a key that the directory may use at most: 65,536 entries, which bounds what reaches the driver.
-MAX_DEPTH = 16
+#: Distinct keys a bucket holds at most.
+CAPACITY = 4096
+#: Levels by which the directory doubles in a round after the first, and levels of the first beyond those that an even spread needs.
+ROUND, SPARE = 8, 2
+#: Parts in which the copies of a bucket are folded before its owner sees them.
+SALTS = 8
 #: Repeated keys are broadcast up to this number (some 50 MB); beyond it the texts are shuffled to them.
 BROADCAST_KEYS = 2_000_000
 
 
-def directory(keys: DataFrame, capacity: int) -> list[tuple[int, int, int]]:
-    """(first prefix, prefixes, local depth) of each bucket, in key order, at prefixes of MAX_DEPTH bits.
+def _first_bits(key: str, n: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - n) if n else F.lit(0).cast("long")
 
-    Doubling is replayed on the counts of distinct keys per finest prefix, at most 2**MAX_DEPTH numbers.
-    """
-    cells = [0] * (1 << MAX_DEPTH)
-    for row in keys.groupBy("prefix").agg(F.count("*").alias("n")).collect():
-        cells[row["prefix"]] = row["n"]
-    sums = [0]
-    for n in cells:
-        sums.append(sums[-1] + n)
-    done, open_buckets, depth = [], [(0, 1 << MAX_DEPTH)], 0
-    while open_buckets:
-        overfull = []
-        for start, width in open_buckets:
-            if sums[start + width] - sums[start] <= capacity or width == 1:
-                done.append((start, width, depth))
-            else:  # the directory doubles; this bucket splits on its next bit
-                overfull += [(start, width // 2), (start + width // 2, width // 2)]
-        open_buckets, depth = overfull, depth + 1
-    return sorted(done)
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000) -> DataFrame:
+
+def split_buckets(keys: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """The directory (bucket: its first key, depth, prefix, n_keys) and the keys (a written table: key, ...) with their bucket."""
+    total = keys.count()
+    depth, step = 0, max(1, math.ceil(math.log2(max(1.0, total / capacity))) + SPARE)
+    rest, directories, filed = keys, [], []
+    while True:
+        step = min(step, 64 - depth)
+        own = rest.withColumn("cell", _first_bits("key", depth + step))
+        cells = written(own.groupBy("cell").agg(F.count("*").alias("n")), "cells")
+        # The bucket of every level that a cell would be in.
+        above = F.explode(F.array(*[F.struct(F.lit(depth + k).alias("depth"), F.shiftrightunsigned("cell", step - k).alias("prefix")) for k in range(step + 1)]))
+        spread = cells.select("cell", "n", above.alias("at")).select("cell", "n", "at.depth", "at.prefix")
+        levels = written(spread.groupBy("depth", "prefix").agg(F.sum("n").alias("n_keys")), "levels")
+        parents = levels.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), F.col("n_keys").alias("in_parent"))
+        whole = levels.withColumn("parent", F.shiftrightunsigned("prefix", 1)).join(parents, ["depth", "parent"], "left")
+        whole = whole.where((F.col("n_keys") <= capacity) & (F.col("in_parent").isNull() | (F.col("in_parent") > capacity)))
+        directory = written(whole.select(F.expr("shiftleft(prefix, 64 - depth)").alias("bucket"), "depth", "prefix", "n_keys"), "directory")
+        directories.append(directory)
+        at = written(spread.drop("n").join(directory, ["depth", "prefix"]).select("cell", "bucket"), "cell-buckets")
+        filed.append(own.join(at, "cell").drop("cell"))
+        overfull = cells.join(at, "cell", "left_anti").select("cell")
+        if overfull.isEmpty():
+            break
+        rest = written(own.join(overfull, "cell", "left_semi").drop("cell"), "overfull")
+        depth, step = depth + step, ROUND
+    return reduce(DataFrame.unionByName, directories), reduce(DataFrame.unionByName, filed)
+
+
+def chains_of(copies: DataFrame) -> DataFrame:
+    """(bucket, key, slot, digest, chain_n, chain_top): the different texts of each key, found by the owners of the buckets from copies (bucket, key, norm, doc_id)."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    folded = copies.groupBy("bucket", "key", "norm", salt).agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+    owned = folded.repartition("bucket")  # the owners; grouping below needs no further exchange and compares the texts themselves
+    texts = owned.groupBy("bucket", "key", "norm").agg(F.sum("n").alias("chain_n"), F.max("top").alias("chain_top"))
+    texts = texts.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("digest"), "chain_n", "chain_top")
+    return texts.withColumn("slot", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("digest"))).sortWithinPartitions("bucket", "key", "slot")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per row of docs: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256.
 
-    Of several rows with the largest id only the group's first copy counts as kept by id: all rows that carry
-    keep_id are kept, as ids are meant to be unique. A null id is below every other.
+    All rows that carry keep_id are kept, as ids are meant to be unique. A null id is below every other.
     """
-    spark = docs.sparkSession
     norm = ascii_lower(F.col(text_col))
     source = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
     entries = written(source.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("digest")), "entries")
-    keys = written(
-        entries.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-        .withColumn("prefix", F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")),
-        "keys",
-    )
-    buckets = spark.createDataFrame(
-        [(p, b, d) for b, (start, width, d) in enumerate(directory(keys, capacity)) for p in range(start, start + width)],
-        "prefix int, bucket int, local_depth int",
-    )
-    repeated = fitting(keys.where("n > 1").select("key", "prefix"), BROADCAST_KEYS)
-    copies = source.join(repeated, "key").join(F.broadcast(buckets.select("prefix", "bucket")), "prefix")  # 65,536 rows at most
-    # Grouping by the text itself compares bytes; each chain of a key has one row per different text.
-    chains = written(
-        copies.groupBy("bucket", "key", "norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-        .select("bucket", "key", "n", "top", F.unhex(F.sha2("norm", 256)).alias("digest"), "norm").drop("norm"),
-        "chains", ["bucket"],
-    )
-    slots = chains.select("key", "digest", F.col("n").alias("chain_n"), F.col("top").alias("chain_top"))
+    keys = written(entries.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    _, filed = split_buckets(keys, capacity)
+    repeated = fitting(written(filed.where("n > 1").select("key", "bucket"), "repeated"), BROADCAST_KEYS)
+    chains = written(chains_of(source.join(repeated, "key")), "chains")
+    slots = chains.select("key", "digest", "chain_n", "chain_top")
     return (
         entries.join(slots, ["key", "digest"], "left")
         .select(
@@ -89,7 +100,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = exact_groups(docs, id_col, text_col, capacity).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
