@@ -11,9 +11,9 @@ are taken as often as they fit, and the last one is taken as a prefix: rows as l
 within the rest. The running count is found from sums per (leaf, digest range); only the one range in which a prefix ends is
 ordered row by row, so a source with a third of all rows is never one task's sort.
 
-Defined cases: null levels form a group of their own (key ''), null text has no tokens and such rows are taken with every
-epoch that is taken whole; repeated rows are rows of their own; an empty table gives an empty result; weights that are not
-given are `default_weight`, and those of 0 or below exclude the subtree; other columns are ignored whatever their names.
+Defined cases: null levels form a group of their own (key ''); null text has no tokens, and such rows are taken with every
+epoch that is taken whole and inside a prefix that has room for a token; repeated rows are rows of their own, of which as many are taken as the budget holds; an empty table gives
+an empty result; weights that are not given are `default_weight`, and those of 0 or below exclude the subtree with all its rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -104,8 +104,7 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
     in_order = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
         sums.withColumn("before", F.coalesce(F.sum("tokens").over(in_order), F.lit(0))).join(plan, levels)
-        .withColumn("epochs", F.col("epochs"))
-        .withColumn("side", F.when(F.col("before") + F.col("tokens") <= F.col("rest"), 1).when(F.col("before") > F.col("rest"), -1).otherwise(0))
+        .withColumn("side", F.when((F.col("rest") <= 0) | (F.col("before") > F.col("rest")), -1).when(F.col("before") + F.col("tokens") <= F.col("rest"), 1).otherwise(0))
         .select(*levels, "range", "before", "epochs", "rest", "side")
     )
     placed = rows.join(ranges, [*levels, "range"])
@@ -117,9 +116,21 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
 
 
 def mixed_documents(docs: DataFrame, taken: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, each as many times as `taken` (a result of mix over the same docs) says, with all their columns."""
+    """The rows of docs, each as many times as `taken` (a result of mix over the same docs) says, with all their columns.
+
+    Rows alike in id, text and levels share a digest; what `taken` says of them is dealt to them in the order of their other columns, the greatest counts first.
+    """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    # Rows alike in id and text have one digest; the greatest count of the group counts for each of them.
-    counts = taken.where("copies > 0").groupBy("digest").agg(F.max("copies").alias("__copies")).withColumnRenamed("digest", "__digest")
-    joined = docs.withColumn("__digest", digest).join(counts, "__digest")
-    return joined.withColumn("__copy", F.explode(F.expr("sequence(1, cast(__copies as int))"))).select(*docs.columns)
+    levels = [c for c in taken.columns if c in docs.columns and c not in ("__id", "digest", "tokens", "copies")]
+    keys = ["__digest", *[f"__level_{c}" for c in levels]]
+    # Copies of a row differ by one at most inside a leaf, so the list of a digest has two entries at most: (copies, rows up to and with it).
+    n = taken.withColumnsRenamed({"digest": "__digest"} | {c: f"__level_{c}" for c in levels}).groupBy(*keys, "copies").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("copies")).rowsBetween(Window.unboundedPreceding, 0))
+    counts = n.withColumn("upto", upto).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("upto", "copies"))).alias("__counts"), F.max("copies").alias("__most"))
+    counts = counts.where("__most > 0").drop("__most")
+    own = docs.withColumn("__digest", digest).withColumns({f"__level_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels})
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    joined = own.join(counts, keys).withColumn("__twin", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*plain))))
+    copies = F.filter("__counts", lambda x: x["upto"] >= F.col("__twin"))[0]["copies"]
+    joined = joined.withColumn("__n", copies).where("__n > 0")
+    return joined.withColumn("__copy", F.explode(F.expr("sequence(1, cast(__n as int))"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -39,7 +39,7 @@ def mixing_sql(levels: list[str], weights: dict[str, dict[str, int]], share: flo
     keys = ", ".join(levels)
     return sql + f""", plan AS (SELECT {keys}, CASE WHEN leaf.tokens > 0 THEN got // leaf.tokens ELSE 0 END AS epochs, got - CASE WHEN leaf.tokens > 0 THEN got // leaf.tokens ELSE 0 END * leaf.tokens AS rest FROM leaf JOIN {before} USING ({keys})),
  run AS (SELECT *, sum(tokens) OVER (PARTITION BY {keys} ORDER BY digest, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM docs)
- SELECT doc_id, {keys}, tokens AS n_tokens, CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run JOIN plan USING ({keys})"""
+ SELECT doc_id, {keys}, tokens AS n_tokens, CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run JOIN plan USING ({keys})"""
 
 
 EXACT = f"""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
