@@ -59,7 +59,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "text_group")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Sharding by proportional stratified interleaving.
 
-Rows are shuffled within their source by a seeded digest and ranked; the row of rank r among n stands at the fraction
-(2r + 1) / 2n of its source. All rows are sorted by fraction, and the sorted run is cut into shards whose row counts differ by
+Rows are shuffled within their source by seeded digests and ranked; the row of rank r among n stands at the fraction
+(2r + 1) / 2n of its source. The shuffle goes by a digest of the text first (to 12 bits), then by one of id and text, so that equal texts, of one source or of
+several, get near fractions and mostly one shard; a group too large for a shard, or at a cut, goes on in the next. All rows are sorted by fraction, and the sorted run is cut into shards whose row counts differ by
 one at most, so every stretch of the run, and so every shard, has the sources in their proportion in the whole.
 
 Neither ranking nor cutting sorts a source or the run in one task: both count rows per range first (of the digest, then of the
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from wayglass.llm.shared import written
 
-#: Ranges a source or the run is counted in; each holds so small a part of them that one task ranks it with ease.
+#: Ranges the run is counted in; each holds so small a part of it that one task ranks it with ease.
 RANGES = 4096
+#: Bits of the text's and of the row's digest that make the ranges a source is counted in: a text that is a third of all rows is split in 256.
+TEXT_BITS, ROW_BITS = 12, 8
 
 
 def _rank_in(rows: DataFrame, group: list[str], range_: str, order: list, to: str) -> DataFrame:
@@ -33,16 +36,16 @@ def _rank_in(rows: DataFrame, group: list[str], range_: str, order: list, to: st
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 23, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, text_crc32, digest, shard (0 to n_shards - 1) and slot (gapless from 0 in its shard) of each row."""
+    """doc_id, source, size, text_crc32, text_group (a hash of the text), digest, shard (0 to n_shards - 1) and slot (gapless from 0 in its shard) of each row."""
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     light = written(
         docs.select(
             F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(source_col).isNull().alias("no_source"),
             (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
-            F.xxhash64(F.lit(seed), F.col(id_col), body).alias("digest"),
+            F.xxhash64(F.lit(seed), F.col(id_col), body).alias("digest"), F.xxhash64(F.lit(seed), body).alias("text_group"),
         ), "light",
     )
-    rows = light.withColumn("range", F.shiftrightunsigned("digest", 52).cast("int"))
+    rows = light.withColumn("range", (F.shiftleft(F.shiftrightunsigned("text_group", 64 - TEXT_BITS), ROW_BITS) + F.shiftrightunsigned("digest", 64 - ROW_BITS)).cast("int"))
     ranked = _rank_in(rows, ["source", "no_source"], "range", ["digest", "doc_id", "text_crc32"], "rank").drop("range")
     run = ranked.withColumn("fraction", (F.col("rank") * 2 + 1) / (F.col("__all") * 2)).drop("__all")
     run = written(run.withColumn("range", F.least(F.floor(F.col("fraction") * RANGES), F.lit(RANGES - 1)).cast("int")), "run")
@@ -50,7 +53,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 23, id_col: s
     return (
         cut.withColumn("shard", F.expr(f"cast((place * {n_shards}) div __all as int)"))
         .withColumn("slot", F.expr(f"place - (cast(shard as bigint) * __all + {n_shards - 1}) div {n_shards}"))
-        .select("doc_id", "source", "size", "text_crc32", "digest", "shard", "slot")
+        .select("doc_id", "source", "no_source", "size", "text_crc32", "text_group", "digest", "shard", "slot")
     )
 
 
