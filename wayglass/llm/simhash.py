@@ -12,8 +12,10 @@ principle on its other bits. The components of all forests are the classes: no l
 
 Few bits catch few texts below a similarity of about 0.95. Where `jaccard` is given, texts whose sets of shingles have at least that Jaccard
 similarity link too. Candidates share one of BANDS buckets of ROWS minima of hashes (MinHash): at similarity 0.8 a pair shares none with probability
-(1 - 0.8^5)^20 = 0.0004. Every candidate is verified on the sets themselves. Equal sets fold first. Of a large bucket, pairs with a few
-members are verified before all others, and pairs that are in one class by then are left out, as they can't change the classes.
+(1 - 0.8^5)^20 = 0.0004. Every candidate is verified on the sets themselves. Equal sets fold first. The members of a bucket are first verified against its
+pivot, the member that meets most others in all its buckets, which joins most copies of one text. Buckets that still hold several classes are then dealt to tasks in pairs of
+blocks of bounded size; a task holds the sets of two blocks, looks up all their common shingles in an inverted index, and gives only links that join classes. So
+every candidate pair of different classes is verified, while rows stay in proportion to members.
 
 Defined cases: null text counts as empty; texts without a word have fingerprint 0 and link like any other; fewer words than
 a shingle has make one shingle; an empty table gives an empty result; rows with one id are rows of their own, and a null id is never the smallest of its
@@ -45,8 +47,8 @@ SHINGLES_AT_ONCE = 500_000
 #: MinHash: buckets of a text, and minima that must agree in one.
 BANDS, ROWS = 20, 5
 MINIMA_AT_ONCE = 2_000
-#: Members of a bucket that all others are paired with, round by round; in the last round all pairs of different classes.
-ROUNDS = (1, 16, None)
+#: Shingles of the members of a block: two blocks are held in a task at once.
+BLOCK_SHINGLES = 400_000
 
 
 def shingle_hashes(text: str | None, shingle: int = 3) -> Iterator[np.ndarray]:
@@ -349,6 +351,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, jaccard: float, shingle: int)
     return held.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def group_links(sets: list[np.ndarray], roots: np.ndarray, jaccard: float) -> list[tuple[int, int]]:
+    """Places of sets (sorted hashes) that link and together join all classes (equal roots) that any similar pair joins."""
+    n = np.array([len(x) for x in sets])
+    first = np.cumsum(n) - n
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    many = np.bincount(shingle)
+    start = np.cumsum(many) - many
+    holders = np.repeat(np.arange(len(sets)), n)[np.argsort(shingle, kind="stable")]  # by shingle, the sets that have it
+    _, label = np.unique(roots, return_inverse=True)
+    largest = np.bincount(label).argmax()
+    above = list(range(label.max() + 1))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    out = []
+    for i in np.flatnonzero(label != largest):  # pairs inside the largest class join nothing
+        own = shingle[first[i] : first[i] + n[i]]
+        lengths = many[own]
+        at = np.repeat(start[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        both = np.bincount(holders[at], minlength=len(sets))
+        for j in np.flatnonzero(both >= jaccard * (n[i] + n - both) - 1e-9):
+            x, y = top(label[i]), top(label[j])
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                out.append((int(i), int(j)))
+    return out
+
+
+def _mixed_links(own: DataFrame, texts: DataFrame, jaccard: float, shingle: int) -> DataFrame:
+    """(a, b) of sets: links that join the classes of each bucket. own: written rows (key, set, n, root); texts: one text of each set."""
+    blocks = own.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = own.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("set"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "root").join(texts, "set")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, names, roots, sets = None, [], [], []
+
+        def done() -> pd.DataFrame:
+            found = group_links(sets, np.array(roots), jaccard) if len(sets) > 1 else []
+            return pd.DataFrame([(names[x], names[y]) for x, y in found], columns=["a", "b"], dtype=np.int64)
+
+        for f in frames:
+            for key, i, j, name, root, text in zip(f["key"], f["i"], f["j"], f["set"], f["root"], f["text"], strict=True):
+                if (key, i, j) != last:
+                    if sets:
+                        yield done()
+                    last, names, roots, sets = (key, i, j), [], [], []
+                names.append(name)
+                roots.append(root)
+                sets.append(shingle_set(text, shingle))
+        if sets:
+            yield done()
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "set", "root", "text").mapInPandas(run, "a long, b long")
+
+
 def similar_links(rows: DataFrame, known: DataFrame, jaccard: float, shingle: int) -> DataFrame:
     """(a, b) of fingerprints: links known, those of equal sets, and enough of those of similar sets for the same classes; rows: written sketches."""
     sets = written(rows.where("n > 0").groupBy("set").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "sets")
@@ -357,28 +420,28 @@ def similar_links(rows: DataFrame, known: DataFrame, jaccard: float, shingle: in
     filed = sets.select("set", "fp", "n", F.explode("buckets").alias("key"))
     shared = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     filed = written(filed.join(shared, "key"), "buckets")
-    tested, least_members = None, 1
-    for many in ROUNDS:
+    needed = filed.select("set").distinct()
+    texts = written(rows.select("set", "text").join(needed, "set", "left_semi").dropDuplicates(["set"]), "texts")
+    ends = sets.select("set", "fp")
+
+    def with_roots() -> DataFrame:
         labels = components(found).withColumnRenamed("node", "fp")
-        own = filed.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-        own = written(own.join(mixed, "key", "left_semi").where(F.col("members") > least_members), "mixed")
-        if own.isEmpty():
-            break
-        each = F.struct("set", "n", "root")
-        few = own.withColumn("slot", F.pmod(F.xxhash64("set"), F.lit(many or 1))).groupBy("key", "slot").agg(F.min(each).alias("other")) if many else own.select("key", each.alias("other"))
-        apart = (F.col("root") != F.col("other.root")) & (F.least("n", "other.n") >= jaccard * F.greatest("n", "other.n") - 1e-9)
-        pairs = own.join(few, "key").where(apart).select(F.greatest("set", "other.set").alias("a"), F.least("set", "other.set").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-        texts = written(rows.select("set", "text").join(needed, "set", "left_semi").dropDuplicates(["set"]), "texts")
-        links_ = _verified(pairs, texts, jaccard, shingle)
-        ends = sets.select("set", "fp")
-        links_ = links_.join(ends.withColumnsRenamed({"set": "a", "fp": "fa"}), "a").join(ends.withColumnsRenamed({"set": "b", "fp": "fb"}), "b")
-        found = written(found.unionByName(links_.select(F.col("fa").alias("a"), F.col("fb").alias("b"))), "links")
-        least_members = 2  # the one pair of a bucket of two has been tested
-    return found
+        return filed.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    def of_fingerprints(links_: DataFrame) -> DataFrame:
+        both = links_.join(ends.withColumnsRenamed({"set": "a", "fp": "fa"}), "a").join(ends.withColumnsRenamed({"set": "b", "fp": "fb"}), "b")
+        return both.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+    own = with_roots()
+    degree = filed.groupBy("set").agg(F.sum("members").alias("degree"))
+    pivots = own.join(degree, "set").groupBy("key").agg(F.max_by(F.struct("set", "n", "root"), F.struct("degree", "set")).alias("pivot"))
+    apart = (F.col("root") != F.col("pivot.root")) & (F.least("n", "pivot.n") >= jaccard * F.greatest("n", "pivot.n") - 1e-9)
+    pairs = own.join(pivots, "key").where(apart).select(F.greatest("set", "pivot.set").alias("a"), F.least("set", "pivot.set").alias("b")).distinct()
+    found = written(found.unionByName(of_fingerprints(_verified(written(pairs, "pairs"), texts, jaccard, shingle))), "links")
+    own = written(with_roots().where("members > 2").select("key", "set", "n", "root"), "rooted")  # of two members, one is the pivot
+    mixed = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    own = written(own.join(mixed, "key", "left_semi"), "mixed")
+    return written(found.unionByName(of_fingerprints(_mixed_links(own, texts, jaccard, shingle).distinct())), "links")
 
 
 def near_groups(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
