@@ -67,6 +67,43 @@ def test_mixing_takes_prefixes_of_epochs(spark, odd):
     assert mixing.mix(empty(spark), ["lang", "source"], {}).count() == 0
 
 
+def test_excluded_subtrees_give_no_rows(spark):
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate([("a b", "x"), ("", "x"), ("c", "y"), (None, "y"), ("", "z")])], "doc_id long, text string, source string")
+    got = {r["__id"]: r.copies for r in mixing.mix(df, ["source"], {"source": {"y": 0, "z": 0}}).collect()}
+    assert got == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0} or got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}
+    assert all(not got[i] for i in (2, 3, 4))
+
+
+@pytest.mark.parametrize(("budget", "epochs"), [(12, 1), (24, 1), (30, 2), (44, 2)])
+def test_repeated_rows_keep_the_budget(spark, budget, epochs):
+    df = spark.createDataFrame([(7, "a b c d", "s", k) for k in range(6)] + [(8, "e f", "s", 0)] * 2, "doc_id long, text string, source string, other int")
+    taken = mixing.mix(df, ["source"], {}, budget=budget, max_epochs=epochs)
+    out = mixing.mixed_documents(df, taken).collect()
+    tokens = sum(len(r.text.split()) for r in out)
+    assert tokens <= budget and tokens > min(budget, 28 * epochs) - 4
+    assert tokens == sum(r.tokens * r.copies for r in taken.collect())
+    assert mixing.mixed_documents(df.limit(0), mixing.mix(df.limit(0), ["source"], {})).count() == 0
+
+
+def test_mixing_equals_brute_force_on_odd_rows(spark, odd):
+    """The prefix of each leaf, row by row, from the budgets."""
+    df = odd.unionByName(odd.limit(9))
+    taken = mixing.mix(df, ["lang", "source"], {"lang": {"en": 2, "": 0}}, share=0.4, max_epochs=2)
+    leaves = defaultdict(list)
+    for r in taken.collect():
+        leaves[r.lang, r.source].append(r)
+    sums = [(*k, sum(r.tokens for r in v), len(v)) for k, v in leaves.items()]
+    table = spark.createDataFrame(sums, "lang string, source string, tokens long, n_rows long")
+    budgets = {(r.lang, r.source): r.budget for r in mixing.leaf_budgets(table, ["lang", "source"], {"lang": {"en": 2, "": 0}}, None, 0.4, 2).collect()}
+    for k, rows in leaves.items():
+        n, upto = sum(r.tokens for r in rows), 0
+        epochs, rest = divmod(budgets[k], n) if n else (0, 0)
+        for r in sorted(rows, key=lambda r: (r.digest, r["__id"])):
+            upto += r.tokens
+            assert r.copies == epochs + (rest > 0 and upto <= rest) or [x.digest for x in rows].count(r.digest) > 1
+        assert sum(r.tokens * r.copies for r in rows) <= budgets[k] and (k[0] or not any(r.copies for r in rows))
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 def test_bpe_equals_the_library(spark, odd):
     from tokenizers import Tokenizer
@@ -225,8 +262,9 @@ def test_forest_spans_a_large_bucket(monkeypatch):
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("capacity", [3, 10_000])
-def test_exact_groups(spark, odd, capacity):
+@pytest.mark.parametrize(("capacity", "broadcast"), [(1, 2_000_000), (3, 0), (20, 0), (10_000, 2_000_000)])
+def test_exact_groups(spark, odd, capacity, broadcast, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", broadcast)
     groups = defaultdict(list)
     for i, t in texts_of(odd).items():
         groups[lower(t)].append(i)
@@ -237,10 +275,34 @@ def test_exact_groups(spark, odd, capacity):
     assert kept.columns == odd.columns and kept.count() == len(groups)
 
 
-def test_directory_splits_only_overfull_buckets(spark):
-    keys = spark.createDataFrame([(p,) for p in [0] * 5 + [1] * 5 + [40_000]], "prefix int")
-    buckets = exact_dedup.directory(keys, 5)
-    assert sum(w for _, w, _ in buckets) == 1 << exact_dedup.MAX_DEPTH and max(d for *_, d in buckets) == 16 and (32768, 32768, 1) in buckets
+def brute_buckets(keys, capacity, depth=0, prefix=0):
+    own = [k for k in keys if k >> (64 - depth) == prefix] if depth else list(keys)
+    if len(own) <= capacity:
+        return {(depth, prefix): sorted(own)} if own else {}
+    return brute_buckets(own, capacity, depth + 1, 2 * prefix) | brute_buckets(own, capacity, depth + 1, 2 * prefix + 1)
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 7, 50, 1000])
+def test_buckets_split_where_they_are_overfull_and_only_there(spark, capacity):
+    rnd = random.Random(capacity)
+    keys = {rnd.getrandbits(64) for _ in range(300)} | {0xABCDEF0123 << 24 | rnd.getrandbits(24) for _ in range(40)} | {(1 << 64) - 1 - i for i in range(9)} | set(range(5))
+    signed = [(k - (1 << 64) if k >> 63 else k,) for k in keys]
+    written = queries_written(spark.createDataFrame(signed, "key long"), "keys")
+    directory, filed = exact_dedup.split_buckets(written, capacity)
+    want = brute_buckets(keys, capacity)
+    assert {(r.depth, r.prefix % (1 << 64)): r.n_keys for r in directory.collect()} == {k: len(v) for k, v in want.items()}
+    names = {r.bucket: (r.depth, r.prefix % (1 << 64)) for r in directory.collect()}
+    got = defaultdict(list)
+    for r in filed.collect():
+        got[names[r.bucket]].append(r.key % (1 << 64))
+    assert {k: sorted(v) for k, v in got.items()} == want and len(names) == len(want)
+
+
+def test_owners_chain_texts_that_share_a_key(spark):
+    rows = [(9, 5, t, i) for i, t in enumerate(["a", "b", "a", "c", "b", "a"] * 20)] + [(4, 8, "a", 1000)]
+    got = exact_dedup.chains_of(spark.createDataFrame(rows, "bucket long, key long, norm string, doc_id long")).collect()
+    assert sorted((r.bucket, r.key, r.chain_n, r.chain_top) for r in got) == [(4, 8, 1, 1000), (9, 5, 20, 117), (9, 5, 40, 118), (9, 5, 60, 119)]
+    assert sorted(r.slot for r in got if r.key == 5) == [1, 2, 3]
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------
@@ -282,6 +344,48 @@ def test_shards(spark, odd):
     assert sharding.assign_shards(empty(spark)).count() == 0
 
 
+def brute_shards(rows, n_shards):
+    """(doc_id, digest) in the order of the run, cut: ranks within a source by (12 bits of the text's digest, row digest), then by fraction."""
+    sources = defaultdict(list)
+    for r in rows:
+        u = lambda x: x % (1 << 64)
+        sources[r.source, r.no_source].append((u(r.text_group) >> 52, u(r.digest) >> 56, r.digest, r.doc_id is not None, r.doc_id or 0, r.text_crc32))
+    run = []
+    for s, own in sources.items():
+        run += [((2 * k + 1) / (2 * len(own)), s, k, x[2]) for k, x in enumerate(sorted(own))]
+    run.sort()
+    out, slot = [], Counter()
+    for place, (*_, digest) in enumerate(run):
+        shard = place * n_shards // len(run)
+        out.append((digest, shard, slot[shard]))
+        slot[shard] += 1
+    return sorted(out)
+
+
+def test_shards_equal_brute_force(spark, odd):
+    rows = sharding.assign_shards(odd.unionByName(odd.limit(5)), 7).collect()
+    assert sorted((r.digest, r.shard, r.slot) for r in rows) == brute_shards(rows, 7)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sharding.assign_shards(docs, 40).collect()
+    assert sorted((r.digest, r.shard, r.slot) for r in rows) == brute_shards(rows, 40)
+
+
+def test_equal_texts_mostly_share_a_shard(spark):
+    rows = [(i, f"text {i // 4}", f"s{i % 3}") for i in range(4000)]
+    got = defaultdict(set)
+    for r in sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10).collect():
+        got[r.text_group].add(r.shard)
+    assert len(got) == 1000 and sum(len(s) == 1 for s in got.values()) > 850 and max(map(len, got.values())) == 2
+
+
+def test_written_shards_come_back(spark, odd, tmp_path):
+    sharding.write_shards(odd, str(tmp_path / "s"), 5)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    want = {(r.digest, r.shard, r.slot) for r in sharding.assign_shards(odd, 5).collect()}
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in odd.collect())
+    assert {(r["__shard"], r["__slot"]) for r in got.collect()} == {(s, k) for _, s, k in want}
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 PAGE = "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy</div>{}<footer>&copy; x</footer></body></html>"
 
@@ -313,6 +417,130 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(x) == best[-1][-1] and [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)]
 
 
+def test_long_alignments_are_split(monkeypatch):
+    rnd = random.Random(5)
+    pairs = [([rnd.choice("abcdef") for _ in range(rnd.randint(0, 60))], [rnd.choice("abcdef") for _ in range(rnd.randint(0, 60))]) for _ in range(60)]
+    whole = [html_text.shared_lines(a, b) for a, b in pairs]
+    monkeypatch.setattr(html_text, "BITS_HELD", 40)
+    for (a, b), (x, _) in zip(pairs, whole, strict=True):
+        u, v = html_text.shared_lines(a, b)
+        assert len(u) == len(x) and [a[i] for i in sorted(u)] == [b[j] for j in sorted(v)]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="has-sidebar"><article><p>Body</p></article></div>', "Body"),
+        ('<main class="content no-sidebar"><p>Body</p></main>', "Body"),
+        ('<article><div class="article-header"><h1>Title</h1></div><section class="related-work">Work</section><p>x</article>', "Title\nWork\nx"),
+        ('<article><p class="notice">Hi<p>Para one</p></article>', "Para one"),
+        ('<article><p>a<img alt="' + "x>" * 3000 + '" src=x>b</article>', "ab"),
+        ('<article><ul><li class="ad">buy<li>own</ul><header><h2>H</h2></header><footer>f</footer></article>', "own\nH"),
+        ('<form id="page"><div class="sidebar">no</div><article>yes</article></form>', "yes"),
+        ("<form><p>all in a form</p></form>", "all in a form"),
+        ('<div class="related"><article>teaser</article></div><article>main</article>', "main"),
+        ('<div class="page-header"><article>only</article></div>', "only"),
+        ("<article>a < b and c< d <b>x</b> &lt;y&gt; &amp;amp;</article><nav>n", "a < b and c< d x <y> &amp;"),
+        ("<article><script>if (a</script>t<textarea>u<p></textarea>v<svg><text>w</text></svg><style>z", "tv"),
+        ("<article>x<!-- c > -->y<!-- open", "xy"),
+        ('<div id="siteFooter">f</div><div class="CommentList">c</div><div role=navigation>n</div><div role="main">m</div>', "m"),
+        ("<article>unclosed <a <a <a", "unclosed <a <a <a"),
+        ("plain text", "plain text"),
+        ("", ""),
+    ],
+)
+def test_html_structure(html, text):
+    lines = html_text.text_lines(html)
+    assert html_text.main_text([x for x, _ in lines], [z for _, z in lines], set())[0] == text
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    for html in ("<a <a " * 100_000, "<b>" * 50_000 + "<p>x" * 50_000, "<p class=ad>" * 30_000, '<a x="' * 50_000, "<div>" * 50_000 + "</div>" * 50_000, "<article>" + "<p>same</p>" * 30_000):
+        began = time.time()
+        html_text.text_lines(html)
+        assert time.time() - began < 5
+    began = time.time()
+    a = ["same", "other"] * 10_000
+    assert len(html_text.shared_lines(["x", *a], [*a, "y"])[0]) >= 19_999 and time.time() - began < 20
+
+
+def simple_lines(html):
+    """A second parser, for plain pages: the standard library's, with navigation, footers, heads and adverts as furniture."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.lines, self.words, self.depth, self.main = [], "", 0, 0
+
+        def cut(self):
+            if line := " ".join(self.words.split()):
+                self.lines.append((line, "f" if self.depth else "m" if self.main else "o"))
+            self.words = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("a", "b"):
+                self.cut()
+            self.depth += tag in ("nav", "footer", "head") or ("class", "ad") in attrs
+            self.main += tag == "article"
+            self.script = tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b"):
+                self.cut()
+            self.depth -= tag in ("nav", "footer", "head", "div")
+            self.main -= tag == "article"
+            self.script = False
+
+        def handle_data(self, data):
+            if not getattr(self, "script", False):
+                self.words += data
+
+    p = Parser()
+    p.feed(html)
+    p.close()
+    p.cut()
+    return p.lines
+
+
+def lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_html_of_the_whole_table_equals_brute_force(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    got = {r.page_id: r for r in html_text.extract_pages(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    lines = {p.page_id: simple_lines(p.html) for p in pages}
+    assert len(got) == len(pages)
+    for p in pages:
+        r = got[p.page_id]
+        assert r.text == "\n".join(x for x, z in lines[p.page_id] if z == "m") and r.n_chars == len(r.text) and r.n_lines == len(lines[p.page_id])
+        assert r.n_lines == r.n_by_difference + r.n_by_structure + len(r.text.split("\n"))
+    hosts = defaultdict(list)
+    for p in pages:
+        m = re.match(r"[A-Za-z]+://([^/?#]*)([^?#]*)", p.url)
+        hosts[m[1].lower()].append((re.sub(r"(/|\.html?)$", "", m[2]), p.page_id))
+    shared = sum(got[i].n_by_difference + got[i].n_protected for own in hosts.values() for _, i in own)
+    pairs = [(x, y) for own in hosts.values() if len({p for p, _ in own}) == len(own) for (_, x), (_, y) in zip(sorted(own), sorted(own)[1:], strict=False)]
+    assert shared >= sum(lcs([x for x, _ in lines[a]], [y for y, _ in lines[b]]) for a, b in pairs[::2] if not set(pairs[1::2]) & {(a, b)}) / 2
+    assert pairs
+
+
+def test_differencing_decides_where_pages_have_no_structure(spark):
+    page = "<html><body><div>Site name</div><div>Menu A</div><p>{0}</p><p>{1}</p><div>All rights kept</div></body></html>"
+    rows = [(i, f"http://h{i % 2}/blog/{i:03}", page.format(f"unique text {i}", f"more text {i}")) for i in range(400)] + [(1000, "http://h0/blog/000", page.format("unique text 0", "more text 0"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        got = {r.page_id: (r.text, r.n_by_difference, r.n_by_structure) for r in html_text.extract_pages(df.repartition(parts)).collect()}
+        assert got == {i: (f"unique text {i % 1000}\nmore text {i % 1000}", 3, 0) for i, *_ in rows}
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 def test_grammar_weighs_context():
     g = toxicity.Grammar({"idiot": 0.9, "lowei*": 0.95})
@@ -322,6 +550,75 @@ def test_grammar_weighs_context():
     assert g.score("das loweische") > 0.9 and g.score(None) == g.score("") == 0
 
 
+@pytest.mark.parametrize("text", ["i will never hurt you", "she said he will kill them", "he claimed: 'they will hurt you'", "he is an idiot, she said", "an idiot he is not", "no one will ever hurt you"])
+def test_denied_and_reported_matches_stay_below_the_threshold(text):
+    assert 0 < toxicity.Grammar({"idiot": 0.99}).score(text) < 0.7
+
+
+def test_toxic_matches_stay_above_it():
+    g = toxicity.Grammar({"idiot": 0.93, "weak*": 0.65})
+    for text in ("i will hurt you", "they are going to kill them", "what an idiot", "weaka. then weakb", "not a word of it. you idiot", "x " * 100_000 + "idiot"):
+        assert g.score(text) >= 0.7
+    assert g.score("weaka once") < 0.7 and g.score(" ") == 0
+
+
+def matches_by_place(c):
+    """What the grammar's docstring says, from places in the clause instead of states: {place of a match: (kind, what is said about it)}."""
+    t = toxicity
+    near = lambda kinds, lo, hi: [k for k in range(max(0, lo), min(len(c), hi + 1)) if c[k] in kinds]
+    found, done = {}, -1
+    for i, x in enumerate(c):
+        if x == t.INSULT:
+            found[i] = ("insult", set())
+        modal = max(near({t.MODAL}, done + 1, i - 1), default=None)
+        if x == t.TARGET and modal is not None:
+            hurt = min(near({t.HURT}, modal + 1, modal + 4), default=None)
+            if hurt is not None and hurt < i <= hurt + 4 and not near({t.TARGET}, hurt + 1, i - 1):
+                found[i] = ("threat", set())
+                done = i
+    for i, (kind, said) in found.items():
+        after = min([k for k in found if k > i], default=len(c))  # what follows the next match is about that one
+        if kind == "insult":
+            targets = [k for k in near({t.TARGET}, i + 1, min(i + 4, after))]
+            if near({t.TARGET}, i - 4, i - 1) or (targets and targets[0] not in found):
+                said.add("targeted")
+        be = min(near({t.COPULA}, i + 1, i + 4), default=None)
+        no = min(near({t.NOT}, i + 1, after - 1), default=None)
+        if near({t.NOT}, i - (3 if kind == "insult" else 6), i - 1) or (be is not None and no is not None and be < no <= be + 4 and be < after):
+            said.add("negated")
+        speech = min(near({t.SAID, t.QUOTE}, i + 1, after - 1), default=None)
+        if near({t.SAID, t.QUOTE}, i - 8, i - 1) or (speech is not None and speech <= i + 4 and c[speech] == t.SAID):
+            said.add("reported")
+    return {i: (k, sorted(v)) for i, (k, v) in found.items()}
+
+
+def test_composed_machine_equals_the_patterns():
+    rnd = random.Random(8)
+    moves, emits = toxicity.machine()
+    kinds = Counter()
+    for _ in range(30_000):
+        c = rnd.choices(range(9), [rnd.choice([2, 9]), 2, 2, 2, 2, 1, 1, 1, 1], k=rnd.randint(1, 16))
+        state, got, last = 0, {}, None
+        for i, x in enumerate(c):
+            mark, said = emits[state][x]
+            state = moves[state][x]
+            if mark:
+                last = i
+                got[i] = (mark, set(said))
+            elif said:
+                got[last][1].update(said)
+        got = {i: (k, sorted(v)) for i, (k, v) in got.items()}
+        assert got == matches_by_place(c), c
+        kinds.update((k, x) for k, v in got.values() for x in v or [""])
+    assert len(kinds) == 7 and min(kinds.values()) > 300, kinds
+
+
+def test_lexicon_joins_splinters_and_keeps_chance_out():
+    counts = {f"zork{x}*": (6, 6, 1, 1) for x in "abc"} | {"zork*": (20, 40, 18, 19), "zor*": (20, 40, 18, 19), "rare*": (4, 4, 4, 4), "vile*": (20, 20, 9, 9), "vilen*": (20, 20, 9, 9)}
+    got = toxicity.lexicon(counts, 60, 500, 50_000)
+    assert set(got) == {"zork*", "vilen*"} and got["zork*"] <= toxicity.WEAK < 0.7 < got["vilen*"]
+
+
 def test_toxicity_learns_from_training_rows_only(spark):
     rnd = random.Random(9)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
@@ -415,7 +712,7 @@ def test_quality_verdict_equals_brute_force(spark):
 
 
 def test_quality_buckets_grow_with_the_corpus(spark):
-    sizes = [quality.bucket_count(spark.createDataFrame([("x" * 1000,)] * 10, "text string").selectExpr(f"repeat(text, {k}) as text")) for k in (0, 1, 20_000)]
+    sizes = [quality.bucket_count(spark.createDataFrame([("x" * 1000,)] * 10, "text string").selectExpr(f"repeat(text, {k}) as text")) for k in (0, 1, 40_000)]
     assert sizes == [1 << 15, 1 << 15, 1 << 16]
 
 
@@ -445,11 +742,53 @@ def test_line_dedup_and_its_reversal(spark, odd):
     back = both.delete(second.select("doc_id"))
     only = {i: t for i, t in texts.items() if i % 2 == 0}
     assert cleaned(back, first) == {i: "\n".join(x) for i, x in brute_lines(only).items()} == cleaned(one, first)
-    refs = lambda x: sorted((bytes(r.key), r.n_docs, r.owner) for r in x.refs.collect())
+    refs = lambda x: sorted((bytes(r.key), r.n_lines, r.owner, r.last) for r in x.refs.collect())
     assert refs(back) == refs(one)
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_filters_spare_the_exact_table_and_grow(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    asked = []
+    real = line_dedup._seen
+    batches = [spark.createDataFrame([(b * 100 + i, "\n".join([f"line number {b} {i} {k}" for k in range(6)] + ["a line of all documents"])) for i in range(40)], "doc_id long, text string") for b in range(3)]
+    index = line_dedup.LineIndex()
+    for n, b in enumerate(batches, 1):
+        index = index.insert(b)
+        assert index.refs.count() == 240 * n + 1 and index.refs.agg(F.max("n_lines")).first()[0] == 40 * n
+        assert index.shards >= 240 * n // 32 and index.filters.count() <= index.shards
+        words = index.refs.select("word", index._shard()).toPandas()
+        slots = {r.shard: r.slots for r in index.filters.collect()}
+        import pandas as pd
+
+        for shard, f in words.groupby("shard"):
+            asked.append(len(real(None, f, pd.DataFrame({"slots": [slots[shard]]}))) == len(f))
+            new = pd.DataFrame({"word": np.random.default_rng(n).integers(0, 1 << 62, 2000)})
+            assert len(real(None, new, pd.DataFrame({"slots": [slots[shard]]}))) < 40  # nearly all new keys skip the exact table
+    assert all(asked)
+
+
+def test_line_dedup_of_a_document_with_very_many_lines(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "\n".join(f"some line number {i % (n // 2)}" for i in range(n))), (0, "\n".join(f"some line number {2 * i}" for i in range(n // 4)))], "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: (r["__n_lines"], r["__n_dropped"]) for r in line_dedup.dedup_lines(df).collect()}
+        assert got == {1: (n, n // 2), 0: (n // 4, 0)}
+        return time.time() - began
+
+    took(1000)
+    assert took(100_000) < 8 * max(2.0, took(20_000))
+
+
+def test_line_dedup_with_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "the very same line\nx", "k"), (1, "the very same line\ny", "k"), (None, "the very same line", "k"), (2, None, None), (2, "the very same line\nthe very same line\nz", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumns({c: F.lit(0) for c in ("body", "pos", "word", "owner", "last", "shard")})
+    got = sorted((r.doc_id or -1, r["__kept"], r["__n_dropped"]) for r in line_dedup.dedup_lines(df, batches=3).collect())
+    assert got == [(-1, "", 1), (1, "the very same line\nx", 0), (1, "the very same line\ny", 0), (2, "", 0), (2, "z", 2)]
+
+
 def test_cuckoo_filter():
     rnd = np.random.default_rng(0)
     keys = np.unique(rnd.integers(0, 1 << 63, 20_000).astype(np.uint64))
