@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayglass.functions import arrays as A
+from wayglass.schema import FUTURE
 
 KEEP, RETENTION_DAYS, HORIZON_DAYS, RECALL, TOP = 2000, 90, 120, 24, 3
 
@@ -42,46 +43,139 @@ def kernel(a: Column, b: Column) -> Column:
     return F.exp(-A.rmse(a, b))
 
 
-def point_in_time(queries: DataFrame, memory: DataFrame, with_normal: bool = True) -> DataFrame:
-    """Memories that were available at each query's origin, scored; ranks of the two recalls are kept where they are within RECALL."""
-    cols = ["state", "decision", "reliability", "gap", "origin", "node"]
-    q = queries.select(F.col("memory_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in cols])
-    p = q.join(memory, (memory["available"] <= q["q_origin"]) & (memory["memory_id"] != q["query_id"]))
-    days = (F.unix_micros(F.col("q_origin").cast("timestamp")) - F.unix_micros(F.col("origin").cast("timestamp"))) / 86_400_000_000.0
-    p = p.withColumn("age", days).where((F.col("age") >= 0) & (F.col("age") <= HORIZON_DAYS))
-    for c in ("state", "decision", "reliability", "gap"):
-        p = p.withColumn(f"s_{c}", F.round(kernel(F.col(f"q_{c}"), F.col(c)), 6))
-    physical = F.when(F.col("q_node") == F.col("node"), 1.0).otherwise(0.0)
-    recency = F.pow(F.lit(2.0), -F.col("age") / 30)
-    w = Window.partitionBy("query_id")
-    p = p.withColumn("r_state", F.row_number().over(w.orderBy(F.desc("s_state"), "memory_id"))).withColumn("r_decision", F.row_number().over(w.orderBy(F.desc("s_decision"), "memory_id")))
-    p = p.where((F.col("r_state") <= RECALL) | (F.col("r_decision") <= RECALL)).withColumn("physical", physical).withColumn("recency", recency)
+def reliability(bands: Column, scale: Column) -> Column:
+    """Six numbers: mae and bias of up to three horizon bands (array of structs with mae and bias) over the scale; zeros where there are none."""
+    pair = F.flatten(F.transform(F.slice(bands, 1, 3), lambda x: F.array(F.coalesce(x["mae"], F.lit(0.0)) / scale, F.coalesce(x["bias"], F.lit(0.0)) / scale)))
+    filled = F.concat(F.coalesce(pair, F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), 6))
+    return F.slice(filled, 1, 6)
+
+
+def memory_id(incident: Column, node: Column, layer: Column) -> Column:
+    return F.format_string("incident_%s_node_%s_layer_%s", incident.cast("string"), node.cast("string"), layer.cast("string"))
+
+
+def build_episodes(df: DataFrame, steps: int = FUTURE) -> DataFrame:
+    """df (incident_id, node, layer, dt) with memory_id, origin (floored to 5 minutes) and available: the origin and the time at which its last outcome is known."""
+    origin = F.timestamp_seconds(F.floor(F.unix_micros(F.col("dt").cast("timestamp")) / 300_000_000) * 300).cast("timestamp_ntz")
+    df = df.withColumn("memory_id", memory_id(F.col("incident_id"), F.col("node"), F.col("layer"))).withColumn("origin", origin)
+    return df.withColumn("available", F.col("origin") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(5 * steps)))
+
+
+PHYSICAL = ("road", "direction", "same_direction", "same_road")
+CARRIED = ("origin", "incident", "node", "layer", "hour", "history_change", *PHYSICAL)
+
+
+def physical_similarity(pairs: list[tuple[Column, Column]]) -> Column:
+    """Share of equal ones among the fields known on both sides; a half if there are none."""
+    known = [a.isNotNull() & b.isNotNull() for a, b in pairs]
+    n = sum((F.when(k, 1).otherwise(0) for k in known), F.lit(0))
+    same = sum((F.when(k & (a.cast("string") == b.cast("string")), 1.0).otherwise(0.0) for k, (a, b) in zip(known, pairs, strict=True)), F.lit(0.0))
+    return F.when(n > 0, same / n).otherwise(0.5)
+
+
+def _days(late: Column, early: Column) -> Column:
+    return (F.unix_micros(late.cast("timestamp")) - F.unix_micros(early.cast("timestamp"))) / 86_400_000_000.0
+
+
+def available_pairs(queries: DataFrame, memory: DataFrame, days: int = HORIZON_DAYS) -> DataFrame:
+    """Pairs of queries and memories known by then: another incident, available at the query's origin, no older than `days`, with a reference on both sides or on neither.
+
+    Memories are filed under their stretch of `days` and the next one, queries under their own, so the join goes over equal stretches. Columns: q_* and the memory's.
+    """
+    stretch = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (days * 86_400_000_000))
+    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("__at", stretch("q_origin")).withColumn("__normal", F.col("q_has_normal"))
+    m = memory.withColumn("__normal", F.col("has_normal")).withColumn("__at", F.explode(F.array(stretch("origin"), stretch("origin") + 1)))
+    p = q.join(m, ["__at", "__normal"]).drop("__at", "__normal")
+    p = p.where((F.col("available") <= F.col("q_origin")) & (F.col("incident") != F.col("q_incident"))).withColumn("age", _days(F.col("q_origin"), F.col("origin")))
+    return p.where((F.col("age") >= 0) & (F.col("age") <= days))
+
+
+def point_in_time(queries: DataFrame, memory: DataFrame, recall: int = RECALL, days: int = HORIZON_DAYS, half_life: float = 30.0) -> DataFrame:
+    """Memories that were available at each query's origin, scored: the `recall` most alike in state and those in decision.
+
+    queries and memory: memory_id, incident, node, layer, state, decision, reliability, gap, has_normal, origin, available and the physical fields. Each recall is a top-k of its
+    own, which Spark prunes before the exchange; only recalled pairs get the other scores. Without a reference, decisions count in their first 12 values, and reliability and gap not at all.
+    """
+    light = ["memory_id", "incident", "state", "decision", "has_normal", "origin", "available"]
+    p = available_pairs(queries.select(*light), memory.select(*light), days)
+    decision = F.when(F.col("has_normal"), kernel(F.col("q_decision"), F.col("decision"))).otherwise(kernel(F.slice("q_decision", 1, 12), F.slice("decision", 1, 12)))
+    p = p.select(F.col("q_memory_id").alias("query_id"), "memory_id", F.round(kernel(F.col("q_state"), F.col("state")), 6).alias("s_state"), F.round(decision, 6).alias("s_decision"), "age")
+
+    def best(score: str) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc(score), "memory_id")
+        return p.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= recall).drop("__r")
+
+    pool = best("s_state").unionByName(best("s_decision")).dropDuplicates(["query_id", "memory_id"])
+    fields = ["reliability", "gap", "has_normal", *CARRIED]
+    pool = pool.join(memory.select("memory_id", *fields), "memory_id")
+    pool = pool.join(queries.select(F.col("memory_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in fields if c != "has_normal"]), "query_id")
+    for c in ("reliability", "gap"):
+        pool = pool.withColumn(f"s_{c}", F.when(F.col("has_normal"), F.round(kernel(F.col(f"q_{c}"), F.col(c)), 6)).otherwise(1.0))
+    pool = pool.withColumn("physical", physical_similarity([(F.col(c), F.col(f"q_{c}")) for c in PHYSICAL])).withColumn("recency", F.pow(F.lit(2.0), -F.col("age") / half_life))
     fade = F.col("recency") * 0.1 + 0.9
     qualify = (F.col("s_state") * 0.45 + F.col("s_decision") * 0.45 + F.col("physical") * 0.1) * fade
-    if with_normal:
-        rank = (F.col("s_state") * 0.35 + F.col("s_decision") * 0.35 + F.col("s_reliability") * 0.12 + F.col("s_gap") * 0.08 + F.col("physical") * 0.1) * fade
-    else:
-        rank = qualify
-    return p.withColumn("qualify", F.round(qualify, 6)).withColumn("rank_score", F.round(rank, 6))
+    full = (F.col("s_state") * 0.35 + F.col("s_decision") * 0.35 + F.col("s_reliability") * 0.12 + F.col("s_gap") * 0.08 + F.col("physical") * 0.1) * fade
+    return pool.withColumn("qualify", F.round(qualify, 6)).withColumn("rank_score", F.round(F.when(F.col("has_normal"), full).otherwise(qualify), 6))
 
 
-def qualified(scored: DataFrame, least: float = 0.5) -> DataFrame:
-    return scored.where((F.col("qualify") >= least) & (F.col("s_state") >= least) & (F.col("s_decision") >= least))
+def qualified(scored: DataFrame, least: float = 0.5, kernels: float = 0.5) -> DataFrame:
+    return scored.where((F.col("qualify") >= least) & (F.col("s_state") >= kernels) & (F.col("s_decision") >= kernels))
 
 
 def greedy_suppress(scored: DataFrame, k: int = TOP, within_s: int = 900) -> DataFrame:
-    """query_id, kept (ids in rank order): a row is dropped if a kept row has its node and lies within so many seconds.
+    """query_id, kept (ids in rank order): a row is dropped if a kept row has its node and either its window's signature or an origin within so many seconds.
 
     Only the k kept rows matter for a decision, but any number may be dropped before k are kept; the fold runs over the at most 2 * RECALL rows a query recalls.
     """
-    item = F.struct((-F.col("rank_score")).alias("s"), F.col("origin").alias("t"), F.col("memory_id").alias("id"), "node")
+    item = F.struct((-F.col("rank_score")).alias("s"), F.col("memory_id").alias("id"), F.col("origin").alias("t"), "node", "signature")
     lists = scored.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     sec = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
-    near = lambda kept, x: F.exists(kept, lambda y: (y["node"] == x["node"]) & (F.abs(sec(y["t"]) - sec(x["t"])) <= within_s))
+    near = lambda kept, x: F.exists(kept, lambda y: (y["node"] == x["node"]) & ((y["signature"] == x["signature"]) | (F.abs(sec(y["t"]) - sec(x["t"])) <= within_s)))
     fold = F.aggregate("items", F.slice("items", 1, 0), lambda kept, x: F.when((F.size(kept) >= k) | near(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
     return lists.select("query_id", F.transform(fold, lambda x: x["id"]).alias("kept"))
 
 
+def differences(a: str = "", b: str = "q_") -> Column:
+    """In what a memory (columns a*) differs from the query (b*), as an array of texts."""
+    c = lambda n: (F.col(f"{a}{n}"), F.col(f"{b}{n}"))
+    apart = F.abs(c("hour")[0] - c("hour")[1])
+    flags = (
+        (c("node")[0] != c("node")[1], "sensor"), (c("layer")[0] != c("layer")[1], "distance layer"), (~c("direction")[0].eqNullSafe(c("direction")[1]), "direction"),
+        (F.least(apart, 24 - apart) >= 3, "time of day"), (F.signum(c("history_change")[0]) != F.signum(c("history_change")[1]), "latest change"),
+    )
+    return F.array_compact(F.array(*[F.when(flag, text) for flag, text in flags]))
+
+
+def local_evidence(hist: Column, base: Column, normal: Column, prediction: Column, truth: Column) -> Column:
+    """A struct of what a memory shows: ends of its trajectories, the latest changes, and the largest earlier rise. hist: 12 values."""
+    ends = lambda x: F.when(x.isNotNull(), F.struct(F.element_at(x, 1).alias("first"), F.element_at(x, -1).alias("last")))
+    steps = A.steps(hist, 12)
+    return F.struct(
+        F.element_at(steps, 11).alias("latest_change"), F.slice(steps, 9, 3).alias("recent_changes"), F.array_max(F.slice(steps, 1, 10)).alias("earlier_largest_rise"), F.element_at(hist, 12).alias("latest"),
+        ends(base).alias("base"), ends(normal).alias("normal"), ends(prediction).alias("prediction"), ends(truth).alias("truth"))
+
+
+def retrieve(queries: DataFrame, memory: DataFrame, relevance: DataFrame, k: int = TOP, least: float = 0.5, recall: int = RECALL, days: int = HORIZON_DAYS, half_life: float = 30.0, kernels: float = 0.5) -> DataFrame:
+    """query_id, place, memory_id, rank_score, differences: the k memories of each query after qualification, relevance and suppression.
+
+    relevance: memory_id and eligible (see learning_reason). Memories need `signature` as well.
+    """
+    if not 0 <= least <= 1 or k <= 0 or half_life <= 0 or days < 0:
+        raise ValueError("least must be in [0, 1], k and half_life above 0, days not below 0")
+    scored = qualified(point_in_time(queries, memory, recall, days, half_life), least, kernels)
+    scored = scored.join(relevance.where("eligible").select("memory_id"), "memory_id", "left_semi").join(memory.select("memory_id", "signature"), "memory_id")
+    kept = greedy_suppress(scored, k).select("query_id", F.posexplode("kept").alias("p", "memory_id"))
+    return kept.join(scored.withColumn("differences", differences()), ["query_id", "memory_id"]).select("query_id", (F.col("p") + 1).alias("place"), "memory_id", "rank_score", "differences")
+
+
+def effect_direction(mean_effect: Column, band: float = 0.5) -> Column:
+    return F.when(mean_effect > band, "increase").when(mean_effect < -band, "decrease").otherwise("flat")
+
+
+def eligible_to_learn(base_mae: Column, delta: Column, points: Column, min_base: float = 15.0, regression: float = 10.0) -> Column:
+    return (points > 0) & ((base_mae >= min_base) | (delta >= regression))
+
+
 def verdict(delta: Column) -> Column:
     return F.when(delta < -1e-6, "improved").when(delta > 1e-6, "degraded").otherwise("equal")
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 BANDS = ((1, 3), (4, 6), (7, 12))
 
 
-def error_sums(y: Column, p: Column) -> list[Column]:
-    ok = y != 0  # true for NaN as well
+def error_sums(y: Column, p: Column, mask: Column | None = None) -> list[Column]:
+    ok = (y != 0) if mask is None else (y != 0) & mask  # true for NaN as well
     e = p - y
     add = lambda c: F.sum(F.when(ok, F.nanvl(c, F.lit(0.0))))
     return [add(F.abs(e)).alias("sum_abs"), add(e * e).alias("sum_sq"), add(F.abs(e) / F.abs(y)).alias("sum_pct"), add(e).alias("sum_err"), F.count(F.when(ok, 1)).alias("count")]
@@ -18,11 +18,42 @@ def error_sums(y: Column, p: Column) -> list[Column]:
 def from_sums(df: DataFrame) -> DataFrame:
     n = F.greatest(F.col("count"), F.lit(1))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / n
-    return df.withColumn("mae", z("sum_abs")).withColumn("mape", z("sum_pct")).withColumn("rmse", F.sqrt(z("sum_sq"))).withColumn("bias", z("sum_err")).drop("sum_abs", "sum_sq", "sum_pct", "sum_err")
+    out = df.withColumn("mae", z("sum_abs")).withColumn("mape", z("sum_pct")).withColumn("rmse", F.sqrt(z("sum_sq"))).withColumn("bias", z("sum_err"))
+    return out.withColumn("mape_percent", F.col("mape") * 100).drop("sum_abs", "sum_sq", "sum_pct", "sum_err")
 
 
-def masked_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    return from_sums(df.groupBy(*by).agg(*error_sums(F.col(y), F.col(p))))
+def masked_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", mask: str | None = None) -> DataFrame:
+    return from_sums(df.groupBy(*by).agg(*error_sums(F.col(y), F.col(p), F.col(mask) if mask else None)))
+
+
+def local_outcomes(df: DataFrame, by: list[str], intervals: DataFrame | None = None) -> DataFrame:
+    """Errors of base, normal and prediction against y per interval of steps, the prediction's change of MAE over the base, and the verdict.
+
+    df: by, horizon, y, base, normal (may be null), prediction. intervals: start_step, end_step (and any of by); the horizon bands by default. Steps with a missing (0, NaN, infinite) y count nowhere.
+    """
+    spark = df.sparkSession
+    spans = intervals if intervals is not None else spark.createDataFrame(list(BANDS), "start_step int, end_step int")
+    on = [c for c in spans.columns if c in by]
+    inside = df.alias("d").join(F.broadcast(spans).alias("s") if intervals is None else spans.alias("s"), [F.col(f"d.{c}") == F.col(f"s.{c}") for c in on] + [F.col("horizon").between(F.col("start_step"), F.col("end_step"))])
+    rows = inside.select(*[F.col(f"d.{c}") for c in df.columns], "start_step", "end_step").where((F.col("y") != 0) & ~F.isnan("y") & (F.abs("y") < float("inf")))
+    mean = lambda c, f: F.when(F.count(c) == F.count("*"), F.avg(f(F.col(c) - F.col("y"))))
+    out = rows.groupBy(*by, "start_step", "end_step").agg(
+        F.count("*").alias("valid_points"), *[mean(c, f).alias(f"{c}_{n}") for c in ("base", "normal", "prediction") for n, f in (("mae", F.abs), ("bias", lambda x: x))])
+    delta = F.col("prediction_mae") - F.col("base_mae")
+    return out.withColumn("delta", delta).withColumn("outcome", F.when(delta < -1e-6, "improved").when(delta > 1e-6, "degraded").otherwise("equal"))
+
+
+def choose_incidents(eligible: DataFrame, requested: list[int | str] | None, cases: DataFrame, id_col: str = "incident_id", time: str = "dt") -> DataFrame:
+    """The requested incidents that are eligible, each once, in order of time; those of `cases` if none are requested. An id that `eligible` doesn't hold raises."""
+    if requested is None:
+        wanted = cases.select(id_col).distinct()
+    else:
+        spark = eligible.sparkSession
+        wanted = spark.createDataFrame([(x,) for x in dict.fromkeys(requested)], f"{id_col} {dict(eligible.dtypes)[id_col]}")
+        unknown = [r[0] for r in wanted.join(eligible, id_col, "left_anti").limit(5).collect()]
+        if unknown:
+            raise ValueError(f"not among the eligible incidents: {unknown}")
+    return eligible.join(wanted, id_col, "left_semi").dropDuplicates([id_col]).orderBy(time, id_col)
 
 
 def band_of(horizon: Column) -> Column:
@@ -48,8 +79,10 @@ def horizon_profile(df: DataFrame, by: list[str]) -> DataFrame:
         (F.sum("s") * F.sum("s") / F.sum(F.col("s") * F.col("s"))).alias("effective_windows"))
 
 
-def impact_cases(windows: DataFrame, top: int, last_least: float = 50, drop_least: float = 20, rel_least: float = 0.1) -> DataFrame:
+def impact_cases(windows: DataFrame, top: int, month: int | None = None, ts: Column | None = None, last_least: float = 50, drop_least: float = 20, rel_least: float = 0.1) -> DataFrame:
     """Windows with the greatest drop: last value minus the least future value, by drop times relative drop (a top-k report)."""
+    if month is not None:
+        windows = windows.where(F.month(ts if ts is not None else F.col("ts")) == month)
     w = windows.withColumn("last", F.element_at("hist", 12)).withColumn("drop_", F.col("last") - F.array_min("fut"))
     w = w.withColumn("rel", F.col("drop_") / F.greatest(F.col("last"), F.lit(1.0))).where((F.col("last") >= last_least) & (F.col("drop_") >= drop_least) & (F.col("rel") >= rel_least))
     return w.withColumn("score", F.round(F.col("drop_") * F.col("rel"), 4)).orderBy(F.desc("score"), "node", "step").limit(top)

@@ -100,6 +100,20 @@ def _halves(v: Column) -> tuple[Column, Column]:
     return F.zip_with(first, second, lambda x, y: (x - y) / 2), F.zip_with(first, second, lambda x, y: (x + y) / 2)
 
 
+def dynamics(a: Column) -> Column:
+    """Level, steps and pyramid of 12 values, normalised: what histories are recalled by."""
+    return unit(F.concat(A.robust_normalise(a), A.robust_normalise(A.steps(a, 12), 11), haar(a)))
+
+
+def incident_vector(blocks: list[Column]) -> Column:
+    """The blocks of an incident's fields (each normalised) and its time block in one vector, normalised again."""
+    return unit(F.concat(*blocks))
+
+
+def one_hot(value: Column, values: list) -> Column:
+    return F.array(*[F.when(value == v, 1.0).otherwise(0.0) for v in values])
+
+
 def level_similarity(a: Column, b: Column, n: int = 12) -> Column:
     ma, mb = A.median(a, n), A.median(b, n)
     return F.exp(-2 * F.abs(ma - mb) / F.greatest(F.abs(ma), F.abs(mb), F.lit(1.0)))
@@ -138,6 +152,15 @@ def retrieval_score(parts: dict[str, Column]) -> Column:
     return sum((clip(parts[k]) * w for k, w in RETRIEVAL_WEIGHTS.items()), F.lit(0.0)) / sum(RETRIEVAL_WEIGHTS.values())
 
 
+def equal_share(pairs: list[tuple[Column, Column]]) -> Column:
+    """Share of fields that are equal (two nulls are); the native stand-in for text similarity of attributes."""
+    return sum((F.when(a.eqNullSafe(b), 1.0).otherwise(0.0) for a, b in pairs), F.lit(0.0)) / len(pairs)
+
+
+def network_time(network: Column, time: Column, incident: Column) -> Column:
+    return network * 0.55 + time * 0.25 + incident * 0.20
+
+
 # Python where SQL has no equal ---------------------------------------------------------------------------------------
 @F.pandas_udf(T.DoubleType())
 def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:

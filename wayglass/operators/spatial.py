@@ -2,46 +2,130 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import pi
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayglass.functions.keys import bearing_deg, haversine_km
+from wayglass.functions.keys import EARTH_KM, bearing_deg, haversine_km
 
-KM_PER_DEGREE = 111.195
 BANDS = ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))
 
 
-def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All pairs of two named small sets (a stated query set against all rows)."""
-    return a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]).crossJoin(b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]))
+def finite(df: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Rows with coordinates on the globe: null, NaN and infinite ones have no distance to anything."""
+    return df.where(~F.isnan(lat) & ~F.isnan(lng) & (F.abs(lat) <= 90) & (F.abs(F.col(lng)) <= 540))
+
+
+def _net(lat: Column, radius_km: float) -> tuple[Column, float]:
+    """The band of a latitude and the bands' height in degrees: a little more than the radius."""
+    height = radius_km / (EARTH_KM * pi / 180) * 1.0001
+    return F.floor((lat + 90) / height), height
+
+
+def _cells_of_band(u: Column, height: float) -> Column:
+    """Cells around the globe in band u, each at least as wide as the radius is anywhere in the band or next to it; one where the pole is as near."""
+    farthest = F.greatest(F.abs((u - 1) * height - 90), F.abs((u + 2) * height - 90))
+    reach = F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(min(height, 90.0)))) / F.cos(F.radians(F.least(farthest, F.lit(89.999)))), F.lit(1.0)))) * 1.0001
+    return F.when(farthest + height >= 90, 1).otherwise(F.greatest(F.floor(F.lit(360.0) / reach), F.lit(1))).cast("long")
+
+
+def _cell(lng: Column, cells: Column) -> Column:
+    return F.least(F.floor(F.pmod(lng + 180, F.lit(360.0)) / (F.lit(360.0) / cells)), cells - 1).cast("long")
+
+
+def near_pairs(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
+    """All columns of both as a_* and b_*, and km, of the pairs of a and b (lat, lng) within the radius, at any latitude and across the date line.
+
+    Rows are filed in a net whose cells are as wide as the radius; each row of a looks into the cells around its own, of b into its own: an equi-join.
+    """
+    left = finite(a).select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
+    right = finite(b).select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
+    band, height = _net(F.col("a_lat"), radius_km)
+    left = left.withColumn("__u", F.explode(F.array(*[band + i for i in (-1, 0, 1)]))).withColumn("__cells", _cells_of_band(F.col("__u"), height))
+    around = F.array_distinct(F.array(*[F.pmod(_cell(F.col("a_lng"), F.col("__cells")) + i, F.col("__cells")) for i in (-1, 0, 1)]))
+    left = left.withColumn("__v", F.explode(around)).drop("__cells")
+    right = right.withColumn("__u", _net(F.col("b_lat"), radius_km)[0]).withColumn("__v", _cell(F.col("b_lng"), _cells_of_band(F.col("__u"), height)))
+    km = haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
+    return left.join(right, ["__u", "__v"]).drop("__u", "__v").withColumn("km", km).where(F.round("km", 6) <= radius_km)
 
 
 def with_geometry(p: DataFrame) -> DataFrame:
     c = [F.col(x) for x in ("a_lat", "a_lng", "b_lat", "b_lng")]
-    return p.withColumn("km", haversine_km(*c)).withColumn("bearing", bearing_deg(*c))
+    return p.withColumn("bearing", bearing_deg(*c))
 
 
 def nearest(sites: DataFrame, sensors: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The sensor nearest (in squared degrees) to each site, among those with equal keys if given; ties go to the smaller id."""
-    s = sensors.select("sensor", F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), *(keys or []))
-    joined = sites.join(s, keys) if keys else sites.crossJoin(s)
-    d2 = F.pow(F.col("lat") - F.col("s_lat"), 2) + F.pow(F.col("lng") - F.col("s_lng"), 2)
-    return joined.groupBy("site").agg(F.min_by("sensor", F.struct(F.round(d2, 10), "sensor")).alias("sensor"))
-
+    """site and the sensor nearest to it (in squared degrees), among those with equal keys if given; ties go to the smaller id. Null where there is none.
 
-def within(sensors: DataFrame, radius_km: float, max_nodes: int) -> DataFrame:
+    Sites look into the nine cells around them of a net of squares; a find nearer than a square's side can't be beaten from outside. The others
+    go on in squares twice as large, until one holds all sensors: a number of rounds that the logarithm of the net's size bounds.
+    """
+    keys = keys or []
+    s = finite(sensors).select("sensor", F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), *keys)
+    box = s.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("s_lat", "s_lng") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    todo = finite(sites).select("site", "lat", "lng", *keys)
+    if not box["n"]:
+        return sites.select("site", F.lit(None).cast("long").alias("sensor"))
+    spread = max(box["hi_s_lat"] - box["lo_s_lat"], box["hi_s_lng"] - box["lo_s_lng"], 1e-6)
+    far = todo.agg(*[f(F.abs(F.col(c) - lo)) for c, lo in (("lat", box["lo_s_lat"]), ("lng", box["lo_s_lng"])) for f in (F.max,)]).first()
+    whole = max(spread, *(x or 0.0 for x in far)) + spread
+    side, found = max(2 * spread / max(1.0, box["n"] ** 0.5), 1e-6), []
+    cell = lambda c: F.floor(F.col(c) / F.lit(side))
+    while True:
+        filed = s.withColumn("__u", cell("s_lat")).withColumn("__v", cell("s_lng"))
+        looked = todo.withColumn("__u", F.explode(F.array(*[cell("lat") + i for i in (-1, 0, 1)]))).withColumn("__v", F.explode(F.array(*[cell("lng") + i for i in (-1, 0, 1)])))
+        d2 = F.pow(F.col("lat") - F.col("s_lat"), 2) + F.pow(F.col("lng") - F.col("s_lng"), 2)
+        best = looked.join(filed, [*keys, "__u", "__v"]).groupBy("site").agg(F.min_by("sensor", F.struct(F.round(d2, 10).alias("d2"), "sensor")).alias("sensor"), F.min(d2).alias("d2"))
+        last = side > whole
+        best = best if last else best.where(F.col("d2") <= (0.999 * side) ** 2)
+        best = best.select("site", "sensor").persist()
+        found.append(best)
+        todo = todo.join(best, "site", "left_anti")
+        if last or todo.isEmpty():
+            break
+        side *= 4
+    return sites.select("site").distinct().join(reduce(DataFrame.unionByName, found), "site", "left")
+
+
+def within(sensors: DataFrame, radius_km: float, max_nodes: int, edges: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """sensor, neighbour, km, rank: all neighbours within the radius, the nearest max_nodes.
 
-    Sensors are filed under the cell of a net as wide as the radius; only the nine cells around each are joined.
+    With edges (src, dst, weight), each sensor is the target of its own search: it comes first (rank 1), then the neighbours within the radius that an
+    edge of more than `least` leads to, by falling weight, max_nodes in all; the rows then have `weight` as well.
     """
-    lat_cell = radius_km / KM_PER_DEGREE
-    lng_cell = lat_cell / 0.75  # wide enough up to 41 degrees of latitude
-    cell = lambda c, w: F.floor(F.col(c) / F.lit(w))
-    a = sensors.select("sensor", "lat", "lng", F.explode(F.array(*[F.struct((cell("lat", lat_cell) + i).alias("u"), (cell("lng", lng_cell) + j).alias("v")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell"))
-    b = sensors.select(F.col("sensor").alias("neighbour"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), F.struct(cell("lat", lat_cell).alias("u"), cell("lng", lng_cell).alias("v")).alias("cell"))
-    near = a.join(b, "cell").where("sensor <> neighbour").withColumn("km", F.round(haversine_km(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng")), 6)).where(F.col("km") <= radius_km)
-    rank = F.row_number().over(Window.partitionBy("sensor").orderBy("km", "neighbour"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= max_nodes).select("sensor", "neighbour", "km", "rank")
+    p = near_pairs(sensors.select("sensor", "lat", "lng"), sensors.select("sensor", "lat", "lng"), radius_km).select(F.col("a_sensor").alias("sensor"), F.col("b_sensor").alias("neighbour"), F.round("km", 6).alias("km"))
+    if edges is None:
+        near = p.where("sensor <> neighbour")
+        rank = F.row_number().over(Window.partitionBy("sensor").orderBy("km", "neighbour"))
+        return near.withColumn("rank", rank).where(F.col("rank") <= max_nodes).select("sensor", "neighbour", "km", "rank")
+    e = edges.select(F.col("src").alias("sensor"), F.col("dst").alias("neighbour"), "weight").where(F.col("weight") > least)
+    near = p.join(e, ["sensor", "neighbour"], "left").where("sensor = neighbour or weight is not null")
+    own = F.when(F.col("sensor") == F.col("neighbour"), 0).otherwise(1)
+    rank = F.row_number().over(Window.partitionBy("sensor").orderBy(own, F.desc("weight"), "neighbour"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= max_nodes).select("sensor", "neighbour", "km", "weight", "rank")
+
+
+def node_set(sites: DataFrame, sensors: DataFrame, radius_km: float, max_nodes: int, edges: DataFrame | None = None) -> DataFrame:
+    """site, neighbour, rank: the nearest sensor of each site and the nodes around that (with edges, those that it leads to)."""
+    target = nearest(sites, sensors).where("sensor is not null")
+    around = within(sensors, radius_km, max_nodes, edges)
+    if edges is None:  # the target itself comes first
+        around = around.select("sensor", "neighbour", F.col("rank") + 1).toDF("sensor", "neighbour", "rank").where(F.col("rank") <= max_nodes)
+        around = around.unionByName(sensors.select("sensor", F.col("sensor").alias("neighbour"), F.lit(1).alias("rank")))
+    return target.join(around, "sensor").select("site", "neighbour", "rank")
+
+
+def distance_layers(sensors: DataFrame, bands, max_nodes: int) -> DataFrame:
+    """target, node, layer, km: a target in layer 0, and by distance bands its max_nodes - 1 nearest neighbours of one road (lo, hi]; none beyond the last band."""
+    p = near_pairs(sensors, sensors, bands[-1][1]).where("a_road = b_road and a_sensor <> b_sensor and km > 0")
+    place = F.row_number().over(Window.partitionBy("a_sensor").orderBy("km", "b_sensor"))
+    layer = F.lit(None).cast("int")
+    for i, (lo, hi) in reversed(list(enumerate(bands, 1))):
+        layer = F.when((F.col("km") > lo) & (F.col("km") <= hi), i).otherwise(layer)
+    near = p.withColumn("place", place).where(F.col("place") < max_nodes).select(F.col("a_sensor").alias("target"), F.col("b_sensor").alias("node"), layer.alias("layer"), "km")
+    return near.where("layer is not null").unionByName(sensors.select(F.col("sensor").alias("target"), F.col("sensor").alias("node"), F.lit(0).alias("layer"), F.lit(0.0).alias("km")))
 
 
 def one_hop(edges: DataFrame, least: float = 0.5) -> DataFrame:
@@ -65,23 +149,49 @@ def row_normalised(edges: DataFrame) -> DataFrame:
     return full.withColumn("weight", F.col("weight") / F.greatest(F.sum("weight").over(Window.partitionBy("src")), F.lit(1e-6)))
 
 
-def shortest_paths(edges: DataFrame, source: int, max_hops: int) -> DataFrame:
-    """node, hops, path: fewest hops, ties by the lexicographically smallest path (breadth-first with ordered neighbours).
+def shortest_paths(edges: DataFrame, source: int | list[int], max_hops: int) -> DataFrame:
+    """(source,) node, hops, path: fewest hops, ties by the lexicographically smallest path (breadth-first with ordered neighbours).
 
-    One join and one aggregation a level; each node is settled at the first level that reaches it, so levels hold no more rows than there are nodes.
+    One join and one aggregation a level; each node is settled at the first level that reaches it. Edges and levels are cached, so that no level is computed
+    twice, and the walk ends when a level is empty. Of a list of sources all walk at once, and rows name their source.
     """
     spark = edges.sparkSession
-    front = spark.createDataFrame([(source, 0, [source])], "node int, hops int, path array<int>")
-    done = front
+    sources = [source] if isinstance(source, int) else source
+    steps = edges.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")).distinct().persist()
+    front = spark.createDataFrame([(s, s, 0, [s]) for s in sources], "source int, node int, hops int, path array<int>")
+    levels = [front]
     for hop in range(1, max_hops + 1):
-        step = (
-            front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-            .groupBy("node").agg(F.min("path").alias("path")).join(done.select("node"), "node", "left_anti")
-            .select("node", F.lit(hop).alias("hops"), "path")
+        done = reduce(DataFrame.unionByName, levels).select("source", "node")
+        front = (
+            front.join(steps, front.node == steps.src).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+            .groupBy("source", "node").agg(F.min("path").alias("path")).join(done, ["source", "node"], "left_anti")
+            .select("source", "node", F.lit(hop).alias("hops"), "path").persist()
         )
-        front = step
-        done = done.unionByName(step)
-    return done
+        if front.isEmpty():
+            break
+        levels.append(front)
+    out = reduce(DataFrame.unionByName, levels)
+    return out.drop("source") if isinstance(source, int) else out
+
+
+def topology(sources: DataFrame, edges: DataFrame, places: DataFrame, max_hops: int) -> DataFrame:
+    """source, target, connected, hops, path, km (summed along the path) of each pair; places: node, lat, lng. Unreached targets are not connected."""
+    starts = [r["source"] for r in sources.select("source").distinct().collect()]  # a stated set of sources
+    found = shortest_paths(edges, starts, max_hops).withColumnRenamed("node", "target")
+    legs = found.select("source", "target", F.explode(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("x"), F.expr("slice(path, 2, size(path) - 1)").alias("y"))).alias("leg"))
+    at = lambda n: places.select(F.col("node").alias(n), F.col("lat").alias(f"{n}_lat"), F.col("lng").alias(f"{n}_lng"))
+    legs = legs.select("source", "target", "leg.x", "leg.y").join(at("x"), "x").join(at("y"), "y")
+    km = legs.groupBy("source", "target").agg(F.sum(haversine_km(F.col("x_lat"), F.col("x_lng"), F.col("y_lat"), F.col("y_lng"))).alias("km"))
+    out = sources.join(found, ["source", "target"], "left").join(km, ["source", "target"], "left")
+    return out.select("source", "target", F.col("hops").isNotNull().alias("connected"), "hops", "path", F.when(F.col("hops") == 0, 0.0).otherwise(F.col("km")).alias("km"))
+
+
+def edge_layers(edges: DataFrame, rules) -> DataFrame:
+    """target, node, layer: the target itself in layer 0, others in the layer of the first rule (lo, hi] that holds their weight."""
+    layer = F.when(F.col("src") == F.col("dst"), 0)
+    for i, (lo, hi) in enumerate(rules, 1):
+        layer = layer.when((F.col("weight") > lo) & (F.col("weight") <= hi), i)
+    return edges.select(F.col("src").alias("target"), F.col("dst").alias("node"), layer.alias("layer")).where("layer is not null")
 
 
 def predecessors(distance: DataFrame) -> DataFrame:
@@ -92,9 +202,9 @@ def predecessors(distance: DataFrame) -> DataFrame:
     return ap.join(pt, "prev").join(at, ["anchor", "target"]).where("m_ap < m_at and anchor <> prev and prev <> target and anchor <> target")
 
 
-def route_table(sites: DataFrame, sensors: DataFrame) -> DataFrame:
-    """site, sensor, distance_m, duration_s, bearing_deg; null where there is no route. Haversine stands in for a routing service."""
-    p = with_geometry(pairs(sites, sensors))
+def route_table(sites: DataFrame, sensors: DataFrame, radius_km: float) -> DataFrame:
+    """site, sensor, distance_m, duration_s, bearing_deg of pairs within the radius; null where there is no route. Haversine stands in for a routing service."""
+    p = with_geometry(near_pairs(sites, sensors, radius_km))
     none = (F.col("a_site") + F.col("b_sensor")) % 11 == 0
     m = F.round(F.col("km") * 1300, 4)
     return p.select(F.col("a_site").alias("site"), F.col("b_sensor").alias("sensor"), F.when(~none, m).alias("distance_m"),
@@ -102,6 +212,13 @@ def route_table(sites: DataFrame, sensors: DataFrame) -> DataFrame:
                     (F.col("a_road") == F.col("b_road")).alias("same_road"), (F.col("a_direction") == F.col("b_direction")).alias("same_direction"))
 
 
+def route_relation(query: DataFrame, candidate: DataFrame) -> DataFrame:
+    """query_site, site, sensor and the relation of their routes to one sensor: each side's km, seconds and bearing in a struct, null where it has no route."""
+    side = lambda p: F.when(F.col(f"{p}distance_m").isNotNull(), F.struct((F.col(f"{p}distance_m") / 1000).alias("km"), F.col(f"{p}duration_s").alias("seconds"), F.col(f"{p}bearing_deg").alias("bearing")))
+    q = query.select("sensor", *[F.col(c).alias(f"q_{c}") for c in ("site", "distance_m", "duration_s", "bearing_deg")])
+    return q.join(candidate, "sensor").where("q_site <> site").select(F.col("q_site").alias("query_site"), "site", "sensor", side("q_").alias("query_route"), side("").alias("candidate_route"))
+
+
 def impact_scope(routes: DataFrame, bands) -> DataFrame:
     """Sensors of each site by band and distance, with the site's anchor (the nearest of all)."""
     r = routes.withColumn("layer", band(F.col("distance_m") / 1000, bands)).where("layer is not null")
@@ -110,13 +227,16 @@ def impact_scope(routes: DataFrame, bands) -> DataFrame:
     return r.withColumn("place", place).withColumn("anchor", anchor)
 
 
-def eligibility(sites: DataFrame, routes: DataFrame, bands) -> DataFrame:
-    """One row a site: anchor, anchor_km, nodes, skip_reason."""
+def eligibility(sites: DataFrame, routes: DataFrame, bands, routed: DataFrame | None = None) -> DataFrame:
+    """One row a site: anchor, anchor_m, nodes, skip_reason. routed: site and routed, its routes at any distance, where `routes` has the near ones only."""
     scoped = routes.withColumn("layer", band(F.col("distance_m") / 1000, bands))
     per = scoped.groupBy("site").agg(
         F.count("distance_m").alias("routed"), F.count("layer").alias("nodes"),
         F.min_by("sensor", F.when(F.col("layer").isNotNull(), F.struct("distance_m", "sensor"))).alias("anchor"),
         F.min(F.when(F.col("layer").isNotNull(), F.col("distance_m"))).alias("anchor_m"))
-    out = sites.select("site").join(per, "site", "left").na.fill(0, ["routed", "nodes"])
+    out = sites.select("site").join(per, "site", "left")
+    if routed is not None:
+        out = out.drop("routed").join(routed, "site", "left")
+    out = out.na.fill(0, ["routed", "nodes"])
     reason = F.when(F.col("routed") == 0, "missing_osrm_route_cache").when(F.col("nodes") == 0, "no_osrm_route_in_distance_bands").otherwise("")
     return out.withColumn("skip_reason", reason).withColumn("anchor", F.when(F.col("nodes") > 0, F.col("anchor")))

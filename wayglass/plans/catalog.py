@@ -22,6 +22,8 @@ from wayglass.operators.records import rounded
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 BANDS_KM = ((0.0, 20.0), (20.0, 40.0), (40.0, 60.0))
+#: Straight kilometres within which routes are looked up: the last band over the 1.3 by which routes are longer. Kilometres of the pair queries.
+ROUTE_KM, PAIR_KM = 46.2, 10.0
 
 
 def query(sql: str | None = None):
@@ -42,12 +44,12 @@ GRID = """grid AS (SELECT n.node, s.step, coalesce(a.flow, 0.0) AS flow, coalesc
 WIN = GRID + """, win AS (SELECT * FROM (SELECT node, step, step // 240 AS chunk, list(flow) OVER h AS hist, list(flow) OVER f AS fut, list(CAST(occupancy AS DOUBLE)) OVER h AS occ, list(speed) OVER h AS spd
  FROM grid WINDOW h AS (PARTITION BY node, step // 240 ORDER BY step ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), f AS (PARTITION BY node, step // 240 ORDER BY step ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING))
  WHERE len(hist) = 12 AND len(fut) = 12)"""
-INC = """inc AS (SELECT event_id AS incident_id, ts AS dt, CAST(floor(epoch(ts)/3600) AS BIGINT) - 473352 AS step, CAST((event_id % 5 - 1) * 30 AS BIGINT) AS duration_minutes
- FROM (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS rn FROM events WHERE event_type = 'error') WHERE rn <= 8)"""
-EXC = """exc AS (SELECT epoch(dt) - 1704067200 - 1800 - 3600 AS lo, epoch(dt) - 1704067200 + (CASE WHEN duration_minutes > 0 THEN duration_minutes ELSE 60 END) * 60 + 3300 AS hi FROM inc)"""
-FREE = "free AS (SELECT * FROM win w WHERE NOT EXISTS (SELECT 1 FROM exc e WHERE w.step * 3600 BETWEEN e.lo AND e.hi))"
+INC = """inc AS (SELECT event_id AS incident_id, ts AS dt, CAST(floor(epoch(ts)/3600) AS BIGINT) - 473352 AS step, CAST((event_id % 5 - 1) * 30 AS BIGINT) AS duration_minutes, 'type ' || (event_id % 4) AS kind, 'area ' || (event_id % 7) AS area FROM events WHERE event_type = 'error'),
+ loc AS (SELECT *, round(km * 72, 4) AS seconds, CAST(spot % 360 AS DOUBLE) AS bearing FROM (SELECT *, CASE WHEN (incident_id + length(node)) % 13 <> 0 THEN spot / 80.0::DOUBLE END AS km FROM (SELECT inc.*, node, (incident_id * 7919 + length(node) * 104729) % 100003 AS spot FROM inc CROSS JOIN (SELECT DISTINCT event_type AS node FROM events))) WHERE km BETWEEN 0 AND 5)"""
+EXC = """exc AS (SELECT node, epoch(dt) - 1704067200 - 1800 - 3600 AS lo, epoch(dt) - 1704067200 + (CASE WHEN duration_minutes > 0 THEN duration_minutes ELSE 60 END) * 60 + 3300 AS hi FROM loc)"""
+FREE = "free AS (SELECT * FROM win w WHERE NOT EXISTS (SELECT 1 FROM exc e WHERE e.node = w.node AND w.step * 3600 BETWEEN e.lo AND e.hi))"
 SEN = "sen AS (SELECT s_suppkey AS sensor, 38 + (s_suppkey % 97) / 100.0::DOUBLE AS lat, -121 - (s_suppkey % 89) / 100.0::DOUBLE AS lng, CAST(s_nationkey % 7 AS VARCHAR) AS road, CASE s_suppkey % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'S' WHEN 2 THEN 'E' ELSE 'W' END AS direction FROM supplier)"
-SIT = "sit AS (SELECT c_custkey AS site, 38 + (c_custkey * 7 % 97) / 100.0::DOUBLE AS lat, -121 - (c_custkey * 3 % 89) / 100.0::DOUBLE AS lng, CAST(c_nationkey % 7 AS VARCHAR) AS road, CASE c_custkey % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'S' WHEN 2 THEN 'E' ELSE 'W' END AS direction FROM customer WHERE c_custkey < 50)"
+SIT = "sit AS (SELECT c_custkey AS site, 38 + (c_custkey * 7 % 97) / 100.0::DOUBLE AS lat, -121 - (c_custkey * 3 % 89) / 100.0::DOUBLE AS lng, CAST(c_nationkey % 7 AS VARCHAR) AS road, CASE c_custkey % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'S' WHEN 2 THEN 'E' ELSE 'W' END AS direction FROM customer)"
 
 
 def hav(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
@@ -63,12 +65,13 @@ def bear(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
 
 HAV, BEAR = hav("a.lat", "a.lng", "b.lat", "b.lng"), bear("a.lat", "a.lng", "b.lat", "b.lng")
 ROUTES = f"""{SIT}, {SEN}, rt0 AS (SELECT a.site, b.sensor, CASE WHEN (a.site + b.sensor) % 11 <> 0 THEN round({HAV} * 1300, 4) END AS distance_m, CASE WHEN (a.site + b.sensor) % 11 <> 0 THEN round({BEAR}, 4) END AS bearing_deg,
- a.road = b.road AS same_road, a.direction = b.direction AS same_direction FROM sit a CROSS JOIN sen b),
+ a.road = b.road AS same_road, a.direction = b.direction AS same_direction FROM sit a CROSS JOIN sen b WHERE round({HAV}, 6) <= 46.2),
  rt AS (SELECT *, round(distance_m / 13.8889, 4) AS duration_s FROM rt0),
  scoped AS (SELECT *, CASE WHEN distance_m / 1000 >= 0 AND distance_m / 1000 <= 20 THEN 0 WHEN distance_m / 1000 > 20 AND distance_m / 1000 <= 40 THEN 1 WHEN distance_m / 1000 > 40 AND distance_m / 1000 <= 60 THEN 2 END AS layer FROM rt)"""
 EDG = """cnt AS (SELECT CAST(s_nationkey AS INT) AS src, CAST(c_nationkey AS INT) AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
  edg AS (SELECT src, dst, n::DOUBLE / (SELECT max(n) FROM cnt) AS weight FROM cnt)"""
-EPI = """epi AS (SELECT vec_id AS memory_id, label AS node, e[1:16] AS state, e[17:40] AS decision, e[41:46] AS reliability, e[47:58] AS gap, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * vec_id AS origin, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (vec_id + 12) AS available
+EPI = """epi AS (SELECT vec_id AS memory_id, label AS node, e[1:16] AS state, e[17:40] AS decision, e[41:46] AS reliability, e[47:58] AS gap, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * vec_id AS origin, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (vec_id + 12) AS available,
+ vec_id % 50 AS incident, vec_id % 3 AS layer, vec_id % 10 <> 9 AS has_normal, vec_id % 24 AS hour, e[12] - e[11] AS history_change, vec_id % 37 AS signature, CASE WHEN vec_id % 11 <> 0 THEN label % 7 END AS road, vec_id % 4 AS direction, vec_id % 2 = 0 AS same_direction, CASE WHEN vec_id % 5 <> 0 THEN vec_id % 3 = 0 END AS same_road
  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))"""
 
 
@@ -222,15 +225,15 @@ def chronological_split(spark, d):
 
 # space and graph ---------------------------------------------------------------------------------------------------
 def _site_pairs(spark, d):
-    return spatial.with_geometry(spatial.pairs(S.sites(spark, d), S.sensors(spark, d)))
+    return spatial.with_geometry(spatial.near_pairs(S.sites(spark, d), S.sensors(spark, d), PAIR_KM))
 
 
-@query(f"WITH {SIT}, {SEN} SELECT a.site, b.sensor, round({HAV}, 4) AS km FROM sit a CROSS JOIN sen b")
+@query(f"WITH {SIT}, {SEN} SELECT a.site, b.sensor, round({HAV}, 4) AS km FROM sit a CROSS JOIN sen b WHERE round({HAV}, 6) <= 10")
 def haversine_pairs(spark, d):
     return _site_pairs(spark, d).select(F.col("a_site").alias("site"), F.col("b_sensor").alias("sensor"), F.round("km", 4).alias("km"))
 
 
-@query(f"WITH {SIT}, {SEN} SELECT a.site, b.sensor, round({BEAR}, 3) AS bearing FROM sit a CROSS JOIN sen b WHERE a.lat <> b.lat OR a.lng <> b.lng")
+@query(f"WITH {SIT}, {SEN} SELECT a.site, b.sensor, round({BEAR}, 3) AS bearing FROM sit a CROSS JOIN sen b WHERE (a.lat <> b.lat OR a.lng <> b.lng) AND round({HAV}, 6) <= 10")
 def bearing_pairs(spark, d):
     return _site_pairs(spark, d).where("a_lat <> b_lat or a_lng <> b_lng").select(F.col("a_site").alias("site"), F.col("b_sensor").alias("sensor"), F.round("bearing", 3).alias("bearing"))
 
@@ -243,7 +246,7 @@ def nearest_sensor(spark, d):
     return spatial.nearest(S.sites(spark, d), S.sensors(spark, d))
 
 
-@query(f"WITH {SIT}, {SEN} " + NEAR.format("JOIN sen b ON a.road = b.road AND a.direction = b.direction"))
+@query(f"WITH {SIT}, {SEN}, m AS (" + NEAR.format("JOIN sen b ON a.road = b.road AND a.direction = b.direction") + ") SELECT site, m.sensor FROM sit LEFT JOIN m USING (site)")
 def nearest_same_road_sensor(spark, d):
     return spatial.nearest(S.sites(spark, d), S.sensors(spark, d), ["road", "direction"])
 
@@ -260,8 +263,7 @@ def one_hop_edges(spark, d):
 
 @query(f"WITH {EDG} SELECT src AS target, dst AS node, CASE WHEN src = dst THEN 0 WHEN weight > 0.5 AND weight <= 1 THEN 1 ELSE 2 END AS layer FROM edg WHERE src = dst OR weight > 0.2")
 def edge_weight_layers(spark, d):
-    layer = F.when(F.col("src") == F.col("dst"), 0).when((F.col("weight") > 0.5) & (F.col("weight") <= 1), 1).otherwise(2)
-    return S.edges(spark, d).where("src = dst or weight > 0.2").select(F.col("src").alias("target"), F.col("dst").alias("node"), layer.alias("layer"))
+    return spatial.edge_layers(S.edges(spark, d), ((0.5, 1.0), (0.2, 0.5)))
 
 
 @query(f"""WITH {EDG}, nodes AS (SELECT src AS n FROM edg UNION SELECT dst FROM edg), f AS (SELECT src, dst, sum(weight) AS w FROM (SELECT * FROM edg UNION ALL SELECT n, n, 1.0 FROM nodes) GROUP BY 1, 2)
@@ -283,15 +285,22 @@ def bfs_shortest_path(spark, d):
     return found.select("node", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query(f"""WITH {EDG}, dist AS (SELECT src, dst, round((1 - weight) * 1000, 3) AS m FROM edg WHERE weight < 1 AND (src + dst) % 3 <> 0)
+@query(f"""WITH {EDG}, dist AS (SELECT src, dst, round((1 - weight) * 1000, 3) AS m FROM edg WHERE weight < 1)
  SELECT a.src AS anchor, a.dst AS prev, t.dst AS target, a.m AS m_ap, t.m AS m_at FROM dist a JOIN dist p ON a.dst = p.src JOIN dist t ON t.src = a.src AND t.dst = p.dst WHERE a.m < t.m AND a.src <> a.dst AND a.dst <> t.dst AND a.src <> t.dst""")
 def directed_predecessor(spark, d):
-    dist = S.edges(spark, d).where("weight < 1 and (src + dst) % 3 <> 0").select("src", "dst", F.round((1 - F.col("weight")) * 1000, 3).alias("m"))
+    dist = S.edges(spark, d).where("weight < 1").select("src", "dst", F.round((1 - F.col("weight")) * 1000, 3).alias("m"))
     return spatial.predecessors(dist).select("anchor", "prev", "target", "m_ap", "m_at")
 
 
 def _routes(spark, d):
-    return spatial.route_table(S.sites(spark, d), S.sensors(spark, d))
+    return spatial.route_table(S.sites(spark, d), S.sensors(spark, d), ROUTE_KM)
+
+
+def _routed(spark, d):
+    """Routes of each site to sensors at any distance, from the sensors by the remainder that the route generator leaves out: 11 rows."""
+    by = S.sensors(spark, d).groupBy(F.pmod("sensor", F.lit(11)).alias("r")).agg(F.count("*").alias("n"))
+    out = S.sites(spark, d).select("site", F.pmod(-F.col("site"), F.lit(11)).alias("r")).join(F.broadcast(by), "r", "left")
+    return out.select("site", (F.lit(by.agg(F.sum("n")).scalar()) - F.coalesce("n", F.lit(0))).alias("routed"))
 
 
 @query(f"""WITH {ROUTES} SELECT site, sensor, layer, distance_m, same_road, same_direction, CAST(row_number() OVER (PARTITION BY site, layer ORDER BY distance_m, sensor) AS INT) AS place, arg_min(sensor, (distance_m, sensor)) OVER (PARTITION BY site) AS anchor FROM scoped WHERE layer IS NOT NULL""")
@@ -299,18 +308,18 @@ def impact_scope_bands(spark, d):
     return spatial.impact_scope(_routes(spark, d), BANDS_KM).select("site", "sensor", "layer", "distance_m", "same_road", "same_direction", "place", "anchor")
 
 
-ELIG = f"""WITH {ROUTES}, per AS (SELECT site, count(distance_m) AS routed, count(layer) AS nodes, arg_min(sensor, (distance_m, sensor)) FILTER (layer IS NOT NULL) AS anchor, min(distance_m) FILTER (layer IS NOT NULL) AS anchor_m FROM scoped GROUP BY 1),
- el AS (SELECT s.site, coalesce(nodes, 0) AS nodes, anchor, anchor_m, CASE WHEN coalesce(routed, 0) = 0 THEN 'missing_osrm_route_cache' WHEN nodes = 0 THEN 'no_osrm_route_in_distance_bands' ELSE '' END AS skip_reason FROM sit s LEFT JOIN per USING (site))"""
+ELIG = f"""WITH {ROUTES}, far AS (SELECT site, count(*) FILTER ((site + sensor) % 11 <> 0) AS routed FROM sit CROSS JOIN sen GROUP BY 1), per AS (SELECT site, count(layer) AS nodes, arg_min(sensor, (distance_m, sensor)) FILTER (layer IS NOT NULL) AS anchor, min(distance_m) FILTER (layer IS NOT NULL) AS anchor_m FROM scoped GROUP BY 1),
+ el AS (SELECT s.site, coalesce(nodes, 0) AS nodes, anchor, anchor_m, CASE WHEN routed = 0 THEN 'missing_osrm_route_cache' WHEN coalesce(nodes, 0) = 0 THEN 'no_osrm_route_in_distance_bands' ELSE '' END AS skip_reason FROM sit s JOIN far USING (site) LEFT JOIN per USING (site))"""
 
 
 @query(ELIG + " SELECT site, nodes, anchor, anchor_m, skip_reason FROM el")
 def eligibility_rows(spark, d):
-    return spatial.eligibility(S.sites(spark, d), _routes(spark, d), BANDS_KM).select("site", "nodes", "anchor", "anchor_m", "skip_reason")
+    return spatial.eligibility(S.sites(spark, d), _routes(spark, d), BANDS_KM, _routed(spark, d)).select("site", "nodes", "anchor", "anchor_m", "skip_reason")
 
 
 @query(ELIG + " SELECT skip_reason, count(*) AS n FROM el GROUP BY 1")
 def eligibility_summary(spark, d):
-    return spatial.eligibility(S.sites(spark, d), _routes(spark, d), BANDS_KM).groupBy("skip_reason").agg(F.count("*").alias("n"))
+    return spatial.eligibility(S.sites(spark, d), _routes(spark, d), BANDS_KM, _routed(spark, d)).groupBy("skip_reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {ROUTES}, up AS (SELECT sensor, sensor % 7 + 1 AS prev FROM sen), sc AS (SELECT site, sensor, layer, distance_m AS base FROM scoped WHERE layer IS NOT NULL),
@@ -383,10 +392,15 @@ def dual_recall_merge(spark, d):
     return R.merge_recalls(recall(half(1)), recall(half(33)), ["query_id", "item_id"], ("metadata", "history"))
 
 
+def groups_sql(pool: str, by: str, least: float, history: float, score: str) -> str:
+    """CTEs gp (groups and place) from a pool (by, id, network_time, history, state, ...)."""
+    return f"""r AS (SELECT *, CASE WHEN network_time >= {least} THEN row_number() OVER (PARTITION BY {by}, network_time >= {least} ORDER BY network_time DESC, id) END AS rn, CASE WHEN history >= {history} THEN row_number() OVER (PARTITION BY {by}, history >= {history} ORDER BY history DESC, id) END AS rh, CASE WHEN state IS NOT NULL THEN row_number() OVER (PARTITION BY {by}, state IS NOT NULL ORDER BY state, id) END AS rs FROM {pool}),
+ g AS (SELECT *, (CASE WHEN rn <= 3 THEN 1 ELSE 0 END) + (CASE WHEN rh <= 3 THEN 1 ELSE 0 END) AS legacy FROM r WHERE rn <= 3 OR rh <= 3 OR rs <= 3),
+ gp AS (SELECT *, array_to_string(list_filter([CASE WHEN rn <= 3 THEN 'network_time' END, CASE WHEN rh <= 3 THEN 'history' END, CASE WHEN rs <= 3 THEN 'state' END], lambda x: x IS NOT NULL), ',') AS groups, CAST(row_number() OVER (PARTITION BY {by} ORDER BY legacy DESC, CASE WHEN legacy > 0 THEN -{score} ELSE rs END, id) AS INT) AS place FROM g)"""
+
+
 @query(f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.id AS query_id, i.id AS id, round({cos_sql('q.e[1:32]', 'i.e[1:32]')}, 4) AS network_time, round({cos_sql('q.e[33:64]', 'i.e[33:64]')}, 4) AS history, round(sqrt(list_sum([(q.e[k] - i.e[k]) * (q.e[k] - i.e[k]) for k in range(1, 13)]) / 12), 4) AS state FROM v q JOIN v i ON q.id <> i.id WHERE q.id % 100 = 0),
- r AS (SELECT *, CASE WHEN network_time >= 0.2 THEN row_number() OVER (PARTITION BY query_id, network_time >= 0.2 ORDER BY network_time DESC, id) END AS rn, CASE WHEN history >= 0.75 THEN row_number() OVER (PARTITION BY query_id, history >= 0.75 ORDER BY history DESC, id) END AS rh, row_number() OVER (PARTITION BY query_id ORDER BY state, id) AS rs FROM p),
- g AS (SELECT *, (CASE WHEN rn <= 3 THEN 1 ELSE 0 END) + (CASE WHEN rh <= 3 THEN 1 ELSE 0 END) + (CASE WHEN rs <= 3 THEN 1 ELSE 0 END) AS n FROM r)
- SELECT query_id, id, array_to_string(list_filter([CASE WHEN rn <= 3 THEN 'network_time' END, CASE WHEN rh <= 3 THEN 'history' END, CASE WHEN rs <= 3 THEN 'state' END], lambda x: x IS NOT NULL), ',') AS groups, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, greatest(network_time, history) DESC, id) AS INT) AS place FROM g WHERE n > 0""")
+ {groups_sql('p', 'query_id', 0.2, 0.75, 'greatest(network_time, history)')} SELECT query_id, id, groups, place FROM gp""")
 def evidence_group_selection(spark, d):
     v = _vectors(spark, d)
     q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
@@ -414,16 +428,16 @@ def _change_cols(x: str) -> str:
     return f"[{x}[i + 1] - {x}[i] for i in range(1, 12)] AS d{x}"
 
 
-HIST_SIM = f"""WITH {WIN}, {PAIR}, z AS (SELECT *, {robust_('a')} AS za, {robust_('b')} AS zb, {_change_cols('a')}, {_change_cols('b')} FROM dp),
+HIST_PARTS = f"""z AS (SELECT *, {robust_('a')} AS za, {robust_('b')} AS zb, {_change_cols('a')}, {_change_cols('b')} FROM dp),
  lo AS (SELECT *, [(za[2 * i - 1] + za[2 * i]) / 2 for i in range(1, 7)] AS la, [(zb[2 * i - 1] + zb[2 * i]) / 2 for i in range(1, 7)] AS lb, list_position([abs(v) for v in da], list_max([abs(v) for v in da])) AS pa, list_position([abs(v) for v in db], list_max([abs(v) for v in db])) AS pb FROM z),
  h AS (SELECT *, list_concat([(za[2 * i - 1] - za[2 * i]) / 2 for i in range(1, 7)], [(la[2 * i - 1] - la[2 * i]) / 2 for i in range(1, 4)], [(la[2 * i - 1] + la[2 * i]) / 2 for i in range(1, 4)]) AS ha,
   list_concat([(zb[2 * i - 1] - zb[2 * i]) / 2 for i in range(1, 7)], [(lb[2 * i - 1] - lb[2 * i]) / 2 for i in range(1, 4)], [(lb[2 * i - 1] + lb[2 * i]) / 2 for i in range(1, 4)]) AS hb,
   abs(da[pa]) / greatest(list_median(a[1:pa]), 1.0) AS ma, abs(db[pb]) / greatest(list_median(b[1:pb]), 1.0) AS mb FROM lo),
- s AS (SELECT node, step, CASE WHEN list_sum([x * x for x in ha]) = 0 AND list_sum([x * x for x in hb]) = 0 THEN 1.0 WHEN list_sum([x * x for x in ha]) = 0 OR list_sum([x * x for x in hb]) = 0 THEN 0.0 ELSE {cos_sql('ha', 'hb')} END AS wavelet,
+ hs AS (SELECT *, CASE WHEN list_sum([x * x for x in ha]) = 0 AND list_sum([x * x for x in hb]) = 0 THEN 1.0 WHEN list_sum([x * x for x in ha]) = 0 OR list_sum([x * x for x in hb]) = 0 THEN 0.0 ELSE {cos_sql('ha', 'hb')} END AS wavelet,
   exp(-2 * abs({median_('a')} - {median_('b')}) / greatest(abs({median_('a')}), abs({median_('b')}), 1.0)) AS level,
   exp(-2 * sqrt(list_sum([(a[i] - b[i]) * (a[i] - b[i]) for i in range(10, 13)]) / 3) / greatest(list_sum([abs(a[i]) for i in range(10, 13)]) / 3, list_sum([abs(b[i]) for i in range(10, 13)]) / 3, 1.0)) AS recent,
-  CASE WHEN ma < 0.2 AND mb < 0.2 THEN 1.0 WHEN ma < 0.2 OR mb < 0.2 OR sign(da[pa]) <> sign(db[pb]) THEN 0.0 ELSE exp(-abs(pa - pb) / 2.0) * exp(-abs(ln(1 + ma) - ln(1 + mb))) END AS changepoint FROM h)
- SELECT node, step, round(wavelet, 4) AS wavelet, round(level, 4) AS level, round(recent, 4) AS recent, round(changepoint, 4) AS changepoint, round(0.45 * wavelet + 0.20 * level + 0.20 * recent + 0.15 * changepoint, 3) AS score FROM s"""
+  CASE WHEN ma < 0.2 AND mb < 0.2 THEN 1.0 WHEN ma < 0.2 OR mb < 0.2 OR sign(da[pa]) <> sign(db[pb]) THEN 0.0 ELSE exp(-abs(pa - pb) / 2.0) * exp(-abs(ln(1 + ma) - ln(1 + mb))) END AS changepoint FROM h)"""
+HIST_SIM = f"""WITH {WIN}, {PAIR}, {HIST_PARTS} SELECT node, step, round(wavelet, 4) AS wavelet, round(level, 4) AS level, round(recent, 4) AS recent, round(changepoint, 4) AS changepoint, round(0.45 * wavelet + 0.20 * level + 0.20 * recent + 0.15 * changepoint, 3) AS score FROM hs"""
 
 
 @query(HIST_SIM)
@@ -458,37 +472,52 @@ def attribute_edit_distance(spark, d):
 PER = "CASE WHEN {0} % 24 < 6 OR {0} % 24 >= 20 THEN 'night' WHEN {0} % 24 < 10 THEN 'morning_peak' WHEN {0} % 24 < 16 THEN 'midday' ELSE 'evening_peak' END"
 
 
-@query(f"""WITH {ROUTES}, p AS (SELECT q.site AS query_site, c.site, q.sensor, coalesce((exp(-abs(q.distance_m - c.distance_m) / 1000 / greatest(abs(q.distance_m) / 1000, abs(c.distance_m) / 1000, 0.5)) + exp(-abs(q.duration_s - c.duration_s) / greatest(abs(q.duration_s), abs(c.duration_s), 60.0)) + (cos((q.bearing_deg - c.bearing_deg) * (2 * 3.141592653589793 / 360)) + 1) / 2) / 3, 0.0) AS net,
- ((CASE WHEN q.site % 2 = c.site % 2 THEN 1.0 ELSE 0.0 END) + (CASE WHEN {PER.format('q.site')} = {PER.format('c.site')} THEN 1.0 ELSE 0.0 END) + (cos((q.site % 24 - c.site % 24) * (2 * 3.141592653589793 / 24)) + 1) / 2) / 3 AS tm FROM rt q JOIN rt c ON q.sensor = c.sensor AND q.site <> c.site WHERE q.site % 10 = 0)
- SELECT query_site, site, sensor, round(net, 4) AS network, round(tm, 4) AS time, round(0.55 * net + 0.25 * tm + 0.20 * 1.0, 4) AS score, round((0.2 * tm + net + 0.5) / 2.7, 4) AS combined FROM p""")
+@query(f"""WITH {ROUTES}, an AS (SELECT site, arg_min(sensor, (distance_m, sensor)) AS sensor FROM scoped WHERE layer IS NOT NULL AND site % 100 = 0 GROUP BY 1),
+ p AS (SELECT q.site AS query_site, c.site, q.sensor, coalesce((exp(-abs(q.distance_m - c.distance_m) / 1000 / greatest(abs(q.distance_m) / 1000, abs(c.distance_m) / 1000, 0.5)) + exp(-abs(q.duration_s - c.duration_s) / greatest(abs(q.duration_s), abs(c.duration_s), 60.0)) + (cos((q.bearing_deg - c.bearing_deg) * (2 * 3.141592653589793 / 360)) + 1) / 2) / 3, 0.0) AS net,
+ ((CASE WHEN q.site % 2 = c.site % 2 THEN 1.0 ELSE 0.0 END) + (CASE WHEN {PER.format('q.site')} = {PER.format('c.site')} THEN 1.0 ELSE 0.0 END) + (cos((q.site % 24 - c.site % 24) * (2 * 3.141592653589793 / 24)) + 1) / 2) / 3 AS tm,
+ ((CASE WHEN x.road = y.road THEN 1.0 ELSE 0.0 END) + (CASE WHEN x.direction = y.direction THEN 1.0 ELSE 0.0 END)) / 2 AS inc
+ FROM an JOIN rt q ON q.site = an.site AND q.sensor = an.sensor JOIN rt c ON q.sensor = c.sensor AND q.site <> c.site JOIN sit x ON x.site = q.site JOIN sit y ON y.site = c.site)
+ SELECT query_site, site, sensor, round(net, 4) AS network, round(tm, 4) AS time, round(0.55 * net + 0.25 * tm + 0.20 * inc, 4) AS score, round((0.2 * tm + net + 0.5 * inc) / 2.7, 4) AS combined FROM p""")
 def network_time_score(spark, d):
-    r = _routes(spark, d).select("site", "sensor", (F.col("distance_m") / 1000).alias("km"), "duration_s", "bearing_deg")
-    q = r.where("site % 10 = 0").select("sensor", *[F.col(c).alias(f"q_{c}") for c in ("site", "km", "duration_s", "bearing_deg")])
-    p = q.join(r, "sensor").where("q_site <> site")
+    """Of sites whose id is divisible by 100, the scores of all others that have a route to the query's anchor; histories are scored in incident_pattern_retrieval."""
+    r = _routes(spark, d)
+    anchors = spatial.impact_scope(r.where("site % 100 = 0"), BANDS_KM).select("site", F.col("anchor").alias("sensor")).distinct()
+    named = r.select("site", "sensor", (F.col("distance_m") / 1000).alias("km"), "duration_s", "bearing_deg").join(S.sites(spark, d).select("site", "road", "direction"), "site")
+    cols = ("site", "km", "duration_s", "bearing_deg", "road", "direction")
+    q = named.join(anchors, ["site", "sensor"], "left_semi").select("sensor", *[F.col(c).alias(f"q_{c}") for c in cols])
+    p = q.join(named, "sensor").where("q_site <> site")
     pair = lambda c: (F.col(f"q_{c}"), F.col(c))
     hour = lambda c: F.col(c) % 24
     net = V.network_similarity(pair("km"), pair("duration_s"), pair("bearing_deg"))
     tm = V.incident_time_similarity((F.col("q_site") % 2, F.col("site") % 2), (period(hour("q_site")), period(hour("site"))), (hour("q_site"), hour("site")))
-    p = p.withColumn("n", net).withColumn("t", tm)
-    combined = V.retrieval_score({"time": F.col("t"), "network": F.col("n"), "history": F.lit(0.0), "incident": F.lit(1.0)})
-    return p.select(F.col("q_site").alias("query_site"), "site", "sensor", F.round("n", 4).alias("network"), F.round("t", 4).alias("time"), F.round(F.col("n") * 0.55 + F.col("t") * 0.25 + 0.20, 4).alias("score"), F.round(combined, 4).alias("combined"))
+    p = p.withColumn("n", net).withColumn("t", tm).withColumn("i", V.equal_share([pair("road"), pair("direction")]))
+    combined = V.retrieval_score({"time": F.col("t"), "network": F.col("n"), "history": F.lit(0.0), "incident": F.col("i")})
+    return p.select(F.col("q_site").alias("query_site"), "site", "sensor", F.round("n", 4).alias("network"), F.round("t", 4).alias("time"), F.round(V.network_time(F.col("n"), F.col("t"), F.col("i")), 4).alias("score"), F.round(combined, 4).alias("combined"))
 
 
 # the incident-free reference ---------------------------------------------------------------------------------------
+def _local(spark, d):
+    return N.local_incidents(S.incidents(spark, d), S.incident_routes(spark, d))
+
+
+@query(f"WITH {INC} SELECT incident_id, node, round(km, 4) AS km FROM loc")
+def local_incident_filter(spark, d):
+    return _local(spark, d).select("incident_id", "node", F.round("km", 4).alias("km"))
+
+
 @query(f"WITH {WIN}, {INC}, {EXC}, {FREE} SELECT node, step FROM free")
 def interval_anti_join(spark, d):
-    return N.incident_free(TS.windows(S.grid(spark, d)), S.incidents(spark, d)).select("node", "step")
+    return N.incident_free(TS.windows(S.grid(spark, d)), _local(spark, d)).select("node", "step")
 
 
 @query(f"WITH {WIN}, {INC}, {EXC}, {FREE} SELECT node, step FROM free")
 def interval_anti_join_sweep(spark, d):
     w = TS.windows(S.grid(spark, d)).select("node", "step", (F.col("step") * 3600).alias("sec"))
-    nodes = w.select("node").distinct()
-    return N.interval_anti_join_sweep(w, "sec", N.exclusions(S.incidents(spark, d)).select("lo", "hi").crossJoin(nodes), "node").select("node", "step")
+    return N.interval_anti_join_sweep(w, "sec", N.exclusions(_local(spark, d)).select("node", "lo", "hi"), "node").select("node", "step")
 
 
 SCORE = f"""{WIN}, {INC}, {EXC}, {FREE}, feat AS (SELECT *, {features_()}, {calendar_("(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * step)")} FROM win),
- q AS (SELECT inc.incident_id, feat.* FROM inc JOIN feat ON inc.step = feat.step),
+ q AS (SELECT loc.incident_id, feat.* FROM loc JOIN feat ON loc.step = feat.step AND loc.node = feat.node),
  c AS (SELECT feat.* FROM feat SEMI JOIN free ON feat.node = free.node AND feat.step = free.step),
  sc0 AS (SELECT q.incident_id, q.node, q.step AS query_step, c.step, c.day, c.fut,
   round(({' + '.join(f"exp(-{rmse_(f'q.{x}', f'c.{x}')} / q.scale_{x})" for x, _ in TS.CHANNELS)} + exp(-({' + '.join(f'abs(q.trend_{x} - c.trend_{x})' for x, _ in TS.CHANNELS)}) / 3) + exp(-({' + '.join(f'abs(q.vol_{x} - c.vol_{x})' for x, _ in TS.CHANNELS)}) / 3)) / 5, 6) AS traffic_score,
@@ -499,25 +528,63 @@ SEL = f"""{SCORE}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITIO
  sel AS (SELECT *, score / sum(score) OVER (PARTITION BY incident_id, node) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY incident_id, node ORDER BY score DESC, step) AS rank FROM best) WHERE rank <= 10)"""
 
 
+def _features(spark, d):
+    return TS.with_features(TS.windows(S.grid(spark, d)))
+
+
 def _scores(spark, d):
-    w, inc = TS.windows(S.grid(spark, d)), S.incidents(spark, d)
-    feat = TS.with_features(w)
-    q = feat.join(F.broadcast(inc.select("incident_id", "step")), "step")  # 8 incidents at most
-    return N.candidate_scores(q, N.incident_free(feat, inc))
+    feat, local = _features(spark, d), _local(spark, d)
+    return N.candidate_scores(feat.join(local.select("incident_id", "node", "step"), ["node", "step"]), N.incident_free(feat, local))
+
+
+def _selected(spark, d):
+    return N.normal_counterfactual(_features(spark, d), S.incidents(spark, d), S.incident_routes(spark, d))
 
 
 @query(f"WITH {SCORE} SELECT incident_id, node, query_step, step, traffic_score, time_score, score FROM sc")
 def normal_candidate_scores(spark, d):
-    return _scores(spark, d).drop("fut", "day")
+    return _scores(spark, d).drop("day")
+
+
+TIMED = """SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY incident_id, node ORDER BY tq DESC, step) AS place FROM (SELECT q.incident_id, q.node, q.step AS query_step, c.step,
+  ((CASE WHEN (q.weekend OR q.holiday) = (c.weekend OR c.holiday) THEN 1.0 ELSE 0.0 END) + (CASE WHEN q.weekday = c.weekday THEN 1.0 ELSE 0.0 END) + (CASE WHEN q.period = c.period THEN 1.0 ELSE 0.0 END) + (cos((q.hour - c.hour) * (2 * 3.141592653589793 / 24)) + 1) / 2 + (cos((month(q.day) - month(c.day)) * (2 * 3.141592653589793 / 12)) + 1) / 2) / 5 AS tq,
+  q.weekday = c.weekday OR q.period = c.period OR (q.weekend OR q.holiday) = (c.weekend OR c.holiday) OR least(abs(q.hour - c.hour), 24 - abs(q.hour - c.hour)) <= 3 OR month(q.day) = month(c.day) AS broad FROM q JOIN c ON q.node = c.node AND c.step <= q.step - 1) WINDOW w AS (PARTITION BY incident_id, node)"""
+
+
+@query(f"WITH {SCORE}, t AS ({TIMED}), k AS (SELECT *, row_number() OVER (PARTITION BY incident_id, node ORDER BY tq DESC, step) AS again FROM t WHERE n <= 100 OR broad OR place <= 20) SELECT incident_id, node, query_step, step FROM k WHERE n <= 100 OR again <= 100")
+def coarse_time_filter(spark, d):
+    """The time filter with a limit of 100 candidates, of which 20 by time score in any case (in use: 16,384 and 4,096)."""
+    feat, local = _features(spark, d), _local(spark, d)
+    q = TS.with_calendar(feat.join(local.select("incident_id", "node", "step"), ["node", "step"]), TS.step_time(F.col("step"))).select("incident_id", "node", *[F.col(x).alias(f"q_{x}") for x in ["step", *N.CAL]])
+    c = TS.with_calendar(N.incident_free(feat, local), TS.step_time(F.col("step"))).select("node", *[F.col(x).alias(f"c_{x}") for x in ["step", *N.CAL]])
+    p = N.time_filter(q.join(c, "node").where("c_step <= q_step - 1"), ["incident_id", "node"], 100, 20)
+    return p.select("incident_id", "node", F.col("q_step").alias("query_step"), F.col("c_step").alias("step"))
 
 
-REF = f"""{SEL}, ref AS (SELECT incident_id, node, h AS horizon, sum(weight * fut[h]) AS normal, sum(weight * fut[h] * fut[h]) AS m2, 1 / sum(weight * weight) AS ess, count(*) AS n FROM sel, (SELECT unnest(range(1, 13)) AS h) GROUP BY 1, 2, 3)"""
+REF = f"""{SEL}, ref0 AS (SELECT *, sum(weight * y) OVER (PARTITION BY incident_id, node, horizon) AS normal FROM (SELECT incident_id, node, score, weight, h AS horizon, fut[h] AS y FROM sel, (SELECT unnest(range(1, 13)) AS h))),
+ ref AS (SELECT incident_id, node, horizon, any_value(normal) AS normal, sqrt(sum(weight * (y - normal) * (y - normal))) AS spread, 1 / sum(weight * weight) AS ess, count(*) AS n, min(score) AS least_score, avg(score) AS mean_score FROM ref0 GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {REF} SELECT incident_id, node, CAST(horizon AS INT) AS horizon, round(normal, 4) AS normal, round(sqrt(greatest(m2 - normal * normal, 0.0)), 3) AS spread, round(ess, 4) AS ess, n FROM ref")
+@query(f"WITH {REF} SELECT incident_id, node, CAST(horizon AS INT) AS horizon, round(normal, 4) AS normal, round(spread, 3) AS spread, round(ess, 4) AS ess, n, round(least_score, 6) AS least_score, round(mean_score, 6) AS mean_score FROM ref")
 def normal_counterfactual(spark, d):
-    r = N.reference(N.select_candidates(_scores(spark, d)))
-    return r.select("incident_id", "node", "horizon", F.round("normal", 4).alias("normal"), F.round("spread", 3).alias("spread"), F.round("ess", 4).alias("ess"), "n")
+    r = N.reference(_selected(spark, d))
+    return r.select("incident_id", "node", "horizon", F.round("normal", 4).alias("normal"), F.round("spread", 3).alias("spread"), F.round("ess", 4).alias("ess"), "n", F.round("least_score", 6).alias("least_score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+def slope_(a: str) -> str:
+    return f"(list_sum({each(f'{a}[i] * (i - 6.5)')}) / 143.0)"
+
+
+@query(f"""WITH {REF}, s AS (SELECT incident_id, node, list(normal ORDER BY horizon) AS normal FROM ref GROUP BY 1, 2), r AS (SELECT s.*, q.hist FROM s JOIN q USING (incident_id, node))
+ SELECT incident_id, node, round(list_sum([abs(hist[12] - normal[i]) for i in range(1, 13)]) / 12, 4) AS gap, round(hist[12], 4) AS last_flow, round({slope_('hist')}, 5) + 0.0 AS history_slope, round({slope_('normal')}, 5) + 0.0 AS normal_slope, round(list_sum([x - hist[12] for x in normal]), 3) + 0.0 AS change FROM r""")
+def normal_recovery(spark, d):
+    """Gap of the last-value forecast from the reference, and recovery evidence."""
+    feat = _features(spark, d)
+    at = feat.join(_local(spark, d).select("incident_id", "node", "step"), ["node", "step"]).select("incident_id", "node", "hist")
+    r = N.sequences(N.reference(_selected(spark, d))).join(at, ["incident_id", "node"])
+    back = N.recovery(F.col("hist"), F.col("normal"))
+    gap = N.forecast_gap(F.col("normal"), F.array_repeat(F.element_at("hist", 12), 12))
+    return r.select("incident_id", "node", F.round(gap, 4).alias("gap"), F.round(back["last_flow"], 4).alias("last_flow"), (F.round(back["history_slope"], 5) + 0.0).alias("history_slope"), (F.round(back["normal_slope"], 5) + 0.0).alias("normal_slope"), (F.round(A.total(back["change"]), 3) + 0.0).alias("change"))
 
 
 QUANT = """SELECT incident_id, node, horizon, {} FROM (SELECT *, round(sum(weight) OVER (PARTITION BY incident_id, node, horizon ORDER BY v, step ROWS UNBOUNDED PRECEDING), 9) AS run, sum(weight) OVER (PARTITION BY incident_id, node, horizon) AS al, max(v) OVER (PARTITION BY incident_id, node, horizon) AS mx FROM x) GROUP BY 1, 2, 3"""
@@ -526,30 +593,116 @@ PS = ", ".join(f"coalesce(min(v) FILTER (run >= round(al * {q}, 9)), max(mx)) AS
 
 @query(f"WITH {SEL}, x AS (SELECT incident_id, node, step, CAST(h AS INT) AS horizon, fut[h] AS v, weight FROM sel, (SELECT unnest(range(1, 13)) AS h)) " + QUANT.format(PS))
 def weighted_quantiles(spark, d):
-    x = N.select_candidates(_scores(spark, d)).select("incident_id", "node", "step", "weight", F.posexplode("fut").alias("h", "v")).withColumn("horizon", F.col("h") + 1)
+    x = _selected(spark, d).select("incident_id", "node", "step", "weight", F.posexplode("fut").alias("h", "v")).withColumn("horizon", F.col("h") + 1)
     return N.weighted_quantiles(x, ["incident_id", "node", "horizon"], "v", "weight", "step")
 
 
-@query(f"""WITH {SEL}, x AS (SELECT incident_id, node, sel.step, CAST(h AS INT) AS horizon, round(sel.fut[h] - win.hist[12], 4) AS v, weight FROM sel JOIN win USING (node, step), (SELECT unnest(range(1, 13)) AS h))
- SELECT q.*, round(m, 3) AS mean, round(a, 3) AS mae FROM ({QUANT.format(PS)}) q JOIN (SELECT incident_id, node, horizon, sum(weight * v) AS m, sum(weight * abs(v)) AS a FROM x GROUP BY 1, 2, 3) USING (incident_id, node, horizon)""")
+@query(f"""WITH {SEL}, x0 AS (SELECT incident_id, node, sel.step, CAST(h AS INT) AS horizon, round(sel.fut[h] - win.hist[12], 4) AS v, weight FROM sel JOIN win USING (node, step), (SELECT unnest(range(1, 13)) AS h)), x AS (SELECT *, sum(weight * v) OVER (PARTITION BY incident_id, node, horizon) AS m FROM x0)
+ SELECT q.*, round(m, 3) AS mean, round(s, 3) AS std, round(a, 3) AS mae FROM ({QUANT.format(PS)}) q JOIN (SELECT incident_id, node, horizon, any_value(m) AS m, sqrt(sum(weight * (v - m) * (v - m))) AS s, sum(weight * abs(v)) AS a FROM x GROUP BY 1, 2, 3) USING (incident_id, node, horizon)""")
 def residual_distribution(spark, d):
-    last = TS.windows(S.grid(spark, d)).select("node", "step", F.element_at("hist", 12).alias("last"))
-    x = N.select_candidates(_scores(spark, d)).join(last, ["node", "step"]).select("incident_id", "node", "step", "weight", "last", F.posexplode("fut").alias("h", "y"))
-    x = x.withColumn("horizon", F.col("h") + 1).withColumn("v", F.round(F.col("y") - F.col("last"), 4))
-    by = ["incident_id", "node", "horizon"]
-    sums = x.groupBy(*by).agg(F.round(F.sum(F.col("weight") * F.col("v")), 3).alias("mean"), F.round(F.sum(F.col("weight") * F.abs("v")), 3).alias("mae"))
-    return N.weighted_quantiles(x, by, "v", "weight", "step").join(sums, by)
+    base = TS.windows(S.grid(spark, d)).select("node", "step", F.array_repeat(F.element_at("hist", 12), 12).alias("base"))
+    e = N.base_evidence(_selected(spark, d), base)
+    return e.select("incident_id", "node", "horizon", "p10", "p50", "p90", *[F.round(c, 3).alias(c) for c in ("mean", "std", "mae")])
 
 
-@query(f"""WITH {SEL}, hm AS (SELECT node, list(m ORDER BY h) AS means FROM (SELECT node, step % 24 AS h, round(avg(flow), 4) AS m FROM grid GROUP BY 1, 2) GROUP BY 1),
+EFFECTS = f"""{SEL}, hm AS (SELECT node, list(m ORDER BY h) AS means FROM (SELECT node, step % 24 AS h, round(avg(flow), 4) AS m FROM grid GROUP BY 1, 2) GROUP BY 1),
  n AS (SELECT sel.*, [means[1 + (step + i) % 24] for i in range(1, 13)] AS normal FROM sel JOIN hm USING (node)), f AS (SELECT *, {each('fut[i] - normal[i]')} AS e FROM n),
- g AS (SELECT *, {mean_('e[i]')} AS me, {dir_('e', 'normal')} AS edir, {shape_('e', 'normal')} AS shape, score / sum(score) OVER (PARTITION BY incident_id, node) AS w FROM f),
- sh AS (SELECT incident_id, node, arg_min(shape, (round(-sw, 9), shape)) AS medoid_shape FROM (SELECT incident_id, node, shape, sum(w) AS sw FROM g GROUP BY 1, 2, 3) GROUP BY 1, 2)
- SELECT incident_id, node, n, round(pw, 4) AS positive_weight, round(nw, 4) AS negative_weight, round(m, 3) AS effect_mean, round(sqrt(greatest(m2 - m * m, 0.0)), 2) AS effect_std, round(ef, 4) AS effective, medoid_shape FROM (SELECT incident_id, node, count(*) AS n, sum(CASE WHEN edir = 'positive' THEN w ELSE 0 END) AS pw, sum(CASE WHEN edir = 'negative' THEN w ELSE 0 END) AS nw, sum(w * me) AS m, sum(w * me * me) AS m2, 1 / sum(w * w) AS ef FROM g GROUP BY 1, 2) JOIN sh USING (incident_id, node)""")
+ g0 AS (SELECT *, {mean_('e[i]')} AS me, {mean_('abs(e[i])')} AS size, {dir_('e', 'normal')} AS edir, {shape_('e', 'normal')} AS shape, score / sum(score) OVER (PARTITION BY incident_id, node) AS w FROM f),
+ g AS (SELECT *, sum(w * me) OVER (PARTITION BY incident_id, node) AS m FROM g0)"""
+
+
+@query(f"""WITH {EFFECTS},
+ sh AS (SELECT incident_id, node, arg_min(shape, (round(-sw, 9), shape)) AS medoid_shape, array_to_string(list(shape || ':' || sn ORDER BY shape), ' ') AS shapes FROM (SELECT incident_id, node, shape, sum(w) AS sw, count(*) AS sn FROM g GROUP BY 1, 2, 3) GROUP BY 1, 2)
+ SELECT incident_id, node, count(*) AS n, round(sum(CASE WHEN edir = 'positive' THEN w ELSE 0 END), 4) AS positive_weight, round(sum(CASE WHEN edir = 'negative' THEN w ELSE 0 END), 4) AS negative_weight, count(*) FILTER (edir = 'neutral') AS neutral_n, round(any_value(m), 3) AS effect_mean, round(sqrt(sum(w * (me - m) * (me - m))), 2) AS effect_std, round(1 / sum(w * w), 4) AS effective, round(avg(size), 3) AS magnitude_mean, round(stddev_pop(size), 2) AS magnitude_std, any_value(medoid_shape) AS medoid_shape, any_value(shapes) AS shapes,
+  round(sum(w * (CASE WHEN shape[1:1] = medoid_shape[1:1] THEN 1 ELSE 0 END + CASE WHEN shape[1:2] = medoid_shape[1:2] THEN 1 ELSE 0 END + CASE WHEN shape = medoid_shape THEN 1 ELSE 0 END) / 3), 4) AS shape_agreement FROM g JOIN sh USING (incident_id, node) GROUP BY 1, 2""")
 def effect_aggregation(spark, d):
-    e = R.effects(with_hourly_normal(spark, d, N.select_candidates(_scores(spark, d)).drop("weight", "rank")))
+    e = R.effects(with_hourly_normal(spark, d, _selected(spark, d).drop("weight", "rank")))
     a = R.aggregate_effects(e, ["incident_id", "node"])
-    return a.select("incident_id", "node", "n", F.round("positive_weight", 4).alias("positive_weight"), F.round("negative_weight", 4).alias("negative_weight"), F.round("effect_mean", 3).alias("effect_mean"), F.round("effect_std", 2).alias("effect_std"), F.round("effective", 4).alias("effective"), "medoid_shape")
+    digits = {"positive_weight": 4, "negative_weight": 4, "effect_mean": 3, "effect_std": 2, "effective": 4, "magnitude_mean": 3, "magnitude_std": 2, "shape_agreement": 4}
+    listed = F.array_join(F.transform("shapes", lambda x: F.concat(x["shape"], F.lit(":"), x["n"].cast("string"))), " ")
+    return a.select("incident_id", "node", "n", "neutral_n", "medoid_shape", listed.alias("shapes"), *[F.round(c, k).alias(c) for c, k in digits.items()])
+
+
+@query(f"""WITH {EFFECTS}, x0 AS (SELECT incident_id, node, step, CAST(h AS INT) AS horizon, round(e[h], 4) AS v, w AS weight FROM g, (SELECT unnest(range(1, 13)) AS h)), x AS (SELECT *, sum(weight * v) OVER (PARTITION BY incident_id, node, horizon) AS m FROM x0)
+ SELECT q.*, round(m, 3) AS mean, round(s, 2) AS std FROM ({QUANT.format(PS)}) q JOIN (SELECT incident_id, node, horizon, any_value(m) AS m, sqrt(sum(weight * (v - m) * (v - m))) AS s FROM x GROUP BY 1, 2, 3) USING (incident_id, node, horizon)""")
+def effect_by_step(spark, d):
+    e = R.effects(with_hourly_normal(spark, d, _selected(spark, d).drop("weight", "rank"))).withColumn("id", F.col("step"))
+    x = R.effect_steps(e, ["incident_id", "node"])
+    return x.select("incident_id", "node", "horizon", "p10", "p50", "p90", F.round("mean", 3).alias("mean"), F.round("std", 2).alias("std"))
+
+
+def robust11_(a: str) -> str:
+    med = lambda x: f"list_sort({x})[6]"
+    dev = f"list_transform({a}, lambda z: abs(z - {med(a)}))"
+    return f"list_transform({a}, lambda x: greatest(least((x - {med(a)}) / greatest(1.4826 * {med(dev)}, 1.0), 8.0), -8.0))"
+
+
+def cosine_(a: str, b: str) -> str:
+    zero = lambda x: f"list_sum([y * y for y in {x}]) = 0"
+    return f"CASE WHEN {zero(a)} AND {zero(b)} THEN 1.0 WHEN {zero(a)} OR {zero(b)} THEN 0.0 ELSE {cos_sql(a, b)} END"
+
+
+KINDS, AREAS = [f"type {i}" for i in range(4)], [f"area {i}" for i in range(7)]
+ANGLE = "hour * (2 * 3.141592653589793 / 24)"
+META = ", ".join([*(f"CASE WHEN kind = '{k}' THEN 1.0 ELSE 0.0 END" for k in KINDS), *(f"CASE WHEN area = '{k}' THEN 1.0 ELSE 0.0 END" for k in AREAS)])
+BLOCK = ", ".join([*(f"CASE WHEN period = '{k}' THEN 1.0 ELSE 0.0 END" for k in ("night", "morning_peak", "midday", "evening_peak")), *(f"CASE WHEN weekday = {k} THEN 1.0 ELSE 0.0 END" for k in range(7)),
+                   "CASE WHEN weekend THEN 1.0 ELSE 0.0 END", "CASE WHEN holiday THEN 1.0 ELSE 0.0 END", "CASE WHEN weekend OR holiday THEN 1.0 ELSE 0.0 END", f"sin({ANGLE})", f"cos({ANGLE})", "0.0", "0.0", "0.0", "0.0"])
+PATTERN_ITEMS = f"""{REF}, sq AS (SELECT incident_id, node, list(normal ORDER BY horizon) AS normal FROM ref GROUP BY 1, 2),
+ it0 AS (SELECT loc.incident_id AS id, loc.node, loc.step, loc.km, loc.seconds, loc.bearing, loc.kind, loc.area, f.hist, f.fut, f.weekend OR f.holiday AS free, f.period, f.hour, f.weekday, f.weekend, f.holiday, sq.normal, [f.hist[12] for i in range(12)] AS base, [f.hist[i + 1] - f.hist[i] for i in range(1, 12)] AS dd, {robust_('f.hist')} AS z,
+  list_concat([x / 2.0 for x in [{META}]], (SELECT [y / sqrt(list_sum([x * x for x in b])) / sqrt(2.0) for y in b] FROM (SELECT [{BLOCK}] AS b))) AS meta
+  FROM loc JOIN feat f ON f.node = loc.node AND f.step = loc.step LEFT JOIN sq ON sq.incident_id = loc.incident_id AND sq.node = loc.node),
+ it1 AS (SELECT *, [(z[2 * i - 1] + z[2 * i]) / 2 for i in range(1, 7)] AS lw, {robust11_('dd')} AS zd FROM it0),
+ it AS (SELECT *, list_concat(z, zd, [(z[2 * i - 1] - z[2 * i]) / 2 for i in range(1, 7)], [(lw[2 * i - 1] - lw[2 * i]) / 2 for i in range(1, 4)], [(lw[2 * i - 1] + lw[2 * i]) / 2 for i in range(1, 4)]) AS dyn, greatest({mean_('abs(hist[i])')}, 1.0) AS scale FROM it1)"""
+NEAR_ = "exp(-abs(q_{0} - c_{0}) / greatest(abs(q_{0}), abs(c_{0}), {1}))"
+Q_COLS = ", ".join(f"q.{c} AS q_{c}, c.{c} AS c_{c}" for c in ("km", "seconds", "bearing", "kind", "area", "fut", "free", "period", "hour", "normal", "base", "scale", "step"))
+
+
+def axis_(name: str, a: str, b: str) -> str:
+    diffs = f"[({a}[i + 1] - {a}[i]) - ({b}[i + 1] - {b}[i]) for i in range(1, 12)]"
+    return f"{rmse_(a, b)} AS {name}_rmse, sqrt(list_sum([x * x for x in {diffs}]) / 11) AS {name}_step_rmse"
+
+
+PATTERNS = f"""WITH {PATTERN_ITEMS}, pr AS (SELECT q.id AS query_id, q.node, c.id, round({cosine_('q.meta', 'c.meta')}, 4) AS ms, round({cosine_('q.dyn', 'c.dyn')}, 4) AS ds FROM it q JOIN it c ON q.node = c.node AND c.step <= q.step - 1 AND c.id <> q.id),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY ms DESC, id) AS mr, row_number() OVER (PARTITION BY query_id, node ORDER BY ds DESC, id) AS dr FROM pr),
+ dp AS (SELECT rk.query_id, rk.node, rk.id, CASE WHEN mr <= 5 THEN mr END AS metadata_rank, CASE WHEN dr <= 5 THEN dr END AS history_rank, q.hist AS a, c.hist AS b, {Q_COLS} FROM rk JOIN it q ON q.id = rk.query_id AND q.node = rk.node JOIN it c ON c.id = rk.id AND c.node = rk.node WHERE mr <= 5 OR dr <= 5),
+ {HIST_PARTS}, sc1 AS (SELECT *, 0.45 * wavelet + 0.20 * level + 0.20 * recent + 0.15 * changepoint AS hsim,
+  coalesce(({NEAR_.format('km', 0.5)} + {NEAR_.format('seconds', 60.0)} + (cos((q_bearing - c_bearing) * (2 * 3.141592653589793 / 360)) + 1) / 2) / 3, 0.0) AS net,
+  ((CASE WHEN q_free = c_free THEN 1.0 ELSE 0.0 END) + (CASE WHEN q_period = c_period THEN 1.0 ELSE 0.0 END) + (cos((q_hour - c_hour) * (2 * 3.141592653589793 / 24)) + 1) / 2) / 3 AS tm,
+  ((CASE WHEN q_kind = c_kind THEN 1.0 ELSE 0.0 END) + (CASE WHEN q_area = c_area THEN 1.0 ELSE 0.0 END)) / 2 AS inc, [c_base[i] - c_normal[i] for i in range(1, 13)] AS cg, [q_base[i] - q_normal[i] for i in range(1, 13)] AS qg FROM hs),
+ sc2 AS (SELECT *, round(0.55 * net + 0.25 * tm + 0.20 * inc, 4) AS network_time, round(hsim, 4) AS history, round((0.2 * tm + net + hsim + 0.5 * inc) / 2.7, 4) AS score, {axis_('base', 'c_base', 'q_base')}, {axis_('normal', 'c_normal', 'q_normal')}, {axis_('gap', 'cg', 'qg')} FROM sc1),
+ sc3 AS (SELECT *, CASE WHEN c_normal IS NOT NULL AND q_normal IS NOT NULL THEN list_reverse_sort([round(x / q_scale, 6) for x in [base_rmse, base_step_rmse, normal_rmse, normal_step_rmse, gap_rmse, gap_step_rmse]]) END AS axes FROM sc2),
+ sc4 AS (SELECT *, CASE WHEN axes IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, node, axes IS NOT NULL ORDER BY axes, score DESC, c_step, id) END AS state FROM sc3), {groups_sql('sc4', 'query_id, node', 0.5, 0.75, 'score')}"""
+
+
+def _pattern_items(spark, d):
+    """Local incidents with their window, calendar, reference (null if there is none), last-value forecast and vectors."""
+    feat = TS.with_calendar(_features(spark, d), TS.step_time(F.col("step"))).select("node", "step", "hist", "fut", "free", "period", "hour", "weekday", "weekend", "holiday")
+    normal = N.sequences(N.reference(_selected(spark, d))).select("incident_id", "node", "normal")
+    it = _local(spark, d).select("incident_id", "node", "step", "km", "seconds", "bearing", "kind", "area").join(feat, ["node", "step"]).join(normal, ["incident_id", "node"], "left").withColumnRenamed("incident_id", "id")
+    h = F.col("hist")
+    meta = V.incident_vector([F.concat(V.one_hot(F.col("kind"), KINDS), V.one_hot(F.col("area"), AREAS)), A.each_with(V.time_block(F.col("period"), F.col("weekday"), F.col("weekend"), F.col("holiday"), F.col("hour")), F.sqrt(F.lit(2.0)), lambda x, n: x * n)])
+    return it.withColumn("base", F.array_repeat(F.element_at(h, 12), 12)).withColumn("scale", F.greatest(A.mean_abs(h), F.lit(1.0))).withColumn("meta", meta).withColumn("dyn", V.dynamics(h)).persist()  # read six times; one row per local incident
+
+
+def _patterns(spark, d):
+    return R.retrieve(_pattern_items(spark, d), recall_k=5, least=0.5)
+
+
+@query(PATTERNS + """ SELECT query_id, node, id, CAST(metadata_rank AS INT) AS metadata_rank, CAST(history_rank AS INT) AS history_rank, network_time, history, score, round(axes[1], 4) AS worst_axis, CAST(state AS INT) AS state_rank, groups, place FROM gp""")
+def incident_pattern_retrieval(spark, d):
+    """The whole retrieval: two recalls, their merge, scores, paired states of both sides' references, groups and final order."""
+    p = _patterns(spark, d)
+    return p.select("query_id", "node", "id", "metadata_rank", "history_rank", "network_time", "history", "score", F.round("worst_axis", 4).alias("worst_axis"), F.col("state").alias("state_rank"), F.array_join("groups", ",").alias("groups"), "place")
+
+
+@query(PATTERNS + f""", ps AS (SELECT *, [x for x in range(1, 13) if c_fut[x] <> 0] AS ok FROM gp WHERE c_normal IS NOT NULL AND q_normal IS NOT NULL)
+ SELECT query_id, node, id, round(exp(-base_rmse / q_scale), 4) AS base_alike, round(exp(-normal_rmse / q_scale), 4) AS normal_alike, round(exp(-gap_rmse / q_scale), 4) AS gap_alike, round(list_sum([CASE WHEN sign(round(cg[i], 9)) = sign(round(qg[i], 9)) THEN 1.0 ELSE 0.0 END for i in range(1, 13)]) / 12, 4) AS sign_agreement, CAST(len(ok) AS INT) AS valid_steps,
+  round(list_sum([abs(c_base[i] - c_fut[i]) for i in ok]) / len(ok), 4) AS base_mae, round(list_sum([abs(c_normal[i] - c_fut[i]) for i in ok]) / len(ok), 4) AS normal_mae, round(list_sum([c_fut[i] - c_normal[i] for i in range(1, 13)]) / 12, 4) + 0.0 AS mean_effect, {dir_('[c_fut[i] - c_normal[i] for i in range(1, 13)]', 'c_normal')} AS effect_direction FROM ps""")
+def paired_state_evidence(spark, d):
+    """Of the selected cases: how their forecast and reference compare with the query's, and the effect that was observed."""
+    p = _patterns(spark, d).where("c_normal is not null and q_normal is not null")
+    p = R.effects(p.withColumn("fut", F.col("c_fut")).withColumn("normal", F.col("c_normal")))
+    return p.select("query_id", "node", "id", "effect_direction", "valid_steps", (F.round("mean_effect", 4) + 0.0).alias("mean_effect"), *[F.round(c, 4).alias(c) for c in ("base_alike", "normal_alike", "gap_alike", "sign_agreement", "base_mae", "normal_mae")])
 
 
 CMP = f"""cm AS (SELECT node, step, round({mean_('fa[i] - fb[i]')}, 4) AS offset_, round({rmse_('fa', 'fb')}, 4) AS rmse, round(sqrt(greatest({mean_('((fa[i] - list_sum(fa) / 12) - (fb[i] - list_sum(fb) / 12)) * ((fa[i] - list_sum(fa) / 12) - (fb[i] - list_sum(fb) / 12))')}, 0.0)), 4) AS centred_rmse,
@@ -566,9 +719,9 @@ def paired_state_compare(spark, d):
     return _compared(spark, d)
 
 
-@query(f"WITH {WIN}, {PAIR}, {CMP} SELECT node, step, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY list_reverse_sort([rmse, centred_rmse, step_rmse]), step) AS INT) AS rank FROM cm) WHERE rank <= 20")
+@query(f"WITH {WIN}, {PAIR}, {CMP} SELECT node, step, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY list_reverse_sort([rmse, centred_rmse, step_rmse]), step) AS INT) AS rank FROM cm) ")
 def minimax_rank(spark, d):
-    return R.minimax(_compared(spark, d), ["node"], ["rmse", "centred_rmse", "step_rmse"], [F.col("step")]).where("rank <= 20").select("node", "step", "rank")
+    return R.minimax(_compared(spark, d), ["node"], ["rmse", "centred_rmse", "step_rmse"], [F.col("step")]).select("node", "step", "rank")
 
 
 # memory ------------------------------------------------------------------------------------------------------------
@@ -592,10 +745,18 @@ def _kern(c: str, n: int) -> str:
     return f"round(exp(-{rmse_(f'q.{c}', f'm.{c}', n)}), 6) AS s_{c}"
 
 
-PIT = f"""{EPI}, p0 AS (SELECT q.memory_id AS query_id, m.memory_id, m.node, m.origin, {_kern('state', 16)}, {_kern('decision', 24)}, {_kern('reliability', 6)}, {_kern('gap', 12)}, CASE WHEN q.node = m.node THEN 1.0 ELSE 0.0 END AS physical, (epoch(q.origin) - epoch(m.origin)) / 86400.0 AS age
- FROM epi q JOIN epi m ON m.available <= q.origin AND m.memory_id <> q.memory_id WHERE q.memory_id % 100 = 0),
+def _one_of(cs: tuple[str, ...]) -> str:
+    known = " + ".join(f"CASE WHEN q.{c} IS NOT NULL AND m.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in cs)
+    same = " + ".join(f"CASE WHEN q.{c} = m.{c} THEN 1.0::DOUBLE ELSE 0.0 END" for c in cs)
+    return f"CASE WHEN ({known}) > 0 THEN ({same}) / ({known}) ELSE 0.5 END"
+
+
+PIT = f"""{EPI}, p0 AS (SELECT q.memory_id AS query_id, m.memory_id, m.node, m.origin, m.signature, m.has_normal, {_kern('state', 16)}, CASE WHEN m.has_normal THEN {_kern('decision', 24).split(' AS ')[0]} ELSE {_kern('decision', 12).split(' AS ')[0]} END AS s_decision,
+  CASE WHEN m.has_normal THEN {_kern('reliability', 6).split(' AS ')[0]} ELSE 1.0 END AS s_reliability, CASE WHEN m.has_normal THEN {_kern('gap', 12).split(' AS ')[0]} ELSE 1.0 END AS s_gap, {_one_of(M.PHYSICAL)} AS physical, (epoch(q.origin) - epoch(m.origin)) / 86400.0 AS age,
+  array_to_string(list_filter([CASE WHEN q.node <> m.node THEN 'sensor' END, CASE WHEN q.layer <> m.layer THEN 'distance layer' END, CASE WHEN q.direction IS DISTINCT FROM m.direction THEN 'direction' END, CASE WHEN least(abs(q.hour - m.hour), 24 - abs(q.hour - m.hour)) >= 3 THEN 'time of day' END, CASE WHEN sign(q.history_change) <> sign(m.history_change) THEN 'latest change' END], lambda x: x IS NOT NULL), ',') AS differences
+  FROM epi q JOIN epi m ON m.available <= q.origin AND m.incident <> q.incident AND m.has_normal = q.has_normal WHERE q.memory_id % 100 = 0),
  p1 AS (SELECT *, pow(2.0, -age / 30) AS recency, row_number() OVER (PARTITION BY query_id ORDER BY s_state DESC, memory_id) AS rs, row_number() OVER (PARTITION BY query_id ORDER BY s_decision DESC, memory_id) AS rd FROM p0 WHERE age >= 0 AND age <= 120),
- p2 AS (SELECT *, round((0.45 * s_state + 0.45 * s_decision + 0.1 * physical) * (0.9 + 0.1 * recency), 6) AS fits, round((0.35 * s_state + 0.35 * s_decision + 0.12 * s_reliability + 0.08 * s_gap + 0.1 * physical) * (0.9 + 0.1 * recency), 6) AS rank_score FROM p1 WHERE rs <= 24 OR rd <= 24)"""
+ p2 AS (SELECT *, round((0.45 * s_state + 0.45 * s_decision + 0.1 * physical) * (0.9 + 0.1 * recency), 6) AS fits, round(CASE WHEN has_normal THEN 0.35 * s_state + 0.35 * s_decision + 0.12 * s_reliability + 0.08 * s_gap + 0.1 * physical ELSE 0.45 * s_state + 0.45 * s_decision + 0.1 * physical END * (0.9 + 0.1 * recency), 6) AS rank_score FROM p1 WHERE rs <= 24 OR rd <= 24)"""
 
 
 def _recalled(spark, d):
@@ -603,16 +764,40 @@ def _recalled(spark, d):
     return M.point_in_time(e.where("memory_id % 100 = 0"), e)
 
 
-@query(f"WITH {PIT} SELECT query_id, memory_id, s_state, s_decision, fits, rank_score, fits >= 0.5 AND s_state >= 0.5 AND s_decision >= 0.5 AS ok FROM p2")
+@query(f"WITH {PIT} SELECT query_id, memory_id, s_state, s_decision, fits, rank_score, round(physical, 4) AS physical, fits >= 0.4 AND s_state >= 0.5 AND s_decision >= 0.5 AS ok FROM p2")
 def memory_point_in_time(spark, d):
     p = _recalled(spark, d)
-    ok = (F.col("qualify") >= 0.5) & (F.col("s_state") >= 0.5) & (F.col("s_decision") >= 0.5)
-    return p.select("query_id", "memory_id", "s_state", "s_decision", F.col("qualify").alias("fits"), "rank_score", ok.alias("ok"))
+    ok = (F.col("qualify") >= 0.4) & (F.col("s_state") >= 0.5) & (F.col("s_decision") >= 0.5)
+    return p.select("query_id", "memory_id", "s_state", "s_decision", F.col("qualify").alias("fits"), "rank_score", F.round("physical", 4).alias("physical"), ok.alias("ok"))
 
 
-@query()
+def _greedy_sql(pool: str, within_s: int) -> str:
+    """The fold over each query's ranked pool (query_id, memory_id, node, origin, signature, rank_score) as a recursion."""
+    near = f"len(list_filter(kept, lambda y: y.node = q.node AND (y.signature = q.signature OR abs(epoch(y.origin) - epoch(q.origin)) <= {within_s}))) > 0"
+    item = "{'id': q.memory_id, 'node': q.node, 'signature': q.signature, 'origin': q.origin}"
+    return f"""rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, memory_id) AS rn FROM {pool}),
+ gr AS (SELECT query_id, 1 AS rn, [{item}] AS kept FROM rk q WHERE rn = 1 UNION ALL SELECT g.query_id, q.rn, CASE WHEN len(kept) >= 3 OR {near} THEN kept ELSE list_append(kept, {item}) END FROM gr g JOIN rk q ON q.query_id = g.query_id AND q.rn = g.rn + 1),
+ fin AS (SELECT query_id, kept FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn DESC) AS back FROM gr) WHERE back = 1)"""
+
+
+@query(f"WITH RECURSIVE {PIT}, {_greedy_sql('p2', 7200)} SELECT query_id, [x.id for x in kept] AS kept FROM fin")
 def memory_greedy_dedupe(spark, d):
-    return M.greedy_suppress(_recalled(spark, d), k=3, within_s=7200)
+    pool = _recalled(spark, d).join(S.episodes(spark, d).select("memory_id", "signature"), "memory_id")
+    return M.greedy_suppress(pool, k=3, within_s=7200)
+
+
+LEARN = "lr AS (SELECT memory_id, round(abs(gap[1]) * 40, 4) AS base_mae, round(gap[2] * 30, 4) AS delta, memory_id % 7 AS points FROM epi)"
+
+
+@query(f"""WITH RECURSIVE {PIT}, {LEARN}, ok AS (SELECT p2.* FROM p2 JOIN lr USING (memory_id) WHERE fits >= 0.1 AND s_state >= 0.1 AND s_decision >= 0.1 AND points > 0 AND (base_mae >= 1 OR delta >= 10)), {_greedy_sql('ok', 900)},
+ un AS (SELECT query_id, unnest(range(1, len(kept) + 1)) AS place, kept FROM fin) SELECT un.query_id, CAST(place AS INT) AS place, kept[place].id AS memory_id, rank_score, differences FROM un JOIN p2 ON p2.query_id = un.query_id AND p2.memory_id = kept[place].id""")
+def memory_retrieval(spark, d):
+    """The whole retrieval: eligibility, dual recall, qualification, relevance, suppression, differences. Thresholds are low, as these vectors are random."""
+    e = S.episodes(spark, d)
+    gap = lambda i, k: F.round(F.element_at("gap", i) * k, 4)
+    relevance = e.select("memory_id", M.eligible_to_learn(F.round(F.abs(F.element_at("gap", 1)) * 40, 4), gap(2, 30), F.col("memory_id") % 7, 1.0).alias("eligible"))
+    out = M.retrieve(e.where("memory_id % 100 = 0"), e, relevance, least=0.1, kernels=0.1)
+    return out.select("query_id", "place", "memory_id", "rank_score", F.array_join("differences", ",").alias("differences"))
 
 
 @query(f"""WITH {EPI}, x AS (SELECT memory_id, round(abs(gap[1]) * 40, 4) AS base_mae, round(gap[2] * 30, 4) AS delta, memory_id % 7 AS points, round(gap[3] * 10, 4) AS g, round(gap[4] * 10, 4) AS c FROM epi)
@@ -633,9 +818,10 @@ def _forecasts(spark, d):
     return TS.windows(S.grid(spark, d)).select("node", "step", F.element_at("hist", 12).alias("p"), F.posexplode("fut").alias("h", "y")).withColumn("horizon", F.col("h") + 1)
 
 
-@query(f"WITH {WIN}, {LONG} SELECT node, horizon, round(coalesce(sum(abs(p - y)), 0) / greatest(count(*), 1), 3) AS mae, round(coalesce(sum(abs(p - y) / abs(y)), 0) / greatest(count(*), 1), 3) AS mape, round(sqrt(coalesce(sum((p - y) * (p - y)), 0) / greatest(count(*), 1)), 3) AS rmse, round(coalesce(sum(p - y), 0) / greatest(count(*), 1), 3) AS bias, count(*) AS count FROM lg WHERE y <> 0 GROUP BY 1, 2")
+@query(f"WITH {WIN}, {LONG} SELECT node, horizon, round(coalesce(sum(abs(p - y)), 0) / greatest(count(*), 1), 3) AS mae, round(coalesce(sum(abs(p - y) / abs(y)), 0) / greatest(count(*), 1), 3) AS mape, round(coalesce(sum(abs(p - y) / abs(y)), 0) / greatest(count(*), 1) * 100, 2) AS mape_percent, round(sqrt(coalesce(sum((p - y) * (p - y)), 0) / greatest(count(*), 1)), 3) AS rmse, round(coalesce(sum(p - y), 0) / greatest(count(*), 1), 3) AS bias, count(*) AS count FROM lg WHERE y <> 0 GROUP BY 1, 2")
 def masked_metrics_by_step(spark, d):
-    return rounded(E.masked_metrics(_forecasts(spark, d), ["node", "horizon"]).where("count > 0"), 3)
+    m = E.masked_metrics(_forecasts(spark, d), ["node", "horizon"]).where("count > 0")
+    return m.select("node", "horizon", "count", *[F.round(c, 3).alias(c) for c in ("mae", "mape", "rmse", "bias")], F.round("mape_percent", 2).alias("mape_percent"))
 
 
 @query(f"""WITH {WIN}, {LONG}, v AS (SELECT *, step AS w_id, (1 + step % 3)::DOUBLE AS weight, p - y AS err, CASE WHEN horizon <= 3 THEN '1-3' WHEN horizon <= 6 THEN '4-6' ELSE '7-12' END AS band FROM lg WHERE y <> 0),
@@ -646,6 +832,18 @@ def horizon_profile_bands(spark, d):
     return rounded(E.horizon_profile(f, ["node"]), 3)
 
 
+@query(f"""WITH {WIN}, {NORMAL}, o AS (SELECT node, step, CAST(h AS INT) AS horizon, fut[h] AS y, hist[12] AS base, normal[h] AS normal, greatest(hist[12], normal[h]) AS prediction FROM wn, (SELECT unnest(range(1, 13)) AS h)),
+ b AS (SELECT *, CASE WHEN horizon <= 3 THEN 1 WHEN horizon <= 6 THEN 4 ELSE 7 END AS start_step, CASE WHEN horizon <= 3 THEN 3 WHEN horizon <= 6 THEN 6 ELSE 12 END AS end_step FROM o WHERE y <> 0),
+ g AS (SELECT node, step, start_step, end_step, count(*) AS valid_points, avg(abs(base - y)) AS base_mae, avg(base - y) AS base_bias, avg(abs(normal - y)) AS normal_mae, avg(normal - y) AS normal_bias, avg(abs(prediction - y)) AS prediction_mae, avg(prediction - y) AS prediction_bias FROM b GROUP BY 1, 2, 3, 4)
+ SELECT node, step, CAST(start_step AS INT) AS start_step, CAST(end_step AS INT) AS end_step, valid_points, round(base_mae, 7) AS base_mae, round(base_bias, 7) + 0.0 AS base_bias, round(normal_mae, 7) AS normal_mae, round(normal_bias, 7) + 0.0 AS normal_bias, round(prediction_mae, 7) AS prediction_mae, round(prediction_bias, 7) + 0.0 AS prediction_bias, round(prediction_mae - base_mae, 7) + 0.0 AS delta,
+  CASE WHEN prediction_mae - base_mae < -1e-6 THEN 'improved' WHEN prediction_mae - base_mae > 1e-6 THEN 'degraded' ELSE 'equal' END AS outcome FROM g""")
+def local_outcomes(spark, d):
+    """Errors per band of the last value, the hourly mean and the greater of both."""
+    w = with_hourly_normal(spark, d, TS.windows(S.grid(spark, d))).select("node", "step", F.element_at("hist", 12).alias("base"), F.posexplode(F.arrays_zip(F.col("fut").alias("y"), "normal")).alias("h", "x"))
+    w = w.select("node", "step", (F.col("h") + 1).alias("horizon"), "base", "x.y", "x.normal").withColumn("prediction", F.greatest("base", "normal"))
+    return rounded(E.local_outcomes(w, ["node", "step"]), 7)
+
+
 @query(f"""WITH {WIN}, k AS (SELECT node, step, hist[12] AS last, hist[12] - list_min(fut) AS dr FROM win), r AS (SELECT *, dr / greatest(last, 1.0) AS rel FROM k)
  SELECT node, step, round(last, 3) AS last, round(dr, 3) AS drop_, round(dr * rel, 4) AS score FROM r WHERE last >= 50 AND dr >= 20 AND rel >= 0.1 ORDER BY round(dr * rel, 4) DESC, node, step LIMIT 50""")
 def impact_case_selection(spark, d):

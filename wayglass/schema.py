@@ -40,11 +40,21 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(seen, ["node", "step"], "left").na.fill(0.0, ["flow", "speed"]).na.fill(0, ["occupancy"])
 
 
-def incidents(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """The n largest error events as incidents; at most n rows."""
-    errors = read(spark, sf_dir, "events").where("event_type = 'error'").orderBy(F.desc("value"), "event_id").limit(n)
-    return errors.select(F.col("event_id").alias("incident_id"), F.col("ts").alias("dt"), hour_step().alias("step"),
-                         F.expr("cast((event_id % 5 - 1) * 30 as bigint)").alias("duration_minutes"))
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All error events as incidents."""
+    errors = read(spark, sf_dir, "events").where("event_type = 'error'")
+    return errors.select(F.col("event_id").alias("incident_id"), F.col("ts").alias("dt"), hour_step().alias("step"), F.expr("cast((event_id % 5 - 1) * 30 as bigint)").alias("duration_minutes"),
+                         F.concat(F.lit("type "), (F.col("event_id") % 4).cast("string")).alias("kind"), F.concat(F.lit("area "), (F.col("event_id") % 7).cast("string")).alias("area"))
+
+
+def incident_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """incident_id, node, km, seconds, bearing: a route of each incident to each node, at up to 1,250 km; null for every 13th."""
+    nodes = read(spark, sf_dir, "events").select(F.col("event_type").alias("node")).distinct()
+    pairs = incidents(spark, sf_dir).select("incident_id").join(F.broadcast(nodes.agg(F.collect_set("node").alias("nodes"))))  # one row: the named nodes
+    pairs = pairs.select("incident_id", F.explode("nodes").alias("node"))
+    spot = (F.col("incident_id") * 7919 + F.length("node") * 104729) % 100003
+    km = F.when((F.col("incident_id") + F.length("node")) % 13 != 0, spot / 80.0)
+    return pairs.select("incident_id", "node", km.alias("km"), F.round(km * 72, 4).alias("seconds"), F.when(km.isNotNull(), (spot % 360).cast("double")).alias("bearing"))
 
 
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +63,8 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(s_nationkey % 7 as string) as road", "case s_suppkey % 4 when 0 then 'N' when 1 then 'S' when 2 then 'E' else 'W' end as direction")
 
 
-def sites(spark: SparkSession, sf_dir: str, below: int = 50) -> DataFrame:
-    return read(spark, sf_dir, "customer").where(F.col("c_custkey") < below).selectExpr(
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").selectExpr(
         "c_custkey as site", "38 + (c_custkey * 7 % 97) / 100.0D as lat", "-121 - (c_custkey * 3 % 89) / 100.0D as lng",
         "cast(c_nationkey % 7 as string) as road", "case c_custkey % 4 when 0 then 'N' when 1 then 'S' when 2 then 'E' else 'W' end as direction")
 
@@ -76,7 +86,10 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     hours = lambda n: F.make_dt_interval(F.lit(0), n)
+    v = F.col("vec_id")
     return read(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("memory_id"), F.col("label").alias("node"), F.slice(e, 1, 16).alias("state"), F.slice(e, 17, 24).alias("decision"),
+        v.alias("memory_id"), F.col("label").alias("node"), F.slice(e, 1, 16).alias("state"), F.slice(e, 17, 24).alias("decision"),
         F.slice(e, 41, 6).alias("reliability"), F.slice(e, 47, 12).alias("gap"),
-        (start + hours(F.col("vec_id").cast("int"))).alias("origin"), (start + hours((F.col("vec_id") + 12).cast("int"))).alias("available"))
+        (start + hours(v.cast("int"))).alias("origin"), (start + hours((v + 12).cast("int"))).alias("available"),
+        (v % 50).alias("incident"), (v % 3).alias("layer"), (v % 10 != 9).alias("has_normal"), (v % 24).alias("hour"), (F.element_at(e, 12) - F.element_at(e, 11)).alias("history_change"), (v % 37).alias("signature"),
+        F.when(v % 11 != 0, F.col("label") % 7).alias("road"), (v % 4).alias("direction"), (v % 2 == 0).alias("same_direction"), F.when(v % 5 != 0, v % 3 == 0).alias("same_road"))
