@@ -12,7 +12,7 @@ from wayglass.operators import counterfactual as N
 from wayglass.operators import memory as M
 from wayglass.operators import metrics as E
 from wayglass.operators import patterns as R
-from wayglass.operators import records, spatial
+from wayglass.operators import context, forecasts, records, spatial
 from wayglass.operators import similarity as V
 from wayglass.operators import timeseries as TS
 
@@ -43,12 +43,15 @@ def test_unknown_durations(spark, d, want):
 
 def test_one_candidate_a_day_and_weights(spark):
     day = [dt.date(2024, 1, n) for n in (1, 1, 2, 3)]
-    rows = [(1, "n", 99, i, day[i], s, [1.0] * 12) for i, s in enumerate((0.90, 0.85, 0.80, 0.70))]
+    rows = [(1, "n", 99, i, day[i], s, [float(i)] * 12) for i, s in enumerate((0.90, 0.85, 0.80, 0.70))]
     df = spark.createDataFrame(rows, "incident_id long, node string, query_step long, step long, day date, score double, fut array<double>")
     got = N.select_candidates(df, k=2).orderBy("rank").collect()
     assert [g.score for g in got] == [0.90, 0.80]
     assert [round(g.weight, 4) for g in got] == [0.5294, 0.4706]
-    assert round(N.reference(N.select_candidates(df, k=2)).first().ess, 4) == 1.9931
+    r = N.reference(N.select_candidates(df, k=2)).first()
+    mean = 2 * 0.8 / 1.7
+    assert round(r.ess, 4) == 1.9931 and (r.n, r.least_score) == (2, 0.8) and r.mean_score == pytest.approx(0.85)
+    assert r.normal == pytest.approx(mean) and r.spread == pytest.approx(math.sqrt((0.9 * mean**2 + 0.8 * (2 - mean) ** 2) / 1.7))
 
 
 def test_weighted_quantiles(spark):
@@ -96,6 +99,148 @@ def test_shortest_path_prefers_the_smallest_path(spark):
     assert got[4] == (2, [1, 2, 4]) and len(got) == 4
 
 
+def test_only_local_incidents_exclude_a_node(spark):
+    noon = dt.datetime(2024, 1, 1, 12)
+    inc = spark.createDataFrame([(1, noon, 30), (2, noon, 30), (3, noon, 30)], "incident_id long, dt timestamp_ntz, duration_minutes long")
+    routes = spark.createDataFrame([(1, "near", 5.0), (1, "far", 5.01), (2, "far", None), (2, "near", None), (3, "far", -1.0), (3, "near", math.nan)], "incident_id long, node string, km double")
+    local = N.local_incidents(inc, routes)
+    assert [(r.incident_id, r.node) for r in local.collect()] == [(1, "near")]
+    w = spark.createDataFrame([(n, s) for n in ("near", "far") for s in range(24)], "node string, step long")
+    free = {(r.node, r.step) for r in N.incident_free(w, local).collect()}
+    assert {s for n, s in free if n == "far"} == set(range(24)) and {s for n, s in free if n == "near"} == set(range(24)) - {11, 12, 13}
+
+
+def test_time_filter_keeps_the_alike_and_the_best(spark):
+    day = dt.date(2024, 1, 3)
+    rows = [(1, 500, day, 10, 2, False, "midday", s, dt.date(2024, 7 + s % 2, 6), s % 24, 5, True, "night") for s in range(30)] + [(1, 500, day, 10, 2, False, "midday", 40, day, 10, 2, False, "midday")]
+    names = "incident_id long, q_step long, q_day date, q_hour int, q_weekday int, q_free boolean, q_period string, c_step long, c_day date, c_hour int, c_weekday int, c_free boolean, c_period string"
+    p = spark.createDataFrame(rows, names)
+    kept = {r.c_step for r in N.time_filter(p, ["incident_id"], limit=31, top=3).collect()}
+    assert kept == {*range(30), 40}
+    broad = {s for s in range(30) if min(abs(10 - s % 24), 24 - abs(10 - s % 24)) <= 3} | {40}
+    assert {r.c_step for r in N.time_filter(p, ["incident_id"], limit=20, top=3).collect()} == broad
+    assert 40 in {r.c_step for r in N.time_filter(p, ["incident_id"], limit=5, top=3).collect()} and N.time_filter(p, ["incident_id"], 5, 3).count() == 5
+
+
+@pytest.mark.parametrize(("x", "want"), [(2.675, 2.67), (2.5, 2.5), (0.125, 0.12), (0.375, 0.38), (1.005, 1.0), (-2.675, -2.67), (1e15, 1e15), (5.015, 5.01), (0.285, 0.28), (1.115, 1.11)])
+def test_rounding_of_the_binary_value(spark, x, want):
+    assert value(spark, K.round_half_even(F.lit(x))) == want == round(x, 2)
+
+
+def test_rounding_of_many_values(spark):
+    import random
+
+    rnd = random.Random(1)
+    xs = [rnd.randrange(10**6) / 1000 for _ in range(500)] + [rnd.uniform(0, 1000) for _ in range(500)]
+    got = [r.x for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, v double").orderBy("i").select(K.round_half_even(F.col("v")).alias("x")).collect()]
+    assert got == [round(x, 2) for x in xs]
+
+
+def test_recovery_and_gap(spark):
+    h, n = lit(range(12)), lit([20] * 12)
+    r = N.recovery(h, n)
+    assert (value(spark, r["last_flow"]), round(value(spark, r["history_slope"]), 9), value(spark, r["normal_slope"]), value(spark, r["change"])[0]) == (11.0, 1.0, 0.0, 9.0)
+    assert value(spark, N.forecast_gap(n, lit([18] * 12))) == 2.0 and value(spark, N.forecast_gap(n, lit([1] * 3))) is None
+
+
+def test_local_outcomes(spark):
+    y = [10.0, 0.0, 10.0, 10.0, math.nan, 10.0] + [10.0] * 6
+    rows = [(1, h + 1, v, 12.0, 11.0 if h < 6 else None, 11.0 if h < 3 else 13.0 if h < 6 else 12.0) for h, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "id int, horizon int, y double, base double, normal double, prediction double")
+    got = {r.start_step: (r.end_step, r.valid_points, r.base_mae, r.normal_mae, r.prediction_bias, r.outcome) for r in E.local_outcomes(df, ["id"]).collect()}
+    assert got == {1: (3, 2, 2.0, 1.0, 1.0, "improved"), 4: (6, 2, 2.0, 1.0, 3.0, "degraded"), 7: (12, 6, 2.0, None, 2.0, "equal")}
+    own = spark.createDataFrame([(1, 2, 5), (2, 1, 12)], "id int, start_step int, end_step int")
+    assert [(r.start_step, r.valid_points) for r in E.local_outcomes(df, ["id"], own).collect()] == [(2, 2)]
+
+
+def test_incidents_are_chosen_once_in_time_order(spark):
+    el = spark.createDataFrame([(i, dt.datetime(2024, 1, 9 - i)) for i in range(1, 6)], "incident_id long, dt timestamp_ntz")
+    assert [r.incident_id for r in E.choose_incidents(el, [2, 4, 2], el).collect()] == [4, 2]
+    assert [r.incident_id for r in E.choose_incidents(el, None, el.where("incident_id < 3")).collect()] == [2, 1]
+    with pytest.raises(ValueError, match="9"):
+        E.choose_incidents(el, [9], el)
+
+
+def test_paired_state(spark):
+    s = R.paired_state(lit([10] * 12), lit([8] * 12), lit([12] * 12), lit([9] * 12), lit([0] * 6 + [10] * 6), F.lit(2.0))
+    got = {k: value(spark, c) for k, c in s.items()}
+    assert (got["base_rmse"], got["normal_rmse"], got["gap_rmse"], got["base_offset"], got["base_shape_rmse"]) == (2.0, 1.0, 1.0, 2.0, 0.0)
+    assert (got["sign_agreement"], got["valid_steps"], got["base_mae"], got["normal_mae"]) == (1.0, 6, 2.0, 1.0) and round(got["base_alike"], 6) == round(math.exp(-1), 6)
+
+
+def test_evidence_groups_order(spark):
+    rows = [(1, "a", 0.9, 0.1, 5, 0.5), (1, "b", 0.85, 0.9, 4, 0.4), (1, "c", 0.1, 0.2, 1, 0.9), (1, "d", 0.2, 0.3, 2, 0.8), (1, "e", 0.3, 0.1, 9, 0.99)]
+    df = spark.createDataFrame(rows, "q int, id string, network_time double, history double, state int, score double")
+    got = [(r.id, r.groups) for r in R.evidence_groups(df, ["q"], 0.8, 2, "score").orderBy("place").collect()]
+    assert got == [("b", ["network_time", "history"]), ("a", ["network_time"]), ("c", ["state"]), ("d", ["state"])]
+
+
+def test_memory_pieces(spark):
+    c = lambda x: F.lit(x).cast("string")
+    assert value(spark, M.physical_similarity([(c("1"), c("1")), (c("N"), c("S")), (c(None), c("x"))])) == 0.5
+    assert value(spark, M.physical_similarity([(c(None), c("1"))])) == 0.5
+    bands = F.array(F.struct(F.lit(4.0).alias("mae"), F.lit(-2.0).alias("bias")), F.struct(F.lit(6.0).alias("mae"), F.lit(None).cast("double").alias("bias")))
+    assert value(spark, M.reliability(bands, F.lit(2.0))) == [2.0, -1.0, 3.0, 0.0, 0.0, 0.0]
+    e = value(spark, M.local_evidence(lit([1, 5, 2, 2, 2, 2, 2, 2, 2, 3, 5, 4]), lit([1, 2]), F.lit(None).cast("array<double>"), lit([3, 4]), lit([5, 6])))
+    assert (e.latest_change, e.recent_changes, e.earlier_largest_rise, e.latest, e.normal, e.truth.last) == (-1.0, [1.0, 2.0, -1.0], 4.0, 4.0, None, 6.0)
+    df = spark.createDataFrame([(7, 3, 1, dt.datetime(2024, 1, 1, 10, 13, 59))], "incident_id int, node int, layer int, dt timestamp_ntz")
+    r = M.build_episodes(df).first()
+    assert (r.memory_id, r.origin, r.available) == ("incident_7_node_3_layer_1", dt.datetime(2024, 1, 1, 10, 10), dt.datetime(2024, 1, 1, 11, 10))
+    assert [value(spark, M.effect_direction(F.lit(x))) for x in (0.6, 0.5, -0.6)] == ["increase", "flat", "decrease"]
+    with pytest.raises(ValueError, match="k and half_life"):
+        M.retrieve(df, df, df, k=0)
+
+
+def test_responses(spark):
+    import json
+
+    good = {"target_node_id": 5, "forecast_explanation": "", "phase_analysis": [{"start_step": 1, "end_step": 12, "predicted_flow": [2.675] * 12}]}
+    bodies = [good, good | {"more": 1}, {k: v for k, v in good.items() if k != "forecast_explanation"}, good | {"target_node_id": 6}, good | {"phase_analysis": [{"start_step": 1, "end_step": 0, "predicted_flow": []}]}]
+    df = spark.createDataFrame([(i, json.dumps(b), 5) for i, b in enumerate([*bodies, "x"])], "i int, body string, node int")
+    got = {r.i: (r.problem, r.predicted_flow) for r in records.validate_responses(df, node="node").collect()}
+    assert [got[i][0] for i in range(6)] == ["", "extra keys", "missing keys", "node", "steps", "no phases"] and got[0][1] == [2.67] * 12 and got[1][1] is None
+
+
+def test_previous_layer_needs_predictions(spark):
+    scope = spark.createDataFrame([(1, 10, 0), (1, 11, 0), (1, 20, 1)], "site int, sensor int, layer int")
+    up = spark.createDataFrame([(20, 10), (20, 99)], "sensor int, prev int")
+    done = spark.createDataFrame([(1, 10, 3.0)], "site int, sensor int, prediction double")
+    assert [(r.sensor, r.prev, r.prediction) for r in records.previous_layer(scope, up, done, 1).collect()] == [(20, 10, 3.0)]
+    with pytest.raises(ValueError, match="10"):
+        records.previous_layer(scope, up, done.limit(0), 1)
+
+
+def test_forecast_tables_are_checked(spark):
+    w = TS.windows(spark.createDataFrame([("n", s, float(s % 24), s, 1.0) for s in range(240)], "node string, step long, flow double, occupancy long, speed double"))
+    f = {r.step: r.base for r in forecasts.forecast_table(w, "seasonal_24").collect()}
+    assert f[100] == [float((100 + h) % 24) for h in range(1, 13)] and len(f) == 217
+    assert all(r.base == [float(r.step % 24)] * 12 for r in forecasts.forecast_table(w, "last_value").collect())
+    with pytest.raises(ValueError, match="finite"):
+        forecasts.forecast_table(w, lambda x: x.select("node", "step", F.array(F.lit(1.0)).alias("base")))
+
+
+def test_contexts_hide_outcomes_and_dead_sensors(spark):
+    w = spark.createDataFrame([("n", 5, [1.0] * 12, [2.0] * 12), ("z", 5, [0.0] * 12, [0.0] * 12)], "node string, step long, hist array<double>, fut array<double>")
+    inc = spark.createDataFrame([(1, "n", 5, 0, "k", 45), (1, "z", 5, 1, "k", 45)], "incident_id int, node string, step long, layer int, kind string, duration_minutes int")
+    cases = spark.createDataFrame([(1, "n", 2, "b"), (1, "n", 1, "a"), (1, "z", 1, "a")], "incident_id int, node string, place int, id string")
+    made = context.assemble(w, inc, forecasts.last_value(w), patterns=cases)
+    got = {r.node: r for r in made.collect()}
+    assert [x.id for x in got["n"].evidence.patterns] == ["a", "b"] and got["z"].evidence.patterns is None and got["z"].status == "missing_all_zero"
+    assert "duration_minutes" not in got["n"].evidence.incident.asDict() and "fut" not in got["n"].evidence.asDict()
+    assert "patterns" not in made.select(context.without("evidence", ("patterns",)).alias("e")).schema["e"].dataType.names
+    r = {r.node: r for r in context.result_records(made, spark.createDataFrame([(1, "n", [3.0] * 12)], "incident_id int, node string, prediction array<double>")).collect()}
+    assert r["n"].metric_mask == [True] * 12 and r["z"].metric_mask == [False] * 12 and r["z"].prediction == [0.0] * 12
+
+
+def test_starts_and_months(spark):
+    assert TS.window_starts(spark, 30).count() == 6 and TS.check_months([1, 5]) == [1, 5]
+    for bad in ([], [2, 1], [1, 1], [0], [13]):
+        with pytest.raises(ValueError, match="months"):
+            TS.check_months(bad)
+    with pytest.raises(ValueError, match="window"):
+        TS.window_starts(spark, 24)
+
+
 @pytest.mark.parametrize(("raw", "want"), [("99", "99"), ("99.0", "99"), (" US-50 ", "US-50")])
 def test_road_key(spark, raw, want):
     assert value(spark, K.road_key(F.lit(raw))) == want
@@ -131,8 +276,9 @@ def test_minimax(spark):
 
 def test_greedy_suppression_compares_with_kept_rows_only(spark):
     t = lambda m: dt.datetime(2024, 1, 1, 10, m)
-    df = spark.createDataFrame([(1, 1, t(0), 7, 0.9), (1, 2, t(10), 7, 0.8), (1, 3, t(20), 7, 0.7)], "query_id long, memory_id long, origin timestamp_ntz, node int, rank_score double")
-    assert M.greedy_suppress(df).first().kept == [1, 3]
+    schema = "query_id long, memory_id long, origin timestamp_ntz, node int, rank_score double, signature string"
+    df = spark.createDataFrame([(1, 1, t(0), 7, 0.9, "a"), (1, 2, t(10), 7, 0.8, "b"), (1, 3, t(20), 7, 0.7, "c"), (1, 4, t(50), 7, 0.6, "c"), (1, 5, t(50), 8, 0.5, "c")], schema)
+    assert M.greedy_suppress(df).first().kept == [1, 3, 5]
 
 
 def test_verdict_and_upsert(spark):
@@ -153,16 +299,55 @@ def test_first_object(spark):
     assert [r.x for r in df.select(records.first_object("t").alias("x")).collect()] == ['{"a": 1}', None, None]
 
 
-def test_radius_net_equals_all_pairs(spark):
+def haversine(p, q):
+    (a, b), (c, d) = p, q
+    f, g = math.radians(a), math.radians(c)
+    h = math.sin((g - f) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * K.EARTH_KM * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+
+@pytest.mark.parametrize(("lat", "lng", "radius"), [(0, 10, 5.0), (38, -121, 4.0), (45, 7, 30.0), (65, 20, 5.0), (80, 179.95, 20.0), (-66, -179.9, 10.0), (89.9, 0, 15.0), (-89.95, 100, 3.0), (10, 179.99, 400.0), (0, 0, 9000.0)])
+def test_radius_net_equals_all_pairs(spark, lat, lng, radius):
+    import random
+
+    rnd = random.Random(f"{lat}{lng}")
+    spread = min(radius / 111, 60) * 3
+    points = [(i, max(-90.0, min(90.0, lat + rnd.uniform(-spread, spread))), (lng + rnd.uniform(-spread, spread) / max(0.01, math.cos(math.radians(lat))) + 180) % 360 - 180) for i in range(50)]
+    df = spark.createDataFrame([*points, (98, float("nan"), 1.0), (99, None, 1.0)], "sensor long, lat double, lng double")
+    got = {(r.sensor, r.neighbour): r.km for r in spatial.within(df, radius, 1000).collect()}
+    want = {(i, j): km for i, *p in points for j, *q in points if i != j and (km := haversine(p, q)) <= radius}
+    assert set(got) == set(want) and got and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_radius_search_with_a_target_follows_edges(spark):
+    s = spark.createDataFrame([(i, 38 + i / 100, -121.0) for i in range(6)], "sensor int, lat double, lng double")
+    e = spark.createDataFrame([(0, 1, 0.6), (0, 2, 0.9), (0, 3, 0.4), (0, 5, 1.0)], "src int, dst int, weight double")
+    got = [(r.neighbour, r["rank"]) for r in spatial.within(s, 3.5, 10, e).where("sensor = 0").orderBy("rank").collect()]
+    assert got == [(0, 1), (2, 2), (1, 3)]
+    sites = spark.createDataFrame([(7, 38.001, -121.0)], "site int, lat double, lng double")
+    assert [r.neighbour for r in spatial.node_set(sites, s, 3.5, 2, e).orderBy("rank").collect()] == [0, 2]
+    assert [r.neighbour for r in spatial.node_set(sites, s, 3.5, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_nearest_equals_all_pairs(spark):
     import random
 
-    random.seed(3)
-    pts = [(i, 38 + random.random() / 5, -121 - random.random() / 5) for i in range(60)]
-    df = spark.createDataFrame(pts, "sensor long, lat double, lng double")
-    got = {(r.sensor, r.neighbour) for r in spatial.within(df, 4.0, 1000).collect()}
-    p = df.alias("a").join(df.alias("b"), F.col("a.sensor") != F.col("b.sensor"))
-    km = K.haversine_km(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
-    assert got == {(r[0], r[1]) for r in p.where(F.round(km, 6) <= 4).select("a.sensor", "b.sensor").collect()}
+    rnd = random.Random(4)
+    sensors = [(i, rnd.gauss(38, 0.01) if i % 4 else rnd.uniform(30, 50), rnd.gauss(-121, 0.01) if i % 4 else rnd.uniform(-130, -110), f"r{i % 3}") for i in range(80)]
+    sites = [(i, rnd.uniform(20, 60), rnd.uniform(-140, -100), f"r{i % 4}") for i in range(60)] + [(100 + i, 38 + i / 1000, -121.0, "r0") for i in range(20)]
+    a, b = spark.createDataFrame(sites, "site long, lat double, lng double, road string"), spark.createDataFrame(sensors, "sensor long, lat double, lng double, road string")
+    for keys in (None, ["road"]):
+        got = {r.site: r.sensor for r in spatial.nearest(a, b, keys).collect()}
+        assert got == {s: min(((round((x - u) ** 2 + (y - v) ** 2, 10), n) for n, u, v, w in sensors if not keys or w == road), default=(0, None))[1] for s, x, y, road in sites}
+    assert all(r.sensor is None for r in spatial.nearest(a, b.limit(0)).collect())
+
+
+def test_topology_and_many_sources(spark):
+    g = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (5, 1, 1.0)], "src int, dst int, weight double")
+    at = spark.createDataFrame([(i, float(i), 0.0) for i in range(1, 7)], "node int, lat double, lng double")
+    asked = spark.createDataFrame([(1, 3), (5, 3), (1, 5), (2, 2)], "source int, target int")
+    got = {(r.source, r.target): (r.connected, r.hops, r.path, r.km and round(r.km)) for r in spatial.topology(asked, g, at, 6).collect()}
+    assert got == {(1, 3): (True, 2, [1, 2, 3], 222), (5, 3): (True, 3, [5, 1, 2, 3], 667), (1, 5): (False, None, None, None), (2, 2): (True, 0, [2], 0.0)}
 
 
 def test_hashed_text_recall_has_all_texts(spark, tmp_path):

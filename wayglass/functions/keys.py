@@ -29,8 +29,24 @@ def period(hour: Column) -> Column:
     return F.when((hour < 6) | (hour >= 20), "night").when(hour < 10, "morning_peak").when(hour < 16, "midday").otherwise("evening_peak")
 
 
-def is_holiday(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd").isin(*HOLIDAYS)
+def is_holiday(day: Column, holidays: tuple[str, ...] = HOLIDAYS) -> Column:
+    """Whether the day is one of the holidays, which are a parameter: the default knows one year."""
+    return F.date_format(day, "yyyy-MM-dd").isin(*holidays)
+
+
+def round_half_even(x: Column, digits: int = 2) -> Column:
+    """Rounding of the binary value, ties to even: 2.675 is below its name and gives 2.67. (Spark's round goes by the shortest decimal name.)
+
+    x * 10^digits is taken exactly, as a double and the error of that product; the error breaks what looks like a tie.
+    """
+    k = float(10**digits)
+    high = lambda v: F.lit(134217729.0) * v - (F.lit(134217729.0) * v - v)  # noqa: E731  the upper half of the digits
+    p = x * k
+    xh = high(x)
+    error = (xh * k - p) + (x - xh) * k
+    low = F.floor(p).cast("double")
+    near = F.when(error > 0, low + 1).when(error < 0, low).otherwise(F.rint(p))
+    return F.when((F.abs(x) < 1e13) & (p - low == 0.5), near / k).when(F.abs(x) < 1e13, F.rint(p) / k).otherwise(x)
 
 
 def circular(a: Column, b: Column, around: float) -> Column:

@@ -86,3 +86,8 @@ def impact_cases(windows: DataFrame, top: int, month: int | None = None, ts: Col
     w = windows.withColumn("last", F.element_at("hist", 12)).withColumn("drop_", F.col("last") - F.array_min("fut"))
     w = w.withColumn("rel", F.col("drop_") / F.greatest(F.col("last"), F.lit(1.0))).where((F.col("last") >= last_least) & (F.col("drop_") >= drop_least) & (F.col("rel") >= rel_least))
     return w.withColumn("score", F.round(F.col("drop_") * F.col("rel"), 4)).orderBy(F.desc("score"), "node", "step").limit(top)
+
+
+def processing_summary(runs: DataFrame, ms: str = "processing_ms") -> DataFrame:
+    """One row: incidents, their whole time and its mean in ms (0 without incidents)."""
+    return runs.agg(F.count("*").alias("incidents"), F.coalesce(F.sum(ms), F.lit(0.0)).alias("total_ms"), F.coalesce(F.avg(ms), F.lit(0.0)).alias("average_ms"))

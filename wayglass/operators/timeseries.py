@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayglass.functions import arrays as A
-from wayglass.functions.keys import is_holiday, period
+from wayglass.functions.keys import HOLIDAYS, is_holiday, period
 from wayglass.schema import CHUNK, EPOCH, FUTURE, HISTORY
 
 CHANNELS = (("hist", 1.0), ("occ", 0.001), ("spd", 1.0))
@@ -34,10 +34,10 @@ def step_time(step: Column) -> Column:
     return F.timestamp_seconds(step * 3600 + EPOCH)
 
 
-def with_calendar(df: DataFrame, ts: Column) -> DataFrame:
+def with_calendar(df: DataFrame, ts: Column, holidays: tuple[str, ...] = HOLIDAYS) -> DataFrame:
     """Adds day, hour, weekday (Monday 0), weekend, holiday, free, period."""
     df = df.withColumn("day", F.to_date(ts)).withColumn("hour", F.hour(ts)).withColumn("weekday", F.weekday(ts))
-    df = df.withColumn("weekend", F.col("weekday") >= 5).withColumn("holiday", is_holiday(F.col("day")))
+    df = df.withColumn("weekend", F.col("weekday") >= 5).withColumn("holiday", is_holiday(F.col("day"), holidays))
     return df.withColumn("free", F.col("weekend") | F.col("holiday")).withColumn("period", period(F.col("hour")))
 
 
@@ -72,12 +72,34 @@ def prefix_similarity(a: Column, b: Column, n: int = 3) -> Column:
     return sum((F.when(s, 1).otherwise(0) for s in same), F.lit(0)) / F.lit(n)
 
 
-def chronological_split(starts: DataFrame, order: str, train: float = 0.7, val: float = 0.15, group: list[str] | None = None) -> DataFrame:
-    """Adds split: the first round(n * train) rows, the next round(n * val), the rest (half to even). Ratios must leave a test part."""
+def window_starts(spark: SparkSession, length: int, history: int = HISTORY, future: int = FUTURE) -> DataFrame:
+    """start: 0 to length - history - future - 1; a range without a window raises."""
+    if length - history - future <= 0:
+        raise ValueError(f"{length} steps hold no window of {history} + {future}")
+    return spark.range(length - history - future).withColumnRenamed("id", "start")
+
+
+def check_months(months: list[int]) -> list[int]:
+    """Months are unique, ascending and within 1 to 12."""
+    if not months or list(months) != sorted(set(months)) or not all(1 <= m <= 12 for m in months):
+        raise ValueError(f"months must be unique, ascending and within 1 to 12: {months}")
+    return list(months)
+
+
+def chronological_split(starts: DataFrame, order: str, train: float = 0.7, val: float = 0.15, group: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """Adds split: the first round(n * train) rows, the next round(n * val), the rest (half to even). Ratios must leave a test part.
+
+    Rows are counted in ranges of the order first, and ranked inside a range only, so that without groups, too, no task sorts them all.
+    """
     if not (0 < train and 0 < val and train + val < 1):
         raise ValueError("ratios must be positive and leave a test part")
-    by = Window.partitionBy(*(group or [F.lit(0)]))
-    n = F.count("*").over(by)
-    at = F.row_number().over(by.orderBy(order))
-    first, second = F.bround(n * F.lit(train)), F.bround(n * F.lit(val))
-    return starts.withColumn("split", F.when(at <= first, "train").when(at <= first + second, "val").otherwise("test"))
+    group = group or []
+    dealt = starts.repartitionByRange(ranges, *group, order).withColumn("__range", F.spark_partition_id()) if not group else starts.withColumn("__range", F.lit(0))
+    over = Window.partitionBy(*(group or [F.lit(0)]))
+    counts = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__in"))
+    before = F.coalesce(F.sum("__in").over(over.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__before", before).withColumn("__n", F.sum("__in").over(over)).drop("__in")
+    ranked = dealt.join(counts, [*group, "__range"])
+    at = F.col("__before") + F.row_number().over(Window.partitionBy(*group, "__range").orderBy(order))
+    first, second = F.bround(F.col("__n") * F.lit(train)), F.bround(F.col("__n") * F.lit(val))
+    return ranked.withColumn("split", F.when(at <= first, "train").when(at <= first + second, "val").otherwise("test")).drop("__range", "__before", "__n")

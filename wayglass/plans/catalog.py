@@ -14,10 +14,11 @@ from wayglass.operators import counterfactual as N
 from wayglass.operators import memory as M
 from wayglass.operators import metrics as E
 from wayglass.operators import patterns as R
-from wayglass.operators import records, spatial
+from wayglass.operators import context, forecasts, records, spatial
 from wayglass.operators import similarity as V
 from wayglass.operators import timeseries as TS
 from wayglass.operators.records import rounded
+from wayglass.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -256,6 +257,12 @@ def radius_neighbors(spark, d):
     return spatial.within(S.sensors(spark, d), 5.0, 8)
 
 
+@query(f"""WITH {SEN}, p AS (SELECT a.sensor AS target, b.sensor AS node, {HAV} AS km FROM sen a JOIN sen b ON a.sensor <> b.sensor AND a.road = b.road), k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY km, node) AS place FROM p WHERE km > 0 AND round(km, 6) <= 30)
+ SELECT target, node, CASE WHEN km <= 10 THEN 1 WHEN km <= 20 THEN 2 ELSE 3 END AS layer, round(km, 6) AS km FROM k WHERE place < 6 UNION ALL SELECT sensor, sensor, 0, 0.0 FROM sen""")
+def distance_layers(spark, d):
+    return spatial.distance_layers(S.sensors(spark, d), ((0.0, 10.0), (10.0, 20.0), (20.0, 30.0)), 6).select("target", "node", "layer", F.round("km", 6).alias("km"))
+
+
 @query(f"WITH {EDG} SELECT src, dst, round(weight, 6) AS weight FROM edg WHERE weight > 0.5")
 def one_hop_edges(spark, d):
     return spatial.one_hop(S.edges(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
@@ -529,7 +536,8 @@ SEL = f"""{SCORE}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def _features(spark, d):
-    return TS.with_features(TS.windows(S.grid(spark, d)))
+    """The windows and their features, once as a table: a query reads them up to six times."""
+    return written(TS.with_features(TS.windows(S.grid(spark, d))), "features")
 
 
 def _scores(spark, d):
@@ -537,8 +545,8 @@ def _scores(spark, d):
     return N.candidate_scores(feat.join(local.select("incident_id", "node", "step"), ["node", "step"]), N.incident_free(feat, local))
 
 
-def _selected(spark, d):
-    return N.normal_counterfactual(_features(spark, d), S.incidents(spark, d), S.incident_routes(spark, d))
+def _selected(spark, d, feat=None):
+    return N.normal_counterfactual(feat if feat is not None else _features(spark, d), S.incidents(spark, d), S.incident_routes(spark, d))
 
 
 @query(f"WITH {SCORE} SELECT incident_id, node, query_step, step, traffic_score, time_score, score FROM sc")
@@ -581,7 +589,7 @@ def normal_recovery(spark, d):
     """Gap of the last-value forecast from the reference, and recovery evidence."""
     feat = _features(spark, d)
     at = feat.join(_local(spark, d).select("incident_id", "node", "step"), ["node", "step"]).select("incident_id", "node", "hist")
-    r = N.sequences(N.reference(_selected(spark, d))).join(at, ["incident_id", "node"])
+    r = N.sequences(N.reference(_selected(spark, d, feat))).join(at, ["incident_id", "node"])
     back = N.recovery(F.col("hist"), F.col("normal"))
     gap = N.forecast_gap(F.col("normal"), F.array_repeat(F.element_at("hist", 12), 12))
     return r.select("incident_id", "node", F.round(gap, 4).alias("gap"), F.round(back["last_flow"], 4).alias("last_flow"), (F.round(back["history_slope"], 5) + 0.0).alias("history_slope"), (F.round(back["normal_slope"], 5) + 0.0).alias("normal_slope"), (F.round(A.total(back["change"]), 3) + 0.0).alias("change"))
@@ -600,8 +608,9 @@ def weighted_quantiles(spark, d):
 @query(f"""WITH {SEL}, x0 AS (SELECT incident_id, node, sel.step, CAST(h AS INT) AS horizon, round(sel.fut[h] - win.hist[12], 4) AS v, weight FROM sel JOIN win USING (node, step), (SELECT unnest(range(1, 13)) AS h)), x AS (SELECT *, sum(weight * v) OVER (PARTITION BY incident_id, node, horizon) AS m FROM x0)
  SELECT q.*, round(m, 3) AS mean, round(s, 3) AS std, round(a, 3) AS mae FROM ({QUANT.format(PS)}) q JOIN (SELECT incident_id, node, horizon, any_value(m) AS m, sqrt(sum(weight * (v - m) * (v - m))) AS s, sum(weight * abs(v)) AS a FROM x GROUP BY 1, 2, 3) USING (incident_id, node, horizon)""")
 def residual_distribution(spark, d):
-    base = TS.windows(S.grid(spark, d)).select("node", "step", F.array_repeat(F.element_at("hist", 12), 12).alias("base"))
-    e = N.base_evidence(_selected(spark, d), base)
+    feat = _features(spark, d)
+    base = feat.select("node", "step", F.array_repeat(F.element_at("hist", 12), 12).alias("base"))
+    e = N.base_evidence(_selected(spark, d, feat), base)
     return e.select("incident_id", "node", "horizon", "p10", "p50", "p90", *[F.round(c, 3).alias(c) for c in ("mean", "std", "mae")])
 
 
@@ -676,12 +685,14 @@ PATTERNS = f"""WITH {PATTERN_ITEMS}, pr AS (SELECT q.id AS query_id, q.node, c.i
 
 def _pattern_items(spark, d):
     """Local incidents with their window, calendar, reference (null if there is none), last-value forecast and vectors."""
-    feat = TS.with_calendar(_features(spark, d), TS.step_time(F.col("step"))).select("node", "step", "hist", "fut", "free", "period", "hour", "weekday", "weekend", "holiday")
-    normal = N.sequences(N.reference(_selected(spark, d))).select("incident_id", "node", "normal")
+    windows = _features(spark, d)
+    feat = TS.with_calendar(windows, TS.step_time(F.col("step"))).select("node", "step", "hist", "fut", "free", "period", "hour", "weekday", "weekend", "holiday")
+    normal = N.sequences(N.reference(_selected(spark, d, windows))).select("incident_id", "node", "normal")
+    normal = written(normal, "references")
     it = _local(spark, d).select("incident_id", "node", "step", "km", "seconds", "bearing", "kind", "area").join(feat, ["node", "step"]).join(normal, ["incident_id", "node"], "left").withColumnRenamed("incident_id", "id")
     h = F.col("hist")
     meta = V.incident_vector([F.concat(V.one_hot(F.col("kind"), KINDS), V.one_hot(F.col("area"), AREAS)), A.each_with(V.time_block(F.col("period"), F.col("weekday"), F.col("weekend"), F.col("holiday"), F.col("hour")), F.sqrt(F.lit(2.0)), lambda x, n: x * n)])
-    return it.withColumn("base", F.array_repeat(F.element_at(h, 12), 12)).withColumn("scale", F.greatest(A.mean_abs(h), F.lit(1.0))).withColumn("meta", meta).withColumn("dyn", V.dynamics(h)).persist()  # read six times; one row per local incident
+    return written(it.withColumns({"base": F.array_repeat(F.element_at(h, 12), 12), "scale": F.greatest(A.mean_abs(h), F.lit(1.0)), "meta": meta, "dyn": V.dynamics(h)}), "items")
 
 
 def _patterns(spark, d):
@@ -818,6 +829,25 @@ def _forecasts(spark, d):
     return TS.windows(S.grid(spark, d)).select("node", "step", F.element_at("hist", 12).alias("p"), F.posexplode("fut").alias("h", "y")).withColumn("horizon", F.col("h") + 1)
 
 
+@query(f"""WITH {WIN}, s AS (SELECT node, step, step % 24 AS phase, avg(hist[12]) OVER (PARTITION BY node, step % 24 ORDER BY step ROWS UNBOUNDED PRECEDING) AS m FROM win),
+ a AS (SELECT node, step, h, (step + h) % 24 AS phase, hist[12] AS last FROM win, (SELECT unnest(range(1, 13)) AS h)), f AS (SELECT a.node, a.step, a.h, arg_max(s.m, s.step) AS m, any_value(last) AS last FROM a LEFT JOIN s ON s.node = a.node AND s.phase = a.phase AND s.step <= a.step GROUP BY 1, 2, 3)
+ SELECT node, step, round(sum(coalesce(m, last)), 3) AS total, round(max(CASE WHEN h = 1 THEN coalesce(m, last) END), 4) AS first FROM f GROUP BY 1, 2""")
+def seasonal_forecast(spark, d):
+    f = forecasts.forecast_table(TS.windows(S.grid(spark, d)), "seasonal_24")
+    return f.select("node", "step", F.round(A.total(F.col("base")), 3).alias("total"), F.round(F.element_at("base", 1), 4).alias("first"))
+
+
+@query(f"""WITH {WIN}, {INC}, it AS (SELECT loc.*, w.hist, w.fut FROM loc JOIN win w USING (node, step)) SELECT incident_id, node, CASE WHEN list_sum([abs(x) for x in hist]) = 0 THEN 'missing_all_zero' ELSE 'observed' END AS status, list_sum([abs(x) for x in hist]) > 0 AS counts, CASE WHEN list_sum([abs(x) for x in hist]) = 0 THEN 0.0 ELSE round(hist[12], 4) END AS prediction, kind FROM it""")
+def context_records(spark, d):
+    """Evidence rows of the local incidents and the records of a run that predicts the last value; sensors that are down count in no metric."""
+    w = TS.windows(S.grid(spark, d))
+    base = forecasts.last_value(w)
+    made = context.rendered(context.assemble(w, _local(spark, d).select("incident_id", "node", "step", F.lit(0).alias("layer"), "kind", "area", "duration_minutes"), base))
+    predictions = made.select("incident_id", "node", F.col("evidence.base").alias("prediction"))
+    r = context.result_records(made, predictions).join(made.select("incident_id", "node", "body"), ["incident_id", "node"])
+    return r.select("incident_id", "node", "status", F.element_at("metric_mask", 1).alias("counts"), F.round(F.element_at("prediction", 1), 4).alias("prediction"), F.get_json_object("body", "$.incident.kind").alias("kind"))
+
+
 @query(f"WITH {WIN}, {LONG} SELECT node, horizon, round(coalesce(sum(abs(p - y)), 0) / greatest(count(*), 1), 3) AS mae, round(coalesce(sum(abs(p - y) / abs(y)), 0) / greatest(count(*), 1), 3) AS mape, round(coalesce(sum(abs(p - y) / abs(y)), 0) / greatest(count(*), 1) * 100, 2) AS mape_percent, round(sqrt(coalesce(sum((p - y) * (p - y)), 0) / greatest(count(*), 1)), 3) AS rmse, round(coalesce(sum(p - y), 0) / greatest(count(*), 1), 3) AS bias, count(*) AS count FROM lg WHERE y <> 0 GROUP BY 1, 2")
 def masked_metrics_by_step(spark, d):
     m = E.masked_metrics(_forecasts(spark, d), ["node", "horizon"]).where("count > 0")
