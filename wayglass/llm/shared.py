@@ -3,60 +3,19 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayglass.sources.scratch import drop_written, n_written, scratch_root, written  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Java regular expression of the white space that separates words.
 BLANK = "[\\x20\\x09-\\x0D]"
 
 
-#: Folders of the tables that this process has written and not dropped.
-_made: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session. On a cluster it has to be set; in local mode, where one machine is all, a temporary folder will do."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="wayglass-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def drop_written(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the tables written since there were so many (see `n_written`), but for those that `keep` reads. Frames that read the others end with them."""
-    held = keep.inputFiles() if keep is not None else []
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for p in _made[since:]:
-        if not any(f"/{p.rsplit('/', 1)[1]}/" in f for f in held):
-            at = path(p)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            _made.remove(p)
-
-
-def n_written() -> int:
-    return len(_made)
-
-
-def written(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
-    """Write a frame as a table of the shared folder and read it again: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/wayglass/{tag}-{uuid.uuid4().hex}"
-    out = df.write
-    if by:
-        out = out.partitionBy(*by)
-    out.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
