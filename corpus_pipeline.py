@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayglass.llm import bpe, line_dedup, mixing, queries, simhash, toxicity
-from wayglass.llm.shared import ship, table, written
+from wayglass.llm.shared import drop_written, n_written, ship, table, written
 
 #: No oracle: SQL expresses neither the pattern grammar nor SimHash; the tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
@@ -60,7 +60,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), n_written()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(spark, before, keep=docs)  # what the stage has needed, and what it has read
     return STAGES[-1][1](spark, docs, sf_dir)

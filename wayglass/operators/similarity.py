@@ -48,8 +48,9 @@ def token_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def hashed_block(items: DataFrame, dim: int) -> DataFrame:
-    """(id, bucket, x): L2-normalised counts of the tokens of (id, tokens) in dim buckets, zeros left out."""
-    counts = items.select("id", F.explode("tokens").alias("t")).groupBy("id", F.pmod(F.xxhash64("t"), F.lit(dim)).cast("int").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    """(id, bucket, x): L2-normalised counts of the tokens of (id, tokens) in dim buckets (the first 32 bits of MD5), zeros left out."""
+    bucket = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("long") % dim
+    counts = items.select("id", F.explode("tokens").alias("t")).groupBy("id", bucket.cast("int").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     return counts.withColumn("x", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))).drop("n")
 
 

@@ -340,29 +340,29 @@ def layered_propagation(spark, d):
 
 
 # text, vectors, histories --------------------------------------------------------------------------------------------
-ASCII = "^[\\x01-\\x7F]*$"
-TOK = """b AS (SELECT item_id AS id, regexp_replace(trim(lower(text)), '\\s+', ' ', 'g') AS v FROM benchmark WHERE regexp_matches(text, '^[\\x01-\\x7F]*$')), w AS (SELECT id, v, regexp_extract_all(v, '[a-z0-9]+') AS ws FROM b),
+TOK = """b AS (SELECT item_id AS id, regexp_replace(trim(lower(text)), '\\s+', ' ', 'g') AS v FROM benchmark), w AS (SELECT id, v, regexp_extract_all(v, '[\\p{L}\\p{M}\\p{N}]+') AS ws FROM b),
  j AS (SELECT *, array_to_string(ws, '') AS s FROM w), tk AS (SELECT id, list_sort(list_distinct(list_filter(list_concat([v], ws, [s[i:i + 2] for i in range(1, greatest(len(s) - 1, 1))], [s[i:i + 3] for i in range(1, greatest(len(s) - 2, 1))]), lambda t: t <> ''))) AS tokens FROM j)"""
 
 
-def _tokens(spark, d, kept="true"):
-    return S.read(spark, d, "benchmark").where(kept).select(F.col("item_id").alias("id"), V.token_set(F.col("text")).alias("tokens"))
+def _tokens(spark, d):
+    return S.read(spark, d, "benchmark").select(F.col("item_id").alias("id"), V.token_set(F.col("text")).alias("tokens"))
 
 
 @query(f"WITH {TOK} SELECT id, CAST(len(tokens) AS INT) AS n, md5(array_to_string(tokens, '|')) AS digest FROM tk")
 def token_ngram_sets(spark, d):
-    return _tokens(spark, d, F.col("text").rlike(ASCII)).select("id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", "|").cast("binary")).alias("digest"))
+    return _tokens(spark, d).select("id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", "|").cast("binary")).alias("digest"))
 
 
 @query(f"""WITH {TOK}, x AS (SELECT id, len(tokens) AS n, unnest(tokens) AS t FROM tk), p AS (SELECT a.id AS a_id, b.id AS b_id, round(count(*) / sqrt(a.n::DOUBLE * b.n), 4) AS score FROM x a JOIN x b USING (t) WHERE a.id <> b.id GROUP BY a.id, b.id, a.n, b.n)
  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS INT) AS rank FROM p) WHERE rank <= 3""")
 def token_cosine_recall(spark, d):
-    t = _tokens(spark, d, F.col("text").rlike(ASCII))
+    t = _tokens(spark, d)
     scored = V.token_cosine(t, t).where("a_id <> b_id").withColumn("score", F.round("score", 4))
     return V.top_k(scored, ["a_id"], [F.desc("score"), F.col("b_id")], 3)
 
 
-@query()
+@query(f"""WITH {TOK}, x AS (SELECT id, CAST('0x' || substr(md5(unnest(tokens)), 1, 8) AS BIGINT) % 256 AS bucket FROM tk), c AS (SELECT id, bucket, count(*)::DOUBLE AS n FROM x GROUP BY 1, 2), u AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM c),
+ p AS (SELECT a.id AS a_id, b.id AS b_id, round(sum(a.x * b.x), 4) AS score FROM u a JOIN u b USING (bucket) WHERE a.id <> b.id GROUP BY 1, 2) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS INT) AS rank FROM p) WHERE rank <= 3""")
 def hashed_text_vector_recall(spark, d):
     t = V.hashed_block(_tokens(spark, d), V.FIELD_DIMS["description"])
     scored = V.sparse_cosine(t, t).where("a_id <> b_id").withColumn("score", F.round("score", 4))
@@ -468,11 +468,15 @@ def attribute_text_similarity(spark, d):
     return p.select("item_id", F.round(V.gestalt("text", "other"), 4).alias("ratio"))
 
 
-@query("SELECT a.item_id, CAST(levenshtein(a.text, b.text) AS INT) AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE regexp_matches(a.text, '^[\\x01-\\x7F]*$') AND regexp_matches(b.text, '^[\\x01-\\x7F]*$')")
+#: DuckDB's distance counts bytes, so its SQL first gives each letter beyond ASCII one byte, a control character, of its own.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+ONE_BYTE = f"translate({{}}.text, '{LETTERS}', {' || '.join(f'chr({i})' for i in [*range(1, 9), 11, 12, *range(14, 25)])})"
+
+
+@query(f"SELECT a.item_id, CAST(levenshtein({ONE_BYTE.format('a')}, {ONE_BYTE.format('b')}) AS INT) AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
 def attribute_edit_distance(spark, d):
     b = S.read(spark, d, "benchmark")
     p = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
-    p = p.where(F.col("text").rlike(ASCII) & F.col("other").rlike(ASCII))  # DuckDB's distance counts bytes
     return p.select("item_id", F.levenshtein("text", "other").alias("distance"))
 
 
@@ -831,10 +835,10 @@ def _forecasts(spark, d):
 
 @query(f"""WITH {WIN}, s AS (SELECT node, step, step % 24 AS phase, avg(hist[12]) OVER (PARTITION BY node, step % 24 ORDER BY step ROWS UNBOUNDED PRECEDING) AS m FROM win),
  a AS (SELECT node, step, h, (step + h) % 24 AS phase, hist[12] AS last FROM win, (SELECT unnest(range(1, 13)) AS h)), f AS (SELECT a.node, a.step, a.h, arg_max(s.m, s.step) AS m, any_value(last) AS last FROM a LEFT JOIN s ON s.node = a.node AND s.phase = a.phase AND s.step <= a.step GROUP BY 1, 2, 3)
- SELECT node, step, round(sum(coalesce(m, last)), 3) AS total, round(max(CASE WHEN h = 1 THEN coalesce(m, last) END), 4) AS first FROM f GROUP BY 1, 2""")
+ SELECT node, step, round(sum(coalesce(m, last)), 6) AS total, round(max(CASE WHEN h = 1 THEN coalesce(m, last) END), 6) AS first FROM f GROUP BY 1, 2""")
 def seasonal_forecast(spark, d):
     f = forecasts.forecast_table(TS.windows(S.grid(spark, d)), "seasonal_24")
-    return f.select("node", "step", F.round(A.total(F.col("base")), 3).alias("total"), F.round(F.element_at("base", 1), 4).alias("first"))
+    return f.select("node", "step", F.round(A.total(F.col("base")), 6).alias("total"), F.round(F.element_at("base", 1), 6).alias("first"))
 
 
 @query(f"""WITH {WIN}, {INC}, it AS (SELECT loc.*, w.hist, w.fut FROM loc JOIN win w USING (node, step)) SELECT incident_id, node, CASE WHEN list_sum([abs(x) for x in hist]) = 0 THEN 'missing_all_zero' ELSE 'observed' END AS status, list_sum([abs(x) for x in hist]) > 0 AS counts, CASE WHEN list_sum([abs(x) for x in hist]) = 0 THEN 0.0 ELSE round(hist[12], 4) END AS prediction, kind FROM it""")
