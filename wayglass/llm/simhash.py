@@ -414,14 +414,17 @@ def _mixed_links(own: DataFrame, texts: DataFrame, jaccard: float, shingle: int)
 
 def similar_links(rows: DataFrame, known: DataFrame, jaccard: float, shingle: int) -> DataFrame:
     """(a, b) of fingerprints: links known, those of equal sets, and enough of those of similar sets for the same classes; rows: written sketches."""
-    sets = written(rows.where("n > 0").groupBy("set").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "sets")
-    equal = rows.join(sets.select("set", F.col("fp").alias("b")), "set").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    one = F.coalesce("doc_id", F.lit(-1))
+    sets = written(rows.where("n > 0").groupBy("set").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.min(one).alias("one")), "sets")
+    different = rows.select("set", "fp").distinct()  # copies fold before the join
+    equal = different.join(sets.select("set", F.col("fp").alias("b")), "set").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     found = written(known.select("a", "b").unionByName(equal), "links")
     filed = sets.select("set", "fp", "n", F.explode("buckets").alias("key"))
     shared = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     filed = written(filed.join(shared, "key"), "buckets")
-    needed = filed.select("set").distinct()
-    texts = written(rows.select("set", "text").join(needed, "set", "left_semi").dropDuplicates(["set"]), "texts")
+    needed = filed.select("set").distinct().join(sets.select("set", "one"), "set")
+    # One text of a set, by the id of one of its documents, so that the many copies of a text aren't dealt to one task.
+    texts = written(rows.select("set", one.alias("one"), "text").join(needed, ["set", "one"], "left_semi").dropDuplicates(["set", "one"]).select("set", "text"), "texts")
     ends = sets.select("set", "fp")
 
     def with_roots() -> DataFrame:
@@ -432,7 +435,7 @@ def similar_links(rows: DataFrame, known: DataFrame, jaccard: float, shingle: in
         both = links_.join(ends.withColumnsRenamed({"set": "a", "fp": "fa"}), "a").join(ends.withColumnsRenamed({"set": "b", "fp": "fb"}), "b")
         return both.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
-    own = with_roots()
+    own = filed.withColumn("root", F.col("fp"))  # classes don't matter yet: there are no more pairs with a pivot than members
     degree = filed.groupBy("set").agg(F.sum("members").alias("degree"))
     pivots = own.join(degree, "set").groupBy("key").agg(F.max_by(F.struct("set", "n", "root"), F.struct("degree", "set")).alias("pivot"))
     apart = (F.col("root") != F.col("pivot.root")) & (F.least("n", "pivot.n") >= jaccard * F.greatest("n", "pivot.n") - 1e-9)
