@@ -44,6 +44,8 @@ MAX_STEMS = 4_000
 #: False features to expect over all that are tested; precision of strong features, and of weak ones where they occur twice; weight of one weak match at most.
 FALSE_FEATURES, PRECISION_LEAST, TWICE_LEAST, WEAK = 0.1, 0.9, 0.8, 0.65
 SHORTEST, LONGEST = 4, 8
+#: Features whose counts a task holds before it hands them on.
+SUMS_HELD = 40_000
 #: Words whose precision a task remembers; then the store starts anew.
 KNOWN_WORDS = 100_000
 
@@ -225,10 +227,15 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
 def features(rows: DataFrame) -> DataFrame:
     """(feature, t, n, t2, n2): toxic and all documents that hold a word or a prefix of words (ending in '*'), and that hold it twice or more."""
 
+    columns = ["feature", "t", "n", "t2", "n2"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sums: dict[str, list[int]] = {}
             for text, toxic in zip(f["text"], f["toxic"], strict=True):
+                if len(sums) > SUMS_HELD:
+                    yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=columns)
+                    sums = {}
                 found: Counter[str] = Counter()
                 for w, k in Counter(re.findall(r"[^\W_]+", (text or "").lower())).items():
                     if len(w) >= SHORTEST:
@@ -241,7 +248,7 @@ def features(rows: DataFrame) -> DataFrame:
                     row[1] += 1
                     row[2] += toxic * (k > 1)
                     row[3] += k > 1
-            yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["feature", "t", "n", "t2", "n2"])
+            yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=columns)
 
     counted = rows.mapInPandas(run, "feature string, t long, n long, t2 long, n2 long")
     return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("t", "n", "t2", "n2")])
