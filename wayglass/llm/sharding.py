@@ -45,8 +45,17 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 23, id_col: s
             F.xxhash64(F.lit(seed), F.col(id_col), body).alias("digest"), F.xxhash64(F.lit(seed), body).alias("text_group"),
         ), "light",
     )
-    rows = light.withColumn("range", (F.shiftleft(F.shiftrightunsigned("text_group", 64 - TEXT_BITS), ROW_BITS) + F.shiftrightunsigned("digest", 64 - ROW_BITS)).cast("int"))
-    ranked = _rank_in(rows, ["source", "no_source"], "range", ["digest", "doc_id", "text_crc32"], "rank").drop("range")
+    rows = light.withColumn("near", F.shiftrightunsigned("text_group", 64 - TEXT_BITS).cast("int")).withColumn("range", F.shiftrightunsigned("digest", 64 - ROW_BITS).cast("int"))
+    source = ["source", "no_source"]
+    # Rows before a range are those in the text ranges before, 4,096 a source, and those before in its own text range, 256 counts.
+    counts = written(rows.groupBy(*source, "near", "range").agg(F.count("*").alias("n")), "counts")
+    earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = counts.groupBy(*source, "near").agg(F.sum("n").alias("n"))
+    near = near.withColumn("__before", earlier(source, "near")).withColumn("__all", F.sum("n").over(Window.partitionBy(*source))).drop("n")
+    inside = counts.withColumn("__inside", earlier([*source, "near"], "range")).drop("n")
+    ranked = rows.join(inside.join(near, [*source, "near"]), [*source, "near", "range"])
+    place = F.row_number().over(Window.partitionBy(*source, "near", "range").orderBy("digest", "doc_id", "text_crc32"))
+    ranked = ranked.withColumn("rank", F.col("__before") + F.col("__inside") + place - 1).drop("near", "range", "__before", "__inside")
     run = ranked.withColumn("fraction", (F.col("rank") * 2 + 1) / (F.col("__all") * 2)).drop("__all")
     run = written(run.withColumn("range", F.least(F.floor(F.col("fraction") * RANGES), F.lit(RANGES - 1)).cast("int")), "run")
     cut = _rank_in(run, [], "range", ["fraction", "source", "no_source", "rank"], "place")
