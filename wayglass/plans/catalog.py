@@ -491,9 +491,11 @@ PER = "CASE WHEN {0} % 24 < 6 OR {0} % 24 >= 20 THEN 'night' WHEN {0} % 24 < 10
  SELECT query_site, site, sensor, round(net, 4) AS network, round(tm, 4) AS time, round(0.55 * net + 0.25 * tm + 0.20 * inc, 4) AS score, round((0.2 * tm + net + 0.5 * inc) / 2.7, 4) AS combined FROM p""")
 def network_time_score(spark, d):
     """Of sites whose id is divisible by 100, the scores of all others that have a route to the query's anchor; histories are scored in incident_pattern_retrieval."""
-    r = _routes(spark, d)
-    anchors = spatial.impact_scope(r.where("site % 100 = 0"), BANDS_KM).select("site", F.col("anchor").alias("sensor")).distinct()
-    named = r.select("site", "sensor", (F.col("distance_m") / 1000).alias("km"), "duration_s", "bearing_deg").join(S.sites(spark, d).select("site", "road", "direction"), "site")
+    sites, sensors = S.sites(spark, d), S.sensors(spark, d)
+    asked = spatial.route_table(sites.where("site % 100 = 0"), sensors, ROUTE_KM)
+    anchors = written(spatial.impact_scope(asked, BANDS_KM).select("site", F.col("anchor").alias("sensor")).distinct(), "anchors")
+    r = spatial.route_table(sites, sensors.join(anchors.select("sensor").distinct(), "sensor", "left_semi"), ROUTE_KM)  # to anchors only
+    named = r.select("site", "sensor", (F.col("distance_m") / 1000).alias("km"), "duration_s", "bearing_deg").join(sites.select("site", "road", "direction"), "site")
     cols = ("site", "km", "duration_s", "bearing_deg", "road", "direction")
     q = named.join(anchors, ["site", "sensor"], "left_semi").select("sensor", *[F.col(c).alias(f"q_{c}") for c in cols])
     p = q.join(named, "sensor").where("q_site <> site")
