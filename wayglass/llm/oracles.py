@@ -58,3 +58,46 @@ CHAT = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(length('<s>[') + length(role) + length(']') + 1 + length(text) + length('</s>') + 1 + CASE WHEN hits > 0 THEN 1 + hits + length(text) - length(replace(text, chr(92), '')) ELSE 0 END) AS BIGINT) AS formatted_chars FROM c GROUP BY 1"""
+
+MIDDLE = """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ d AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS k, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM h),
+ c AS (SELECT *, CAST(len(k) AS BIGINT) AS n, least(h1 % (len(k) + 1), h2 % (len(k) + 1)) AS a, greatest(h1 % (len(k) + 1), h2 % (len(k) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+ p AS (SELECT *, array_to_string(k[1:a], '') AS prefix, array_to_string(k[a + 1:b], '') AS middle, array_to_string(k[b + 1:], '') AS suffix FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+#: The CRC-32 of a decimal id, byte by byte over a table made from the polynomial.
+_CRC_TABLE = "SELECT [list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for i in range(256)] AS steps"
+_CRC = "xor(list_reduce(list_concat([4294967295], [CAST(ascii(z) AS BIGINT) for z in string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+def merkle_sql(levels: int = 24, top_levels: int = 8) -> str:
+    """The tree level by level, for up to 2 ** levels rows a language and 2 ** top_levels languages."""
+
+    def leaf(n_chars: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+    def up(name: str, k: int) -> str:
+        return f"{name}{k + 1} AS (SELECT tree, pos // 2 AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d FROM {name}{k} WHERE tree IN (SELECT tree FROM {name}{k} GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2)"
+
+    def fold(name: str, k: int, level: str, tree: str, pos: str) -> str:
+        """Beside the node at this level: none where the tree has ended, empty where it stands alone."""
+        sibling = f"CASE WHEN NOT EXISTS (SELECT 1 FROM {level} o WHERE o.tree = f.{tree} AND o.pos > 0) THEN NULL ELSE coalesce(s.d, '') END"
+        return f"""{name} AS (SELECT f.* EXCLUDE (x, proof, b), proof || coalesce(b, '') AS proof, CASE WHEN b IS NULL THEN x WHEN ({pos} >> {k}) % 2 = 1 THEN sha256(b || x) ELSE sha256(x || b) END AS x
+  FROM (SELECT f.*, {sibling} AS b FROM {{}} f LEFT JOIN {level} s ON s.tree = f.{tree} AND s.pos = xor(f.{pos} >> {k}, 1)) f)"""
+
+    parts = [
+        f"w AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('n_chars')} AS leaf, {leaf('(n_chars + CASE WHEN coalesce(crc % 7 = 0, false) THEN 1 ELSE 0 END)')} AS changed FROM (SELECT *, {_CRC} AS crc FROM documents, ({_CRC_TABLE})))",
+        "a AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM w)",
+        "n0 AS (SELECT tree, pos, leaf AS d FROM a)", *(up("n", k) for k in range(levels)),
+        "alln AS (" + " UNION ALL ".join(f"SELECT {k} AS k, tree, pos, d FROM n{k}" for k in range(levels + 1)) + ")",
+        "sub AS (SELECT tree, arg_max(d, k) AS subroot FROM alln WHERE pos = 0 GROUP BY 1)", "t AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS place FROM sub)",
+        "m0 AS (SELECT '' AS tree, place AS pos, subroot AS d FROM t)", *(up("m", k) for k in range(top_levels)),
+        "top AS (SELECT arg_max(d, k) AS root FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, pos, d FROM m{k}" for k in range(top_levels + 1)) + ") WHERE pos = 0)",
+        "f0 AS (SELECT a.doc_id, a.tree, '' AS one, a.pos, t.place, a.leaf, t.subroot, a.changed AS x, '' AS proof FROM a JOIN t USING (tree))",
+    ]
+    steps = [(f"n{k}", "tree", "pos", k) for k in range(levels)] + [(f"m{k}", "one", "place", k) for k in range(top_levels)]
+    parts += [fold(f"f{i + 1}", k, level, tree, pos).format(f"f{i}") for i, (level, tree, pos, k) in enumerate(steps)]
+    return "WITH " + ",\n ".join(parts) + f"\n SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified FROM f{len(steps)} CROSS JOIN top"

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayglass.llm import bpe, chat, exact_dedup, html_text, line_dedup, mixing, oracles, quality, sharding, simhash, toxicity
+from wayglass.llm import bpe, chat, exact_dedup, fill_middle, html_text, language, line_dedup, merkle, mixing, oracles, quality, sharding, simhash, toxicity
 from wayglass.llm.shared import table
 
 LEVELS = ["domain", "lang", "source"]
@@ -93,12 +93,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1)
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.col("n_chars") + F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, 1).otherwise(0)
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": tampered})
+    folded = rows.withColumn("folded_root", merkle.fold(F.col("changed_leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    aside = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = language.identify(docs, language.fit(docs.where(~aside)))
+    return found.select("doc_id", aside.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_bpe, op3_simhash, op4_exact_dedup, op5_chat, op6_shards, op7_html_text, op8_toxicity, op9_quality, op10_line_dedup)
+    f.__name__: f for f in (op1_mix_sources, op2_bpe, op3_simhash, op4_exact_dedup, op5_chat, op6_shards, op7_html_text, op8_toxicity, op9_quality, op10_line_dedup, op11_fill_in_middle, op12_merkle_manifest, op13_language_id)
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": oracles.mixing_sql(LEVELS, WEIGHTS, **MIX),
     "op4_exact_dedup": oracles.EXACT,
     "op5_chat": oracles.CHAT,
     "op10_line_dedup": oracles.LINES,
+    "op11_fill_in_middle": oracles.MIDDLE,
+    "op12_merkle_manifest": oracles.merkle_sql(),
 }
