@@ -5,7 +5,7 @@ Bytes have learned embeddings; filters of several widths slide over a window, ea
 probabilities. A text's probabilities are the mean over its windows, weighted by the letter bytes of each. The network is trained in numpy by Adam on windows of labelled
 texts, whole ones and short pieces; it is then applied to batches of windows, so memory is bounded whatever a text's length.
 
-What is fitted on is bounded: at most MAX_FIT rows, dealt evenly over at most MAX_LANGS languages (the most frequent ones), within a language in order of a digest of the id, and PIECES stretches of each.
+What is fitted on is bounded: at most MAX_FIT rows, dealt evenly over at most MAX_LANGS languages (the most frequent ones), within a language in order of a digest of the id (of n rows, those with digests below SPARE times the share that is taken are ranked), and PIECES stretches of each.
 Everything is seeded. Only texts and languages are read to learn, and only those of the rows that the caller passes in; texts alone are read to predict.
 
 Defined cases: null texts and texts without a letter are UNKNOWN with score 0; rows with null or empty text or null language teach nothing; with nothing to learn from, all rows are UNKNOWN with score 0; ties go to the
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: The network is fitted on this many rows and languages at most.
 MAX_FIT, MAX_LANGS = 4_000, 200
+#: Rows of a language whose digests are ranked, over those that are taken.
+SPARE = 4
 #: Bytes of a window, stretches taken of each row fitted on, and bytes that the shortest piece has.
 LENGTH, PIECES, SHORTEST = 128, 2, 6
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4, 5), 16, 8
@@ -119,9 +121,11 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = labelled.where((F.length(text_col) > 0) & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    langs = langs.select("lang", F.floor(F.lit(MAX_FIT) / F.count("*").over(Window.partitionBy(F.lit(0)))).alias("each"))  # MAX_LANGS rows at most
+    langs = langs.select("lang", "n", F.floor(F.lit(MAX_FIT) / F.count("*").over(Window.partitionBy(F.lit(0)))).alias("each"))  # MAX_LANGS rows at most
+    near = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("n") < F.col("each") * SPARE  # so no language is ranked as a whole
+    offered = rows.select("lang", "key").join(F.broadcast(langs), "lang").where(near)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    ids = rows.select("lang", "key").withColumn("place", place).where(F.col("place") <= MAX_FIT).join(F.broadcast(langs), "lang").where("place <= each").select("lang", "key").distinct()
+    ids = offered.withColumn("place", place).where("place <= each").select("lang", "key").distinct()
     return rows.join(F.broadcast(ids), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))  # MAX_FIT rows at most are broadcast
 
 
