@@ -8,7 +8,7 @@ import pytest
 
 from wayglass.plans import catalog
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +24,8 @@ def test_query_matches_its_oracle(spark, duck, name):
     df = catalog.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     rows = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
+    assert rows
     if name not in catalog.ORACLES:
-        assert rows or name == "memory_greedy_dedupe"
         return
     result = duck.execute(catalog.ORACLES[name])
     names = [c[0] for c in result.description]
@@ -37,4 +37,4 @@ def test_query_matches_its_oracle(spark, duck, name):
 def test_entry_runs(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() >= 0
+    assert __spark_entry__.entry(spark).count() >= 100

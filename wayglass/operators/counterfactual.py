@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayglass.functions import arrays as A
+from wayglass.functions.exact import round_ratio, units
 from wayglass.functions.keys import circular
 from wayglass.operators.timeseries import CHANNELS, step_time, with_calendar
 from wayglass.schema import CHUNK, EPOCH
@@ -124,14 +125,14 @@ def with_futures(selected: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def reference(selected: DataFrame) -> DataFrame:
-    """Per (incident, node, horizon): weighted mean and spread (by deviations) of the futures, effective sample size, candidates, least and mean score."""
+    """Per (incident, node, horizon): weighted mean and spread (by deviations) of the futures, effective sample size, candidates, least score and the mean score to 6 places."""
     by = ["incident_id", "node", "horizon"]
     steps = selected.select("incident_id", "node", "weight", "score", F.posexplode("fut").alias("h", "y")).withColumn("horizon", F.col("h") + 1)
     steps = steps.withColumn("normal", F.sum(F.col("weight") * F.col("y")).over(Window.partitionBy(*by)))
     away = F.col("y") - F.col("normal")
     return steps.groupBy(*by).agg(
         F.first("normal").alias("normal"), F.sqrt(F.sum(F.col("weight") * away * away)).alias("spread"), (1 / F.sum(F.col("weight") * F.col("weight"))).alias("ess"),
-        F.count("*").alias("n"), F.min("score").alias("least_score"), F.avg("score").alias("mean_score"))
+        F.count("*").alias("n"), F.min("score").alias("least_score"), round_ratio(F.sum(units(F.col("score"), 8)), F.count("*") * 10**8, 6).alias("mean_score"))
 
 
 def sequences(ref: DataFrame) -> DataFrame:

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayglass.functions.exact import units
+from wayglass.operators.asof import asof_join, running_totals
 from wayglass.schema import FUTURE
 from wayglass.sources.scratch import written
 
+#: Periods of a node that one task merges.
+STRETCH = 64
 Forecaster = Callable[[DataFrame], DataFrame]
 
 
@@ -21,17 +25,20 @@ def last_value(windows: DataFrame) -> DataFrame:
     return windows.select("node", "step", F.array_repeat(F.element_at("hist", -1), FUTURE).alias("base"))
 
 
-def seasonal(period: int) -> Forecaster:
-    """The mean of the node's flow at the same phase of the period, over windows that ended by then; the last value until there is one."""
+def seasonal(period: int, places: int = 4) -> Forecaster:
+    """The mean of the node's flow (of so many decimal places) at the same phase of the period, over windows that ended by then; the last value until there is one.
+
+    Means run along a node's phase and are looked up by an as-of join, both by stretches of time: the work is FUTURE rows a window, however many came before.
+    """
 
     def forecast(windows: DataFrame) -> DataFrame:
-        past = windows.select("node", F.col("step").alias("seen"), F.element_at("hist", -1).alias("y")).withColumn("phase", F.col("seen") % period)
-        run = Window.partitionBy("node", "phase").orderBy("seen").rowsBetween(Window.unboundedPreceding, 0)
-        means = past.withColumn("mean", F.avg("y").over(run)).withColumn("until", F.lead("seen", 1, 1 << 40).over(Window.partitionBy("node", "phase").orderBy("seen"))).select("node", "phase", "seen", "until", "mean")
+        width = period * STRETCH
+        past = windows.select("node", F.col("step").alias("seen"), (F.col("step") % period).alias("phase"), units(F.element_at("hist", -1), places).alias("y"))
+        totals = running_totals(past, ["node", "phase"], "seen", {"total": F.col("y"), "n": F.lit(1)}, width)
+        means = totals.select("node", "phase", "seen", (F.col("total").cast("double") / 10**places / F.col("n")).alias("mean"))
         ahead = windows.select("node", "step", F.element_at("hist", -1).alias("last"), F.explode(F.sequence(F.lit(1), F.lit(FUTURE))).alias("h")).withColumn("phase", (F.col("step") + F.col("h")) % period)
-        met = ahead.join(means, ["node", "phase"], "left").where("seen is null or (seen <= step and step < until)")
-        filled = ahead.join(met.select("node", "step", "h", "mean"), ["node", "step", "h"], "left").withColumn("v", F.coalesce("mean", "last"))
-        return filled.groupBy("node", "step").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "v"))), lambda x: x["v"]).alias("base"))
+        met = asof_join(ahead, means, ["node", "phase"], "step", ["mean"], width, right_time="seen").withColumn("v", F.coalesce("mean", "last"))
+        return met.groupBy("node", "step").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "v"))), lambda x: x["v"]).alias("base"))
 
     return forecast
 

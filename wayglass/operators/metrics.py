@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayglass.functions.exact import WHOLE, round_ratio, units
+
 BANDS = ((1, 3), (4, 6), (7, 12))
 
 
@@ -22,6 +24,19 @@ def from_sums(df: DataFrame) -> DataFrame:
     return out.withColumn("mape_percent", F.col("mape") * 100).drop("sum_abs", "sum_sq", "sum_pct", "sum_err")
 
 
+def exact_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", places: int = 4, digits: int = 3) -> DataFrame:
+    """masked_metrics of finite values with so many decimal places, rounded to `digits`: sums are whole numbers, so neither order nor partitions show in the result. Relative errors are added to 8 places."""
+    label, off = F.col(y), F.col(p) - F.col(y)
+    rows = df.where(label != 0).withColumn("__off", units(off, places)).withColumn("__share", units(F.abs(off) / F.abs(label), 8))
+    whole = lambda c: F.sum(c).cast(WHOLE)
+    e = F.col("__off").cast("decimal(18,0)")
+    sums = rows.groupBy(*by).agg(whole(F.abs(e)).alias("a"), whole(e * e).alias("s"), whole("__share").alias("r"), whole(e).alias("b"), F.count("*").alias("count"))
+    n, unit = F.col("count"), 10**places
+    return sums.select(
+        *by, "count", round_ratio(F.col("a"), n * unit, digits).alias("mae"), round_ratio(F.col("r"), n * 10**8, digits).alias("mape"), round_ratio(F.col("r") * 100, n * 10**8, digits - 1).alias("mape_percent"),
+        F.round(F.sqrt(F.col("s").cast("double") / n) / unit, digits).alias("rmse"), round_ratio(F.col("b"), n * unit, digits).alias("bias"))
+
+
 def masked_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", mask: str | None = None) -> DataFrame:
     return from_sums(df.groupBy(*by).agg(*error_sums(F.col(y), F.col(p), F.col(mask) if mask else None)))
 
@@ -63,17 +78,27 @@ def band_of(horizon: Column) -> Column:
     return out
 
 
-def horizon_profile(df: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted mae, bias, valid points and effective windows per step, band and overall, in one pass of grouping sets.
+def horizon_profile(df: DataFrame, by: list[str], places: int | None = None, digits: int = 3) -> DataFrame:
+    """Weighted mae, bias, valid points and effective windows per step, band and overall, in one pass of grouping sets. With `places`, values have so many decimal places at most and weights are
+    whole: sums are then exact, and results rounded to `digits`.
 
     df: by, window, weight, horizon, y, p. Effective windows are (sum s)^2 / sum s^2 over the windows' weights s on valid points.
     """
     ok = (F.col("y") != 0) & ~F.isnan("y") & ~F.isnan("p")
     per = df.where(ok).withColumn("band", band_of(F.col("horizon"))).withColumn("err", F.col("p") - F.col("y"))
     sets = [[*by, "window", "horizon"], [*by, "window", "band"], [*by, "window"]]
+    if places is not None:
+        per = per.withColumn("err", units(F.col("err"), places).cast("decimal(18,0)")).withColumn("weight", F.col("weight").cast("decimal(10,0)"))
     agg = [F.sum("weight").alias("s"), F.sum(F.col("weight") * F.abs("err")).alias("a"), F.sum(F.col("weight") * F.col("err")).alias("b"), F.count("*").alias("n")]
     windows = per.groupingSets(sets, *by, "window", "horizon", "band").agg(*agg)
     level = F.when(F.col("horizon").isNotNull(), F.concat(F.lit("step "), F.col("horizon").cast("string"))).when(F.col("band").isNotNull(), F.concat(F.lit("band "), "band")).otherwise("overall")
+    if places is not None:
+        whole = lambda c: F.sum(F.col(c).cast("decimal(18,0)")).cast(WHOLE)
+        s = F.col("s").cast("decimal(18,0)")
+        sums = windows.withColumn("level", level).groupBy(*by, "level").agg(whole("s").alias("s"), whole("a").alias("a"), whole("b").alias("b"), F.sum(s * s).cast(WHOLE).alias("q"), F.sum("n").alias("valid_points"))
+        each = F.col("s") * 10**places
+        return sums.select(*by, "level", round_ratio(F.col("a"), each, digits).alias("mae"), round_ratio(F.col("b"), each, digits).alias("bias"), "valid_points",
+                           round_ratio(F.col("s").cast("decimal(15,0)") * F.col("s").cast("decimal(15,0)"), F.col("q"), digits).alias("effective_windows"))
     return windows.withColumn("level", level).groupBy(*by, "level").agg(
         (F.sum("a") / F.sum("s")).alias("mae"), (F.sum("b") / F.sum("s")).alias("bias"), F.sum("n").alias("valid_points"),
         (F.sum("s") * F.sum("s") / F.sum(F.col("s") * F.col("s"))).alias("effective_windows"))

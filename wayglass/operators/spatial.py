@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayglass.functions.keys import EARTH_KM, bearing_deg, haversine_km
+from wayglass.sources.scratch import written
 
 BANDS = ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))
 
@@ -149,24 +150,22 @@ def row_normalised(edges: DataFrame) -> DataFrame:
     return full.withColumn("weight", F.col("weight") / F.greatest(F.sum("weight").over(Window.partitionBy("src")), F.lit(1e-6)))
 
 
-def shortest_paths(edges: DataFrame, source: int | list[int], max_hops: int) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: int | DataFrame, max_hops: int) -> DataFrame:
     """(source,) node, hops, path: fewest hops, ties by the lexicographically smallest path (breadth-first with ordered neighbours).
 
-    One join and one aggregation a level; each node is settled at the first level that reaches it. Edges and levels are cached, so that no level is computed
-    twice, and the walk ends when a level is empty. Of a list of sources all walk at once, and rows name their source.
+    source: one node, or a table with a column of that name, whose nodes all walk at once. One join and one aggregation a level; each node is settled at the first level that
+    reaches it. Levels are written, so none is computed twice, and the walk ends when one is empty.
     """
     spark = edges.sparkSession
-    sources = [source] if isinstance(source, int) else source
-    steps = edges.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")).distinct().persist()
-    front = spark.createDataFrame([(s, s, 0, [s]) for s in sources], "source int, node int, hops int, path array<int>")
+    starts = spark.createDataFrame([(source,)], "source int") if isinstance(source, int) else source.select(F.col("source").cast("int").alias("source")).where("source is not null").distinct()
+    steps = written(edges.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")).distinct(), "steps")
+    front = written(starts.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path")), "front")
     levels = [front]
     for hop in range(1, max_hops + 1):
         done = reduce(DataFrame.unionByName, levels).select("source", "node")
-        front = (
-            front.join(steps, front.node == steps.src).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-            .groupBy("source", "node").agg(F.min("path").alias("path")).join(done, ["source", "node"], "left_anti")
-            .select("source", "node", F.lit(hop).alias("hops"), "path").persist()
-        )
+        reached = front.join(steps, front.node == steps.src).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        new = reached.join(done, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path"))
+        front = written(new.select("source", "node", F.lit(hop).alias("hops"), "path"), "front")
         if front.isEmpty():
             break
         levels.append(front)
@@ -176,8 +175,7 @@ def shortest_paths(edges: DataFrame, source: int | list[int], max_hops: int) ->
 
 def topology(sources: DataFrame, edges: DataFrame, places: DataFrame, max_hops: int) -> DataFrame:
     """source, target, connected, hops, path, km (summed along the path) of each pair; places: node, lat, lng. Unreached targets are not connected."""
-    starts = [r["source"] for r in sources.select("source").distinct().collect()]  # a stated set of sources
-    found = shortest_paths(edges, starts, max_hops).withColumnRenamed("node", "target")
+    found = shortest_paths(edges, sources, max_hops).withColumnRenamed("node", "target")
     legs = found.select("source", "target", F.explode(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("x"), F.expr("slice(path, 2, size(path) - 1)").alias("y"))).alias("leg"))
     at = lambda n: places.select(F.col("node").alias(n), F.col("lat").alias(f"{n}_lat"), F.col("lng").alias(f"{n}_lng"))
     legs = legs.select("source", "target", "leg.x", "leg.y").join(at("x"), "x").join(at("y"), "y")

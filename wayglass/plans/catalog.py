@@ -14,7 +14,7 @@ from wayglass.operators import counterfactual as N
 from wayglass.operators import memory as M
 from wayglass.operators import metrics as E
 from wayglass.operators import patterns as R
-from wayglass.operators import context, forecasts, records, spatial
+from wayglass.operators import asof, context, forecasts, records, spatial
 from wayglass.operators import similarity as V
 from wayglass.operators import timeseries as TS
 from wayglass.operators.records import rounded
@@ -37,16 +37,21 @@ def query(sql: str | None = None):
     return add
 
 
+def ratio_(num: str, den: str, digits: int) -> str:
+    """num / den, whole numbers, rounded half away from zero: see functions.exact."""
+    return f"(sign({num}) * CAST((2 * abs({num}) * {10**digits}::HUGEINT + {den}) // (2 * {den}) AS DOUBLE) / {10.0**digits}::DOUBLE + 0.0)"
+
+
 # pieces of SQL -----------------------------------------------------------------------------------------------------
 GRID = """grid AS (SELECT n.node, s.step, coalesce(a.flow, 0.0) AS flow, coalesce(a.occupancy, 0) AS occupancy, coalesce(a.speed, 0.0) AS speed
  FROM (SELECT DISTINCT event_type AS node FROM events) n CROSS JOIN (SELECT unnest(range(720)) AS step) s
- LEFT JOIN (SELECT event_type AS node, CAST(floor(epoch(ts)/3600) AS BIGINT) - 473352 AS step, round(sum(value), 4) AS flow, count(*) AS occupancy, round(avg(value), 4) AS speed
-  FROM events GROUP BY 1, 2) a ON a.node = n.node AND a.step = s.step)"""
+ LEFT JOIN (SELECT node, step, CAST(u AS DOUBLE) / 10000.0::DOUBLE AS flow, n AS occupancy, """ + ratio_("u", "(n * 10000)", 4) + """ AS speed
+  FROM (SELECT event_type AS node, CAST(floor(epoch(ts)/3600) AS BIGINT) - 473352 AS step, sum(CAST(round(value * 10000) AS HUGEINT)) AS u, count(*) AS n FROM events GROUP BY 1, 2)) a ON a.node = n.node AND a.step = s.step)"""
 WIN = GRID + """, win AS (SELECT * FROM (SELECT node, step, step // 240 AS chunk, list(flow) OVER h AS hist, list(flow) OVER f AS fut, list(CAST(occupancy AS DOUBLE)) OVER h AS occ, list(speed) OVER h AS spd
  FROM grid WINDOW h AS (PARTITION BY node, step // 240 ORDER BY step ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), f AS (PARTITION BY node, step // 240 ORDER BY step ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING))
  WHERE len(hist) = 12 AND len(fut) = 12)"""
 INC = """inc AS (SELECT event_id AS incident_id, ts AS dt, CAST(floor(epoch(ts)/3600) AS BIGINT) - 473352 AS step, CAST((event_id % 5 - 1) * 30 AS BIGINT) AS duration_minutes, 'type ' || (event_id % 4) AS kind, 'area ' || (event_id % 7) AS area FROM events WHERE event_type = 'error'),
- loc AS (SELECT *, round(km * 72, 4) AS seconds, CAST(spot % 360 AS DOUBLE) AS bearing FROM (SELECT *, CASE WHEN (incident_id + length(node)) % 13 <> 0 THEN spot / 80.0::DOUBLE END AS km FROM (SELECT inc.*, node, (incident_id * 7919 + length(node) * 104729) % 100003 AS spot FROM inc CROSS JOIN (SELECT DISTINCT event_type AS node FROM events))) WHERE km BETWEEN 0 AND 5)"""
+ loc AS (SELECT *, round(km * 72, 4) AS seconds, CAST(spot % 360 AS DOUBLE) AS bearing FROM (SELECT *, CASE WHEN (incident_id + length(node)) % 13 <> 0 THEN spot / 400.0::DOUBLE END AS km FROM (SELECT inc.*, node, (incident_id * 7919 + length(node) * 104729) % 100003 AS spot FROM inc CROSS JOIN (SELECT DISTINCT event_type AS node FROM events))) WHERE km BETWEEN 0 AND 5)"""
 EXC = """exc AS (SELECT node, epoch(dt) - 1704067200 - 1800 - 3600 AS lo, epoch(dt) - 1704067200 + (CASE WHEN duration_minutes > 0 THEN duration_minutes ELSE 60 END) * 60 + 3300 AS hi FROM loc)"""
 FREE = "free AS (SELECT * FROM win w WHERE NOT EXISTS (SELECT 1 FROM exc e WHERE e.node = w.node AND w.step * 3600 BETWEEN e.lo AND e.hi))"
 SEN = "sen AS (SELECT s_suppkey AS sensor, 38 + (s_suppkey % 97) / 100.0::DOUBLE AS lat, -121 - (s_suppkey % 89) / 100.0::DOUBLE AS lng, CAST(s_nationkey % 7 AS VARCHAR) AS road, CASE s_suppkey % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'S' WHEN 2 THEN 'E' ELSE 'W' END AS direction FROM supplier)"
@@ -158,6 +163,14 @@ def window_three_channel(spark, d):
     return TS.windows(S.grid(spark, d)).select("node", "step", F.round(A.total(F.col("hist")), 4).alias("flow"), A.total(F.col("occ")).cast("bigint").alias("occupancy"), F.round(A.total(F.col("spd")), 4).alias("speed"), F.forall("hist", lambda x: x == 0).alias("all_zero"))
 
 
+@query("""SELECT p.event_id, (SELECT arg_max(c.event_id, (c.ts, c.event_id)) FROM events c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts < p.ts) AS click_id FROM events p WHERE p.event_type = 'purchase'""")
+def asof_last_click(spark, d):
+    """Each purchase with the user's last click before it."""
+    e = S.read(spark, d, "events").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    clicks = e.where("event_type = 'click'").select("user_id", "at", F.col("event_id").alias("click_id"))
+    return asof.asof_join(e.where("event_type = 'purchase'"), clicks, ["user_id"], "at", ["click_id"], 5 * 86_400, strict=True, tie="click_id").select("event_id", "click_id")
+
+
 FEATS = [f"{p}_{c}" for c, _ in TS.CHANNELS for p in ("scale", "trend", "vol")]
 
 
@@ -280,16 +293,21 @@ def row_normalized_adjacency(spark, d):
 
 
 def _bfs_sql(hops: int) -> str:
-    sql = f"WITH {EDG}, g AS (SELECT * FROM edg WHERE weight > 0.3 AND src <> dst), d0 AS (SELECT 0 AS node, 0 AS hops, [0] AS path)"
+    sql = f"""WITH {EDG}, g AS (SELECT * FROM edg WHERE src <> dst AND round(weight, 9) > (SELECT round(quantile_cont(weight, 0.9), 9) FROM edg)),
+ d0 AS (SELECT DISTINCT src AS source, src AS node, 0 AS hops, [src] AS path FROM edg)"""
     for k in range(1, hops + 1):
-        sql += f", d{k} AS (SELECT * FROM d{k - 1} UNION ALL SELECT dst, {k}, min(list_append(path, dst)) FROM d{k - 1} JOIN g ON node = src WHERE hops = {k - 1} AND dst NOT IN (SELECT node FROM d{k - 1}) GROUP BY dst)"
-    return sql + f" SELECT node, hops, array_to_string(path, '>') AS path FROM d{hops}"
+        sql += f", d{k} AS (SELECT * FROM d{k - 1} UNION ALL SELECT source, dst, {k}, min(list_append(path, dst)) FROM d{k - 1} p JOIN g ON node = src WHERE hops = {k - 1} AND NOT EXISTS (SELECT 1 FROM d{k - 1} x WHERE x.source = p.source AND x.node = dst) GROUP BY source, dst)"
+    return sql + f" SELECT source, node, hops, array_to_string(path, '>') AS path FROM d{hops}"
 
 
-@query(_bfs_sql(4))
+@query(_bfs_sql(6))
 def bfs_shortest_path(spark, d):
-    found = spatial.shortest_paths(spatial.one_hop(S.edges(spark, d), 0.3).where("src <> dst"), 0, 4)
-    return found.select("node", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    """From every node along the heaviest tenth of all edges."""
+    edges = written(S.edges(spark, d), "edges")
+    least = edges.agg(F.round(F.percentile("weight", F.lit(0.9)), 9).alias("least"))  # one row
+    heavy = edges.where("src <> dst").crossJoin(F.broadcast(least)).where(F.round("weight", 9) > F.col("least"))
+    found = spatial.shortest_paths(heavy, edges.select(F.col("src").alias("source")), 6)
+    return found.select("source", "node", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query(f"""WITH {EDG}, dist AS (SELECT src, dst, round((1 - weight) * 1000, 3) AS m FROM edg WHERE weight < 1)
@@ -576,13 +594,13 @@ def coarse_time_filter(spark, d):
 
 
 REF = f"""{SEL}, ref0 AS (SELECT *, sum(weight * y) OVER (PARTITION BY incident_id, node, horizon) AS normal FROM (SELECT incident_id, node, score, weight, h AS horizon, fut[h] AS y FROM sel, (SELECT unnest(range(1, 13)) AS h))),
- ref AS (SELECT incident_id, node, horizon, any_value(normal) AS normal, sqrt(sum(weight * (y - normal) * (y - normal))) AS spread, 1 / sum(weight * weight) AS ess, count(*) AS n, min(score) AS least_score, avg(score) AS mean_score FROM ref0 GROUP BY 1, 2, 3)"""
+ ref AS (SELECT incident_id, node, horizon, any_value(normal) AS normal, sqrt(sum(weight * (y - normal) * (y - normal))) AS spread, 1 / sum(weight * weight) AS ess, count(*) AS n, min(score) AS least_score, {ratio_('sum(CAST(round(score * 100000000) AS HUGEINT))', '(count(*) * 100000000)', 6)} AS mean_score FROM ref0 GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {REF} SELECT incident_id, node, CAST(horizon AS INT) AS horizon, round(normal, 4) AS normal, round(spread, 3) AS spread, round(ess, 4) AS ess, n, round(least_score, 6) AS least_score, round(mean_score, 6) AS mean_score FROM ref")
+@query(f"WITH {REF} SELECT incident_id, node, CAST(horizon AS INT) AS horizon, round(normal, 4) AS normal, round(spread, 3) AS spread, round(ess, 4) AS ess, n, least_score, mean_score FROM ref")
 def normal_counterfactual(spark, d):
     r = N.reference(_selected(spark, d))
-    return r.select("incident_id", "node", "horizon", F.round("normal", 4).alias("normal"), F.round("spread", 3).alias("spread"), F.round("ess", 4).alias("ess"), "n", F.round("least_score", 6).alias("least_score"), F.round("mean_score", 6).alias("mean_score"))
+    return r.select("incident_id", "node", "horizon", F.round("normal", 4).alias("normal"), F.round("spread", 3).alias("spread"), F.round("ess", 4).alias("ess"), "n", "least_score", "mean_score")
 
 
 def slope_(a: str) -> str:
@@ -835,7 +853,7 @@ def _forecasts(spark, d):
     return TS.windows(S.grid(spark, d)).select("node", "step", F.element_at("hist", 12).alias("p"), F.posexplode("fut").alias("h", "y")).withColumn("horizon", F.col("h") + 1)
 
 
-@query(f"""WITH {WIN}, s AS (SELECT node, step, step % 24 AS phase, avg(hist[12]) OVER (PARTITION BY node, step % 24 ORDER BY step ROWS UNBOUNDED PRECEDING) AS m FROM win),
+@query(f"""WITH {WIN}, s AS (SELECT node, step, step % 24 AS phase, CAST(sum(CAST(round(hist[12] * 10000) AS HUGEINT)) OVER o AS DOUBLE) / 10000 / count(*) OVER o AS m FROM win WINDOW o AS (PARTITION BY node, step % 24 ORDER BY step ROWS UNBOUNDED PRECEDING)),
  a AS (SELECT node, step, h, (step + h) % 24 AS phase, hist[12] AS last FROM win, (SELECT unnest(range(1, 13)) AS h)), f AS (SELECT a.node, a.step, a.h, arg_max(s.m, s.step) AS m, any_value(last) AS last FROM a LEFT JOIN s ON s.node = a.node AND s.phase = a.phase AND s.step <= a.step GROUP BY 1, 2, 3)
  SELECT node, step, round(sum(coalesce(m, last)), 6) AS total, round(max(CASE WHEN h = 1 THEN coalesce(m, last) END), 6) AS first FROM f GROUP BY 1, 2""")
 def seasonal_forecast(spark, d):
@@ -854,18 +872,18 @@ def context_records(spark, d):
     return r.select("incident_id", "node", "status", F.element_at("metric_mask", 1).alias("counts"), F.round(F.element_at("prediction", 1), 4).alias("prediction"), F.get_json_object("body", "$.incident.kind").alias("kind"))
 
 
-@query(f"WITH {WIN}, {LONG} SELECT node, horizon, round(coalesce(sum(abs(p - y)), 0) / greatest(count(*), 1), 3) AS mae, round(coalesce(sum(abs(p - y) / abs(y)), 0) / greatest(count(*), 1), 3) AS mape, round(coalesce(sum(abs(p - y) / abs(y)), 0) / greatest(count(*), 1) * 100, 2) AS mape_percent, round(sqrt(coalesce(sum((p - y) * (p - y)), 0) / greatest(count(*), 1)), 3) AS rmse, round(coalesce(sum(p - y), 0) / greatest(count(*), 1), 3) AS bias, count(*) AS count FROM lg WHERE y <> 0 GROUP BY 1, 2")
+@query(f"""WITH {WIN}, {LONG}, u AS (SELECT node, horizon, count(*) AS count, sum(abs(e)) AS a, sum(e * e) AS s, sum(e) AS b, sum(CAST(round(abs(p - y) / abs(y) * 100000000) AS HUGEINT)) AS r FROM (SELECT *, CAST(round((p - y) * 10000) AS HUGEINT) AS e FROM lg WHERE y <> 0) GROUP BY 1, 2)
+ SELECT node, horizon, count, {ratio_('a', '(count * 10000)', 3)} AS mae, {ratio_('r', '(count * 100000000)', 3)} AS mape, {ratio_('(r * 100)', '(count * 100000000)', 2)} AS mape_percent, round(sqrt(CAST(s AS DOUBLE) / count) / 10000, 3) AS rmse, {ratio_('b', '(count * 10000)', 3)} AS bias FROM u""")
 def masked_metrics_by_step(spark, d):
-    m = E.masked_metrics(_forecasts(spark, d), ["node", "horizon"]).where("count > 0")
-    return m.select("node", "horizon", "count", *[F.round(c, 3).alias(c) for c in ("mae", "mape", "rmse", "bias")], F.round("mape_percent", 2).alias("mape_percent"))
+    return E.exact_metrics(_forecasts(spark, d), ["node", "horizon"])
 
 
-@query(f"""WITH {WIN}, {LONG}, v AS (SELECT *, step AS w_id, (1 + step % 3)::DOUBLE AS weight, p - y AS err, CASE WHEN horizon <= 3 THEN '1-3' WHEN horizon <= 6 THEN '4-6' ELSE '7-12' END AS band FROM lg WHERE y <> 0),
+@query(f"""WITH {WIN}, {LONG}, v AS (SELECT *, step AS w_id, (1 + step % 3)::HUGEINT AS weight, CAST(round((p - y) * 10000) AS HUGEINT) AS err, CASE WHEN horizon <= 3 THEN '1-3' WHEN horizon <= 6 THEN '4-6' ELSE '7-12' END AS band FROM lg WHERE y <> 0),
  g AS (SELECT node, w_id, CASE WHEN horizon IS NOT NULL THEN 'step ' || horizon WHEN band IS NOT NULL THEN 'band ' || band ELSE 'overall' END AS level, sum(weight) AS s, sum(weight * abs(err)) AS a, sum(weight * err) AS b, count(*) AS n FROM v GROUP BY GROUPING SETS ((node, w_id, horizon), (node, w_id, band), (node, w_id)))
- SELECT node, level, round(sum(a) / sum(s), 3) AS mae, round(sum(b) / sum(s), 3) AS bias, CAST(sum(n) AS BIGINT) AS valid_points, round(sum(s) * sum(s) / sum(s * s), 3) AS effective_windows FROM g GROUP BY 1, 2""")
+ SELECT node, level, {ratio_('sum(a)', '(sum(s) * 10000)', 3)} AS mae, {ratio_('sum(b)', '(sum(s) * 10000)', 3)} AS bias, CAST(sum(n) AS BIGINT) AS valid_points, {ratio_('(sum(s) * sum(s))', 'sum(s * s)', 3)} AS effective_windows FROM g GROUP BY 1, 2""")
 def horizon_profile_bands(spark, d):
     f = _forecasts(spark, d).withColumn("window", F.col("step")).withColumn("weight", (1 + F.col("step") % 3).cast("double"))
-    return rounded(E.horizon_profile(f, ["node"]), 3)
+    return E.horizon_profile(f, ["node"], places=4)
 
 
 @query(f"""WITH {WIN}, {NORMAL}, o AS (SELECT node, step, CAST(h AS INT) AS horizon, fut[h] AS y, hist[12] AS base, normal[h] AS normal, greatest(hist[12], normal[h]) AS prediction FROM wn, (SELECT unnest(range(1, 13)) AS h)),
