@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayglass.functions import arrays as A
 from wayglass.functions.keys import HOLIDAYS, is_holiday, period
+from wayglass.operators.ranks import ranked
 from wayglass.schema import CHUNK, EPOCH, FUTURE, HISTORY
 
 CHANNELS = (("hist", 1.0), ("occ", 0.001), ("spd", 1.0))
@@ -86,20 +87,10 @@ def check_months(months: list[int]) -> list[int]:
     return list(months)
 
 
-def chronological_split(starts: DataFrame, order: str, train: float = 0.7, val: float = 0.15, group: list[str] | None = None, ranges: int = 64) -> DataFrame:
-    """Adds split: the first round(n * train) rows, the next round(n * val), the rest (half to even). Ratios must leave a test part.
-
-    Rows are counted in ranges of the order first, and ranked inside a range only, so that without groups, too, no task sorts them all.
-    """
+def chronological_split(starts: DataFrame, order: str, train: float = 0.7, val: float = 0.15, group: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Adds split: the first round(n * train) rows, the next round(n * val), the rest (half to even). Ratios must leave a test part. No task sorts a group (see ranks)."""
     if not (0 < train and 0 < val and train + val < 1):
         raise ValueError("ratios must be positive and leave a test part")
-    group = group or []
-    dealt = starts.repartitionByRange(ranges, *group, order).withColumn("__range", F.spark_partition_id()) if not group else starts.withColumn("__range", F.lit(0))
-    over = Window.partitionBy(*(group or [F.lit(0)]))
-    counts = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__in"))
-    before = F.coalesce(F.sum("__in").over(over.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("__before", before).withColumn("__n", F.sum("__in").over(over)).drop("__in")
-    ranked = dealt.join(counts, [*group, "__range"])
-    at = F.col("__before") + F.row_number().over(Window.partitionBy(*group, "__range").orderBy(order))
+    placed = ranked(starts, group or [], [F.col(order)], "__at", "__n", ranges)
     first, second = F.bround(F.col("__n") * F.lit(train)), F.bround(F.col("__n") * F.lit(val))
-    return ranked.withColumn("split", F.when(at <= first, "train").when(at <= first + second, "val").otherwise("test")).drop("__range", "__before", "__n")
+    return placed.withColumn("split", F.when(F.col("__at") <= first, "train").when(F.col("__at") <= first + second, "val").otherwise("test")).drop("__at", "__n")

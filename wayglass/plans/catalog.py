@@ -14,7 +14,7 @@ from wayglass.operators import counterfactual as N
 from wayglass.operators import memory as M
 from wayglass.operators import metrics as E
 from wayglass.operators import patterns as R
-from wayglass.operators import asof, context, forecasts, records, spatial
+from wayglass.operators import asof, context, forecasts, records, spatial, vector_index
 from wayglass.operators import similarity as V
 from wayglass.operators import timeseries as TS
 from wayglass.operators.records import rounded
@@ -395,13 +395,23 @@ def cos_sql(a: str, b: str) -> str:
     return f"least(greatest(list_cosine_similarity({a}, {b}), 0.0), 1.0)"
 
 
-@query(f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.id AS query_id, i.id AS item_id, round({cos_sql('q.v', 'i.v')}, 4) AS score FROM v q JOIN v i ON q.id <> i.id WHERE q.id % 100 = 0)
- SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM p) WHERE rank <= 10""")
+TOP_VECTORS = f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.id AS query_id, i.id AS item_id, round({cos_sql('q.v', 'i.v')}, 4) AS score FROM v q JOIN v i ON q.id <> i.id WHERE q.id % 100 = 0)
+ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM p) WHERE rank <= 10"""
+
+
+@query(TOP_VECTORS)
 def vector_cosine_topk(spark, d):
     v = _vectors(spark, d)
     return V.cosine_recall(v.where("id % 100 = 0"), v, 10)
 
 
+@query(TOP_VECTORS)
+def vector_index_topk(spark, d):
+    """The same through the index."""
+    v = _vectors(spark, d)
+    return vector_index.search(vector_index.build_index(v), v.where("id % 100 = 0"), 10)
+
+
 HALVES = "v AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:32] AS h1, (embedding::DOUBLE[])[33:64] AS h2 FROM embeddings)"
 
 
@@ -756,7 +766,7 @@ def paired_state_compare(spark, d):
 
 @query(f"WITH {WIN}, {PAIR}, {CMP} SELECT node, step, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY list_reverse_sort([rmse, centred_rmse, step_rmse]), step) AS INT) AS rank FROM cm) ")
 def minimax_rank(spark, d):
-    return R.minimax(_compared(spark, d), ["node"], ["rmse", "centred_rmse", "step_rmse"], [F.col("step")]).select("node", "step", "rank")
+    return R.minimax(_compared(spark, d), ["node"], ["rmse", "centred_rmse", "step_rmse"], [F.col("step")]).select("node", "step", F.col("rank").cast("int").alias("rank"))
 
 
 # memory ------------------------------------------------------------------------------------------------------------
