@@ -10,6 +10,7 @@ from wayglass.functions.exact import round_ratio, units
 from wayglass.functions.keys import circular
 from wayglass.operators.timeseries import CHANNELS, step_time, with_calendar
 from wayglass.schema import CHUNK, EPOCH
+from wayglass.sources.scratch import written
 
 BEFORE_S, AFTER_S, BUFFER_S, UNKNOWN_MIN, BUCKET_S = 3600, 3300, 1800, 60, 6 * 3600
 TRAFFIC_WEIGHT, LEAST_SCORE, K, LOCAL_KM = 0.75, 0.6, 10, 5.0
@@ -173,6 +174,27 @@ def normal_counterfactual(windows: DataFrame, incidents: DataFrame, routes: Data
     return with_futures(select_candidates(candidate_scores(queries, free, lag, coarse), k, least), windows)
 
 
+def update_counterfactual(selected: DataFrame, windows: DataFrame, incidents: DataFrame, fresh: DataFrame, routes: DataFrame, k: int = K, radius_km: float = LOCAL_KM, buffer_minutes: int = BUFFER_S // 60,
+                          unknown_minutes: int = UNKNOWN_MIN, least: float = LEAST_SCORE, lag: int = 1) -> DataFrame:
+    """normal_counterfactual of incidents and fresh together, from that of incidents alone (`selected`).
+
+    A fresh incident takes windows away, at its nodes and in its stretch of time. Of the old queries only those that had chosen such a window are scored anew: any other window that goes was not the best of its day
+    or not of a day among the k best, so the rest of a selection stands. Routes are those of both; ids of fresh incidents must not be among the old ones.
+    """
+    by = ["incident_id", "node"]
+    known, new = local_incidents(incidents, routes, radius_km), local_incidents(fresh, routes, radius_km)
+    held = written(selected.drop("fut"), "held")
+    lost = exclusions(new, buffer_minutes, unknown_minutes).select("node", "lo", "hi")
+    chosen = held.select(*by, "step").withColumn("__sec", F.col("step") * 3600)
+    touched = chosen.join(interval_anti_join(chosen, "__sec", lost, ["node"]).select(*by, "step"), [*by, "step"], "left_anti").select(*by).distinct()
+    again = written(touched.unionByName(new.select(*by)).distinct(), "again")
+    queries = known.select(*by, "step").unionByName(new.select(*by, "step")).join(again, by, "left_semi")
+    free = incident_free(windows.join(again.select("node").distinct(), "node", "left_semi"), known.select("node", "dt", "duration_minutes").unionByName(new.select("node", "dt", "duration_minutes")), buffer_minutes, unknown_minutes)
+    scored = candidate_scores(windows.join(queries, ["node", "step"]), free, lag)
+    fixed = select_candidates(scored, k, least)
+    return with_futures(held.join(again, by, "left_anti").unionByName(fixed.select(*held.columns)), windows)
+
+
 def weighted_quantiles(rows: DataFrame, by: list[str], value: str, weight: str, tie: str, qs: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """For each group the first value, in order, at which the running weight reaches q of the total (no interpolation)."""
     w = Window.partitionBy(*by)

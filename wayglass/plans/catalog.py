@@ -18,6 +18,7 @@ from wayglass.operators import asof, context, forecasts, records, spatial, vecto
 from wayglass.operators import similarity as V
 from wayglass.operators import timeseries as TS
 from wayglass.operators.records import rounded
+from wayglass.sources.registry import Registry
 from wayglass.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,6 +584,14 @@ def _selected(spark, d, feat=None):
     return N.normal_counterfactual(feat if feat is not None else _features(spark, d), S.incidents(spark, d), S.incident_routes(spark, d))
 
 
+def kept_references(spark, d, registry: Registry) -> DataFrame:
+    """References of all local incidents from kept tables: features of the grid's windows, then selections and references of them. What a later run finds it doesn't build."""
+    grid, incidents, routes = S.grid(spark, d), S.incidents(spark, d), S.incident_routes(spark, d)
+    feat, feat_key = registry.table("features", {"grid": grid}, lambda: TS.with_features(TS.windows(grid)))
+    chosen, key = registry.table("selections", {"features": feat_key, "incidents": incidents, "routes": routes}, lambda: N.normal_counterfactual(feat, incidents, routes), {"k": N.K, "least": N.LEAST_SCORE, "radius_km": N.LOCAL_KM})
+    return registry.table("references", {"selections": key}, lambda: N.reference(chosen))[0]
+
+
 @query(f"WITH {SCORE} SELECT incident_id, node, query_step, step, traffic_score, time_score, score FROM sc")
 def normal_candidate_scores(spark, d):
     return _scores(spark, d).drop("day")
@@ -613,6 +622,16 @@ def normal_counterfactual(spark, d):
     return r.select("incident_id", "node", "horizon", F.round("normal", 4).alias("normal"), F.round("spread", 3).alias("spread"), F.round("ess", 4).alias("ess"), "n", "least_score", "mean_score")
 
 
+@query(f"WITH {REF} SELECT incident_id, node, CAST(horizon AS INT) AS horizon, round(normal, 4) AS normal, round(spread, 3) AS spread, round(ess, 4) AS ess, n, least_score, mean_score FROM ref")
+def incremental_references(spark, d):
+    """The same in two steps: the references of five sixths of the incidents, then an update with the rest."""
+    feat, incidents, routes = _features(spark, d), S.incidents(spark, d), S.incident_routes(spark, d)
+    late = F.pmod("incident_id", F.lit(6)) == 0
+    before = N.normal_counterfactual(feat, incidents.where(~late), routes)
+    r = N.reference(N.update_counterfactual(before, feat, incidents.where(~late), incidents.where(late), routes))
+    return r.select("incident_id", "node", "horizon", F.round("normal", 4).alias("normal"), F.round("spread", 3).alias("spread"), F.round("ess", 4).alias("ess"), "n", "least_score", "mean_score")
+
+
 def slope_(a: str) -> str:
     return f"(list_sum({each(f'{a}[i] * (i - 6.5)')}) / 143.0)"
 
