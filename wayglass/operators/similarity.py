@@ -54,6 +54,12 @@ def hashed_block(items: DataFrame, dim: int) -> DataFrame:
     return counts.withColumn("x", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))).drop("n")
 
 
+def dense(blocks: DataFrame, dim: int) -> DataFrame:
+    """(id, v): sparse vectors (id, bucket, x) as arrays of dim values."""
+    own = blocks.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))  # dim entries at most
+    return own.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("v"))
+
+
 def sparse_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id, score) of normalised sparse vectors (id, bucket, x), through a join on the bucket."""
     x = a.select(F.col("id").alias("a_id"), "bucket", F.col("x").alias("ax"))

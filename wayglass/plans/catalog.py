@@ -14,7 +14,7 @@ from wayglass.operators import counterfactual as N
 from wayglass.operators import memory as M
 from wayglass.operators import metrics as E
 from wayglass.operators import patterns as R
-from wayglass.operators import asof, context, forecasts, records, spatial, vector_index
+from wayglass.operators import asof, context, forecasts, records, spatial, token_index, vector_index
 from wayglass.operators import similarity as V
 from wayglass.operators import timeseries as TS
 from wayglass.operators.records import rounded
@@ -375,17 +375,16 @@ def token_ngram_sets(spark, d):
 @query(f"""WITH {TOK}, x AS (SELECT id, len(tokens) AS n, unnest(tokens) AS t FROM tk), p AS (SELECT a.id AS a_id, b.id AS b_id, round(count(*) / sqrt(a.n::DOUBLE * b.n), 4) AS score FROM x a JOIN x b USING (t) WHERE a.id <> b.id GROUP BY a.id, b.id, a.n, b.n)
  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS INT) AS rank FROM p) WHERE rank <= 3""")
 def token_cosine_recall(spark, d):
-    t = _tokens(spark, d)
-    scored = V.token_cosine(t, t).where("a_id <> b_id").withColumn("score", F.round("score", 4))
-    return V.top_k(scored, ["a_id"], [F.desc("score"), F.col("b_id")], 3)
+    return token_index.token_topk(_tokens(spark, d), 3)
 
 
 @query(f"""WITH {TOK}, x AS (SELECT id, CAST('0x' || substr(md5(unnest(tokens)), 1, 8) AS BIGINT) % 256 AS bucket FROM tk), c AS (SELECT id, bucket, count(*)::DOUBLE AS n FROM x GROUP BY 1, 2), u AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM c),
  p AS (SELECT a.id AS a_id, b.id AS b_id, round(sum(a.x * b.x), 4) AS score FROM u a JOIN u b USING (bucket) WHERE a.id <> b.id GROUP BY 1, 2) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS INT) AS rank FROM p) WHERE rank <= 3""")
 def hashed_text_vector_recall(spark, d):
-    t = V.hashed_block(_tokens(spark, d), V.FIELD_DIMS["description"])
-    scored = V.sparse_cosine(t, t).where("a_id <> b_id").withColumn("score", F.round("score", 4))
-    return V.top_k(scored, ["a_id"], [F.desc("score"), F.col("b_id")], 3)
+    dim = V.FIELD_DIMS["description"]
+    v = V.dense(V.hashed_block(_tokens(spark, d), dim), dim)
+    found = vector_index.search(vector_index.build_index(v), v, 3).where("score > 0")
+    return found.select(F.col("query_id").alias("a_id"), F.col("item_id").alias("b_id"), "score", "rank")
 
 
 def _vectors(spark, d):
