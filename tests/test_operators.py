@@ -183,14 +183,44 @@ def test_memory_pieces(spark):
     assert value(spark, M.reliability(bands, F.lit(2.0))) == [2.0, -1.0, 3.0, 0.0, 0.0, 0.0]
     e = value(spark, M.local_evidence(lit([1, 5, 2, 2, 2, 2, 2, 2, 2, 3, 5, 4]), lit([1, 2]), F.lit(None).cast("array<double>"), lit([3, 4]), lit([5, 6])))
     assert (e.latest_change, e.recent_changes, e.earlier_largest_rise, e.latest, e.normal, e.truth.last) == (-1.0, [1.0, 2.0, -1.0], 4.0, 4.0, None, 6.0)
-    df = spark.createDataFrame([(7, 3, 1, dt.datetime(2024, 1, 1, 10, 13, 59))], "incident_id int, node int, layer int, dt timestamp_ntz")
-    r = M.build_episodes(df).first()
-    assert (r.memory_id, r.origin, r.available) == ("incident_7_node_3_layer_1", dt.datetime(2024, 1, 1, 10, 10), dt.datetime(2024, 1, 1, 11, 10))
+    df = spark.range(1)
     assert [value(spark, M.effect_direction(F.lit(x))) for x in (0.6, 0.5, -0.6)] == ["increase", "flat", "decrease"]
     with pytest.raises(ValueError, match="k and half_life"):
         M.retrieve(df, df, df, k=0)
 
 
+def test_whole_episodes(spark):
+    hist, base = [float(x) for x in (4, 6, 5, 7, 3, 4, 6, 5, 7, 8, 6, 5)], [5.0] * 12
+    truth = [0.0, 6.0, 7.0, 0.0, 0.0, 0.0, 9.0, 3.0, float("nan"), 5.0, 8.0, 2.0]
+    better, worse = [y or 1.0 for y in truth], [9.0] * 12
+    better[8] = 1.0
+    at = dt.datetime(2024, 1, 1, 10, 13, 59)
+    rows = [(7, 3, 1, at, hist, base, [6.0] * 12, better, truth), (8, 3, 1, at, hist, base, None, worse, truth), (9, 3, 1, at, [0.0] * 12, base, None, base, truth), (10, 3, 1, at, hist, base, None, base, [0.0] * 12)]
+    df = spark.createDataFrame(rows, "incident_id int, node int, layer int, dt timestamp_ntz, hist array<double>, base array<double>, normal array<double>, prediction array<double>, fut array<double>")
+    made = {r.incident: r for r in M.build_episodes(df).withColumn("worth", M.learning_relevance(F.col("outcomes"), min_base=1.5)).collect()}
+    r = made[7]
+    assert (r.memory_id, r.origin, r.available, r.hour) == ("incident_7_node_3_layer_1", dt.datetime(2024, 1, 1, 10, 10), dt.datetime(2024, 1, 1, 11, 10), 10)
+    valid = [(b, p, y) for b, p, y in zip(base, better, truth, strict=True) if y and y == y]
+    assert r.metrics.base.points == len(valid) == 7 and r.metrics.base.mae == pytest.approx(sum(abs(b - y) for b, _, y in valid) / 7) and r.metrics.base.bias == pytest.approx(sum(b - y for b, _, y in valid) / 7)
+    assert r.metrics.prediction.mae == 0 and r.metrics.normal.points == 7 and r.metrics.delta == -r.metrics.base.mae and (r.verdict, r.failure, r.has_normal) == ("improved", None, True)
+    assert [(o.start, o.end, o.base.points, o.base.mae, o.outcome) for o in r.outcomes] == [(1, 3, 2, 1.5, "improved"), (4, 6, 0, None, None), (7, 12, 5, pytest.approx(2.4), "improved")]
+    assert len(r.state) == 16 and len(r.decision) == 24 and len(r.gap) == 12 and r.worth.points == 7 and r.worth.base_mae == pytest.approx(r.metrics.base.mae) and r.worth.reason == "large_base_error"
+    assert made[8].verdict == "degraded" and made[8].failure == "over_correction" and not made[8].has_normal and made[8].metrics.normal.points == 0 and made[8].gap == [0.0] * 12
+    assert made[9].state is None and made[9].signature is None
+    assert made[10].verdict is None and (made[10].worth.eligible, made[10].worth.reason) == (False, "no_valid_outcome")
+
+
+def test_layers_run_on_the_ones_before(spark):
+    scope = spark.createDataFrame([(1, 10, 0, 2.0), (1, 11, 0, 4.0), (1, 20, 1, 6.0), (1, 30, 2, 8.0), (2, 20, 1, 1.0)], "site int, sensor int, layer int, base double")
+    up = spark.createDataFrame([(20, 10), (20, 11), (30, 20)], "sensor int, prev int")
+    base = lambda rows: rows.select("site", "sensor", F.col("base").alias("prediction"))
+    got = {(r.site, r.sensor): r.prediction for r in records.run_layers(scope, up, [base, records.own_and_upstream, records.own_and_upstream]).collect()}
+    assert got == {(1, 10): 2.0, (1, 11): 4.0, (1, 20): 4.5, (1, 30): 6.25, (2, 20): 1.0}
+    for broken in (lambda rows: base(rows).where("sensor <> 11"), lambda rows: base(rows).withColumn("prediction", F.lit(float("nan"))), lambda rows: base(rows).unionByName(base(rows))):
+        with pytest.raises(ValueError, match="layer 0 needs"):
+            records.run_layers(scope, up, [broken, base, base])
+
+
 def test_responses(spark):
     import json
 

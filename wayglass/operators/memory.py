@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayglass.functions import arrays as A
+from wayglass.operators.metrics import BANDS
 from wayglass.schema import FUTURE
 
 KEEP, RETENTION_DAYS, HORIZON_DAYS, RECALL, TOP = 2000, 90, 120, 24, 3
@@ -54,11 +55,47 @@ def memory_id(incident: Column, node: Column, layer: Column) -> Column:
     return F.format_string("incident_%s_node_%s_layer_%s", incident.cast("string"), node.cast("string"), layer.cast("string"))
 
 
+def errors_over(prediction: Column, truth: Column, lo: int = 1, hi: int = FUTURE) -> Column:
+    """points, mae and bias of a trajectory over steps lo to hi; steps with a missing (0, null or not finite) truth count nowhere. Means are null without points, and where the prediction is."""
+    pairs = F.slice(F.arrays_zip(truth.alias("y"), prediction.alias("p")), lo, hi - lo + 1)
+    off = F.transform(F.filter(pairs, lambda x: (x["y"] != 0) & ~F.isnan(x["y"]) & (F.abs(x["y"]) < float("inf"))), lambda x: x["p"] - x["y"])
+    n = F.coalesce(F.size(off), F.lit(0))
+    return F.struct(F.when(prediction.isNotNull(), n).otherwise(0).alias("points"), F.when(n > 0, A.mean_abs(off)).alias("mae"), F.when(n > 0, A.mean(off)).alias("bias"))
+
+
 def build_episodes(df: DataFrame, steps: int = FUTURE) -> DataFrame:
-    """df (incident_id, node, layer, dt) with memory_id, origin (floored to 5 minutes) and available: the origin and the time at which its last outcome is known."""
+    """Episodes of a run: df (incident_id, node, layer, dt, hist, base, normal, prediction, fut, and any further columns, which stay) with
+
+    memory_id, origin (floored to 5 minutes) and available, the time at which the last outcome is known; scale, state, decision, gap and signature (null where the history is all zero), reliability (of `bands`, if df has them),
+    has_normal, hour and history_change; metrics (points, mae and bias of base, normal and prediction, and the change of mae), verdict and failure; outcomes, the same for each horizon band. Trajectories stay as they are. normal may be
+    null. Nothing but metrics, verdict, failure and outcomes reads fut.
+    """
     origin = F.timestamp_seconds(F.floor(F.unix_micros(F.col("dt").cast("timestamp")) / 300_000_000) * 300).cast("timestamp_ntz")
-    df = df.withColumn("memory_id", memory_id(F.col("incident_id"), F.col("node"), F.col("layer"))).withColumn("origin", origin)
-    return df.withColumn("available", F.col("origin") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(5 * steps)))
+    df = df.withColumn("memory_id", memory_id(F.col("incident_id"), F.col("node"), F.col("layer"))).withColumn("origin", origin).withColumn("incident", F.col("incident_id"))
+    df = df.withColumn("available", F.col("origin") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(5 * steps))).withColumn("hour", F.hour("origin"))
+    hist, base, normal, prediction, truth = (F.col(c) for c in ("hist", "base", "normal", "prediction", "fut"))
+    with_, without_ = descriptor(hist, base, normal), descriptor(hist, base, None)
+    shown = ~F.forall(hist, lambda x: x == 0)
+    df = df.withColumn("has_normal", normal.isNotNull()).withColumn("history_change", F.element_at(hist, 12) - F.element_at(hist, 11))
+    df = df.withColumns({c: F.when(shown, F.when(F.col("has_normal"), with_[c]).otherwise(without_[c])) for c in ("scale", "state", "decision", "gap", "signature")})
+    bands = F.col("bands") if "bands" in df.columns else F.array().cast("array<struct<mae:double,bias:double>>")
+    df = df.withColumn("reliability", F.when(F.col("has_normal"), reliability(bands, F.col("scale"))).otherwise(F.array_repeat(F.lit(0.0), 6)))
+    of = lambda lo, hi: [errors_over(x, truth, lo, hi).alias(n) for n, x in (("base", base), ("normal", normal), ("prediction", prediction))]
+    df = df.withColumn("metrics", F.struct(*of(1, steps))).withColumn("outcomes", F.array(*[F.struct(F.lit(lo).alias("start"), F.lit(hi).alias("end"), *of(lo, hi)) for lo, hi in BANDS]))
+    change = lambda x: x["prediction"]["mae"] - x["base"]["mae"]
+    df = df.withColumn("metrics", F.col("metrics").withField("delta", change(F.col("metrics"))))
+    df = df.withColumn("outcomes", F.transform("outcomes", lambda x: x.withField("delta", change(x)).withField("outcome", F.when(x["base"]["points"] > 0, verdict(change(x))))))
+    missing, added = -F.col("metrics.base.bias"), F.col("metrics.prediction.bias") - F.col("metrics.base.bias")
+    return df.withColumn("verdict", F.when(F.col("metrics.base.points") > 0, verdict(F.col("metrics.delta")))).withColumn("failure", F.when(F.col("verdict") == "degraded", failure_mode(missing, added)))
+
+
+def learning_relevance(outcomes: Column, min_base: float = 15.0, regression: float = 10.0) -> Column:
+    """points, base_mae and delta of an episode's bands, weighted by their points, eligible and the reason."""
+    known = F.filter(outcomes, lambda x: x["base"]["points"] > 0)
+    n = F.coalesce(F.aggregate(known, F.lit(0), lambda s, x: s + x["base"]["points"]), F.lit(0))
+    mean = lambda f: F.when(n > 0, A.total(F.transform(known, lambda x: f(x) * x["base"]["points"])) / n)
+    base, delta = mean(lambda x: x["base"]["mae"]), mean(lambda x: x["delta"])
+    return F.struct(n.alias("points"), base.alias("base_mae"), delta.alias("delta"), F.coalesce(eligible_to_learn(base, delta, n, min_base, regression), F.lit(False)).alias("eligible"), learning_reason(base, delta, n, min_base, regression).alias("reason"))
 
 
 PHYSICAL = ("road", "direction", "same_direction", "same_road")
@@ -146,13 +183,14 @@ def differences(a: str = "", b: str = "q_") -> Column:
     return F.array_compact(F.array(*[F.when(flag, text) for flag, text in flags]))
 
 
-def local_evidence(hist: Column, base: Column, normal: Column, prediction: Column, truth: Column) -> Column:
-    """A struct of what a memory shows: ends of its trajectories, the latest changes, and the largest earlier rise. hist: 12 values."""
+def local_evidence(hist: Column, base: Column, normal: Column, prediction: Column, truth: Column, outcomes: Column | None = None) -> Column:
+    """A struct of what a memory shows: ends of its trajectories, the latest changes, the largest earlier rise and, of an episode's outcomes, the errors of each band. hist: 12 values."""
     ends = lambda x: F.when(x.isNotNull(), F.struct(F.element_at(x, 1).alias("first"), F.element_at(x, -1).alias("last")))
     steps = A.steps(hist, 12)
     return F.struct(
         F.element_at(steps, 11).alias("latest_change"), F.slice(steps, 9, 3).alias("recent_changes"), F.array_max(F.slice(steps, 1, 10)).alias("earlier_largest_rise"), F.element_at(hist, 12).alias("latest"),
-        ends(base).alias("base"), ends(normal).alias("normal"), ends(prediction).alias("prediction"), ends(truth).alias("truth"))
+        ends(base).alias("base"), ends(normal).alias("normal"), ends(prediction).alias("prediction"), ends(truth).alias("truth"),
+        *([F.transform(outcomes, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["base"]["mae"].alias("base_mae"), x["prediction"]["mae"].alias("prediction_mae"), x["outcome"].alias("outcome"))).alias("bands")] if outcomes is not None else []))
 
 
 def retrieve(queries: DataFrame, memory: DataFrame, relevance: DataFrame, k: int = TOP, least: float = 0.5, recall: int = RECALL, days: int = HORIZON_DAYS, half_life: float = 30.0, kernels: float = 0.5) -> DataFrame:

@@ -355,7 +355,8 @@ def eligibility_summary(spark, d):
  SELECT site, sensor, layer, round(prediction, 7) AS prediction FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)""")
 def layered_propagation(spark, d):
     scope = spatial.impact_scope(_routes(spark, d), BANDS_KM).select("site", "sensor", "layer", F.col("distance_m").alias("base"))
-    return rounded(records.propagate(scope, S.sensors(spark, d).select("sensor", (F.col("sensor") % 7 + 1).alias("prev")), 3), 7)
+    upstream = S.sensors(spark, d).select("sensor", (F.col("sensor") % 7 + 1).alias("prev"))
+    return rounded(records.run_layers(written(scope, "scope"), upstream, [records.own_and_upstream] * 3), 7)
 
 
 # text, vectors, histories --------------------------------------------------------------------------------------------
@@ -814,14 +815,18 @@ def _one_of(cs: tuple[str, ...]) -> str:
     return f"CASE WHEN ({known}) > 0 THEN ({same}) / ({known}) ELSE 0.5 END"
 
 
-PIT = f"""{EPI}, p0 AS (SELECT q.memory_id AS query_id, m.memory_id, m.node, m.origin, m.signature, m.has_normal, {_kern('state', 16)}, CASE WHEN m.has_normal THEN {_kern('decision', 24).split(' AS ')[0]} ELSE {_kern('decision', 12).split(' AS ')[0]} END AS s_decision,
+def pit_(queries: str) -> str:
+    return f"""p0 AS (SELECT q.memory_id AS query_id, m.memory_id, m.node, m.origin, m.signature, m.has_normal, {_kern('state', 16)}, CASE WHEN m.has_normal THEN {_kern('decision', 24).split(' AS ')[0]} ELSE {_kern('decision', 12).split(' AS ')[0]} END AS s_decision,
   CASE WHEN m.has_normal THEN {_kern('reliability', 6).split(' AS ')[0]} ELSE 1.0 END AS s_reliability, CASE WHEN m.has_normal THEN {_kern('gap', 12).split(' AS ')[0]} ELSE 1.0 END AS s_gap, {_one_of(M.PHYSICAL)} AS physical, (epoch(q.origin) - epoch(m.origin)) / 86400.0 AS age,
   array_to_string(list_filter([CASE WHEN q.node <> m.node THEN 'sensor' END, CASE WHEN q.layer <> m.layer THEN 'distance layer' END, CASE WHEN q.direction IS DISTINCT FROM m.direction THEN 'direction' END, CASE WHEN least(abs(q.hour - m.hour), 24 - abs(q.hour - m.hour)) >= 3 THEN 'time of day' END, CASE WHEN sign(q.history_change) <> sign(m.history_change) THEN 'latest change' END], lambda x: x IS NOT NULL), ',') AS differences
-  FROM epi q JOIN epi m ON m.available <= q.origin AND m.incident <> q.incident AND m.has_normal = q.has_normal WHERE q.memory_id % 100 = 0),
+  FROM epi q JOIN epi m ON m.available <= q.origin AND m.incident <> q.incident AND m.has_normal = q.has_normal WHERE {queries}),
  p1 AS (SELECT *, pow(2.0, -age / 30) AS recency, row_number() OVER (PARTITION BY query_id ORDER BY s_state DESC, memory_id) AS rs, row_number() OVER (PARTITION BY query_id ORDER BY s_decision DESC, memory_id) AS rd FROM p0 WHERE age >= 0 AND age <= 120),
  p2 AS (SELECT *, round((0.45 * s_state + 0.45 * s_decision + 0.1 * physical) * (0.9 + 0.1 * recency), 6) AS fits, round(CASE WHEN has_normal THEN 0.35 * s_state + 0.35 * s_decision + 0.12 * s_reliability + 0.08 * s_gap + 0.1 * physical ELSE 0.45 * s_state + 0.45 * s_decision + 0.1 * physical END * (0.9 + 0.1 * recency), 6) AS rank_score FROM p1 WHERE rs <= 24 OR rd <= 24)"""
 
 
+PIT = f"{EPI}, {pit_('q.memory_id % 100 = 0')}"
+
+
 def _recalled(spark, d):
     e = S.episodes(spark, d)
     return M.point_in_time(e.where("memory_id % 100 = 0"), e)
@@ -849,6 +854,88 @@ def memory_greedy_dedupe(spark, d):
     return M.greedy_suppress(pool, k=3, within_s=7200)
 
 
+def off_(x: str, lo: int, hi: int) -> str:
+    return f"list_transform(list_filter(range({lo}, {hi + 1}), lambda i: fut[i] <> 0), lambda i: {x}[i] - fut[i])"
+
+
+def mae_(x: str, lo: int, hi: int) -> str:
+    return f"(CASE WHEN len({off_(x, lo, hi)}) > 0 THEN list_sum([abs(z) for z in {off_(x, lo, hi)}]) / len({off_(x, lo, hi)}) END)"
+
+
+def bias_(x: str, lo: int, hi: int) -> str:
+    return f"(CASE WHEN len({off_(x, lo, hi)}) > 0 THEN list_sum({off_(x, lo, hi)}) / len({off_(x, lo, hi)}) END)"
+
+
+def rel_(x: str) -> str:
+    return f"[(z - hist[12]) / sc for z in {x}]"
+
+
+def verdict_(delta: str) -> str:
+    return f"CASE WHEN {delta} < -1e-6 THEN 'improved' WHEN {delta} > 1e-6 THEN 'degraded' WHEN {delta} IS NOT NULL THEN 'equal' END"
+
+
+SPANS = ((1, 3), (4, 6), (7, 12))
+EPISODES = f"""{PATTERN_ITEMS}, be AS (SELECT incident_id, sel.node, CASE WHEN h <= 3 THEN 1 WHEN h <= 6 THEN 4 ELSE 7 END AS lo, sum(sel.weight * abs(win.hist[12] - sel.fut[h])) / sum(sel.weight) AS m, sum(sel.weight * (win.hist[12] - sel.fut[h])) / sum(sel.weight) AS b
+  FROM sel JOIN win ON win.node = sel.node AND win.step = sel.step, (SELECT unnest(range(1, 13)) AS h) GROUP BY 1, 2, 3),
+ bl AS (SELECT incident_id, node, flatten(list([m, b] ORDER BY lo)) AS bands FROM be GROUP BY 1, 2),
+ e0 AS (SELECT it.*, bands, greatest(sqrt(greatest({mean_('hist[i] * hist[i]')} - {mean_('hist[i]')} * {mean_('hist[i]')}, 0.0)), abs({mean_('hist[i]')}) * 0.1, 1.0) AS sc, CASE WHEN km <= 1 THEN 0 WHEN km <= 3 THEN 1 ELSE 2 END AS layer, [round((hist[12] + coalesce(normal[i], hist[12])) / 2, 2) for i in range(1, 13)] AS prediction,
+  TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * it.step AS origin FROM it LEFT JOIN bl ON bl.incident_id = it.id AND bl.node = it.node WHERE list_sum([abs(x) for x in hist]) > 0),
+ e1 AS (SELECT *, {mae_('base', 1, 12)} AS base_mae, {mae_('prediction', 1, 12)} AS prediction_mae, {bias_('base', 1, 12)} AS base_bias, {bias_('prediction', 1, 12)} AS prediction_bias, {', '.join(f"len({off_('base', lo, hi)}) AS n{lo}, {mae_('base', lo, hi)} AS b{lo}, {mae_('prediction', lo, hi)} AS p{lo}" for lo, hi in SPANS)} FROM e0),
+ epi AS (SELECT *, 'incident_' || id || '_node_' || node || '_layer_' || layer AS memory_id, id AS incident, origin + INTERVAL 60 MINUTE AS available, normal IS NOT NULL AS has_normal, list_concat({rel_('hist')}, [(hist[i + 1] - hist[i]) / sc for i in range(8, 12)]) AS state,
+  list_concat({rel_('base')}, CASE WHEN normal IS NOT NULL THEN {rel_('normal')} ELSE [0.0 for i in range(12)] END) AS decision, CASE WHEN normal IS NOT NULL THEN [(base[i] - normal[i]) / sc for i in range(1, 13)] ELSE [0.0 for i in range(12)] END AS gap,
+  CASE WHEN normal IS NOT NULL THEN [x / sc for x in bands] ELSE [0.0 for i in range(6)] END AS reliability, hist[12] - hist[11] AS history_change, sha256(array_to_string([CAST(round(x, 4) AS VARCHAR) for x in hist], ',')) AS signature, area AS road, kind AS direction, bearing < 180 AS same_direction, km < 2.5 AS same_road,
+  prediction_mae - base_mae AS delta FROM e1)"""
+
+
+def _episodes(spark, d):
+    """Episodes of all local incidents: the last value as base, half way to the reference as prediction, reliability of the base over the reference's windows."""
+    feat = _features(spark, d)
+    chosen = _selected(spark, d, feat)
+    errors = chosen.join(feat.select("node", "step", F.element_at("hist", 12).alias("last")), ["node", "step"]).select("incident_id", "node", "weight", "last", F.posexplode("fut").alias("h", "y"))
+    lo = F.when(F.col("h") < 3, 1).when(F.col("h") < 6, 4).otherwise(7)
+    off = F.col("last") - F.col("y")
+    errors = errors.groupBy("incident_id", "node", lo.alias("lo")).agg((F.sum(F.col("weight") * F.abs(off)) / F.sum("weight")).alias("mae"), (F.sum(F.col("weight") * off) / F.sum("weight")).alias("bias"))
+    bands = errors.groupBy("incident_id", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("lo", "mae", "bias"))), lambda x: F.struct(x["mae"].alias("mae"), x["bias"].alias("bias"))).alias("bands"))
+    normal = N.sequences(N.reference(chosen)).select("incident_id", "node", "normal")
+    it = _local(spark, d).drop("dt", "duration_minutes").join(feat.select("node", "step", "hist", "fut"), ["node", "step"]).join(written(normal, "references"), ["incident_id", "node"], "left").join(bands, ["incident_id", "node"], "left")
+    last = F.element_at("hist", 12)
+    guess = F.when(F.col("normal").isNotNull(), F.transform("normal", lambda x: F.round((F.element_at("hist", 12) + x) / 2, 2))).otherwise(F.array_repeat(F.round(last, 2), 12))
+    it = it.withColumns({"base": F.array_repeat(last, 12), "prediction": guess, "layer": F.when(F.col("km") <= 1, 0).when(F.col("km") <= 3, 1).otherwise(2), "dt": TS.step_time(F.col("step")),
+                         "road": F.col("area"), "direction": F.col("kind"), "same_direction": F.col("bearing") < 180, "same_road": F.col("km") < 2.5})
+    return written(M.build_episodes(it).where("state is not null"), "episodes")
+
+
+@query(f"""WITH {EPISODES} SELECT memory_id, origin, available, has_normal, round(base_mae, 6) AS base_mae, round(prediction_mae, 6) AS prediction_mae, round(delta, 6) + 0.0 AS delta, {verdict_('delta')} AS verdict,
+ CASE WHEN delta > 1e-6 THEN CASE WHEN -base_bias * (prediction_bias - base_bias) < 0 THEN 'sign_error' WHEN ratio > 1.5 THEN 'over_correction' WHEN ratio < 0.5 THEN 'under_correction' WHEN prediction_bias - base_bias < -base_bias THEN 'too_low' WHEN prediction_bias - base_bias > -base_bias THEN 'too_high' ELSE 'phase_mismatch' END END AS failure,
+ {" || ' ' || ".join(f"n{lo} || ':' || coalesce({verdict_(f'p{lo} - b{lo}')}, '-')" for lo, _ in SPANS)} AS outcomes, round(list_sum(state), 5) + 0.0 AS state_sum, round(list_sum(decision), 5) + 0.0 AS decision_sum, round(list_sum(gap), 5) + 0.0 AS gap_sum, round(list_sum(reliability), 5) + 0.0 AS reliability_sum, n1 + n4 + n7 AS points,
+ CASE WHEN n1 + n4 + n7 = 0 THEN 'no_valid_outcome' WHEN base_mae >= 15 THEN 'large_base_error' WHEN delta >= 10 THEN 'large_tool_regression' ELSE 'low_value_success' END AS reason
+ FROM (SELECT *, CASE WHEN base_bias <> 0 THEN (prediction_bias - base_bias) / -base_bias WHEN prediction_bias = base_bias THEN 1.0 ELSE 999.0 END AS ratio FROM epi)""")
+def episode_building(spark, d):
+    """Whole episodes from windows, references and forecasts, with what they are worth to learn from."""
+    e = _episodes(spark, d).withColumn("relevance", M.learning_relevance(F.col("outcomes")))
+    told = F.transform("outcomes", lambda x: F.concat(x["base"]["points"].cast("string"), F.lit(":"), F.coalesce(x["outcome"], F.lit("-"))))
+    sums = [(F.round(A.total(F.col(c)), 5) + 0.0).alias(f"{c}_sum") for c in ("state", "decision", "gap", "reliability")]
+    return e.select("memory_id", "origin", "available", "has_normal", F.round("metrics.base.mae", 6).alias("base_mae"), F.round("metrics.prediction.mae", 6).alias("prediction_mae"), (F.round("metrics.delta", 6) + 0.0).alias("delta"), "verdict", "failure",
+                    F.array_join(told, " ").alias("outcomes"), *sums, F.col("relevance.points").cast("bigint").alias("points"), F.col("relevance.reason").alias("reason"))
+
+
+@query(f"WITH {EPISODES}, {pit_('true')} SELECT query_id, memory_id, s_state, s_decision, s_reliability, s_gap, fits, rank_score, round(physical, 4) AS physical, fits >= 0.5 AND s_state >= 0.5 AND s_decision >= 0.5 AS ok FROM p2")
+def episode_point_in_time(spark, d):
+    """What each episode could recall of those before it."""
+    e = _episodes(spark, d)
+    ok = (F.col("qualify") >= 0.5) & (F.col("s_state") >= 0.5) & (F.col("s_decision") >= 0.5)
+    return M.point_in_time(e, e).select("query_id", "memory_id", "s_state", "s_decision", "s_reliability", "s_gap", F.col("qualify").alias("fits"), "rank_score", F.round("physical", 4).alias("physical"), ok.alias("ok"))
+
+
+@query(f"""WITH RECURSIVE {EPISODES}, {pit_('true')}, ok AS (SELECT p2.* FROM p2 JOIN epi USING (memory_id) WHERE fits >= 0.5 AND s_state >= 0.5 AND s_decision >= 0.5 AND n1 + n4 + n7 > 0 AND (base_mae >= 15 OR delta >= 10)), {_greedy_sql('ok', 900)},
+ un AS (SELECT query_id, unnest(range(1, len(kept) + 1)) AS place, kept FROM fin) SELECT un.query_id, CAST(place AS INT) AS place, kept[place].id AS memory_id, rank_score, differences FROM un JOIN p2 ON p2.query_id = un.query_id AND p2.memory_id = kept[place].id""")
+def episode_retrieval(spark, d):
+    """The whole retrieval over real episodes, with the thresholds in use."""
+    e = _episodes(spark, d)
+    relevance = e.select("memory_id", M.learning_relevance(F.col("outcomes"))["eligible"].alias("eligible"))
+    return M.retrieve(e, e, relevance).select("query_id", "place", "memory_id", "rank_score", F.array_join("differences", ",").alias("differences"))
+
+
 LEARN = "lr AS (SELECT memory_id, round(abs(gap[1]) * 40, 4) AS base_mae, round(gap[2] * 30, 4) AS delta, memory_id % 7 AS points FROM epi)"
 
 
