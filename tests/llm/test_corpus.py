@@ -427,6 +427,25 @@ def test_long_alignments_are_split(monkeypatch):
         assert len(u) == len(x) and [a[i] for i in sorted(u)] == [b[j] for j in sorted(v)]
 
 
+IN_ARTICLE = "<article><p>x</p>{}</article>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (IN_ARTICLE.format('<section class="comment-section">c</section>'), "x"), ("<article><p>main</p><article><p>comment</p></article></article>", "main"),
+        *((f'<p>x</p><div class="{c}">c</div>', "x") for c in ("post-comments", "user-comment", "reader-comments", "newsletter-signup", "topnav", "sitefooter", "gdpr-banner")),
+        (IN_ARTICLE.format('<p class="promo-text">c</p>'), "x"), (IN_ARTICLE.format("<p hidden>c</p><p>y</p>"), "x\ny"), (IN_ARTICLE.format('<p style="color:red; display: none">c<p>y'), "x\ny"),
+        ("<main><article><p>a</p></article><article><p>b</p></article></main>", "a\nb"), ('<body class="has-sidebar no-comments"><p>x</p></body>', "x"), (IN_ARTICLE.format('<div class="content-with-sidebar">y</div>'), "x\ny"),
+        (IN_ARTICLE.format('<a title="hidden gem">y</a>'), "x\ny"), (IN_ARTICLE.format('<p data-hidden="1" class="overflow-hidden">y</p>'), "x\ny"), (IN_ARTICLE.format('<p style="display:block">y</p>'), "x\ny"),
+        (IN_ARTICLE.format("<header><h1>t</h1></header>"), "x\nt"),
+    ],
+)
+def test_html_comments_signups_and_hidden_elements(html, text):
+    lines = html_text.text_lines(html)
+    assert html_text.main_text([x for x, _ in lines], [z for _, z in lines], set())[0] == text
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
