@@ -54,6 +54,24 @@ def hashed_block(items: DataFrame, dim: int) -> DataFrame:
     return counts.withColumn("x", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))).drop("n")
 
 
+def _token_buckets(text: Column, dim: int) -> Column:
+    return F.transform(token_set(F.coalesce(text, F.lit(""))), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+
+
+def field_vectors(df: DataFrame, name: str = "fields", dims: dict[str, int] = FIELD_DIMS) -> DataFrame:
+    """df with the hashed vectors of its text fields (columns by the names of dims), one after the other: of each field the L2-normalised counts of its tokens in so many buckets, zeros for a text without tokens."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def counted(*fields: pd.Series) -> pd.Series:  # arrays are filled in place here; SQL would look through all tokens once a bucket
+        rows = []
+        for buckets in zip(*fields, strict=True):
+            parts = [np.bincount(np.asarray(b, np.int64), minlength=dim).astype(float) for b, dim in zip(buckets, dims.values(), strict=True)]
+            rows.append(np.concatenate([x / np.sqrt((x * x).sum()) if x.any() else x for x in parts]))
+        return pd.Series(rows)
+
+    return df.withColumn(name, counted(*[_token_buckets(F.col(f).cast("string"), dim) for f, dim in dims.items()]))
+
+
 def dense(blocks: DataFrame, dim: int) -> DataFrame:
     """(id, v): sparse vectors (id, bucket, x) as arrays of dim values."""
     own = blocks.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))  # dim entries at most

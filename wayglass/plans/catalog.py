@@ -704,15 +704,20 @@ def cosine_(a: str, b: str) -> str:
     return f"CASE WHEN {zero(a)} AND {zero(b)} THEN 1.0 WHEN {zero(a)} OR {zero(b)} THEN 0.0 ELSE {cos_sql(a, b)} END"
 
 
-KINDS, AREAS = [f"type {i}" for i in range(4)], [f"area {i}" for i in range(7)]
 ANGLE = "hour * (2 * 3.141592653589793 / 24)"
-META = ", ".join([*(f"CASE WHEN kind = '{k}' THEN 1.0 ELSE 0.0 END" for k in KINDS), *(f"CASE WHEN area = '{k}' THEN 1.0 ELSE 0.0 END" for k in AREAS)])
 BLOCK = ", ".join([*(f"CASE WHEN period = '{k}' THEN 1.0 ELSE 0.0 END" for k in ("night", "morning_peak", "midday", "evening_peak")), *(f"CASE WHEN weekday = {k} THEN 1.0 ELSE 0.0 END" for k in range(7)),
                    "CASE WHEN weekend THEN 1.0 ELSE 0.0 END", "CASE WHEN holiday THEN 1.0 ELSE 0.0 END", "CASE WHEN weekend OR holiday THEN 1.0 ELSE 0.0 END", f"sin({ANGLE})", f"cos({ANGLE})", "0.0", "0.0", "0.0", "0.0"])
-PATTERN_ITEMS = f"""{REF}, sq AS (SELECT incident_id, node, list(normal ORDER BY horizon) AS normal FROM ref GROUP BY 1, 2),
+FIELD_TEXTS = "CASE f WHEN 'type' THEN kind WHEN 'description' THEN 'collision of ' || kind || ' near ' || area || ', lanes closed: ' || incident_id % 5 WHEN 'area' THEN area WHEN 'location' THEN 'exit ' || incident_id % 97 || ' in ' || area WHEN 'freeway' THEN 'US-' || incident_id % 9 ELSE 'NSEW'[incident_id % 4 + 1] END"
+FIELD_LIST = ", ".join(f"({i}, '{f}', {dim})" for i, (f, dim) in enumerate(V.FIELD_DIMS.items()))
+FIELD_VECTORS = f"""fd AS (SELECT incident_id, k, dim, regexp_replace(trim(lower({FIELD_TEXTS})), '\\s+', ' ', 'g') AS v FROM inc, (VALUES {FIELD_LIST}) x(k, f, dim)),
+ fw AS (SELECT *, regexp_extract_all(v, '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS ws FROM fd), fj AS (SELECT *, array_to_string(ws, '') AS s FROM fw),
+ ft AS (SELECT incident_id, k, dim, list_distinct(list_filter(list_concat([v], ws, [s[i:i + 2] for i in range(1, greatest(len(s) - 1, 1))], [s[i:i + 3] for i in range(1, greatest(len(s) - 2, 1))]), lambda t: t <> '')) AS tokens FROM fj),
+ fb AS (SELECT incident_id, k, dim, [CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % dim for t in tokens] AS b FROM ft), fc AS (SELECT incident_id, k, list_transform(range(dim), lambda i: CAST(len(list_filter(b, lambda y: y = i)) AS DOUBLE)) AS c FROM fb),
+ fvec AS (SELECT incident_id, flatten(list([x / sqrt(list_sum([y * y for y in c])) for x in c] ORDER BY k)) AS fields FROM fc GROUP BY 1)"""
+PATTERN_ITEMS = f"""{REF}, {FIELD_VECTORS}, sq AS (SELECT incident_id, node, list(normal ORDER BY horizon) AS normal FROM ref GROUP BY 1, 2),
  it0 AS (SELECT loc.incident_id AS id, loc.node, loc.step, loc.km, loc.seconds, loc.bearing, loc.kind, loc.area, f.hist, f.fut, f.weekend OR f.holiday AS free, f.period, f.hour, f.weekday, f.weekend, f.holiday, sq.normal, [f.hist[12] for i in range(12)] AS base, [f.hist[i + 1] - f.hist[i] for i in range(1, 12)] AS dd, {robust_('f.hist')} AS z,
-  list_concat([x / 2.0 for x in [{META}]], (SELECT [y / sqrt(list_sum([x * x for x in b])) / sqrt(2.0) for y in b] FROM (SELECT [{BLOCK}] AS b))) AS meta
-  FROM loc JOIN feat f ON f.node = loc.node AND f.step = loc.step LEFT JOIN sq ON sq.incident_id = loc.incident_id AND sq.node = loc.node),
+  list_concat([x / sqrt(7.0) for x in v.fields], (SELECT [y / sqrt(list_sum([x * x for x in b])) / sqrt(7.0) for y in b] FROM (SELECT [{BLOCK}] AS b))) AS meta
+  FROM loc JOIN fvec v ON v.incident_id = loc.incident_id JOIN feat f ON f.node = loc.node AND f.step = loc.step LEFT JOIN sq ON sq.incident_id = loc.incident_id AND sq.node = loc.node),
  it1 AS (SELECT *, [(z[2 * i - 1] + z[2 * i]) / 2 for i in range(1, 7)] AS lw, {robust11_('dd')} AS zd FROM it0),
  it AS (SELECT *, list_concat(z, zd, [(z[2 * i - 1] - z[2 * i]) / 2 for i in range(1, 7)], [(lw[2 * i - 1] - lw[2 * i]) / 2 for i in range(1, 4)], [(lw[2 * i - 1] + lw[2 * i]) / 2 for i in range(1, 4)]) AS dyn, greatest({mean_('abs(hist[i])')}, 1.0) AS scale FROM it1)"""
 NEAR_ = "exp(-abs(q_{0} - c_{0}) / greatest(abs(q_{0}), abs(c_{0}), {1}))"
@@ -736,6 +741,14 @@ PATTERNS = f"""WITH {PATTERN_ITEMS}, pr AS (SELECT q.id AS query_id, q.node, c.i
  sc4 AS (SELECT *, CASE WHEN axes IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, node, axes IS NOT NULL ORDER BY axes, score DESC, c_step, id) END AS state FROM sc3), {groups_sql('sc4', 'query_id, node', 0.5, 0.75, 'score')}"""
 
 
+@query(f"WITH {INC}, {FIELD_VECTORS} SELECT incident_id, CAST(len(fields) AS INT) AS n, CAST(len(list_filter(fields, lambda x: x > 0)) AS INT) AS used, round(list_sum(fields), 6) AS total, round(list_sum([fields[i] * i for i in range(1, len(fields) + 1)]), 3) AS places FROM fvec")
+def incident_field_vectors(spark, d):
+    """The six hashed text fields of every incident in one vector."""
+    v = V.field_vectors(S.incident_texts(S.incidents(spark, d)))
+    places = A.total(F.transform("fields", lambda x, i: x * (i + 1)))
+    return v.select("incident_id", F.size("fields").alias("n"), F.size(F.filter("fields", lambda x: x > 0)).alias("used"), F.round(A.total(F.col("fields")), 6).alias("total"), F.round(places, 3).alias("places"))
+
+
 def _pattern_items(spark, d):
     """Local incidents with their window, calendar, reference (null if there is none), last-value forecast and vectors."""
     windows = _features(spark, d)
@@ -744,7 +757,9 @@ def _pattern_items(spark, d):
     normal = written(normal, "references")
     it = _local(spark, d).select("incident_id", "node", "step", "km", "seconds", "bearing", "kind", "area").join(feat, ["node", "step"]).join(normal, ["incident_id", "node"], "left").withColumnRenamed("incident_id", "id")
     h = F.col("hist")
-    meta = V.incident_vector([F.concat(V.one_hot(F.col("kind"), KINDS), V.one_hot(F.col("area"), AREAS)), A.each_with(V.time_block(F.col("period"), F.col("weekday"), F.col("weekend"), F.col("holiday"), F.col("hour")), F.sqrt(F.lit(2.0)), lambda x, n: x * n)])
+    vectors = V.field_vectors(S.incident_texts(it.select(F.col("id").alias("incident_id"), "kind", "area").distinct())).select(F.col("incident_id").alias("id"), "fields")
+    it = it.join(written(vectors, "fields"), "id")
+    meta = V.incident_vector([F.col("fields"), V.time_block(F.col("period"), F.col("weekday"), F.col("weekend"), F.col("holiday"), F.col("hour"))])
     return written(it.withColumns({"base": F.array_repeat(F.element_at(h, 12), 12), "scale": F.greatest(A.mean_abs(h), F.lit(1.0)), "meta": meta, "dyn": V.dynamics(h)}), "items")
 
 

@@ -50,6 +50,15 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.concat(F.lit("type "), (F.col("event_id") % 4).cast("string")).alias("kind"), F.concat(F.lit("area "), (F.col("event_id") % 7).cast("string")).alias("area"))
 
 
+def incident_texts(incidents: DataFrame) -> DataFrame:
+    """incident_id and the six texts of an incident: type, description, area, location, freeway and direction."""
+    i = F.col("incident_id")
+    n = lambda m: (i % m).cast("string")
+    return incidents.select(
+        "incident_id", F.col("kind").alias("type"), F.concat(F.lit("collision of "), F.col("kind"), F.lit(" near "), F.col("area"), F.lit(", lanes closed: "), n(5)).alias("description"), "area",
+        F.concat(F.lit("exit "), n(97), F.lit(" in "), F.col("area")).alias("location"), F.concat(F.lit("US-"), n(9)).alias("freeway"), F.substring(F.lit("NSEW"), (i % 4 + 1).cast("int"), F.lit(1)).alias("direction"))
+
+
 def incident_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """incident_id, node, km, seconds, bearing: a route of each incident to each node, at up to 250 km (2 % are within 5 km); null for every 13th."""
     nodes = read(spark, sf_dir, "events").select(F.col("event_type").alias("node")).distinct()
