@@ -182,7 +182,7 @@ def test_memory_pieces(spark):
     bands = F.array(F.struct(F.lit(4.0).alias("mae"), F.lit(-2.0).alias("bias")), F.struct(F.lit(6.0).alias("mae"), F.lit(None).cast("double").alias("bias")))
     assert value(spark, M.reliability(bands, F.lit(2.0))) == [2.0, -1.0, 3.0, 0.0, 0.0, 0.0]
     e = value(spark, M.local_evidence(lit([1, 5, 2, 2, 2, 2, 2, 2, 2, 3, 5, 4]), lit([1, 2]), F.lit(None).cast("array<double>"), lit([3, 4]), lit([5, 6])))
-    assert (e.latest_change, e.recent_changes, e.earlier_largest_rise, e.latest, e.normal, e.truth.last) == (-1.0, [1.0, 2.0, -1.0], 4.0, 4.0, None, 6.0)
+    assert (e.last_step, e.last_steps, e.steepest_before, e.latest, e.normal, e.truth.last) == (-1.0, [1.0, 2.0, -1.0], 4.0, 4.0, None, 6.0)
     df = spark.range(1)
     assert [value(spark, M.effect_direction(F.lit(x))) for x in (0.6, 0.5, -0.6)] == ["increase", "flat", "decrease"]
     with pytest.raises(ValueError, match="k and half_life"):

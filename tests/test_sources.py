@@ -103,7 +103,7 @@ def test_sensors_incidents_and_manifest(spark, tmp_path):
     tables.validate_sources(spark, [str(tmp_path / "s.tsv")] * 12, [])
     tables.write_tsv(found, str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).count() == 2
-    assert tables.result_path("/x/", "r", "m", "base", "skipped_incidents") == "/x/evaluations/r/m/base/skipped-incidents.tsv"
+    assert tables.result_path("/x/", "r", "m", "base", "left_out") == "/x/runs/r/m/base/left-out.tsv"
 
 
 def test_fingerprint_ignores_order(spark):

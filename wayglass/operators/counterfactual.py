@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from wayglass.functions import arrays as A
 from wayglass.functions.exact import round_ratio, units
 from wayglass.functions.keys import circular
 from wayglass.operators.timeseries import CHANNELS, step_time, with_calendar
-from wayglass.schema import CHUNK, EPOCH
+from wayglass.schema import CHUNK, EPOCH, STEP_MINUTES
 from wayglass.sources.scratch import written
 
 BEFORE_S, AFTER_S, BUFFER_S, UNKNOWN_MIN, BUCKET_S = 3600, 3300, 1800, 60, 6 * 3600
-TRAFFIC_WEIGHT, LEAST_SCORE, K, LOCAL_KM = 0.75, 0.6, 10, 5.0
+TRAFFIC_WEIGHT, LEAST_SCORE, K, LOCAL_KM, CUTOFF_MIN = 0.75, 0.6, 10, 5.0, 60
 #: The optional time filter: candidates of a query from which it sets in and down to which it cuts, and those that the time score keeps in any case.
 COARSE_LIMIT, COARSE_TOP = 16_384, 4_096
 CAL = ["day", "hour", "weekday", "free", "period"]
@@ -25,6 +27,13 @@ def effective_minutes(d: Column, unknown: int = UNKNOWN_MIN) -> Column:
     return F.when(~F.isnan(d) & (d > 0) & (d < float("inf")), F.floor(d)).otherwise(unknown)
 
 
+def cutoff_steps(minutes: float, step_minutes: int = STEP_MINUTES) -> int:
+    """The steps by which a candidate has to be earlier so that at least so many minutes lie between (exactly as many are enough)."""
+    if minutes < 0:
+        raise ValueError("a cutoff can't be below 0 minutes")
+    return math.ceil(minutes / step_minutes)
+
+
 def local_incidents(incidents: DataFrame, routes: DataFrame, radius_km: float = LOCAL_KM) -> DataFrame:
     """Each incident with every node (and route) that it has a route of 0 to radius_km to. routes: incident_id, node, km, ..."""
     near = routes.where(F.col("km").isNotNull() & ~F.isnan("km") & (F.col("km") >= 0) & (F.col("km") <= radius_km))
@@ -166,16 +175,16 @@ def base_evidence(selected: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 
 def normal_counterfactual(windows: DataFrame, incidents: DataFrame, routes: DataFrame, k: int = K, radius_km: float = LOCAL_KM, buffer_minutes: int = BUFFER_S // 60,
-                          unknown_minutes: int = UNKNOWN_MIN, least: float = LEAST_SCORE, lag: int = 1, coarse: bool = False) -> DataFrame:
+                          unknown_minutes: int = UNKNOWN_MIN, least: float = LEAST_SCORE, cutoff_minutes: float = CUTOFF_MIN, coarse: bool = False) -> DataFrame:
     """Selected candidates, with weights and futures, of each incident at each node it is local to. windows: with features (see timeseries)."""
     local = local_incidents(incidents, routes, radius_km)
     free = incident_free(windows, local, buffer_minutes, unknown_minutes)
     queries = windows.join(local.select("incident_id", "node", "step"), ["node", "step"])
-    return with_futures(select_candidates(candidate_scores(queries, free, lag, coarse), k, least), windows)
+    return with_futures(select_candidates(candidate_scores(queries, free, cutoff_steps(cutoff_minutes), coarse), k, least), windows)
 
 
 def update_counterfactual(selected: DataFrame, windows: DataFrame, incidents: DataFrame, fresh: DataFrame, routes: DataFrame, k: int = K, radius_km: float = LOCAL_KM, buffer_minutes: int = BUFFER_S // 60,
-                          unknown_minutes: int = UNKNOWN_MIN, least: float = LEAST_SCORE, lag: int = 1) -> DataFrame:
+                          unknown_minutes: int = UNKNOWN_MIN, least: float = LEAST_SCORE, cutoff_minutes: float = CUTOFF_MIN) -> DataFrame:
     """normal_counterfactual of incidents and fresh together, from that of incidents alone (`selected`).
 
     A fresh incident takes windows away, at its nodes and in its stretch of time. Of the old queries only those that had chosen such a window are scored anew: any other window that goes was not the best of its day
@@ -190,7 +199,7 @@ def update_counterfactual(selected: DataFrame, windows: DataFrame, incidents: Da
     again = written(touched.unionByName(new.select(*by)).distinct(), "again")
     queries = known.select(*by, "step").unionByName(new.select(*by, "step")).join(again, by, "left_semi")
     free = incident_free(windows.join(again.select("node").distinct(), "node", "left_semi"), known.select("node", "dt", "duration_minutes").unionByName(new.select("node", "dt", "duration_minutes")), buffer_minutes, unknown_minutes)
-    scored = candidate_scores(windows.join(queries, ["node", "step"]), free, lag)
+    scored = candidate_scores(windows.join(queries, ["node", "step"]), free, cutoff_steps(cutoff_minutes))
     fixed = select_candidates(scored, k, least)
     return with_futures(held.join(again, by, "left_anti").unionByName(fixed.select(*held.columns)), windows)
 

@@ -188,7 +188,7 @@ def local_evidence(hist: Column, base: Column, normal: Column, prediction: Colum
     ends = lambda x: F.when(x.isNotNull(), F.struct(F.element_at(x, 1).alias("first"), F.element_at(x, -1).alias("last")))
     steps = A.steps(hist, 12)
     return F.struct(
-        F.element_at(steps, 11).alias("latest_change"), F.slice(steps, 9, 3).alias("recent_changes"), F.array_max(F.slice(steps, 1, 10)).alias("earlier_largest_rise"), F.element_at(hist, 12).alias("latest"),
+        F.element_at(steps, 11).alias("last_step"), F.slice(steps, 9, 3).alias("last_steps"), F.array_max(F.slice(steps, 1, 10)).alias("steepest_before"), F.element_at(hist, 12).alias("latest"),
         ends(base).alias("base"), ends(normal).alias("normal"), ends(prediction).alias("prediction"), ends(truth).alias("truth"),
         *([F.transform(outcomes, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["base"]["mae"].alias("base_mae"), x["prediction"]["mae"].alias("prediction_mae"), x["outcome"].alias("outcome"))).alias("bands")] if outcomes is not None else []))
 

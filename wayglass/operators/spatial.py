@@ -81,7 +81,7 @@ def nearest(sites: DataFrame, sensors: DataFrame, keys: list[str] | None = None)
         best = looked.join(filed, [*keys, "__u", "__v"]).groupBy("site").agg(F.min_by("sensor", F.struct(F.round(d2, 10).alias("d2"), "sensor")).alias("sensor"), F.min(d2).alias("d2"))
         last = side > whole
         best = best if last else best.where(F.col("d2") <= (0.999 * side) ** 2)
-        best = best.select("site", "sensor").persist()
+        best = written(best.select("site", "sensor"), "nearest")
         found.append(best)
         todo = todo.join(best, "site", "left_anti")
         if last or todo.isEmpty():

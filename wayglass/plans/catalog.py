@@ -230,6 +230,13 @@ def historical_effect(spark, d):
     return R.effects(with_hourly_normal(spark, d, TS.windows(S.grid(spark, d)))).where("effect_direction <> 'neutral'").select("node", "step", "shape")
 
 
+@query(f"WITH {WIN} SELECT node, step, round(list_sum(fut), 4) AS total, fut[12] AS last, CAST(NULL AS DOUBLE) AS mean_effect, CAST(NULL AS VARCHAR) AS shape FROM win")
+def continuation_only(spark, d):
+    """Windows without a reference: what came after, and no effect."""
+    out = R.future_only(TS.windows(S.grid(spark, d)))
+    return out.select("node", "step", F.round(A.total(F.col("continuation")), 4).alias("total"), F.element_at("continuation", -1).alias("last"), "mean_effect", "shape")
+
+
 @query(f"""WITH {WIN}, o AS (SELECT node, step, row_number() OVER (PARTITION BY node ORDER BY step) AS pos, count(*) OVER (PARTITION BY node) AS n FROM win),
  s AS (SELECT node, CASE WHEN pos <= round_even(n * 0.7, 0) THEN 'train' WHEN pos <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'val' ELSE 'test' END AS split, step FROM o)
  SELECT node, split, count(*) AS n, min(step) AS lo, max(step) AS hi FROM s GROUP BY 1, 2""")
@@ -537,6 +544,18 @@ def network_time_score(spark, d):
     return p.select(F.col("q_site").alias("query_site"), "site", "sensor", F.round("n", 4).alias("network"), F.round("t", 4).alias("time"), F.round(V.network_time(F.col("n"), F.col("t"), F.col("i")), 4).alias("score"), F.round(combined, 4).alias("combined"))
 
 
+@query(f"""WITH {ROUTES}, an AS (SELECT site, arg_min(sensor, (distance_m, sensor)) AS sensor FROM scoped WHERE layer IS NOT NULL AND site % 100 = 0 GROUP BY 1)
+ SELECT an.site AS query_site, c.site, an.sensor, round(q.distance_m / 1000, 4) AS query_km, round(c.distance_m / 1000, 4) AS km, round(c.duration_s, 4) AS seconds, c.distance_m IS NULL AS no_route FROM an JOIN rt q ON q.site = an.site AND q.sensor = an.sensor JOIN rt c ON c.sensor = an.sensor AND c.site <> an.site""")
+def route_relations(spark, d):
+    """Routes of the sites whose id is divisible by 100 to their anchors, beside those of all other sites to the same sensors."""
+    sites, sensors = S.sites(spark, d), S.sensors(spark, d)
+    asked = spatial.route_table(sites.where("site % 100 = 0"), sensors, ROUTE_KM)
+    anchors = written(spatial.impact_scope(asked, BANDS_KM).select("site", F.col("anchor").alias("sensor")).distinct(), "anchors")
+    there = spatial.route_table(sites, sensors.join(anchors.select("sensor").distinct(), "sensor", "left_semi"), ROUTE_KM)
+    pairs = spatial.route_relation(asked.join(anchors, ["site", "sensor"], "left_semi"), there)
+    return pairs.select("query_site", "site", "sensor", F.round("query_route.km", 4).alias("query_km"), F.round("candidate_route.km", 4).alias("km"), F.round("candidate_route.seconds", 4).alias("seconds"), F.col("candidate_route").isNull().alias("no_route"))
+
+
 # the incident-free reference ---------------------------------------------------------------------------------------
 def _local(spark, d):
     return N.local_incidents(S.incidents(spark, d), S.incident_routes(spark, d))
@@ -1034,6 +1053,13 @@ def impact_case_selection(spark, d):
     return E.impact_cases(TS.windows(S.grid(spark, d)), 50).select("node", "step", F.round("last", 3).alias("last"), F.round("drop_", 3).alias("drop_"), "score")
 
 
+@query(f"SELECT count(*) AS incidents, {ratio_('sum(CAST(round(value * 10000) AS HUGEINT))', '10000', 2)} AS total_ms, round(avg(value), 4) AS average_ms FROM events WHERE event_type = 'error'")
+def processing_time_summary(spark, d):
+    """One row: the error events as runs that took their value in ms."""
+    runs = S.read(spark, d, "events").where("event_type = 'error'").select(F.col("value").alias("processing_ms"))
+    return E.processing_summary(runs).select("incidents", F.round("total_ms", 2).alias("total_ms"), F.round("average_ms", 4).alias("average_ms"))
+
+
 @query("SELECT event_type AS module, count(*) AS calls, round(sum(value), 3) AS total, round(min(value), 4) AS least, round(max(value), 4) AS most, round(avg(value), 4) AS mean FROM events GROUP BY 1")
 def event_timing_summary(spark, d):
     return S.read(spark, d, "events").groupBy(F.col("event_type").alias("module")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 3).alias("total"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"), F.round(F.avg("value"), 4).alias("mean"))

@@ -21,7 +21,7 @@ TRAFFIC = "node_index int, month int, step int, ts timestamp_ntz, flow double, o
 EDGES = "src int, dst int, weight double"
 ROUTES = "incident_id string, node_index int, distance_m float, duration_s float, bearing_deg float"
 
-STEPS, CHUNK, FIRST_HOUR, EPOCH = 720, 240, 473352, 1704067200
+STEPS, STEP_MINUTES, CHUNK, FIRST_HOUR, EPOCH = 720, 60, 240, 473352, 1704067200
 HISTORY = FUTURE = 12
 
 

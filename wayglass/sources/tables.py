@@ -162,14 +162,17 @@ def manifest(dataset: str, region: str, traffic: DataFrame | None, edges: DataFr
     return {"dataset": dataset, "region": region, "status": status, "node_count": sensors.count(), "months": months, "adjacency": adjacency, "incidents": per, "channels": ["flow", "occupancy", "speed"]}
 
 
-#: Results of an evaluation run: names and files.
-RESULT_FILES = {n: f"{n.replace('_', '-')}.{x}" for x, names in (("json", "metrics timing split selected_incidents evaluated_incidents horizon_metrics"), ("tsv", "skipped_incidents eligible_incidents excluded_incidents")) for n in names.split()}
+#: What a run leaves, and in which file.
+RESULT_FILES = {
+    "errors": "errors.json", "errors_by_step": "errors-by-step.json", "timings": "timings.json", "parts": "parts.json", "asked": "asked.json", "answered": "answered.json",
+    "usable": "usable.tsv", "unusable": "unusable.tsv", "left_out": "left-out.tsv",
+}
 
 
 def result_path(root: str, region: str, model: str, mode: str, name: str) -> str:
     if name not in RESULT_FILES:
         raise ValueError(f"unknown result: {name}")
-    return f"{root.rstrip('/')}/evaluations/{region}/{model}/{mode}/{RESULT_FILES[name]}"
+    return f"{root.rstrip('/')}/runs/{region}/{model}/{mode}/{RESULT_FILES[name]}"
 
 
 def dense_to_rows(months: DataFrame, loader) -> DataFrame:
