@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayglass.sources import tables
-from wayglass.streaming.memory import start_memory_stream
 
 
 def test_incident_file(spark, tmp_path):
@@ -26,18 +25,6 @@ def test_dense_arrays_round_trip(spark, tmp_path):
     assert (own.count(), rows.count(), inner.count()) == (1, 4, 1)
 
 
-def test_memory_stream(spark, tmp_path):
-    schema = "memory_id string, seq long, t timestamp_ntz"
-    at = lambda d: dt.datetime(2024, 1, d)
-    src, root = str(tmp_path / "in"), str(tmp_path / "out")
-    for n, rows in enumerate(([("a", 1, at(1)), ("b", 2, at(2))], [("a", 3, at(3))])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(schema).parquet(src)
-        start_memory_stream(stream, root, str(tmp_path / "cp"), ["memory_id"], "seq", "t").awaitTermination()
-        got = {(r.memory_id, r.seq) for r in spark.read.parquet(f"{root}/v{n}").collect()}
-        assert got == ({("a", 1), ("b", 2)} if n == 0 else {("a", 3), ("b", 2)})
-
-
 def test_upsert_and_retention(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, dt.datetime(2023, 1, 1)), ("b", 2, dt.datetime(2024, 1, 1))], "k string, seq long, t timestamp_ntz")
     tables.upsert_memory(spark, "", df, str(tmp_path / "v0"), ["k"], "seq", "t")
