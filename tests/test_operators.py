@@ -325,8 +325,16 @@ def test_windows_stay_in_their_chunk(spark):
 
 
 def test_first_object(spark):
-    df = spark.createDataFrame([('x {"a": 1} {"a": 1}```',), ('{"a": 1} {"a": 2}',), ("none",)], "t string")
-    assert [r.x for r in df.select(records.first_object("t").alias("x")).collect()] == ['{"a": 1}', None, None]
+    one = '{"a":1}'
+    cases = [
+        ('x {"b": 1, "a": [2, {"c": "}"}]} ', '{"a":[2,{"c":"}"}],"b":1}'), ('{"a":1}{"a":1}', one), ('{"a":1}\n{ "a" : 1 }\n```', one), ('{"a":1} {"a":2}', None), ('{"a":1} {"a":', None), ('{"a":1} x', None),
+        ('{"a":1}\n```', one), ('{"a":1}``', one), ('{"a":1}`', None), ('{"a":1}\\n \\t', one), ('```json\n{"a": "q\\"}{"}\n```', '{"a":"q\\"}{"}'), ('{"a": "\U0001F600 }"} ', '{"a":"\U0001F600 }"}'), ("{}", "{}"),
+        ('{"a":', None), ('{"a":[}', None), ('{"a" 1}', None), ('{"a":NaN}', None), ('{"a":1,"a":2}', None), ('"{" {"a":1}', None), ("none", None), ("", None), (None, None),
+        ('{"s":"' + "\\n" * 100_000 + '"}```', '{"s":"' + "\\n" * 100_000 + '"}'),
+    ]
+    df = records.with_first_object(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string"), "t", "x")
+    assert df.columns == ["i", "t", "x"] and "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.x for r in df.collect()} == {i: x for i, (_, x) in enumerate(cases)}
 
 
 def haversine(p, q):
