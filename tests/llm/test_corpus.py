@@ -581,29 +581,34 @@ def test_toxic_matches_stay_above_it():
     assert g.score("weaka once") < 0.7 and g.score(" ") == 0
 
 
+@pytest.mark.parametrize("text", ["the sun will burn you", "we shall beat them in the match", "will you kill the lights for them", "don't call people idiots", "smoking will kill you", "he hunts them", "go to the die caster", "you may hurt yourself", "people hunt deer with them. sit down"])
+def test_harmless_uses_stay_below_the_threshold(text):
+    assert toxicity.Grammar({"idiot": 0.93, "idiots": 0.93}).score(text) < 0.7
+
+
+@pytest.mark.parametrize("text", ["hunt them down", "go die", "kill yourself", "please go kill yourself", "we will hunt all of you down", "they will beat him up", "i'm going to kill you", "gonna stab you", "someone should murder them", "who will kill them", "i will go hurt them"])
+def test_threats_in_other_forms(text):
+    assert toxicity.Grammar({}).score(text) >= 0.7
+
+
 def matches_by_place(c):
     """What the grammar's docstring says, from places in the clause instead of states: {place of a match: (kind, what is said about it)}."""
     t = toxicity
     near = lambda kinds, lo, hi: [k for k in range(max(0, lo), min(len(c), hi + 1)) if c[k] in kinds]
-    found, done = {}, -1
-    for i, x in enumerate(c):
-        if x == t.INSULT:
-            found[i] = ("insult", set())
-        modal = max(near({t.MODAL}, done + 1, i - 1), default=None)
-        if x == t.TARGET and modal is not None:
-            hurt = min(near({t.HURT}, modal + 1, modal + 4), default=None)
-            if hurt is not None and hurt < i <= hurt + 4 and not near({t.TARGET}, hurt + 1, i - 1):
-                found[i] = ("threat", set())
-                done = i
+    letter = dict(zip((t.HURT, t.MODAL, t.TARGET, t.ACTOR, t.PERSON, t.HUNT, t.PARTICLE, t.QUANTITY, t.SELF, t.GO, t.DIE), "HMTAPBRQSGD", strict=True))
+    text = "".join(letter.get(x, "o") for x in c)
+    will = "(?:^|[AP].{0,2})M[^HBG]{0,3}"
+    threat = re.compile(f"(?:(?:{will}|G)HQ*[TPS]|^HS|(?:{will}|^|G)BQ*[TP][^RGM]?R|GD)$")
+    found = {i: ("insult", set()) if x == t.INSULT else ("threat", set()) for i, x in enumerate(c) if x == t.INSULT or threat.search(text[: i + 1])}
     for i, (kind, said) in found.items():
         after = min([k for k in found if k > i], default=len(c))  # what follows the next match is about that one
         if kind == "insult":
-            targets = [k for k in near({t.TARGET}, i + 1, min(i + 4, after))]
-            if near({t.TARGET}, i - 4, i - 1) or (targets and targets[0] not in found):
+            targets = [k for k in near({t.TARGET, t.PERSON}, i + 1, min(i + 4, after))]
+            if near({t.TARGET, t.PERSON}, i - 4, i - 1) or (targets and targets[0] not in found):
                 said.add("targeted")
         be = min(near({t.COPULA}, i + 1, i + 4), default=None)
         no = min(near({t.NOT}, i + 1, after - 1), default=None)
-        if near({t.NOT}, i - (3 if kind == "insult" else 6), i - 1) or (be is not None and no is not None and be < no <= be + 4 and be < after):
+        if near({t.NOT}, i - (4 if kind == "insult" else 6), i - 1) or (be is not None and no is not None and be < no <= be + 4 and be < after):
             said.add("negated")
         speech = min(near({t.SAID, t.QUOTE}, i + 1, after - 1), default=None)
         if near({t.SAID, t.QUOTE}, i - 8, i - 1) or (speech is not None and speech <= i + 4 and c[speech] == t.SAID):
@@ -613,14 +618,13 @@ def matches_by_place(c):
 
 def test_composed_machine_equals_the_patterns():
     rnd = random.Random(8)
-    moves, emits = toxicity.machine()
+    machine = toxicity.machine()
     kinds = Counter()
-    for _ in range(30_000):
-        c = rnd.choices(range(9), [rnd.choice([2, 9]), 2, 2, 2, 2, 1, 1, 1, 1], k=rnd.randint(1, 16))
+    for _ in range(60_000):
+        c = rnd.choices(range(17), [rnd.choice([2, 9]), 2, 4, 4, 3, 3, 1, 1, 1, 3, 2, 3, 3, 1, 2, 2, 1], k=rnd.randint(1, 16))
         state, got, last = 0, {}, None
         for i, x in enumerate(c):
-            mark, said = emits[state][x]
-            state = moves[state][x]
+            state, mark, said = machine.step(state, x)
             if mark:
                 last = i
                 got[i] = (mark, set(said))
@@ -656,6 +660,18 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert toxicity.score_documents(df.limit(0), toxicity.fit(df.limit(0))).count() == 0
 
 
+def test_toxicity_of_nulls_repeats_and_long_texts(spark):
+    g = toxicity.Grammar({"idiot": 0.93})
+    long = "a calm word. " * 200_000
+    rows = [(1, None, 0.0), (2, "", 0.0), (3, "you idiot", 1.0), (3, "you idiot", 1.0), (None, "hunt them down", 1.0), (4, long, 0.0), (5, long + "you idiot", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumn("predicted", F.lit("x")).withColumn("toxic", F.lit(None).cast("int"))
+    got = sorted(((r.doc_id, r.score >= 0.7) for r in toxicity.score_documents(df, g).collect()), key=repr)
+    assert got == sorted(((i, bool(s)) for i, _, s in rows), key=repr)
+    kept = toxicity.keep_clean(df, g)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+    assert toxicity.fit(df).words == toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, 0.93)).words  # null labels teach nothing
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 def brute_quality(t):
     w, seen, dup = WORD.findall(t), set(), 0

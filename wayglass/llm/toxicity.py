@@ -2,12 +2,14 @@
 
 Words are mapped to classes by an insult lexicon, and by closed lists for threats, targets, negation and reported speech. Five small
 transducers read the class string of a clause. The first two mark matches, the others read the string with its marks and weigh them; all five are
-composed into one machine (their product, built once):
+composed into one machine (their product, of which each step is made when a text first takes it):
 
     insult    marks each insulting word
-    threat    "will / going to" + harm verb + target, each within four words of the one before, is marked at the target
+    threat    marks the object of a harm verb: a person who acts ("I", "they", ... up to three words before, or nobody where the clause begins) + "will / going to" + harm verb within four words + target,
+              with nothing between but "all", "of", ...; "go" + harm verb + target; a harm verb + "yourself" where a clause begins; "go die". Verbs that harm only with a particle
+              ("hunt", "beat") are marked at it ("hunt them down", "beat you up"), and need no modal where a clause begins
     target    an insult with a target ("you", "they", ...) within four words before or after it is weighted up
-    negation  "not", "never" up to three words before an insult or six before the target of a threat, or after a match and a form of "be", weights it down
+    negation  "not", "never" up to four words before an insult or six before the target of a threat, or after a match and a form of "be", weights it down
     reported  a verb of saying or a quotation mark up to eight words before a match, or a verb of saying up to four words after it, weights it down
 
 A negated or reported match is first cut to odds of CEILING, so that no lexicon entry is strong enough to outweigh either. A clause's weight is the noisy or
@@ -51,9 +53,13 @@ KNOWN_WORDS = 100_000
 
 #: Words of general use.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers clown clowns trash scum pathetic worthless disgusting imbecile cretin vermin filth bastard scumbag lowlife dimwit halfwit".split()
-HARM = "kill hurt destroy beat murder shoot stab burn crush hunt".split()
+HARM = "kill hurt destroy murder shoot stab burn crush".split()
+CHASE, PARTICLES = "hunt beat".split(), "down up dead senseless bloody".split()
 WILL = "will gonna shall must should going ll".split()
-TARGETS = "you your youre u he him his she her they them their these those people everyone du dich ihr euch vous toi tu te ustedes vosotros".split()
+ACTORS = "i we one someone somebody who gang mob men guys boys brother brothers friends dad".split()
+PERSONS = "he she they people everyone".split()
+QUANTITIES, SELVES = "all every each of any both some".split(), "yourself yourselves".split()
+TARGETS = "you your youre u him his her them their these those du dich ihr euch vous toi tu te ustedes vosotros".split()
 NEGATIONS = "not never no isn aren wasn don doesn didn nobody nicht kein keine nie pas jamais ne nunca".split()
 REPORTS = "said says say wrote writes claims claimed called calls quoted reported alleges sagte dit dijo".split()
 
@@ -61,13 +67,17 @@ BE = "is are am was were be been ist sind war est sont es son".split()
 
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 _WORD = re.compile(r"[^\W_]+|[\"“„«]")
-OTHER, INSULT, HURT, MODAL, TARGET, NOT, SAID, QUOTE, COPULA = range(9)
-_CLOSED = {w: c for c, words in ((COPULA, BE), (HURT, HARM), (MODAL, WILL), (TARGET, TARGETS), (NOT, NEGATIONS), (SAID, REPORTS), (QUOTE, '"“„«')) for w in words}
+OTHER, INSULT, HURT, MODAL, TARGET, NOT, SAID, QUOTE, COPULA, ACTOR, PERSON, HUNT, PARTICLE, QUANTITY, SELF, GO, DIE = range(17)
+_CLOSED = {w: c for c, words in (
+    (COPULA, BE), (HURT, HARM), (MODAL, WILL), (TARGET, TARGETS), (NOT, NEGATIONS), (SAID, REPORTS), (QUOTE, '"“„«'), (ACTOR, ACTORS), (PERSON, PERSONS), (HUNT, CHASE), (PARTICLE, PARTICLES),
+    (QUANTITY, QUANTITIES), (SELF, SELVES), (GO, ["go"]), (DIE, ["die"])) for w in words}
+CLASSES = DIE + 1
 
 #: Odds of a threat, factor on the odds of a targeted insult, and for negated and reported matches the odds they are cut to and the factors on them.
 THREAT_ODDS, TARGETED, CEILING, NEGATED, REPORTED = 0.85 / 0.15, 2.0, 12.0, 0.08, 0.15
 #: Words within which the parts of a pattern must follow each other.
-REACH, NOT_INSULT, NOT_THREAT, SAID_BEFORE, SAID_AFTER = 4, 3, 6, 8, 4
+REACH, NOT_INSULT, NOT_THREAT, SAID_BEFORE, SAID_AFTER = 4, 4, 6, 8, 4
+ACTS, PARTICLE_WITHIN = 3, 2
 
 
 # Each transducer: (state, class, mark) -> (state, what it emits). Marks are "", "insult" or "threat".
@@ -75,15 +85,30 @@ def _step_insult(state: int, c: int, mark: str) -> tuple[int, str]:
     return 0, "insult" if c == INSULT else ""
 
 
-def _step_threat(state: int, c: int, mark: str) -> tuple[int, str]:
-    """0 idle; 1 to REACH words left after a modal; REACH more after modal and harm verb."""
-    if c == MODAL:
-        return REACH, ""
-    if 1 <= state <= REACH and c == HURT:
-        return 2 * REACH, ""
-    if state > REACH and c == TARGET:
-        return 0, "threat"
-    return (state - 1 if state not in (0, REACH + 1) else 0), ""
+def _step_threat(state: tuple[int, tuple], c: int, mark: str) -> tuple[tuple[int, tuple], str]:
+    """Words left after an actor (ACTS + 1 where the clause begins), and what is awaited: (), a verb after a modal and in how many words, an object, oneself, a particle, or what follows "go"."""
+    actor, (kind, left) = state[0], state[1] or ("", 0)
+    first = actor > ACTS
+    after = ACTS if c in (ACTOR, PERSON) else 0 if first else max(0, actor - 1)
+    if c == MODAL and actor:
+        return (after, ("verb", REACH)), ""
+    if c == GO:
+        return (after, ("go", 0)), ""
+    if kind == "verb" and left and c not in (HURT, HUNT):
+        return (after, ("verb", left - 1) if left > 1 else ()), ""
+    if kind in ("verb", "go") and c in (HURT, HUNT):
+        return (after, ("object" if c == HURT else "chased", 0)), ""
+    if kind in ("object", "chased") and c == QUANTITY:
+        return (after, state[1]), ""
+    if kind == "chased" and c in (TARGET, PERSON):
+        return (after, ("particle", PARTICLE_WITHIN)), ""
+    if (kind == "object" and c in (TARGET, PERSON, SELF)) or (kind == "oneself" and c == SELF) or (kind == "particle" and c == PARTICLE) or (kind == "go" and c == DIE):
+        return (after, ()), "threat"
+    if kind == "particle" and left > 1 and c != MODAL:
+        return (after, (kind, left - 1)), ""
+    if first and c in (HURT, HUNT):
+        return (after, ("oneself" if c == HURT else "chased", 0)), ""
+    return (after, ()), ""
 
 
 def _step_target(state: tuple[int, int], c: int, mark: str) -> tuple[tuple[int, int], str]:
@@ -91,8 +116,10 @@ def _step_target(state: tuple[int, int], c: int, mark: str) -> tuple[tuple[int,
     target, insult = (max(0, x - 1) for x in state)
     if mark == "insult":
         return ((target, 0), "targeted") if state[0] else ((target, REACH), "")
-    if c == TARGET:  # that of a threat is not an insult's as well
+    if c in (TARGET, PERSON):  # that of a threat is not an insult's as well
         return (REACH, 0), "targeted" if state[1] and not mark else ""
+    if mark:
+        return (target, 0), ""
     return (target, insult), ""
 
 
@@ -121,7 +148,7 @@ def _step_reported(state: tuple[int, int], c: int, mark: str) -> tuple[tuple[int
 
 
 MARKING, WEIGHING = (_step_insult, _step_threat), (_step_target, _step_negation, _step_reported)
-START = (0, 0, (0, 0), (0, 0), (0, 0))
+START = (0, (ACTS + 1, ()), (0, 0), (0, 0), (0, 0))
 
 
 def compose(state: tuple, c: int) -> tuple[tuple, str, tuple[str, ...]]:
@@ -132,23 +159,30 @@ def compose(state: tuple, c: int) -> tuple[tuple, str, tuple[str, ...]]:
     return tuple(s for s, _ in [*marked, *weighed]), mark, tuple(e for _, e in weighed if e)
 
 
+class Machine:
+    """The product: `moves` and `emits` by number of a state and class, filled as texts need them."""
+
+    def __init__(self):
+        self.numbers, self.states, self.moves, self.emits = {START: 0}, [START], [[-1] * CLASSES], [[None] * CLASSES]
+
+    def step(self, state: int, c: int) -> tuple[int, str, tuple[str, ...]]:
+        """The next state, and mark and emissions."""
+        to = self.moves[state][c]
+        if to < 0:
+            after, mark, emitted = compose(self.states[state], c)
+            to = self.numbers.setdefault(after, len(self.states))
+            if to == len(self.states):
+                self.states.append(after)
+                self.moves.append([-1] * CLASSES)
+                self.emits.append([None] * CLASSES)
+            self.moves[state][c], self.emits[state][c] = to, (mark, emitted)
+        return to, *self.emits[state][c]
+
+
 @lru_cache(1)
-def machine() -> tuple[list[list[int]], list[list[tuple[str, tuple[str, ...]]]]]:
-    """The product, built once over all states that can be reached: by state and class, the next state, and mark and emissions."""
-    number, order = {START: 0}, [START]
-    moves, emits = [], []
-    for state in order:  # grows while it is read
-        row, out = [], []
-        for c in range(9):
-            after, mark, emitted = compose(state, c)
-            if after not in number:
-                number[after] = len(order)
-                order.append(after)
-            row.append(number[after])
-            out.append((mark, emitted))
-        moves.append(row)
-        emits.append(out)
-    return moves, emits
+def machine() -> Machine:
+    """The one of this process."""
+    return Machine()
 
 
 class Grammar:
@@ -157,7 +191,7 @@ class Grammar:
         self.words = {w: p for w, p in stems.items() if not w.endswith("*")}
         self.prefixes = {w[:-1]: p for w, p in stems.items() if w.endswith("*")}
         self.lengths = sorted({len(w) for w in self.prefixes})
-        self.harm = frozenset(HARM)
+        self.harm = frozenset(HARM + CHASE)
         self.seen: dict[str, float | None] = {}
 
     def precision(self, word: str) -> float | None:
@@ -169,7 +203,7 @@ class Grammar:
         return p
 
     def hits(self, words: set[str]) -> bool:
-        if not self.harm.isdisjoint(words):
+        if not self.harm.isdisjoint(words) or ("die" in words and "go" in words):
             return True
         seen = self.seen
         if len(seen) > KNOWN_WORDS:
@@ -183,13 +217,11 @@ class Grammar:
 
     def clause(self, words: list[str]) -> float:
         """Probability that the clause is toxic."""
-        moves, emits = machine()
-        state, matches = 0, []  # of each match its odds and what was said about it
+        step, state, matches = machine().step, 0, []  # of each match its odds and what was said about it
         for w in words:
             p = self.precision(w)
             c = INSULT if p is not None else _CLOSED.get(w, OTHER)
-            mark, emitted = emits[state][c]
-            state = moves[state][c]
+            state, mark, emitted = step(state, c)
             if mark:
                 matches.append([p / (1 - p) if mark == "insult" else THREAT_ODDS, set(emitted)])
             elif emitted and matches:
