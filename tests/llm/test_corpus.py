@@ -803,6 +803,22 @@ def test_line_filters_spare_the_exact_table_and_grow(spark, monkeypatch):
     assert all(asked)
 
 
+def test_shards_grow_before_a_batch_far_larger_than_the_index(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    grown = []
+    refilled = line_dedup.LineIndex._refilled
+    monkeypatch.setattr(line_dedup.LineIndex, "_refilled", lambda self, total: grown.append((self.refs.count(), total)) or refilled(self, total))
+    small = spark.createDataFrame([(0, "a line of all documents")], "doc_id long, text string")
+    # One line in a third of the rows, the others on their own.
+    large = spark.createDataFrame([(i, "a line of all documents" if i % 3 == 0 else f"line number {i} alone") for i in range(1, 1501)], "doc_id long, text string")
+    one = line_dedup.LineIndex().insert(small)
+    both = one.insert(large)
+    assert grown[0] == (1, 1) and grown[1] == (1, 1001)  # before the filters are asked, over the one key that they hold
+    assert both.shards * 32 >= 1001 and both.refs.count() == 1001
+    got = {r.doc_id: r["__n_dropped"] for r in both.drop_lines(large).collect()}
+    assert got == {i: int(i % 3 == 0) for i in range(1, 1501)}
+
+
 def test_line_dedup_of_a_document_with_very_many_lines(spark):
     import time
 

@@ -8,7 +8,7 @@ State of an index (all tables in the shared folder):
 A batch is folded to one row per key first, so a line that half of the documents share is one row per map task. Then the filters are asked: a key that its
 shard's filter has not seen is certainly new and goes to the exact table without a look at it; only the others are looked up there, and merged if they are
 found. New keys enter the filters, each once. A corpus indexed at once is inserted in batches (by a hash of the document's id), so that from the second on the filters
-spare most keys the exact table. Each shard is one task; shards double in number until none has more than SHARD_KEYS keys, which bounds a task's memory. A filter in which a
+spare most keys the exact table. Each shard is one task; shards double in number until none has more than SHARD_KEYS keys of the index or of a batch, which bounds a task's memory. A filter in which a
 key finds no place is rebuilt, with twice the shards, from the exact table, which holds all keys.
 
 Deletion subtracts the ledger rows of the documents, takes the keys whose count falls to zero out of the filters, and finds a new owner for keys that lost theirs.
@@ -163,6 +163,12 @@ class LineIndex:
         delta = written(folded.withColumn("word", F.xxhash64("key")).select(REFS), "delta")
         ledger = fresh if self.ledger is None else self.ledger.unionByName(fresh)
         n = delta.count()
+        if self.refs is not None and n > self.shards * SHARD_KEYS:
+            return self._refilled(n)._merged(ledger, delta, n)  # a shard's part of the batch is one task's as well
+        return self._merged(ledger, delta, n)
+
+    def _merged(self, ledger: DataFrame, delta: DataFrame, n: int) -> LineIndex:
+        """The index with the n keys of a batch."""
         if self.refs is None:
             refs, unseen, total = delta, delta, n
         else:
