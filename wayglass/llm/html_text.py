@@ -8,9 +8,9 @@ speaks. It protects: shared lines inside an article or main element stay. And it
 notices, comments and the like go, as do those outside the article where a page has one. Each result counts the lines that either decided.
 
 The rows of a large host are dealt out in chunks of its path order, cut at ranks that are the same however the input is partitioned; a chunk is what one
-task compares, page after page, holding two pages at a time. Texts move once.
+task compares, page after page, holding two pages at a time. A chunk also gets the pages beside it, which lie in others, so the cuts change no result. Texts move once.
 
-Defined cases: null or empty html gives an empty text; a page alone in its chunk is compared with none; equal pages next to each other are one page of the order; null urls form
+Defined cases: null or empty html gives an empty text; a page alone on its host is compared with none; equal pages next to each other are one page of the order; null urls form
 one host; elements left open end where HTML ends them; a tag that is never finished is text; attribute values of any length are markup; an empty table gives an empty
 result; repeated rows are rows of their own; other columns are ignored.
 """
@@ -21,11 +21,12 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 from html import unescape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayglass.llm.shared import written
@@ -289,16 +290,60 @@ def chunk_starts(rows: DataFrame) -> dict[str, list[tuple[str, int]]]:
     return {h: sorted(v) for h, v in out.items()}
 
 
+def beside(rows: DataFrame, chunk_of) -> dict[tuple[str, str, int], list[int]]:
+    """Of hosts cut into chunks, the places of the pages that chunks need from others, and the chunks: the page before a chunk's first and the one after its last, the next that differs.
+
+    Reads digests of the lines; what comes to the driver is a row a chunk.
+    """
+
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            chunk = chunk_of(f)
+            cut = [c >= 0 for c in chunk]
+            f = f.assign(chunk=chunk)[cut]
+            yield f.drop(columns="html").assign(digest=[md5(repr(text_lines(h)).encode("utf-8", "surrogatepass")).hexdigest() for h in f["html"]])
+
+    light = rows.select("host", "path", "tie", "html").mapInPandas(digests, "host string, path string, tie long, chunk int, digest string")
+    order = Window.partitionBy("host", "chunk").orderBy("path", "tie")
+    row, apart = F.struct("path", "tie", "digest"), lambda f: f("digest").over(order) != F.col("digest")
+    runs = light.select("host", "chunk", row.alias("row"), F.when(apart(F.lag), row).alias("starts"), F.when(apart(F.lead), row).alias("ends"))
+    chunks: dict[str, list] = {}
+    found = runs.groupBy("host", "chunk").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min("starts").alias("second"), F.max("ends").alias("last_but_one"))
+    for r in sorted(found.collect(), key=lambda r: (r["host"], r["chunk"])):  # 2 * CHUNKS rows at most
+        chunks.setdefault(r["host"], []).append(r)
+    out: dict[tuple[str, str, int], list[int]] = {}
+    for host, own in chunks.items():
+        for line, near, far, other in ((own, "first", "last", "last_but_one"), (own[::-1], "last", "first", "second")):
+            known = None  # the neighbour of the chunk before in this line
+            for before, r in zip([None, *line], line, strict=False):
+                if before is not None and before[far]["digest"] != r[near]["digest"]:
+                    known = before[far]
+                elif before is not None and before[other] is not None:
+                    known = before[other]
+                if known is not None:  # a chunk of equal pages hands its own neighbour on
+                    out.setdefault((host, known["path"], known["tie"]), []).append(r["chunk"])
+    return out
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row, and n_lines, n_by_difference, n_by_structure, n_protected (shared lines that stay)."""
     rows = placed(pages)
-    starts = rows.sparkSession.sparkContext.broadcast(chunk_starts(rows))
+    cuts = chunk_starts(rows)
+    starts = rows.sparkSession.sparkContext.broadcast(cuts)
+
+    def chunks_of(f: pd.DataFrame, whole: int = -1) -> list[int]:
+        return [bisect_right(starts.value[h], (p, t)) if h in starts.value else whole for h, p, t in zip(f["host"], f["path"], f["tie"], strict=True)]
+
+    lent = rows.sparkSession.sparkContext.broadcast(beside(rows, chunks_of) if cuts else {})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [text_lines(h) for h in f["html"]]
-            chunk = [bisect_right(starts.value.get(h, ()), (p, t)) for h, p, t in zip(f["host"], f["path"], f["tie"], strict=True)]
-            yield f.drop(columns="html").assign(chunk=chunk, lines=[[x for x, _ in p] for p in found], zones=[[z for _, z in p] for p in found])
+            out = f.drop(columns="html").assign(chunk=chunks_of(f, 0), shown=True, lines=[[x for x, _ in p] for p in found], zones=[[z for _, z in p] for p in found])
+            yield out
+            asked = [lent.value.get(place, []) for place in zip(f["host"], f["path"], f["tie"], strict=True)]
+            if any(asked):  # pages at the ends of chunks go to the chunks beside them too, for comparison only
+                yield out.assign(chunk=asked, shown=False)[[bool(x) for x in asked]].explode("chunk").astype({"chunk": "int32"})
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["page_id", "url", "text", "n_chars", "n_lines", "n_by_difference", "n_by_structure", "n_protected"]
@@ -308,19 +353,20 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             return pd.DataFrame(rows, columns=columns).assign(page_id=pd.array([r[0] for r in rows], dtype="Int64"))
 
         def done() -> list[tuple]:
-            if page is None:
+            if page is None or not page[3]:
                 return []
             text, *counts = main_text(page[0], page[1], page[2])
             return [(None if none else page_id, url, text, len(text), len(page[0]), *counts) for page_id, none, url in page[3]]
 
         for f in frames:
             out = []
-            for page_id, none, url, host, chunk, lines, zones in zip(f["page_id"], f["none"], f["url"], f["host"], f["chunk"], f["lines"], f["zones"], strict=True):
+            for page_id, none, url, host, chunk, shown, lines, zones in zip(f["page_id"], f["none"], f["url"], f["host"], f["chunk"], f["shown"], f["lines"], f["zones"], strict=True):
+                row = [(page_id, none, url)] if shown else []
                 lines, zones = list(lines), list(zones)
                 if (host, chunk) == key and page[0] == lines and page[1] == zones:
-                    page[3].append((page_id, none, url))
+                    page[3].extend(row)
                     continue
-                fresh = (lines, zones, set(), [(page_id, none, url)])
+                fresh = (lines, zones, set(), row)
                 if (host, chunk) == key:
                     before, after = shared_lines(page[0], lines)
                     page[2].update(before)
@@ -332,6 +378,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         if page is not None:
             yield table(done())
 
-    lines = rows.mapInPandas(cut, "page_id long, none boolean, url string, host string, path string, tie long, chunk int, lines array<string>, zones array<int>")
+    lines = rows.mapInPandas(cut, "page_id long, none boolean, url string, host string, path string, tie long, chunk int, shown boolean, lines array<string>, zones array<int>")
     dealt = lines.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "path", "tie")
     return dealt.mapInPandas(compare, "page_id long, url string, text string, n_chars long, n_lines int, n_by_difference int, n_by_structure int, n_protected int")
