@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayglass.operators import patterns, vector_index
+from wayglass.operators import blocks, patterns, similarity, vector_index
 from wayglass.operators.similarity import cosine_recall
 
 
@@ -62,3 +62,27 @@ def test_empty_and_missing_vectors(spark):
     assert vector_index.search(vector_index.build_index(none), none, 3).collect() == []
     some = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [0.0, 0.0])], "id long, v array<double>")
     assert rows(vector_index.search(vector_index.build_index(some), some, 3), "query_id", "item_id", "score") == [(2, 3, 1.0), (3, 2, 1.0)]
+
+
+def test_few_pairs_are_scored_one_by_one(spark):
+    rnd = random.Random(5)
+    items = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(3000)], "id long, v array<double>")
+    asked, seen = items.where("id % 100 = 0"), {}
+    found = vector_index.search(vector_index.build_index(items), asked, 10, seen=seen)
+    assert rows(found, "query_id", "rank", "item_id", "score") == rows(cosine_recall(asked, items, 10), "query_id", "rank", "item_id", "score")
+    assert seen.get("exact", sum(seen.values())) <= 30 * 12  # of 90,000
+
+
+@pytest.mark.parametrize("k", [3, 100])
+def test_vectors_that_cannot_be_multiplied_are_scored_exactly(spark, monkeypatch, k):
+    monkeypatch.setattr(vector_index, "PART", 20)
+    monkeypatch.setattr(blocks, "QUERIES", 7)
+    monkeypatch.setattr(blocks, "CELLS", 100)
+    odd = [[float("nan"), 1.0, 2.0], [1.0, None, 2.0], [float("inf"), 1.0, 0.0], [1e-200, 0.0, 0.0], [1.0, 2.0], [], [0.0, float("nan"), 0.0]]
+    items = spark.createDataFrame([*enumerate(odd + bundles(90, dims=3)), (None, [1.0, 2.0, 3.0]), (500, None)], "id long, v array<double>")
+    asked = items.where("id % 9 = 0 or id < 7 or id > 90 or id is null")
+    unit = lambda df, names: df.where("v is not null").select("id", similarity.unit(F.col("v")).alias("v")).toDF(*names)
+    pairs = unit(asked, ["query_id", "q"]).crossJoin(unit(items, ["item_id", "u"])).where("query_id <> item_id")
+    wanted = similarity.top_k(pairs.select("query_id", "item_id", vector_index._alike(F.col("q"), F.col("u"), 4).alias("score")), ["query_id"], [F.desc("score"), F.col("item_id")], k)
+    found = vector_index.search(vector_index.build_index(items, cells=6), asked, k)
+    assert rows(found, "query_id", "rank", "item_id", "score") == rows(wanted, "query_id", "rank", "item_id", "score")
