@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wayglass.functions.exact import near_round
 from wayglass.operators import spatial
 
 BANDS = ((0.0, 20.0), (20.0, 40.0), (40.0, 60.0))
@@ -20,3 +21,10 @@ def test_pairs_are_made_last(spark):
     a, b = crowd(spark, "site", 2500, 2), crowd(spark, "sensor", 90, 3)
     near = spatial.near_pairs(a, b, 500.0)
     assert made_last(near) and near.select("a_site", "b_sensor").distinct().count() == near.count() == 2500 * 90
+
+
+def test_near_round_is_round(spark):
+    x = [0.00005, -0.00005, 0.12345, 2.675, -2.67505, 1.00015, 1e-9, -1e-9, 0.0, -0.0, 1234567.89125, 1e9 + 0.12345, 1e300, float("inf"), float("nan"), None, *[i / 7000 for i in range(-500, 500)], *[i / 20000 for i in range(-500, 500)]]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for digits in (4, 7):
+        assert df.where(~near_round(F.col("x"), digits).eqNullSafe(F.round("x", digits))).count() == 0
