@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wayglass.functions.exact import near_round
-from wayglass.operators import spatial
+from wayglass.operators import records, spatial
 
 BANDS = ((0.0, 20.0), (20.0, 40.0), (40.0, 60.0))
 
@@ -23,6 +23,12 @@ def test_pairs_are_made_last(spark):
     assert made_last(near) and near.select("a_site", "b_sensor").distinct().count() == near.count() == 2500 * 90
 
 
+def test_layers_are_made_last(spark):
+    sensors = crowd(spark, "sensor", 50, 7)
+    up = sensors.select("sensor", (F.col("sensor") % 7 + 1).alias("prev"))
+    assert made_last(records.layers_over_routes(crowd(spark, "site", 130, 9), sensors, up, 46.2, BANDS, 7))
+
+
 def test_near_round_is_round(spark):
     x = [0.00005, -0.00005, 0.12345, 2.675, -2.67505, 1.00015, 1e-9, -1e-9, 0.0, -0.0, 1234567.89125, 1e9 + 0.12345, 1e300, float("inf"), float("nan"), None, *[i / 7000 for i in range(-500, 500)], *[i / 20000 for i in range(-500, 500)]]
     df = spark.createDataFrame([(v,) for v in x], "x double")
