@@ -23,6 +23,10 @@ def test_pairs_are_made_last(spark):
     assert made_last(near) and near.select("a_site", "b_sensor").distinct().count() == near.count() == 2500 * 90
 
 
+def test_scoped_routes_are_made_last(spark):
+    assert made_last(spatial.scoped_routes(crowd(spark, "site", 130, 9), crowd(spark, "sensor", 50, 7), 46.2, BANDS))
+
+
 def test_layers_are_made_last(spark):
     sensors = crowd(spark, "sensor", 50, 7)
     up = sensors.select("sensor", (F.col("sensor") % 7 + 1).alias("prev"))
